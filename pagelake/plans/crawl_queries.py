@@ -210,7 +210,9 @@ def written_contents(spark, d):
 
 # ---------------------------------------------------------------------- pages
 
-TEXT_SQL = f"{S.normalize(S.article_text('html'))}"
+TEXT_SQL = S.normalize(S.article_text("html"))
+BODY_SQL = S.strip_tags(r"regexp_extract(html, '(?is)<body\b[^>]*>(.*)$', 1)")
+MAIN_SQL = f"coalesce({S.article_text('html')}, {BODY_SQL})"
 
 
 @query(
@@ -247,7 +249,7 @@ def metadata(spark, d):
 
 @query(
     "main_content",
-    f"""select page_id, coalesce({S.article_text('html')}, {S.strip_tags("regexp_extract(html, '(?is)<body\\b[^>]*>(.*)$', 1)")}) as main_text,
+    f"""select page_id, {MAIN_SQL} as main_text,
       case when {S.article_text('html')} is null then 'body' else 'article' end as selector from pages""",
 )
 def main_content(spark, d):
@@ -292,7 +294,7 @@ def sanitized(spark, d):
 
 @query(
     "extract_pages",
-    f"""with parts as (select page_id, url, {S.title('html')} as title, {S.site_name('html')} as site_name, {TEXT_SQL} as text from pages)
+    f"""with parts as (select page_id, url, {S.title('html')} as title, {S.site_name('html')} as site_name, {S.normalize(MAIN_SQL)} as text from pages)
     select page_id, url, title, site_name, text from parts
     where title is not null and {S.trim('text')} <> '' and ({S.reject_reason('title', 'text')}) is null""",
 )
@@ -303,7 +305,7 @@ def extracted(spark, d):
 
 @query(
     "extract_pages_rejected",
-    f"""with parts as (select page_id, {S.title('html')} as title, {TEXT_SQL} as text from pages),
+    f"""with parts as (select page_id, {S.title('html')} as title, {S.normalize(MAIN_SQL)} as text from pages),
       judged as (select page_id, case when title is null then 'no_title' when {S.trim("coalesce(text, '')")} = '' then 'no_text' else {S.reject_reason('title', 'text')} end as reason from parts)
     select page_id, reason from judged where reason is not null""",
 )
