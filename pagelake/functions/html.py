@@ -25,10 +25,9 @@ from pagelake.functions.fixed import (
 from pagelake.schemas import struct_of
 from pagelake.functions.text import WS_CHARS, byte_count, col, utrim
 
-ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article\s*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-H1 = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
-TAG = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|<![^>]*>"
+ARTICLE_TAG = r"(?i)</?article\b[^>]*+>"
+HEAD_ITEM = r"(?is)<(?:meta\s[^>]*+|title\b[^>]*+>.*?</title\s*|h1\b[^>]*+>.*?</h1\s*)>"
+TAG = r"(?s)<(?:/?[a-zA-Z][^>]*+|!--.*?--|![^>]*+)>"
 HREF = r'href="([^"]+)"'
 SRC = r'src="([^"]+)"'
 
@@ -37,70 +36,91 @@ SRC = r'src="([^"]+)"'
 
 def html_to_text(html: Column | str) -> Column:
     """Text between tags, nothing put in place of a tag, common entities decoded."""
-    text = F.regexp_replace(col(html), TAG, "")
-    for entity, char in COLUMN_ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+    def decoded(text: Column) -> Column:
+        out = text
+        for entity, char in COLUMN_ENTITIES.items():
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(text.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+    return F.transform(F.array(F.regexp_replace(col(html), TAG, "")), decoded)[0]
 
 
 def _all(html: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+
+
+def head_items(html: Column | str) -> Column:
+    """All meta tags, titles and top headings of a page, found in one scan."""
+    return _all(col(html), HEAD_ITEM)
 
 
-def meta_property(html: Column | str, name: str) -> Column:
+def _texts(items: Column, tag: str) -> Column:
+    return F.transform(F.filter(items, lambda i: i.rlike(f"(?i)^<{tag}\\b")), html_to_text)
+
+
+def meta_property(items: Column, name: str) -> Column:
     """``content`` of the first ``meta`` with this property that has one; NULL if there is none."""
-    tags = F.regexp_extract_all(
-        col(html), F.lit(rf"""(?is)(<meta\s[^>]*property\s*=\s*["']{re.escape(name)}["'][^>]*>)"""), F.lit(1)
-    )
     quoted = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    first = F.try_element_at(F.filter(tags, lambda t: t.rlike(quoted)), F.lit(1))
+    wanted = rf"""(?i)^<meta\s[^>]*property\s*=\s*["']{re.escape(name)}["']"""
+    first = F.try_element_at(F.filter(items, lambda t: t.rlike(wanted) & t.rlike(quoted)), F.lit(1))
     return html_to_text(F.concat(F.regexp_extract(first, quoted, 1), F.regexp_extract(first, quoted, 2)))
 
 
-def extract_title(html: Column | str) -> Column:
+def extract_title(items: Column) -> Column:
     """og:title as it is, else the first title, else the first heading with text, else NULL."""
+    texts = F.transform(F.concat(_texts(items, "title"), _texts(items, "h1")), utrim)
+    first = F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
+    return F.coalesce(meta_property(items, "og:title"), first)
 
-    def first_text(pattern: str) -> Column:
-        texts = F.transform(_all(col(html), pattern), lambda t: utrim(html_to_text(t)))
-        return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
 
-    return F.coalesce(meta_property(html, "og:title"), first_text(TITLE), first_text(H1))
+def extract_site_name(items: Column) -> Column:
+    """og:site_name, else what follows the last `` - `` or `` | `` of the first title, else NULL."""
+    title = F.try_element_at(_texts(items, "title"), F.lit(1))
+    tail = F.transform(
+        F.array(title),
+        lambda t: F.when(t.contains(" - "), F.substring_index(t, " - ", -1)).when(
+            t.contains(" | "), F.substring_index(t, " | ", -1)
+        ),
+    )[0]
+    return F.coalesce(meta_property(items, "og:site_name"), tail)
 
 
-def extract_site_name(html: Column | str) -> Column:
-    """og:site_name, else what follows the last `` - `` or `` | `` of the first title, else NULL."""
-    title = html_to_text(F.try_element_at(_all(col(html), TITLE), F.lit(1)))
-    tail = F.when(title.contains(" - "), F.substring_index(title, " - ", -1)).when(
-        title.contains(" | "), F.substring_index(title, " | ", -1)
-    )
-    return F.coalesce(meta_property(html, "og:site_name"), tail)
+def article_tags(html: Column | str) -> Column:
+    return _all(col(html), ARTICLE_TAG)
 
 
-def article_html(html: Column | str) -> Column:
-    """Inside of the first ``article`` that holds enough text; NULL if there is none."""
-    enough = F.filter(
-        _all(col(html), ARTICLE), lambda a: byte_count(utrim(html_to_text(a))) > MIN_MAIN_CONTENT_BYTES
-    )
-    return F.try_element_at(enough, F.lit(1))
+def article_parts(html: Column | str) -> Column:
+    """Page source cut at article tags: outside, inside, outside, ..."""
+    return F.split(col(html), ARTICLE_TAG)
 
 
-def is_regular(html: Column | str) -> Column:
+def article_text(html: Column | str) -> Column:
+    """Text of the first ``article`` that holds enough of it (articles not nested); NULL if there is none."""
+    insides = F.filter(article_parts(html), lambda _, i: i % 2 == 1)
+    texts = F.filter(F.transform(insides, html_to_text), lambda t: byte_count(utrim(t)) > MIN_MAIN_CONTENT_BYTES)
+    return F.try_element_at(texts, F.lit(1))
+
+
+def is_regular(html: Column | str, items: Column, tags: Column, parts: Column, text: Column) -> Column:
     """True where the column forms give what the parser would give.
 
-    One plain ``article`` of enough text, no script, style, textarea, comment or
-    self-made tag syntax inside, no entity but the ones the columns decode.
+    There must be one plain ``article`` with enough text, with no script, style,
+    textarea, comment or unfinished tag inside, and no entity but the ones that
+    the columns decode.
     """
-    h = col(html)
-    inside = article_html(h)
-    one = (F.regexp_count(h, F.lit(r"(?i)<article\b")) == 1) & (F.regexp_count(h, F.lit(r"(?i)</article\s*>")) == 1)
+    special = r"template|noscript|svg|math|plaintext|xmp|iframe"
     known = "|".join(e[1:] for e in (*COLUMN_ENTITIES, "&amp;"))
-    odd_markup = inside.rlike(r"(?i)<(script|style|textarea|title|template|noscript|iframe|xmp|svg|math|plaintext)\b|<[!?]")
-    odd_tag = F.regexp_replace(inside, r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>", "").rlike("<")
-    odd_head = F.regexp_extract(h, r"(?is)^(.*?)<article\b", 1).rlike(r"(?i)<(template|noscript|svg|math|plaintext|xmp|iframe)\b")
-    odd_entity = F.coalesce(inside, h).rlike(rf"&(?!(?:{known}))[#a-zA-Z]")
-    title_entity = F.array_join(F.concat(_all(h, TITLE), _all(h, H1)), " ").rlike(rf"&(?!(?:{known}))[#a-zA-Z]")
-    bad = odd_markup | odd_tag | odd_head | odd_entity | title_entity | h.contains("\r") | h.contains("\x00")
-    return F.coalesce(one & inside.isNotNull() & ~bad, F.lit(False))
+    other_entity = rf"&(?!(?:{known}))[#a-zA-Z]"
+    one = (F.size(tags) == 2) & ~tags[0].startswith("</") & tags[1].startswith("</")
+    enough = byte_count(utrim(text)) > MIN_MAIN_CONTENT_BYTES
+    odd = parts[1].rlike(
+        rf"(?i)<(?:(?:script|style|textarea|title|{special})\b|(?!/?[a-z][a-z0-9]*+(?:\s[^<>]*+)?/?>))|{other_entity}"
+    )
+    odd_head = parts[0].rlike(rf"(?i)<(?:{special})\b")
+    odd_item = F.exists(items, lambda i: i.rlike(other_entity))
+    plain = ~(col(html).contains("\r") | col(html).contains("\x00"))
+    return F.coalesce(one & enough & ~odd & ~odd_head & ~odd_item & plain, F.lit(False))
 
 
 # ----------------------------------------------------- the Arrow stage (parser)

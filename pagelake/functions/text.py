@@ -1,13 +1,15 @@
 """Text columns: trimming, whitespace, counting, checksums, tokens.
 
-Everything here is a Column expression that stays inside whole-stage codegen.
-The whitespace class is spelled out (Unicode White_Space) because Java's and
-RE2's bare ``\\s`` only know ASCII.
+Everything here is a Column expression evaluated in the JVM. Whitespace means
+Unicode White_Space: ``(?U)`` makes Java's classes follow it, and the trim set
+is spelled out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.fixed import BOILERPLATE_KEYWORDS
@@ -16,26 +18,37 @@ WS_RANGES = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 WS = f"[{WS_RANGES}]"
 NON_WS = f"[^{WS_RANGES}]"
 WS_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-WORD_PATTERN = r"[\p{L}\p{N}]+"
+WORD_PATTERN = r"[\p{L}\p{N}]++"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that costly patterns feed, each evaluated once per row.
+
+    Catalyst substitutes a column's definition into the filters and projections
+    above it, which repeats costly expressions; it does not look through a generator.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def utrim(c: Column | str) -> Column:
     """Strip Unicode whitespace at both ends."""
-    return F.regexp_replace(col(c), rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def normalize_whitespace(c: Column | str) -> Column:
     """Trim, then runs of blanks to one space, then runs of blank lines to one."""
-    spaced = F.regexp_replace(utrim(c), r"[ \t]+", " ")
-    return F.regexp_replace(spaced, rf"\n{WS}*\n+", "\n\n")
+    # a single blank needs no replacing
+    spaced = F.regexp_replace(utrim(c), r"[ \t]{2,}|\t", " ")
+    return F.regexp_replace(spaced, r"(?U)\n\s*\n+", "\n\n")
 
 
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(f"{NON_WS}+")).cast("bigint")
+    return F.regexp_count(col(c), F.lit(r"(?U)\S++")).cast("bigint")
 
 
 def char_count(c: Column | str) -> Column:
@@ -55,26 +68,17 @@ def raw_checksum(body: Column | str) -> Column:
     return F.md5(col(body))
 
 
-def occurrences(c: Column, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal, by length difference (no regex engine)."""
-    gone = F.replace(c, F.lit(needle), F.lit(""))
-    return ((F.octet_length(c) - F.octet_length(gone)) / F.lit(len(needle.encode()))).cast("bigint")
-
-
 def keyword_count(c: Column | str, keywords: tuple[str, ...] = BOILERPLATE_KEYWORDS) -> Column:
     """Occurrences per keyword, then summed, so overlapping keywords each count.
 
-    ``transform`` binds the lower-cased text once per row instead of once per keyword.
+    A literal pattern is searched by skipping (Boyer-Moore), which one big
+    alternation is not. ``transform`` binds the lower-cased text once per row.
     """
-    lowered = F.array(F.lower(col(c)))
 
     def total(text: Column) -> Column:
-        out = F.lit(0).cast("bigint")
-        for keyword in keywords:
-            out = out + occurrences(text, keyword)
-        return out
+        return sum((F.regexp_count(text, F.lit(re.escape(k))) for k in keywords), F.lit(0)).cast("bigint")
 
-    return F.transform(lowered, total)[0]
+    return F.transform(F.array(F.lower(col(c))), total)[0]
 
 
 def boilerplate_ratio(
@@ -87,7 +91,7 @@ def boilerplate_ratio(
 
 def words(c: Column | str) -> Column:
     """Letter or digit runs in their own case, in text order."""
-    return F.regexp_extract_all(col(c), F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    return F.regexp_extract_all(col(c), F.lit(WORD_PATTERN), F.lit(0))
 
 
 def tokenize_simple(c: Column | str) -> Column:

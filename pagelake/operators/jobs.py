@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.functions.text import compute_once
 from pagelake.functions.retry import backoff_seconds, jitter
 from pagelake.schemas import DEFAULT_BASE_BACKOFF_SECONDS, DEFAULT_LEASE_SECONDS, struct_of
 
@@ -72,6 +73,40 @@ def lease_expiry(jobs: DataFrame, as_of: Column) -> DataFrame:
     return jobs.filter(lease_expired(as_of)).withColumn("overdue_seconds", late)
 
 
+def lease_gaps(log: DataFrame, as_of: Column, cell_secs: int = 86400) -> DataFrame:
+    """(job_id, expired_at) for every lease in a job log that ran out by ``as_of`` with no action in time.
+
+    A claim opens a lease, an extension while running moves its end, success or
+    failure closes it. What follows a row is looked up inside (job, cell of time)
+    first; only the last row of a cell needs the first row of the job's next
+    cell, and that lookup runs over one row per cell. An extension counts when
+    the last claim, success or failure before it is a claim.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cell = (micros - F.pmod(micros, F.lit(cell_secs * 1_000_000))).alias("cell")
+    rows = log.filter(F.col("action").isin("claim", "extend", "success", "failure"))
+    rows = rows.select("job_id", "ts", "seq", "action", "lease_secs", cell)
+    # per cell: its first row's time, and its last move (anything but an extension)
+    move = F.when(F.col("action") != "extend", F.struct("ts", "seq", "action"))
+    cells = rows.groupBy("job_id", "cell").agg(F.min("ts").alias("first_ts"), F.max(move).alias("last_move"))
+    along = Window.partitionBy("job_id").orderBy("cell")
+    cells = cells.select(
+        "job_id", "cell",
+        F.lead("first_ts").over(along).alias("cell_next"),
+        F.last("last_move.action", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("cell_move"),
+    )
+    inside = Window.partitionBy("job_id", "cell").orderBy("ts", "seq")
+    moved = F.when(F.col("action") != "extend", F.col("action"))
+    rows = rows.withColumns(
+        {"next_ts": F.lead("ts").over(inside), "state": F.last(moved, ignorenulls=True).over(inside)}
+    ).join(cells, ["job_id", "cell"])
+    running = F.coalesce("state", "cell_move") == "claim"
+    until = F.col("ts") + seconds(F.col("lease_secs"))
+    following = F.coalesce("next_ts", "cell_next")
+    ran_out = (until <= as_of) & (following.isNull() | (following > until))
+    return rows.filter(running & F.coalesce(ran_out, F.lit(False))).select("job_id", until.alias("expired_at"))
+
+
 def dead_letter(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("status") == "failed")
 
@@ -123,21 +158,20 @@ def parse_payloads(jobs: DataFrame, kind: str, payload: str = "payload") -> tupl
     """
     fields, required = PAYLOADS[kind]
     schema = struct_of(fields)
-    doc = F.try_parse_json(payload)
-    typed = []
+    rows = compute_once(jobs.filter(F.col("kind") == kind), {"_doc": F.try_parse_json(payload)})
+    found, broken = [], []
     for f in schema.fields:
+        raw = F.try_variant_get("_doc", f"$.{f.name}", "variant")
+        there = raw.isNotNull() & ~F.is_variant_null(raw)
+        value = F.try_variant_get("_doc", f"$.{f.name}", f.dataType.simpleString())
         # a JSON string must not pass for a number, nor a number for a string
-        value = F.try_variant_get(doc, f"$.{f.name}", f.dataType.simpleString())
-        is_string = F.schema_of_variant(F.try_variant_get(doc, f"$.{f.name}", "variant")) == "STRING"
-        typed.append(F.when(is_string == F.lit(f.dataType == T.StringType()), value).alias(f.name))
-    rows = jobs.filter(F.col("kind") == kind).withColumn("data", F.struct(*typed))
-    good = reduce(lambda a, b: a & b, [F.col(f"data.{name}").isNotNull() for name in required])
-    # an optional field that is there but does not read is an error as well
-    for f in schema.fields:
-        there = F.try_variant_get(doc, f"$.{f.name}", "string").isNotNull()
-        good = good & ~(there & F.col(f"data.{f.name}").isNull())
-    good = F.coalesce(good, F.lit(False))
-    return rows.filter(good), rows.filter(~good).drop("data")
+        fits = (F.schema_of_variant(raw) == "STRING") == F.lit(f.dataType == T.StringType())
+        found.append(F.when(fits, value).alias(f.name))
+        wrong = there & ~F.coalesce(fits & value.isNotNull(), F.lit(False))
+        broken.append((wrong | ~there) if f.name in required else wrong)
+    bad = reduce(lambda a, b: a | b, broken)
+    rows = compute_once(rows, {"data": F.struct(*found), "_bad": F.coalesce(bad, F.lit(True))}).drop("_doc")
+    return rows.filter(~F.col("_bad")).drop("_bad"), rows.filter("_bad").drop("_bad", "data")
 
 
 def attach_item_url(jobs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

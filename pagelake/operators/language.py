@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions.fixed import LANGUAGE_CODES, MIN_LANGUAGE_BYTES, MIN_LANGUAGE_CONFIDENCE
-from pagelake.functions.text import utrim
+from pagelake.functions.text import compute_once, utrim
 
 PROFILE_SIZE = 300
 MAX_LANGUAGES = 200
@@ -92,7 +92,8 @@ def assign_language(
     for lang, gram, rank in rows:
         table.setdefault(lang, {})[gram] = rank
     long_enough = F.octet_length(utrim(text)) >= MIN_LANGUAGE_BYTES
-    scored = df.withColumn("_score", _scorer(table, size)(F.when(long_enough, letters(text))))
+    plain = compute_once(df, {"_plain": F.when(long_enough, letters(text))})
+    scored = plain.withColumn("_score", _scorer(table, size)("_plain")).drop("_plain")
     lead = F.lit(1.0) - F.try_divide(F.col("_score.second").cast("double"), F.col("_score.best").cast("double"))
     scored = scored.withColumn("confidence", F.coalesce(F.round(lead, 6), F.lit(0.0)))
     clear = F.col("confidence") >= MIN_LANGUAGE_CONFIDENCE

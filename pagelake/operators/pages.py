@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.html import (
-    HREF, SRC, article_html, extract_site_name, extract_title, html_to_text, is_regular, parse_pages, sanitize_html,
+    HREF, SRC, article_parts, article_tags, article_text, extract_site_name, extract_title, head_items, html_to_text,
+    is_regular, parse_pages, sanitize_html,
 )
 from pagelake.functions.text import (
-    boilerplate_ratio, byte_count, char_count, content_checksum, normalize_whitespace, raw_checksum, word_count,
+    boilerplate_ratio, byte_count, char_count, compute_once, content_checksum, normalize_whitespace, raw_checksum, word_count,
 )
 from pagelake.functions.urls import resolve_reference, url_host
 
-OUTER_ARTICLE = r"(?is)(<article\b[^>]*>.*?</article\s*>)"
-
 
 def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add title, site_name, main_text, main_html and selector.
@@ -22,26 +21,34 @@ def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
     Pages with regular markup are read by JVM columns. Only the others reach the
     Arrow stage (it is handed NULL for the rest), which runs once for all parts.
     """
-    staged = pages.withColumn("_regular", is_regular(html))
+    staged = compute_once(
+        pages, {"_items": head_items(html), "_tags": article_tags(html), "_parts": article_parts(html)}
+    )
+    tags, parts = F.col("_tags"), F.col("_parts")
+    staged = compute_once(staged, {"_text": F.when(F.size(tags) == 2, html_to_text(parts[1]))})
+    staged = compute_once(staged, {"_regular": is_regular(html, F.col("_items"), tags, parts, F.col("_text"))})
     staged = staged.withColumn("_parsed", parse_pages(F.when(~F.col("_regular"), F.col(html))))
 
     def pick(native, parsed):
         return F.when(F.col("_regular"), native).otherwise(F.col(f"_parsed.{parsed}"))
 
-    return staged.withColumns(
+    return compute_once(
+        staged,
         {
-            "title": pick(extract_title(html), "title"),
-            "site_name": pick(extract_site_name(html), "site_name"),
-            "main_text": pick(html_to_text(article_html(html)), "text"),
-            "main_html": pick(F.regexp_extract(html, OUTER_ARTICLE, 1), "html"),
+            "title": pick(extract_title(F.col("_items")), "title"),
+            "site_name": pick(extract_site_name(F.col("_items")), "site_name"),
+            "main_text": pick(F.col("_text"), "text"),
+            "main_html": pick(F.concat(tags[0], parts[1], tags[1]), "html"),
             "selector": pick(F.lit("article"), "selector"),
-        }
-    ).drop("_regular", "_parsed")
+        },
+    ).drop("_items", "_tags", "_parts", "_text", "_regular", "_parsed")
 
 
 def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add title and site_name by JVM columns only."""
-    return pages.withColumns({"title": extract_title(html), "site_name": extract_site_name(html)})
+    staged = compute_once(pages, {"_items": head_items(html)})
+    named = {"title": extract_title(F.col("_items")), "site_name": extract_site_name(F.col("_items"))}
+    return compute_once(staged, named).drop("_items")
 
 
 def main_content_table(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -51,7 +58,7 @@ def main_content_table(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def article_table(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add main_text of the ``article`` selector by JVM columns only; NULL where there is none."""
-    return pages.withColumn("main_text", html_to_text(article_html(html)))
+    return compute_once(pages, {"main_text": article_text(html)})
 
 
 def link_edges(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -75,7 +82,7 @@ def sanitize_table(pages: DataFrame, html: str = "html", url: str | None = "url"
 
 def clean_text_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add clean_text and its size in characters, bytes and words."""
-    return docs.withColumn("clean_text", normalize_whitespace(text)).withColumns(
+    return compute_once(docs, {"clean_text": normalize_whitespace(text)}).withColumns(
         {"n_chars": char_count("clean_text"), "n_bytes": byte_count("clean_text"), "n_words": word_count("clean_text")}
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.charset import decode_body, detect_charset
 from pagelake.functions.fixed import ACCEPTED_TYPES, FATAL_FETCH_ERRORS, MAX_BODY_BYTES, MAX_REDIRECTS
+from pagelake.functions.text import compute_once
 from pagelake.functions.urls import valid_url
 from pagelake.session import cut_lineage
 
@@ -63,7 +64,7 @@ def with_error(responses: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFra
             is_retriable(F.col("_code"), F.col("status")).alias("retriable"),
         ),
     )
-    return df.withColumn("_code", code).withColumn("error", error).drop("_code")
+    return compute_once(df, {"_code": code}).withColumn("error", error).drop("_code")
 
 
 def gate_responses(responses: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -126,8 +127,8 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_R
 
 def decode_responses(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add ``charset`` and ``text``; rows that do not decode come second, with a Charset error."""
-    df = accepted.withColumn("charset", detect_charset(F.col("content_type"), F.col("body")))
-    df = df.withColumn("text", decode_body(F.col("body"), F.col("charset")))
+    df = compute_once(accepted, {"charset": detect_charset(F.col("content_type"), F.col("body"))})
+    df = compute_once(df, {"text": decode_body(F.col("body"), F.col("charset"))})
     decoded = df.filter(F.col("text").isNotNull())
     failed = df.filter(F.col("text").isNull()).drop("text", "body").withColumn(
         "error",

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.functions.text import tokenize_simple, words
+from pagelake.functions.text import words
+from pagelake.session import cut_lineage
 
 # BM25 (Robertson and Zaragoza 2009).
 K1 = 1.2
@@ -69,12 +70,12 @@ def rank_bm25(
     pairs = [(name, term) for name, terms in queries.items() for term in dict.fromkeys(terms)]
     asked = F.broadcast(spark.createDataFrame(pairs, "query string, term string"))
     terms = sorted({term for _, term in pairs})
-    hits = postings.filter(F.col("term").isin(*terms)).select("term", key, "tf")
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    # read twice below: once for the document frequencies, once for the scores
+    hits = cut_lineage(postings.filter(F.col("term").isin(*terms)).select("term", key, "tf"))
+    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per query term
-    idf = df.select("term", F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = hits.join(lengths.select(key, "dl", (F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / avgdl)).alias("norm")), key)
+    idf = df.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = hits.join(lengths.select(key, "dl", (F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))).alias("norm")), key)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
     scored = weighted.join(F.broadcast(idf), "term").withColumn("part", part).join(asked, "term")
     scores = scored.groupBy("query", key).agg(F.round(F.sum("part"), digits).alias("score"))

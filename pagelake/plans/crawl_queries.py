@@ -19,7 +19,7 @@ from pagelake.operators.responses import (
 from pagelake.plans import sqltext as S
 from pagelake.plans.extract import article_documents, extract_pages
 from pagelake.sources import fixtures as X
-from pagelake.sources.tables import read_contents, read_fixture, write_contents
+from pagelake.sources.tables import read_contents, read_fixture, read_texts, write_contents
 from pagelake.session import work_path
 
 MAX_BYTES = 8000
@@ -125,7 +125,7 @@ def transport_errors(spark, d):
       case when hops > 10 then 'RedirectLoop' end as code from pages p join ends using (url)""",
 )
 def redirects(spark, d):
-    pages = read_fixture(spark, d, "pages").select("page_id", "url")
+    pages = read_texts(spark, d, "pages").select("page_id", "url")
     after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("location"))
     # every 23rd page ends a chain, so chains run past the hop limit
     edges = pages.filter("page_id % 23 <> 22").join(after, "page_id").select("url", "location")
@@ -140,7 +140,7 @@ CHARSET_SQL = "case " + " ".join(
 
 
 def labelled(spark, d):
-    pages = read_fixture(spark, d, "pages")
+    pages = read_texts(spark, d, "pages")
     return pages.withColumn("label", F.element_at(F.array(*map(F.lit, LABELS)), (F.col("page_id") % 11 + 1).cast("int")))
 
 
@@ -222,7 +222,7 @@ MAIN_SQL = f"coalesce({S.article_text('html')}, {BODY_SQL})"
       {S.reject_reason('title', 'text')} as reason from parts""",
 )
 def articles(spark, d):
-    docs = article_documents(read_fixture(spark, d, "pages"))
+    docs = article_documents(read_texts(spark, d, "pages"))
     return docs.select(
         "page_id", "url", "title", "site_name", "text", char_count("text").alias("n_chars"), word_count("text").alias("n_words"),
         F.md5("text").alias("text_md5"), "reason",
@@ -236,7 +236,7 @@ def articles(spark, d):
       cast(sum(length(text)) as bigint) as n_chars from parts group by host""",
 )
 def articles_by_host(spark, d):
-    docs = article_documents(read_fixture(spark, d, "pages"))
+    docs = article_documents(read_texts(spark, d, "pages"))
     return docs.groupBy(url_host("url").alias("host")).agg(
         F.count("*").alias("n_pages"), F.count_if(F.col("reason").isNull()).alias("n_kept"), F.sum(char_count("text")).alias("n_chars")
     )
@@ -244,7 +244,7 @@ def articles_by_host(spark, d):
 
 @query("page_metadata", f"select page_id, {S.title('html')} as title, {S.site_name('html')} as site_name from pages")
 def metadata(spark, d):
-    return page_metadata(read_fixture(spark, d, "pages")).select("page_id", "title", "site_name")
+    return page_metadata(read_texts(spark, d, "pages")).select("page_id", "title", "site_name")
 
 
 @query(
@@ -253,7 +253,7 @@ def metadata(spark, d):
       case when {S.article_text('html')} is null then 'body' else 'article' end as selector from pages""",
 )
 def main_content(spark, d):
-    return main_content_table(read_fixture(spark, d, "pages")).select("page_id", "main_text", "selector")
+    return main_content_table(read_texts(spark, d, "pages")).select("page_id", "main_text", "selector")
 
 
 LINKS_SQL = f"""links as (
@@ -265,7 +265,7 @@ edges as (
 
 @query("link_edges", f"with {LINKS_SQL} select page_id, kind, cast(pos as bigint) as pos, raw, absolute, regexp_extract(absolute, '^[a-z]+://([^/?#:]+)', 1) as host from edges")
 def edges(spark, d):
-    return link_edges(read_fixture(spark, d, "pages"))
+    return link_edges(read_texts(spark, d, "pages"))
 
 
 @query(
@@ -273,7 +273,7 @@ def edges(spark, d):
     f"with {LINKS_SQL} select regexp_extract(absolute, '^[a-z]+://([^/?#:]+)', 1) as host, count(*) as n_links, count(distinct absolute) as n_targets from edges group by 1",
 )
 def links_by_host(spark, d):
-    return link_edges(read_fixture(spark, d, "pages")).groupBy("host").agg(
+    return link_edges(read_texts(spark, d, "pages")).groupBy("host").agg(
         F.count("*").alias("n_links"), F.count_distinct("absolute").alias("n_targets")
     )
 
@@ -283,13 +283,13 @@ def links_by_host(spark, d):
     f"select page_id, regexp_matches(url, '^https?://[^/?#:\\s]+') as valid, {S.normalize_url('url')} as canonical from pages",
 )
 def canonical_urls(spark, d):
-    pages = read_fixture(spark, d, "pages").select("page_id", "url", valid_url("url").alias("valid"))
+    pages = read_texts(spark, d, "pages").select("page_id", "url", valid_url("url").alias("valid"))
     return normalize_url(pages, "url", "canonical").select("page_id", "valid", "canonical")
 
 
 @query("sanitize_html")
 def sanitized(spark, d):
-    return sanitize_table(read_fixture(spark, d, "pages")).select("page_id", "clean_html")
+    return sanitize_table(read_texts(spark, d, "pages")).select("page_id", "clean_html")
 
 
 @query(
@@ -299,7 +299,7 @@ def sanitized(spark, d):
     where title is not null and {S.trim('text')} <> '' and ({S.reject_reason('title', 'text')}) is null""",
 )
 def extracted(spark, d):
-    documents, _ = extract_pages(read_fixture(spark, d, "pages"))
+    documents, _ = extract_pages(read_texts(spark, d, "pages"))
     return documents.select("page_id", "url", "title", "site_name", "text")
 
 
@@ -310,14 +310,14 @@ def extracted(spark, d):
     select page_id, reason from judged where reason is not null""",
 )
 def rejected_pages(spark, d):
-    _, rejected = extract_pages(read_fixture(spark, d, "pages"))
+    _, rejected = extract_pages(read_texts(spark, d, "pages"))
     return rejected.select("page_id", "reason")
 
 
 @query("extract_pages_language")
 def extracted_language(spark, d):
-    profiles = language_profiles(read_fixture(spark, d, "documents"))
-    documents, _ = extract_pages(read_fixture(spark, d, "pages"), profiles=profiles)
+    profiles = language_profiles(read_texts(spark, d, "documents"))
+    documents, _ = extract_pages(read_texts(spark, d, "pages"), profiles=profiles)
     return documents.select("page_id", "language", "clean_html")
 
 
@@ -329,7 +329,7 @@ def extracted_language(spark, d):
     select doc_id, clean_text, length(clean_text) as n_chars, cast(strlen(clean_text) as bigint) as n_bytes, {S.n_words('clean_text')} as n_words from c""",
 )
 def clean_text(spark, d):
-    return clean_text_table(read_fixture(spark, d, "documents")).select("doc_id", "clean_text", "n_chars", "n_bytes", "n_words")
+    return clean_text_table(read_texts(spark, d, "documents")).select("doc_id", "clean_text", "n_chars", "n_bytes", "n_words")
 
 
 @query(
@@ -338,7 +338,7 @@ def clean_text(spark, d):
     select doc_id, md5(clean_html || clean_text) as content_checksum, md5(text) as raw_checksum from c""",
 )
 def checksums(spark, d):
-    docs = clean_text_table(read_fixture(spark, d, "documents")).withColumns(
+    docs = clean_text_table(read_texts(spark, d, "documents")).withColumns(
         {"clean_html": F.concat(F.lit("<p>"), "text", F.lit("</p>")), "body": F.encode("text", "UTF-8")}
     )
     return checksum_table(docs).select("doc_id", "content_checksum", "raw_checksum")
@@ -349,13 +349,13 @@ def checksums(spark, d):
     f"select doc_id, round(({S.keyword_count('text')}) / nullif({S.n_words('text')}, 0)::double, 9) as boilerplate_ratio from documents",
 )
 def boilerplate(spark, d):
-    docs = boilerplate_table(read_fixture(spark, d, "documents"))
+    docs = boilerplate_table(read_texts(spark, d, "documents"))
     return docs.select("doc_id", F.round("boilerplate_ratio", 9).alias("boilerplate_ratio"))
 
 
 @query("reject_content", f"select doc_id, {S.reject_reason('source', 'text')} as reason from documents")
 def rejects(spark, d):
-    return reject_content(read_fixture(spark, d, "documents"), "source", "text").select("doc_id", "reason")
+    return reject_content(read_texts(spark, d, "documents"), "source", "text").select("doc_id", "reason")
 
 
 CODE3 = {"en": "eng", "es": "spa", "fr": "fra", "de": "deu"}
@@ -367,7 +367,7 @@ CODE3 = {"en": "eng", "es": "spa", "fr": "fra", "de": "deu"}
     + " else lower(code3) end as code from (select doc_id, case lang when 'en' then 'eng' when 'es' then 'spa' when 'fr' then 'fra' else upper(source) end as code3 from documents)",
 )
 def language_codes(spark, d):
-    docs = read_fixture(spark, d, "documents").select(
+    docs = read_texts(spark, d, "documents").select(
         "doc_id",
         F.expr("case lang when 'en' then 'eng' when 'es' then 'spa' when 'fr' then 'fra' else upper(source) end").alias("code3"),
     )
@@ -384,7 +384,7 @@ profiles as (
 
 @query("language_profiles", f"with {GRAMS_SQL} select lang, gram, rank from profiles")
 def profiles(spark, d):
-    return language_profiles(read_fixture(spark, d, "documents"))
+    return language_profiles(read_texts(spark, d, "documents"))
 
 
 @query(
@@ -402,5 +402,5 @@ def profiles(spark, d):
     select doc_id, confidence, case when confidence >= 0.25 then lang end as language from scored""",
 )
 def languages(spark, d):
-    docs = read_fixture(spark, d, "documents")
+    docs = read_texts(spark, d, "documents")
     return assign_language(docs, language_profiles(docs)).select("doc_id", "confidence", "language")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.fixed import MAX_BODY_BYTES
 from pagelake.functions.html import sanitize_html
-from pagelake.functions.text import normalize_whitespace, raw_checksum
+from pagelake.functions.text import compute_once, normalize_whitespace, raw_checksum
 from pagelake.operators.language import assign_language
 from pagelake.operators.pages import article_table, page_metadata, page_parts
 from pagelake.operators.quality import non_blank, reject_reason
@@ -17,13 +17,13 @@ from pagelake.operators.store import mark_fetched, upsert_raw
 
 def judge_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages with title, site_name, text, main_html and ``reason`` (NULL for pages that are kept)."""
-    parts = page_parts(pages, html).withColumn("clean", normalize_whitespace("main_text"))
+    parts = compute_once(page_parts(pages, html), {"clean": normalize_whitespace("main_text")})
     reason = (
         F.when(F.col("title").isNull(), "no_title")
         .when(~F.coalesce(non_blank("main_text"), F.lit(False)), "no_text")
         .otherwise(reject_reason("title", "clean"))
     )
-    return parts.withColumn("reason", reason).drop("main_text", html).withColumnRenamed("clean", "text")
+    return compute_once(parts, {"reason": reason}).drop("main_text", html).withColumnRenamed("clean", "text")
 
 
 def extract_pages(
@@ -47,8 +47,9 @@ def extract_pages(
 
 def article_documents(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages judged by JVM columns only: title, site_name, article text and reason."""
-    parts = article_table(page_metadata(pages, html), html).withColumn("text", normalize_whitespace("main_text"))
-    return parts.withColumn("reason", reject_reason("title", "text")).drop("main_text", html)
+    parts = article_table(page_metadata(pages, html), html)
+    parts = compute_once(parts, {"text": normalize_whitespace("main_text")})
+    return compute_once(parts, {"reason": reject_reason("title", "text")}).drop("main_text", html)
 
 
 def store_responses(

@@ -8,12 +8,12 @@ from pagelake.functions.retry import backoff_bounds, backoff_seconds, next_run_a
 from pagelake.operators.integrity import lookup_by_key
 from pagelake.operators.jobs import (
     attach_item_url, claim_rows, claimed_jobs, dead_letter, dispatch_by_kind, due_batch, due_jobs, job_monitor,
-    job_state_fold, lease_expiry, parse_payloads, retry_plan,
+    job_state_fold, lease_expiry, lease_gaps, parse_payloads, retry_plan,
 )
 from pagelake.operators.limits import rate_limit, rate_limit_usage
 from pagelake.session import work_path
 from pagelake.sources import fixtures as X
-from pagelake.sources.tables import read_contents, read_fixture
+from pagelake.sources.tables import read_contents, read_fixture, read_texts
 from pagelake.streaming.jobs import read_latest, stream_extract, stream_job_state, stream_lease_expiry, stream_rate_limit
 
 QUERIES = {}
@@ -173,7 +173,7 @@ def malformed(spark, d):
 
 
 def _fetch_jobs(spark, d):
-    return read_fixture(spark, d, "events").selectExpr("event_id as id", "cast(user_id as string) as item_id")
+    return read_fixture(spark, d, "orders").selectExpr("o_orderkey as id", "cast(o_custkey as string) as item_id")
 
 
 def _url_items(spark, d):
@@ -182,7 +182,7 @@ def _url_items(spark, d):
 
 @query(
     "attach_item_url",
-    "select event_id as id, cast(user_id as varchar) as item_id, url from events join pages on page_id = user_id",
+    "select o_orderkey as id, cast(o_custkey as varchar) as item_id, url from orders join pages on page_id = o_custkey",
 )
 def attached(spark, d):
     return attach_item_url(_fetch_jobs(spark, d), _url_items(spark, d))[0].select("id", "item_id", "url")
@@ -190,7 +190,7 @@ def attached(spark, d):
 
 @query(
     "attach_item_url_missing",
-    "select event_id as id, 'Item ' || user_id || ' not found' as error from events where user_id not in (select page_id from pages)",
+    "select o_orderkey as id, 'Item ' || o_custkey || ' not found' as error from orders where o_custkey not in (select page_id from pages)",
 )
 def unattached(spark, d):
     return attach_item_url(_fetch_jobs(spark, d), _url_items(spark, d))[1].select("id", "error")
@@ -259,14 +259,33 @@ def streamed_state(spark, d):
     return read_latest(spark, base, "jobs")
 
 
-@query("stream_lease_expiry")
+LOG_END = "2024-02-15 00:00:00"
+
+
+def gaps_sql(end: str) -> str:
+    """Leases of the log that ran out by ``end``."""
+    return f"""with {X.LOG_SQL}, r as (select * from log where action <> 'enqueue'),
+    s as (select *, lead(ts) over w as next_ts, last_value(case when action <> 'extend' then action end ignore nulls) over w as state
+      from r window w as (partition by job_id order by ts, seq))
+    select job_id, ts + to_seconds(lease_secs) as expired_at from s
+    where state = 'claim' and ts + to_seconds(lease_secs) <= {end} and (next_ts is null or next_ts > ts + to_seconds(lease_secs))"""
+
+
+@query("lease_gaps", gaps_sql(f"timestamp '{LOG_END}'"))
+def gaps(spark, d):
+    return lease_gaps(X.job_log(X.with_k(read_fixture(spark, d, "events"))), X.as_of(LOG_END))
+
+
+# the stream's clock is its watermark: the newest row minus an hour, in whole milliseconds
+@query("stream_lease_expiry", gaps_sql("(select date_trunc('milliseconds', max(ts)) - interval 1 hour from log)"))
 def streamed_leases(spark, d):
     base = work_path(spark, "leases")
     log = X.job_log(X.with_k(_event_stream(spark, d))).withColumn("ts", F.col("ts").cast("timestamp"))
     out = stream_lease_expiry(log.select("job_id", "ts", "seq", "action", "lease_secs"))
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
     run.trigger(availableNow=True).start(f"{base}/expired").awaitTermination()
-    return spark.read.schema("job_id string, expired_at timestamp").parquet(f"{base}/expired")
+    expired = spark.read.schema("job_id string, expired_at timestamp").parquet(f"{base}/expired")
+    return expired.select("job_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
 
 
 # -------------------------------------------------------------------- limiter

@@ -8,7 +8,8 @@ from pagelake.operators.search import (
     build_postings, doc_lengths, match_all_terms, rank_bm25, search_incremental, search_topk, snippets, token_rows, tokens_of,
 )
 from pagelake.functions.text import tokenize_simple
-from pagelake.sources.tables import read_fixture
+from pagelake.session import cut_lineage
+from pagelake.sources.tables import read_fixture, read_texts
 
 QUERIES = {}
 
@@ -29,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _docs(spark, d):
-    return read_fixture(spark, d, "documents").select("doc_id", "text")
+    return read_texts(spark, d, "documents").select("doc_id", "text")
 
 
 @query(
@@ -85,7 +86,8 @@ scores as (select a.query, p.doc_id, round(sum(idf * tf * 2.2::double / (tf + 1.
 def ranked(spark, d):
     docs = _docs(spark, d)
     found = build_postings(docs, "doc_id", "text", TERMS, positions=False)
-    return rank_bm25(found, doc_lengths(docs, "doc_id", "text"), {q: tokens_of(p) for q, p in PHRASES.items()}, "doc_id", 10)
+    lengths = cut_lineage(doc_lengths(docs, "doc_id", "text"))
+    return rank_bm25(found, lengths, {q: tokens_of(p) for q, p in PHRASES.items()}, "doc_id", 10)
 
 
 @query(
@@ -93,7 +95,7 @@ def ranked(spark, d):
     "select cast(source as varchar) as query, doc_id, n_chars::double as score, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents qualify rank <= 5",
 )
 def topk(spark, d):
-    scores = read_fixture(spark, d, "documents").select(F.col("source").alias("query"), "doc_id", F.col("n_chars").cast("double").alias("score"))
+    scores = read_texts(spark, d, "documents").select(F.col("source").alias("query"), "doc_id", F.col("n_chars").cast("double").alias("score"))
     return search_topk(scores, "doc_id", 5)
 
 
@@ -118,7 +120,7 @@ def snippet_rows(spark, d):
 )
 def incremental(spark, d):
     """French documents get a new text, Spanish ones lose theirs."""
-    docs = read_fixture(spark, d, "documents")
+    docs = read_texts(spark, d, "documents")
     old = build_postings(docs, "doc_id", "text", positions=False)
     changed = docs.filter(F.col("lang").isin("fr", "es")).select("doc_id", F.when(F.col("lang") == "fr", F.col("source")).alias("text"))
     return search_incremental(old, changed, "doc_id", "text")

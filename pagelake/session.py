@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,28 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings that the jobs of this package rely on."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.suffix not in (".zip", ".egg"):  # else it came from a shipped archive already
+        target = Path(tempfile.mkdtemp(prefix="pagelake-package-")) / "pagelake.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pagelake") -> SparkSession:
     """A one-machine session for tests and benchmarks."""
     spark = (

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.sources.tables import read_fixture
+from pagelake.sources.tables import read_fixture, read_texts
 
 AS_OF = "2000-01-01 00:00:00"
 
@@ -20,7 +20,7 @@ def as_of(text: str = AS_OF) -> Column:
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """pages as crawl responses (with page_id)."""
-    pages = read_fixture(spark, d, "pages")
+    pages = read_texts(spark, d, "pages")
     ctype = F.expr(
         "case when page_id % 11 = 0 then 'image/jpeg' when page_id % 11 = 1 then null "
         "else 'text/html; charset=utf-8' end"
@@ -168,7 +168,7 @@ LOG_SQL = """log as (
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
     """documents as stored contents; Spanish rows have no checksum yet."""
-    return read_fixture(spark, d, "documents").selectExpr(
+    return read_texts(spark, d, "documents").selectExpr(
         "concat('d', doc_id) as item_id",
         "concat('<html>', source, '</html>') as raw_html",
         "cast(null as string) as raw_text",
@@ -182,7 +182,7 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
 
 def incoming_contents(spark: SparkSession, d: str) -> DataFrame:
     """documents again with French ones revised, and the benchmark texts as new items."""
-    old = read_fixture(spark, d, "documents").selectExpr(
+    old = read_texts(spark, d, "documents").selectExpr(
         "concat('d', doc_id) as item_id",
         "case when lang = 'fr' then concat(text, ' revised') else text end as clean_text",
         "lang",

@@ -19,6 +19,22 @@ def read_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly per-row work on a table of few file splits.
+
+    A table that already has a split per core is returned as it is, so nothing
+    is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the text tables, spread over the cores by its id."""
+    key = {"pages": "page_id", "documents": "doc_id"}[name]
+    return spread(read_fixture(spark, sf_dir, name), key)
+
+
 def scan_table(
     spark: SparkSession, name: str, path: str | None = None, jdbc: dict[str, str] | None = None, fmt: str = "parquet"
 ) -> DataFrame:

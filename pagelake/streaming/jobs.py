@@ -104,52 +104,55 @@ def stream_extract(
     return _start(pages, step, base, available_now)
 
 
-LEASE_STATE = "at timestamp, seq bigint, action string, lease_until timestamp"
+# Log actions that concern a lease.
+LEASE_ACTIONS = ("claim", "extend", "success", "failure")
+LEASE_STATE = "at timestamp, seq bigint, running boolean, until timestamp"
 LEASE_EVENTS = "job_id string, expired_at timestamp"
 
 
 def stream_lease_expiry(log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One row (job_id, expired_at) for every lease that runs out with neither success nor failure.
+    """One row (job_id, expired_at) for every lease that runs out with no action in time.
 
-    The log has job_id, ts (TIMESTAMP), seq, action and lease_secs. Only the
-    newest action per job matters, so batches of a busy job are reduced one by
-    one and nothing is held. The timer is event time; rows later than ``late`` are dropped.
+    The log has job_id, ts (TIMESTAMP), seq, action and lease_secs. Leases that
+    run out between two rows are found in order; the last one waits for an
+    event-time timer. Rows that arrive more than ``late`` behind are dropped. The
+    state per job is one row.
     """
 
-    def expired(job_id: str, until: pd.Timestamp) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [job_id], "expired_at": [until]})
-
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            _, _, action, until = state.get
+            _, _, running, until = state.get
             state.remove()
-            if action == "claim":
-                yield expired(key[0], until)
+            if running:
+                yield pd.DataFrame({"job_id": [key[0]], "expired_at": [until]})
             return
-        at, seq, action, until = state.get if state.exists else (pd.Timestamp.min, -1, None, None)
-        for batch in batches:
-            for name in (("claim", "success", "failure"), ("extend",)):
-                rows = batch[batch["action"].isin(name)].sort_values(["ts", "seq"])
-                if rows.empty or (rows["ts"].iloc[-1], rows["seq"].iloc[-1]) <= (at, seq):
-                    continue
-                row = rows.iloc[-1]
-                if row["action"] == "extend" and action != "claim":
-                    continue
-                at, seq = row["ts"], int(row["seq"])
-                action = "claim" if row["action"] == "extend" else row["action"]
-                until = at + pd.Timedelta(seconds=int(row["lease_secs"])) if action == "claim" else None
-        if action is None:
+        at, seq, running, until = state.get if state.exists else (pd.Timestamp.min, -1, False, None)
+        columns = ["ts", "seq", "action", "lease_secs"]
+        rows = pd.concat([b.loc[b["action"].isin(LEASE_ACTIONS), columns] for b in batches]).sort_values(["ts", "seq"])
+        rows = rows[(rows["ts"] > at) | ((rows["ts"] == at) & (rows["seq"] > seq))]
+        if rows.empty:
             return
+        moves = rows["action"].where(rows["action"] != "extend")
+        runs = moves.ffill().fillna("claim" if running else "idle") == "claim"
+        ends = (rows["ts"] + pd.to_timedelta(rows["lease_secs"], unit="s")).where(runs)
+        # the lease open before this batch, then the lease after each row, against the time of the next row
+        before = pd.concat([pd.Series([until if running else pd.NaT], dtype="datetime64[ns]"), ends])
+        gone = before.to_numpy()[:-1] < rows["ts"].to_numpy()
+        expired = list(before[:-1][gone])
+        last = rows.iloc[-1]
+        at, seq, running = last["ts"], int(last["seq"]), bool(runs.iloc[-1])
+        until = ends.iloc[-1] if running else None
         # a finished job is remembered until no row older than its end can arrive
-        wake = int((until if action == "claim" else at + pd.Timedelta(late)).timestamp() * 1000)
+        wake = int((until if running else at + pd.Timedelta(late)).timestamp() * 1000)
         if wake > state.getCurrentWatermarkMs():
-            state.update((at, seq, action, until))
+            state.update((at, seq, running, until))
             state.setTimeoutTimestamp(wake)
-            return
-        if state.exists:
-            state.remove()
-        if action == "claim":
-            yield expired(key[0], until)
+        else:
+            expired += [until] if running else []
+            if state.exists:
+                state.remove()
+        if expired:
+            yield pd.DataFrame({"job_id": key[0], "expired_at": expired})
 
     marked = log.withWatermark("ts", late)
     return marked.groupBy("job_id").applyInPandasWithState(
