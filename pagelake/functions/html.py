@@ -130,8 +130,10 @@ def serialize_url(url: str) -> str:
     parts = urlsplit(url)
     if parts.scheme.lower() not in DEFAULT_PORTS:
         return url
-    host, _, port = parts.netloc.lower().partition(":") if parts.netloc.count(":") == 1 else (parts.netloc, "", "")
-    netloc = f"{host}:{port}" if port and port != DEFAULT_PORTS[parts.scheme.lower()] else host
+    user, at, place = parts.netloc.rpartition("@")
+    host, port = re.fullmatch(r"(.*?)(?::(\d*))?", place, re.S).groups()
+    shown = f":{port}" if port and port != DEFAULT_PORTS[parts.scheme.lower()] else ""
+    netloc = user + at + host.lower() + shown
     keep = "%/:@!$&'()*+,;=~-._|^[]\\"
     return urlunsplit(
         (parts.scheme.lower(), netloc, quote(parts.path or "/", safe=keep), quote(parts.query, safe=keep + "?"),
@@ -211,7 +213,7 @@ class _Page(HTMLParser):
         self.starts = [0]
         for line in html.split("\n"):
             self.starts.append(self.starts[-1] + len(line) + 1)
-        self.size = len(html)
+        self.html, self.size = html, len(html)
         self.meta: dict[str, str] = {}
         self.texts: list[str] = []
         self.open: list[tuple[str, list[dict]]] = []
@@ -254,7 +256,7 @@ class _Page(HTMLParser):
         while True:
             top, started = self.open.pop()
             # an element ends after its own end tag, or before the end tag of its ancestor
-            end = begin + len(f"</{top}>") if top == tag else begin
+            end = self.html.find(">", begin) + 1 or self.size if top == tag else begin
             for c in started:
                 c.update(t1=len(self.texts), s1=end)
             if top == tag:

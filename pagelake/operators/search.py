@@ -99,7 +99,7 @@ def snippets(hits: DataFrame, docs: DataFrame, key: str, text: str, width: int =
 
 def search_incremental(postings: DataFrame, changed: DataFrame, key: str, text: str, positions: bool = False) -> DataFrame:
     """Postings after some documents changed (or lost their text): old rows out, new rows in."""
-    old = postings.join(changed.select(key), key, "left_anti")
+    old = postings.join(changed.select(key), key, "left_anti").select(*postings.columns)
     return old.unionByName(build_postings(changed, key, text, positions=positions).select(*postings.columns))
 
 
