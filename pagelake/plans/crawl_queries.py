@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.charset import charset_label, detect_charset
 from pagelake.functions.fixed import CHARSET_LABELS, LANGUAGE_CODES
+from pagelake.functions.html import HREF, html_to_text
 from pagelake.functions.text import char_count, raw_checksum, word_count
 from pagelake.functions.urls import normalize_url, url_host, valid_url
 from pagelake.operators.language import assign_language, language_code, language_profiles
@@ -232,7 +233,7 @@ def articles(spark, d):
 @query(
     "articles_by_host",
     f"""with parts as (select {S.title('html')} as title, {TEXT_SQL} as text, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages)
-    select host, count(*) as n_pages, count_if(({S.reject_reason('title', 'text')}) is null) as n_kept,
+    select host, count(*) as n_pages, cast(count_if(({S.reject_reason('title', 'text')}) is null) as bigint) as n_kept,
       cast(sum(length(text)) as bigint) as n_chars from parts group by host""",
 )
 def articles_by_host(spark, d):
@@ -287,9 +288,31 @@ def canonical_urls(spark, d):
     return normalize_url(pages, "url", "canonical").select("page_id", "valid", "canonical")
 
 
-@query("sanitize_html")
+SAFE_SQL = "regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g')"
+
+
+@query(
+    "sanitize_html",
+    f"""with s as (select page_id, {SAFE_SQL} as safe from pages)
+    select page_id, md5({S.strip_tags('safe')}) as text_md5, len(regexp_extract_all(safe, '<a ')) as n_links,
+      len(regexp_extract_all(safe, '<p>')) as n_paragraphs, len(regexp_extract_all(safe, '<p>')) as n_closed, false as unsafe from s""",
+)
 def sanitized(spark, d):
-    return sanitize_table(read_texts(spark, d, "pages")).select("page_id", "clean_html")
+    """What is left after sanitising: all text but scripts, styles and comments; closed, safe markup only."""
+    count = lambda pattern: F.regexp_count("clean_html", F.lit(pattern)).cast("bigint")
+    return sanitize_table(read_texts(spark, d, "pages")).select(
+        "page_id", F.md5(html_to_text("clean_html")).alias("text_md5"), count("<a ").alias("n_links"),
+        count("<p>").alias("n_paragraphs"), count("</p>").alias("n_closed"),
+        F.col("clean_html").rlike("(?i)<(script|style|iframe|html|head|body|meta|!)|\\son[a-z]+=").alias("unsafe"),
+    )
+
+
+@query("resolve_links", f"with {LINKS_SQL} select page_id, cast(pos as bigint) as pos, absolute from edges")
+def resolved_links(spark, d):
+    """Links as they stand in the sanitised HTML."""
+    clean = sanitize_table(read_texts(spark, d, "pages"))
+    links = F.regexp_extract_all("clean_html", F.lit(HREF), F.lit(1))
+    return clean.select("page_id", F.posexplode(links).alias("pos", "absolute")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(
@@ -314,13 +337,6 @@ def rejected_pages(spark, d):
     return rejected.select("page_id", "reason")
 
 
-@query("extract_pages_language")
-def extracted_language(spark, d):
-    profiles = language_profiles(read_texts(spark, d, "documents"))
-    documents, _ = extract_pages(read_texts(spark, d, "pages"), profiles=profiles)
-    return documents.select("page_id", "language", "clean_html")
-
-
 # ----------------------------------------------------------------------- text
 
 @query(
@@ -382,6 +398,21 @@ profiles as (
   from grams group by lang, gram qualify rank <= 300)"""
 
 
+def language_sql(docs: str) -> str:
+    """Language of the rows (id, text) of ``docs`` by the profiles of the documents table."""
+    return f"""mine_plain as (select id, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ') || ' ' as p from {docs} where strlen({S.trim('text')}) >= 50),
+    mine_chars as (select id, string_split(p, '') as c from mine_plain),
+    mine_grams as (select id, c[i] || c[i + 1] || c[i + 2] as gram from mine_chars, lateral unnest(range(1, len(c) - 1)) as t(i)),
+    mine as (select id, gram, row_number() over (partition by id order by count(*) desc, gram) as r from mine_grams group by id, gram qualify r <= 300),
+    langs as (select distinct lang from profiles),
+    sims as (select d.id, l.lang, coalesce(s.sim, 0) as sim from (select distinct id from mine) d cross join langs l
+      left join (select m.id, p.lang, sum(300 - abs(p.rank - m.r)) as sim from mine m join profiles p using (gram) group by 1, 2) s
+        on s.id = d.id and s.lang = l.lang),
+    near as (select *, row_number() over (partition by id order by sim desc, lang) as n from sims),
+    two as (select id, max(case when n = 1 then lang end) as lang, max(case when n = 1 then sim end) as best, max(case when n = 2 then sim end) as second from near group by id),
+    scored as (select d.id, t.lang, coalesce(round(1.0 - t.second::double / nullif(t.best, 0)::double, 6), 0.0) as confidence from {docs} d left join two t using (id))"""
+
+
 @query("language_profiles", f"with {GRAMS_SQL} select lang, gram, rank from profiles")
 def profiles(spark, d):
     return language_profiles(read_texts(spark, d, "documents"))
@@ -389,18 +420,21 @@ def profiles(spark, d):
 
 @query(
     "assign_language",
-    f"""with {GRAMS_SQL},
-    mine as (select doc_id, gram, row_number() over (partition by doc_id order by count(*) desc, gram) as r from grams
-      where long group by doc_id, gram qualify r <= 300),
-    langs as (select distinct lang from profiles),
-    sims as (select d.doc_id, l.lang, coalesce(s.sim, 0) as sim from (select distinct doc_id from mine) d cross join langs l
-      left join (select m.doc_id, p.lang, sum(300 - abs(p.rank - m.r)) as sim from mine m join profiles p using (gram) group by 1, 2) s
-        on s.doc_id = d.doc_id and s.lang = l.lang),
-    near as (select *, row_number() over (partition by doc_id order by sim desc, lang) as n from sims),
-    two as (select doc_id, max(case when n = 1 then lang end) as lang, max(case when n = 1 then sim end) as best, max(case when n = 2 then sim end) as second from near group by doc_id),
-    scored as (select d.doc_id, t.lang, coalesce(round(1.0 - t.second::double / nullif(t.best, 0)::double, 6), 0.0) as confidence from documents d left join two t using (doc_id))
-    select doc_id, confidence, case when confidence >= 0.25 then lang end as language from scored""",
+    f"""with {GRAMS_SQL}, given as (select doc_id as id, text from documents), {language_sql('given')}
+    select id as doc_id, confidence, case when confidence >= 0.25 then lang end as language from scored""",
 )
 def languages(spark, d):
     docs = read_texts(spark, d, "documents")
     return assign_language(docs, language_profiles(docs)).select("doc_id", "confidence", "language")
+
+
+@query(
+    "extract_pages_language",
+    f"""with {GRAMS_SQL}, parts as (select page_id as id, {S.title('html')} as title, {S.normalize(MAIN_SQL)} as text from pages),
+    given as (select id, text from parts where title is not null and {S.trim('text')} <> '' and ({S.reject_reason('title', 'text')}) is null), {language_sql('given')}
+    select id as page_id, case when confidence >= 0.25 then lang end as language from scored""",
+)
+def extracted_language(spark, d):
+    profiles = language_profiles(read_texts(spark, d, "documents"))
+    documents, _ = extract_pages(read_texts(spark, d, "pages"), profiles=profiles)
+    return documents.select("page_id", "language")

@@ -11,6 +11,8 @@ from pagelake.operators.jobs import (
     job_state_fold, lease_expiry, lease_gaps, parse_payloads, retry_plan,
 )
 from pagelake.operators.limits import rate_limit, rate_limit_usage
+from pagelake.plans import sqltext as S
+from pagelake.plans.crawl_queries import MAIN_SQL
 from pagelake.session import work_path
 from pagelake.sources import fixtures as X
 from pagelake.sources.tables import read_contents, read_fixture, read_texts
@@ -68,8 +70,8 @@ def claim(spark, d):
 
 @query(
     "job_monitor",
-    f"""with {X.JOBS_SQL} select kind, status, count(*) as n_jobs, count_if(attempts > 0) as n_retried, cast(sum(attempts) as bigint) as attempts,
-      count_if({DUE_SQL}) as n_due, min(case when {DUE_SQL} then run_at end) as oldest_due from jobs group by kind, status""",
+    f"""with {X.JOBS_SQL} select kind, status, count(*) as n_jobs, cast(count_if(attempts > 0) as bigint) as n_retried, cast(sum(attempts) as bigint) as attempts,
+      cast(count_if({DUE_SQL}) as bigint) as n_due, min(case when {DUE_SQL} then run_at end) as oldest_due from jobs group by kind, status""",
 )
 def monitor(spark, d):
     return job_monitor(X.jobs(spark, d), X.as_of())
@@ -91,7 +93,7 @@ def expired(spark, d):
 
 # --------------------------------------------------------------------- retries
 
-DELAY_SQL = "30 * (1 << cast(least(greatest({a}, 0), 10) as integer))"
+DELAY_SQL = "30::bigint * (1 << cast(least(greatest({a}, 0), 10) as integer))"
 
 
 @query(
@@ -233,7 +235,7 @@ marks as (select job_id, max(case when action in ('claim', 'success', 'failure')
 select b.job_id,
   case when l.action is null then 'queued' when l.action = 'claim' then 'running' when l.action = 'success' then 'succeeded'
        when l.next_run_at is not null then 'queued' else 'failed' end as status,
-  coalesce(m.next_run_at, b.ts0) as run_at, coalesce(failures, 0) as attempts, coalesce(f.backoff_seconds, 0) as backoff_seconds,
+  coalesce(m.next_run_at, b.ts0) as run_at, cast(coalesce(failures, 0) as bigint) as attempts, coalesce(f.backoff_seconds, 0) as backoff_seconds,
   case when l.action = 'claim' then case when ext_n > last_n then e.ts + to_seconds(e.lease_secs) else l.ts + to_seconds(l.lease_secs) end end as visibility_till,
   case when l.action = 'claim' then l.owner end as reserved_by, f.error as last_error
 from born b left join marks k using (job_id)
@@ -311,7 +313,7 @@ def limited(spark, d):
 
 @query(
     "rate_limit_usage",
-    LIMIT_SQL + " select user_id, count(*) as n_requests, count_if(not allowed) as n_blocked, count_if(window_count = 1) as n_windows, max(window_count) as max_count from limited group by user_id",
+    LIMIT_SQL + " select user_id, count(*) as n_requests, cast(count_if(not allowed) as bigint) as n_blocked, cast(count_if(window_count = 1) as bigint) as n_windows, max(window_count) as max_count from limited group by user_id",
 )
 def usage(spark, d):
     return rate_limit_usage(_limited(spark, d), "user_id")
@@ -327,11 +329,19 @@ def streamed_limits(spark, d):
 
 # ------------------------------------------------------------------ extraction
 
-@query("stream_extract")
+@query(
+    "stream_extract",
+    f"""with parts as (select page_id, {S.title('html')} as title, {S.normalize(MAIN_SQL)} as text from pages)
+    select cast(page_id as varchar) as item_id, text as clean_text, cast(null as varchar) as lang, timestamp '2024-01-01 00:00:00' as extracted_at, true as has_checksum
+    from parts where title is not null and {S.trim('text')} <> '' and ({S.reject_reason('title', 'text')}) is null""",
+)
 def streamed_pages(spark, d):
     base = work_path(spark, "extract")
     schema = read_fixture(spark, d, "pages").schema
     pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
     pages = pages.selectExpr("cast(page_id as string) as item_id", "url", "html", "timestamp'2024-01-01 00:00:00' as fetched_at")
     stream_extract(pages, base).awaitTermination()
-    return read_contents(spark, f"{base}/contents").select("item_id", "clean_html", "clean_text", "lang", "checksum")
+    return read_contents(spark, f"{base}/contents").select(
+        "item_id", "clean_text", "lang", F.col("extracted_at").cast("timestamp_ntz").alias("extracted_at"),
+        (F.col("checksum") == F.md5(F.concat("clean_html", "clean_text"))).alias("has_checksum"),
+    )
