@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pagelake.functions.text import compute_once, utrim
 
 PROFILE_SIZE = 300
 MAX_LANGUAGES = 200
+CHARS_PER_COUNT = 1_000_000
 
 
 def letters(text: Column | str) -> Column:
@@ -29,14 +30,24 @@ def language_code(code3: Column | str) -> Column:
     return F.coalesce(F.try_element_at(table, name), name)
 
 
+def _grams(plain: str) -> np.ndarray:
+    """Trigrams of a text as numbers (three 21-bit code points), which sort like the trigrams."""
+    points = np.frombuffer(plain.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    return (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]
+
+
+def _gram_text(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
 def trigram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram counts per language of one batch of rows (lang, plain); a map-side combine."""
+    """Trigram counts per language of some rows (lang, plain) at a time; a map-side combine."""
     for rows in batches:
-        counts: dict[str, Counter] = {}
-        for lang, plain in zip(rows["lang"], rows["plain"]):
-            counts.setdefault(lang, Counter()).update(map("".join, zip(plain, plain[1:], plain[2:])))
-        flat = [(lang, gram, n) for lang, seen in counts.items() for gram, n in seen.items()]
-        yield pd.DataFrame(flat, columns=["lang", "gram", "n"])
+        for lang, texts in rows.groupby("lang")["plain"]:
+            ends = texts.str.len().cumsum() // CHARS_PER_COUNT
+            for _, part in texts.groupby(ends):
+                codes, counts = np.unique(np.concatenate([_grams(t) for t in part]), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": [_gram_text(int(c)) for c in codes], "n": counts})
 
 
 def language_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
@@ -56,20 +67,28 @@ def language_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang
 
 def _scorer(profiles: dict[str, dict[str, int]], size: int):
     """Column function: the nearest language and the similarity of the two nearest."""
+    tables = []
+    for lang in sorted(profiles):
+        ranked = sorted((int(_grams(gram)[0]), rank) for gram, rank in profiles[lang].items())
+        codes, ranks = np.array(ranked, dtype=np.uint64).T
+        tables.append((lang, codes, ranks.astype(np.int64)))
+
+    def nearest(plain: str | None) -> tuple[str, int, int]:
+        codes, counts = np.unique(_grams(plain or ""), return_counts=True)
+        codes = codes[np.argsort(-counts, kind="stable")[:size]]  # ties stay in trigram order
+        own = np.arange(1, len(codes) + 1)
+        found = []
+        for lang, known, ranks in tables:
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            hit = known[at] == codes
+            found.append((-int((size - np.abs(ranks[at] - own))[hit].sum()), lang))
+        found.sort()
+        return found[0][1], -found[0][0], -found[1][0] if len(found) > 1 else 0
 
     @F.pandas_udf("lang string, best bigint, second bigint")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            out = []
-            for plain in batch:
-                grams = Counter(map("".join, zip(plain, plain[1:], plain[2:]))) if plain else {}
-                top = sorted(grams.items(), key=lambda g: (-g[1], g[0]))[:size]
-                near = sorted(
-                    (-sum(size - abs(ranks[g] - r) for r, (g, _) in enumerate(top, 1) if g in ranks), lang)
-                    for lang, ranks in profiles.items()
-                )
-                out.append((near[0][1], -near[0][0], -near[1][0] if len(near) > 1 else 0))
-            yield pd.DataFrame(out, columns=["lang", "best", "second"])
+            yield pd.DataFrame([nearest(plain) for plain in batch], columns=["lang", "best", "second"])
 
     return score
 

@@ -21,6 +21,7 @@ one task. Here a key's timeline is cut first:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pagelake.session import cut_lineage
 
 MICROS = 1_000_000
-HOT_ROWS = 1_000_000
+HOT_ROWS = 500_000
 FIELDS = ("window_start", "window_count", "allowed")
 
 
@@ -63,7 +64,16 @@ def rate_limit(
     rows = rows.withColumn("_cell", _floor(F.col("_t"), width))
 
     cells = cut_lineage(_cells(times, key, width))
-    starts = _window_starts(times, cells, key, width, hot_rows)
+    # sizes that decide the way: the largest cell, the longest sessions within and beyond the bound
+    long_session = F.col("_last") - F.col("_first") >= width
+    span = F.when(long_session, F.col("_last") - F.col("_first"))
+    largest, bounded_span, hot_span = cells.agg(
+        F.max("_n"), F.max(F.when(F.col("_total") <= hot_rows, span)), F.max(F.when(F.col("_total") > hot_rows, span))
+    ).first()
+    starts = cells.filter(~long_session).select(key, F.col("_first").alias("_s")).distinct()
+    if bounded_span is not None or hot_span is not None:
+        wide = cells.filter(long_session)
+        starts = starts.unionByName(_long_session_starts(times, wide, key, width, hot_rows, bounded_span, hot_span))
     # an event's window opens in its own cell or in the one before
     here = starts.select(key, _floor(F.col("_s"), width).alias("_cell"), F.col("_s").alias("_here"), F.lit(None).cast("bigint").alias("_before"))
     before = here.select(key, (F.col("_cell") + 1).alias("_cell"), F.col("_before").alias("_here"), F.col("_here").alias("_before"))
@@ -72,8 +82,7 @@ def rate_limit(
     rows = rows.join(by_cell, [key, "_cell"]).withColumn("_s", opens).drop("_here", "_before", "_cell")
 
     # a window lies in two cells, so twice the largest cell bounds every window
-    largest = cells.agg(F.max("_n")).first()[0] or 0
-    ranked = _numbered(rows, [key, "_s"], [ts, order], hot=2 * largest > hot_rows)
+    ranked = _numbered(rows, [key, "_s"], [ts, order], hot=2 * (largest or 0) > hot_rows)
     if state is not None:
         carried = F.when(F.col("_s") == F.col("_open"), F.col("_used")).otherwise(F.lit(0))
         ranked = ranked.withColumn("_rank", F.col("_rank") + carried).drop("_open", "_used")
@@ -128,27 +137,22 @@ def _cells(times: DataFrame, key: str, width: int) -> DataFrame:
     ).drop("_new")
 
 
-def _window_starts(times: DataFrame, cells: DataFrame, key: str, width: int, hot_rows: int) -> DataFrame:
-    """(key, _s) for every time that opens a window."""
-    long_session = F.col("_last") - F.col("_first") >= width
-    short = cells.filter(~long_session).select(key, F.col("_first").alias("_s")).distinct()
-    wide = cells.filter(long_session)
-    if wide.isEmpty():
-        return short
-    points = (
-        times.withColumn("_cell", _floor(F.col("_t"), width))
-        .join(wide.select(key, "_cell", "_session", "_total"), [key, "_cell"])
-        .select(key, "_session", "_total", "_t")
-        .distinct()
+def _long_session_starts(
+    times: DataFrame, wide: DataFrame, key: str, width: int, hot_rows: int, bounded_span: int | None, hot_span: int | None
+) -> DataFrame:
+    """(key, _s) for every time that opens a window in sessions of at least one width."""
+    points = times.withColumn("_cell", _floor(F.col("_t"), width)).join(
+        wide.select(key, "_cell", "_session", "_total"), [key, "_cell"]
     )
-    bounded = points.filter(F.col("_total") <= hot_rows).groupBy(key, "_session").agg(F.collect_list("_t").alias("_ts"))
-    out = short.unionByName(bounded.select(key, F.explode(_chain(width)("_ts")).alias("_s")))
-    hot = wide.filter(F.col("_total") > hot_rows)
-    longest = hot.agg(F.max(F.col("_last") - F.col("_first"))).first()[0]
-    if longest is not None:
-        far = points.filter(F.col("_total") > hot_rows).select(key, "_session", "_t")
-        out = out.unionByName(_chain_by_doubling(far, [key, "_session"], width, longest).select(key, "_s"))
-    return out
+    found = []
+    if bounded_span is not None:
+        small = points.filter(F.col("_total") <= hot_rows)
+        arrays = small.groupBy(key, "_session").agg(F.collect_set("_t").alias("_ts"))
+        found.append(arrays.select(key, F.explode(_chain(width)("_ts")).alias("_s")))
+    if hot_span is not None:
+        far = points.filter(F.col("_total") > hot_rows).select(key, "_session", "_t").distinct()
+        found.append(_chain_by_doubling(far, [key, "_session"], width, hot_span).select(key, "_s"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _chain(width: int):

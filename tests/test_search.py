@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from pagelake.operators.search import (
-    build_postings, doc_lengths, latest_items, match_all_terms, project_item_response, rank_bm25, search_document,
+    build_postings, doc_lengths, latest_items, match_all_terms, project_item_response, rank_bm25, read_postings, search_document,
     search_incremental, snippets, tokens_of, write_postings,
 )
 from pagelake.schemas import ITEMS
@@ -24,10 +24,13 @@ def test_postings(spark):
 
 def test_written_postings_read_one_bucket(spark, tmp_path):
     path = str(tmp_path / "postings")
-    write_postings(build_postings(_docs(spark), "doc_id", "text"), path, buckets=4)
+    write_postings(build_postings(_docs(spark), "doc_id", "text"), "doc_id", path, buckets=4)
     back = spark.read.parquet(path)
     assert back.count() == build_postings(_docs(spark), "doc_id", "text").count()
-    assert {r.doc_id for r in back.filter("term = 'cat'").collect()} == {1, 2}
+    cats = read_postings(spark, path, ["cat", "zebra"], buckets=4)
+    assert {(r.term, r.doc_id) for r in cats.collect()} == {("cat", 1), ("cat", 2)}
+    text = cats._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in text.split("PartitionFilters")[1]
 
 
 def test_match_all(spark):

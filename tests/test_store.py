@@ -126,3 +126,44 @@ def test_versions(spark, tmp_path):
     assert {r.item_id: r.clean_text for r in read_contents(spark, base, before=1).collect()} == {"a": "1", "b": "1"}
     compact_contents(spark, base, str(tmp_path / "next"), 0)
     assert read_contents(spark, str(tmp_path / "next")).count() == 2
+
+
+def test_scan_table_reads_the_declared_columns(spark, tmp_path):
+    from pagelake.schemas import TABLES
+    from pagelake.sources.tables import scan_table
+
+    path = str(tmp_path / "items")
+    _items(spark).withColumn("extra", F.lit(1)).write.parquet(path)
+    back = scan_table(spark, "items", path)
+    assert back.columns == ITEMS.names and back.count() == 2
+    assert set(TABLES) == {"users", "items", "contents", "tags", "item_tags", "jobs"}
+
+
+def test_scan_body_files(spark, tmp_path):
+    from pagelake.operators.responses import decode_responses, gate_responses
+    from pagelake.sources.tables import scan_body_files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.html").write_bytes("<p>é</p>".encode())
+    (tmp_path / "b.txt").write_text("no page")
+    accepted, rejected = gate_responses(scan_body_files(spark, str(tmp_path)))
+    assert rejected.count() == 0
+    assert [r.text for r in decode_responses(accepted)[0].collect()] == ["<p>é</p>"]
+
+
+def test_store_responses(spark):
+    from pagelake.plans.extract import store_responses
+    from pagelake.schemas import RESPONSES
+
+    rows = [
+        ("https://a.example/1", 200, {"content-type": "text/html"}, None, bytearray(b"<p>one</p>"), T1),
+        ("https://a.example/2", 404, {}, None, bytearray(b""), T1),
+        ("https://a.example/3", 200, {"content-type": "text/html; charset=utf-8"}, None, bytearray(b"\xff"), T1),
+    ]
+    responses = spark.createDataFrame(rows, RESPONSES)
+    ids = F.element_at(F.array(F.lit("i1"), F.lit("i2"), F.lit("i9")), F.substring("url", -1, 1).cast("int"))
+    out = store_responses(_items(spark), spark.createDataFrame([], CONTENTS), responses.withColumn("item_id", ids), _now())
+    stored = out["contents"].collect()
+    assert [(r.item_id, r.raw_html, r.checksum, r.clean_html) for r in stored] == [("i1", "<p>one</p>", _md5("<p>one</p>"), None)]
+    assert {r.id: r.status for r in out["items"].collect()} == {"i1": "fetched", "i2": "fetched"}
+    assert {r.item_id: r.error.code for r in out["errors"].collect()} == {"i2": "Http", "i9": "Charset"}
