@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagelake.functions.text import compute_once
 from pagelake.functions.retry import backoff_seconds, jitter
+from pagelake.session import cut_lineage
 from pagelake.schemas import DEFAULT_BASE_BACKOFF_SECONDS, DEFAULT_LEASE_SECONDS, struct_of
 
 # Payload fields per job kind; the first tuple is required.
@@ -164,8 +165,9 @@ def parse_payloads(jobs: DataFrame, kind: str, payload: str = "payload") -> tupl
         raw = F.try_variant_get("_doc", f"$.{f.name}", "variant")
         there = raw.isNotNull() & ~F.is_variant_null(raw)
         value = F.try_variant_get("_doc", f"$.{f.name}", f.dataType.simpleString())
-        # a JSON string must not pass for a number, nor a number for a string
-        fits = (F.schema_of_variant(raw) == "STRING") == F.lit(f.dataType == T.StringType())
+        # a JSON string must not pass for a number, nor a fraction or a negative number for a count
+        text = f.dataType == T.StringType()
+        fits = (F.schema_of_variant(raw) == ("STRING" if text else "BIGINT")) & (F.lit(True) if text else value >= 0)
         found.append(F.when(fits, value).alias(f.name))
         wrong = there & ~F.coalesce(fits & value.isNotNull(), F.lit(False))
         broken.append((wrong | ~there) if f.name in required else wrong)
@@ -200,67 +202,78 @@ def dispatch_by_kind(
 
 # ------------------------------------------------------------- state from a log
 
-LOG_COLUMNS = ("job_id", "ts", "seq", "action", "owner", "lease_secs", "error", "next_run_at", "backoff_seconds")
 
 
-def job_state_fold(log: DataFrame, initial: DataFrame | None = None, max_attempts: int = 25) -> DataFrame:
+def job_state_fold(log: DataFrame, initial: DataFrame | None = None, salts: int = 16) -> DataFrame:
     """Current row of every job from its log of enqueue, claim, extend, success and failure.
 
     Rows are ordered by (ts, seq). Actions before a job's enqueue touch nothing,
     a second enqueue of the same id adds nothing, and no action checks the owner.
-
-    The fold is written as aggregates that combine before the shuffle, so a job
-    that holds a third of the log costs one row per task, not one long group:
-    status and lease come from the last claim, success or failure; an extension
-    counts only if it is later than a claim that nothing has followed; attempts
-    is a count; run_at is the last next_run_at given. ``initial`` is an earlier
-    result, to which the log is then added.
+    ``initial`` is an earlier result, to which the log is then added.
+
+    The fold is one aggregate that combines before the shuffle, so a job that
+    holds a third of the log is one row per task: status and lease come from the
+    last claim, success or failure; an extension counts only if it is later than
+    a claim that nothing has followed; attempts is a count; run_at is the last
+    next_run_at given. All but the count are maxima, which are void when they are
+    older than the enqueue. Failures older than the enqueue, which a sound log
+    does not have, are counted apart and taken off.
     """
-    log = log.withColumn("_at", F.struct("ts", "seq"))
-    enqueues = (
-        log.filter(F.col("action") == "enqueue")
-        .groupBy("job_id")
-        .agg(F.min("_at").alias("born"))
-        .select("job_id", "born")
-    )
-    if initial is not None:
-        enqueues = enqueues.join(initial.select("job_id"), "job_id", "left_anti")
-        start = F.lit(None).cast(log.schema["_at"].dataType)
-        enqueues = enqueues.unionByName(initial.select("job_id", start.alias("born")))
-    # the part before the enqueue is cut off by a join; the log side may be skewed, the enqueue side is unique
-    live = log.filter(F.col("action") != "enqueue").join(enqueues, "job_id")
-    live = live.filter(F.col("born").isNull() | (F.col("_at") > F.col("born")))
-
-    setter = F.col("action").isin("claim", "success", "failure")
-    failure = F.col("action") == "failure"
-    moves = live.groupBy("job_id").agg(
-        F.max(F.when(setter, F.struct("_at", "action", "ts", "lease_secs", "owner"))).alias("last"),
-        F.max(F.when(F.col("action") == "extend", F.struct("_at", "ts", "lease_secs"))).alias("ext"),
+    action, at = F.col("action"), F.struct("ts", "seq")
+    failure = action == "failure"
+
+    def newest(condition: Column, *columns: str) -> Column:
+        return F.max(F.when(condition, F.struct(at.alias("at"), *columns)))
+
+    moves = log.groupBy("job_id").agg(
+        F.min(F.when(action == "enqueue", at)).alias("born"),
+        newest(action.isin("claim", "success", "failure"), "action", "ts", "lease_secs", "owner").alias("last"),
+        newest(action == "extend", "ts", "lease_secs").alias("ext"),
+        newest(failure, "error", "backoff_seconds", "next_run_at").alias("fail"),
+        newest(failure & F.col("next_run_at").isNotNull(), "next_run_at").alias("moved"),
         F.count_if(failure).alias("failures"),
-        F.max(F.when(failure, F.struct("_at", "error", "backoff_seconds", "next_run_at"))).alias("fail"),
-        F.max(F.when(failure & F.col("next_run_at").isNotNull(), F.struct("_at", "next_run_at"))).alias("moved"),
-        F.max("ts").alias("seen"),
+        F.min(F.when(failure, at)).alias("first_failure"),
     )
-    if initial is None:
-        base = enqueues.select(
-            "job_id", F.lit("queued").alias("status"), F.col("born.ts").alias("run_at"), F.lit(0).cast("bigint").alias("attempts"),
-            F.lit(0).cast("bigint").alias("backoff_seconds"), F.lit(None).cast(log.schema["ts"].dataType).alias("visibility_till"),
-            F.lit(None).cast("string").alias("reserved_by"), F.lit(None).cast("string").alias("last_error"),
-        )
+    ts_type = log.schema["ts"].dataType
+    fields = {
+        "status": F.lit("queued"), "run_at": F.col("born.ts"), "attempts": F.lit(0).cast("bigint"),
+        "backoff_seconds": F.lit(0).cast("bigint"), "visibility_till": F.lit(None).cast(ts_type),
+        "reserved_by": F.lit(None).cast("string"), "last_error": F.lit(None).cast("string"),
+    }
+    if initial is not None:
+        known = initial.select("job_id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_known"))
+        moves = moves.join(known, "job_id", "full_outer").withColumn("born", F.when(F.col("_known").isNull(), F.col("born")))
+        new = F.col("_known").isNull()
+        fields = {c: F.when(new, v).otherwise(F.col(f"_{c}")) for c, v in fields.items()}
+        moves = moves.filter(~new | F.col("born").isNotNull())
     else:
-        fresh = enqueues.filter(F.col("born").isNotNull()).select(
-            "job_id", F.lit("queued").alias("status"), F.col("born.ts").alias("run_at"), F.lit(0).cast("bigint").alias("attempts"),
-            F.lit(0).cast("bigint").alias("backoff_seconds"),
-        )
-        base = initial.unionByName(fresh, allowMissingColumns=True)
+        moves = moves.filter(F.col("born").isNotNull())
+    moves = cut_lineage(moves.withColumns(fields))
 
-    state = base.join(moves, "job_id", "left")
+    early = moves.filter(F.col("first_failure") < F.col("born")).select("job_id", "born")
+    if early.isEmpty():
+        void = F.lit(0)
+    else:
+        # the early side has one row per job, repeated per salt, so that a hot job's failures meet it in many tasks
+        early = early.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        failures = log.filter(failure).select("job_id", at.alias("at"), F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int").alias("salt"))
+        counted = failures.join(early, ["job_id", "salt"]).filter(F.col("at") < F.col("born"))
+        moves = moves.join(counted.groupBy("job_id").agg(F.count("*").alias("void")), "job_id", "left")
+        void = F.coalesce(F.col("void"), F.lit(0))
+
+    def valid(name: str) -> Column:
+        return F.when(F.col("born").isNull() | (F.col(f"{name}.at") > F.col("born")), F.col(name)).alias(name)
+
+    state = moves.select(
+        "job_id", *fields, *map(valid, ("last", "ext", "fail", "moved")),
+        (F.coalesce("failures", F.lit(0)) - void).alias("failures"),
+    )
     last = F.col("last.action")
     claimed = last == "claim"
     # with no move in this log the stored status decides whether an extension counts
     running = F.when(last.isNull(), F.col("status") == "running").otherwise(claimed)
     own_lease = F.when(last.isNull(), F.col("visibility_till")).when(claimed, F.col("last.ts") + seconds(F.col("last.lease_secs")))
-    extended = running & F.col("ext").isNotNull() & (last.isNull() | (F.col("ext._at") > F.col("last._at")))
+    extended = running & F.col("ext").isNotNull() & (last.isNull() | (F.col("ext.at") > F.col("last.at")))
     status = (
         F.when(last.isNull(), F.col("status"))
         .when(claimed, "running")
@@ -272,7 +285,7 @@ def job_state_fold(log: DataFrame, initial: DataFrame | None = None, max_attempt
         "job_id",
         status.alias("status"),
         F.coalesce(F.col("moved.next_run_at"), F.col("run_at")).alias("run_at"),
-        (F.col("attempts") + F.coalesce(F.col("failures"), F.lit(0))).alias("attempts"),
+        (F.col("attempts") + F.col("failures")).alias("attempts"),
         F.coalesce(F.col("fail.backoff_seconds").cast("bigint"), F.col("backoff_seconds")).alias("backoff_seconds"),
         F.when(extended, F.col("ext.ts") + seconds(F.col("ext.lease_secs"))).otherwise(own_lease).alias("visibility_till"),
         F.when(last.isNull(), F.col("reserved_by")).when(claimed, F.col("last.owner")).alias("reserved_by"),

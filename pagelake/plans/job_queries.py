@@ -13,6 +13,7 @@ from pagelake.operators.jobs import (
 from pagelake.operators.limits import rate_limit, rate_limit_usage
 from pagelake.plans import sqltext as S
 from pagelake.plans.crawl_queries import MAIN_SQL
+from pagelake.plans.work import run_batch
 from pagelake.session import work_path
 from pagelake.sources import fixtures as X
 from pagelake.sources.tables import read_contents, read_fixture, read_texts
@@ -224,6 +225,36 @@ def undispatched(spark, d):
     return _dispatched(spark, d)[1].select("id", "error")
 
 
+RUN_LIMIT = 5000
+
+
+@query(
+    "run_batch",
+    f"""with {X.JOBS_SQL}, b as (select * from jobs where {DUE_SQL} order by run_at, id limit {RUN_LIMIT}),
+    o as (select *, attempts + 1 as attempt, case kind when 'fetch_page' then case when reserved_by is not null then 'lease of ' || reserved_by || ' ran out' end
+        when 'example_job' then case when attempts > 20 then 'too many attempts' end
+        else 'Failed to create handler: No handler registered for job kind: ' || kind end as error from b),
+    n as (select *, error is not null and kind <> 'reindex_item' and attempt < max_attempts as again from o)
+    select j.id, case when n.id is null then j.status when n.error is null then 'succeeded' when again then 'queued' else 'failed' end as status,
+      case when again then {NOW_SQL} + to_seconds({DELAY_SQL.format(a='attempt')}) else j.run_at end as run_at,
+      case when n.error is not null then attempt else j.attempts end as attempts,
+      case when n.error is null then j.backoff_seconds when again then {DELAY_SQL.format(a='attempt')} else 0 end as backoff_seconds,
+      case when n.id is null then j.visibility_till end as visibility_till, case when n.id is null then j.reserved_by end as reserved_by,
+      coalesce(n.error, j.last_error) as last_error
+    from jobs j left join n on n.id = j.id""",
+)
+def worked(spark, d):
+    """A due batch with one failing and one mostly working handler, and a kind that nobody handles."""
+    handlers = {
+        "fetch_page": lambda df: df.select(
+            "id", F.when(F.col("reserved_by").isNotNull(), F.concat(F.lit("lease of "), "reserved_by", F.lit(" ran out"))).alias("error")
+        ),
+        "example_job": lambda df: df.select("id", F.when(F.col("attempts") > 20, "too many attempts").alias("error")),
+    }
+    out = run_batch(X.jobs(spark, d), handlers, X.as_of(), RUN_LIMIT, factor=F.lit(1.0))
+    return out.select("id", "status", "run_at", "attempts", "backoff_seconds", "visibility_till", "reserved_by", "last_error")
+
+
 # ------------------------------------------------------------- state from a log
 
 FOLD_SQL = f"""with {X.LOG_SQL}, o as (select *, row_number() over (partition by job_id order by ts, seq) as n from log),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelake.operators.search import (
-    build_postings, doc_lengths, match_all_terms, rank_bm25, search_incremental, search_topk, snippets, token_rows, tokens_of,
+    build_postings, doc_lengths, match_all_terms, rank_bm25, read_postings, search_incremental, search_topk, snippets,
+    token_rows, tokens_of, write_postings,
 )
 from pagelake.functions.text import tokenize_simple
-from pagelake.session import cut_lineage
+from pagelake.session import cut_lineage, work_path
 from pagelake.sources.tables import read_fixture, read_texts
 
 QUERIES = {}
@@ -90,6 +91,19 @@ def ranked(spark, d):
     return rank_bm25(found, lengths, {q: tokens_of(p) for q, p in PHRASES.items()}, "doc_id", 10)
 
 
+@query(
+    "search_stored_postings",
+    BM25_SQL + " select query, doc_id, score, row_number() over (partition by query order by score desc, doc_id) as rank from scores qualify rank <= 10",
+)
+def ranked_from_store(spark, d):
+    """The same ranking from postings that were written by term hash; only the folders of the asked terms are read."""
+    docs = _docs(spark, d)
+    path = work_path(spark, "postings")
+    write_postings(build_postings(docs, "doc_id", "text", positions=False), "doc_id", path)
+    lengths = cut_lineage(doc_lengths(docs, "doc_id", "text"))
+    return rank_bm25(read_postings(spark, path, TERMS), lengths, {q: tokens_of(p) for q, p in PHRASES.items()}, "doc_id", 10)
+
+
 @query(
     "search_topk",
     "select cast(source as varchar) as query, doc_id, n_chars::double as score, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents qualify rank <= 5",

@@ -13,6 +13,7 @@ from pagelake.operators.store import (
     contents_backward, contents_forward, delete_rows, detect_changed, enqueue_rows, jobs_backward, jobs_forward,
     mark_fetched, partial_patch, touch_updated_at, upsert_clean, upsert_raw, with_checksum,
 )
+from pagelake.plans.extract import store_responses
 from pagelake.schemas import ITEM_STATUS
 from pagelake.sources import fixtures as X
 from pagelake.sources.tables import read_fixture
@@ -410,3 +411,45 @@ def migrated_back(spark, d):
 def migrated_contents(spark, d):
     old = read_fixture(spark, d, "documents").selectExpr("doc_id", "source as html", "text")
     return contents_forward(contents_backward(contents_forward(old)))
+
+
+# ------------------------------------------------- responses to stored contents
+
+STORED_SQL = f"""{LAKE}, {X.RESPONSES_SQL},
+judged as (select *, case when status not between 200 and 299 then 'Http' when not contains(content_type, 'text/html') then 'UnsupportedContentType'
+  when strlen(html) > 8000 then 'BodyTooLarge' end as code, cast(page_id as varchar) as item_id from resp),
+kept as (select * from judged where code is null and item_id in (select id from items))"""
+
+
+def _stored(spark, d):
+    found = X.responses(spark, d).withColumn("item_id", F.col("page_id").cast("string"))
+    current = X.contents(spark, d).withColumn("item_id", F.expr("substring(item_id, 2)"))
+    return store_responses(X.items(spark, d), current, found, X.as_of(), 8000)
+
+
+@query(
+    "store_responses_contents",
+    f"""with {STORED_SQL}, {X.CONTENTS_SQL}, old as (select substr(item_id, 2) as item_id, raw_html, clean_text, checksum, extracted_at from contents)
+    select item_id, md5(coalesce(k.html, old.raw_html)) as raw_md5, md5(old.clean_text) as clean_md5,
+      case when k.html is not null then md5(k.html) else old.checksum end as checksum,
+      case when k.html is not null then {NOW_SQL} else old.extracted_at end as extracted_at
+    from old full join kept k using (item_id)""",
+)
+def stored_contents(spark, d):
+    return _stored(spark, d)["contents"].select(
+        "item_id", F.md5("raw_html").alias("raw_md5"), F.md5("clean_text").alias("clean_md5"), "checksum", "extracted_at"
+    )
+
+
+@query(
+    "store_responses_items",
+    f"""with {STORED_SQL} select id, case when id in (select item_id from kept) then 'fetched' else status end as status,
+      case when id in (select item_id from kept) then {NOW_SQL} else updated_at end as updated_at from items""",
+)
+def stored_items(spark, d):
+    return _stored(spark, d)["items"].select("id", "status", "updated_at")
+
+
+@query("store_responses_errors", f"with {STORED_SQL} select item_id, code from judged where code is not null")
+def stored_errors(spark, d):
+    return _stored(spark, d)["errors"].select("item_id", "error.code")

@@ -105,7 +105,8 @@ def test_payloads(spark):
     docs = {
         '{"message": "hi"}': ("hi", None), '{"message": "hi", "delay_ms": 5, "more": [1]}': ("hi", 5),
         '{"message": "hi", "delay_ms": null}': ("hi", None), '{"invalid": "payload"}': None, '{"message": 5}': None,
-        '{"message": null}': None, '{"message": "hi", "delay_ms": "5"}': None, "not json": None, "[]": None, '"text"': None,
+        '{"message": null}': None, '{"message": "hi", "delay_ms": "5"}': None, "not json": None,
+        '{"message": "hi", "delay_ms": -5}': None, '{"message": "hi", "delay_ms": 5.5}': None, "[]": None, '"text"': None,
     }
     jobs = spark.createDataFrame([("example_job", p) for p in docs] + [("other", "{}")], "kind string, payload string")
     good, bad = parse_payloads(jobs, "example_job")
@@ -201,3 +202,36 @@ def test_lease_gaps_equal_walk(spark, cell):
                 want.append((job, until))
     got = lease_gaps(spark.createDataFrame(rows, LOG), F.lit(end).cast("timestamp_ntz"), cell).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_fold_of_a_sound_log_joins_nothing(spark):
+    """Enqueues come first here, so no failure is early and a hot job stays one row per task."""
+    rows = [("j1", at(0), 0, "enqueue", "w", 300, None, None, None), ("j1", at(1), 1, "claim", "w", 300, None, None, None),
+            ("j1", at(2), 2, "failure", "w", 300, "boom", at(9), 60), ("j1", at(3), 3, "extend", "w", 300, None, None, None)]
+    folded = job_state_fold(spark.createDataFrame(rows, LOG))
+    assert _as_dict(folded) == _walk(rows)
+    assert "Join" not in folded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_batch(spark):
+    from pagelake.plans.work import run_batch
+
+    rows = [
+        ("ok", "good", "queued", at(-5), 0, 25, None, None, "old", at(-9)),
+        ("bad", "poor", "queued", at(-4), 0, 25, None, None, None, at(-9)),
+        ("last", "poor", "running", at(-3), 24, 25, at(-1), "w", None, at(-9)),
+        ("odd", "nobody", "queued", at(-2), 0, 25, None, None, None, at(-9)),
+        ("wait", "good", "queued", at(9), 0, 25, None, None, None, at(-9)),
+        ("over", "good", "queued", at(-1), 0, 25, None, None, None, at(-9)),
+    ]
+    jobs = spark.createDataFrame(rows, JOBS).withColumn("backoff_seconds", F.lit(0).cast("bigint"))
+    handlers = {"good": lambda d: d.select("id", F.lit(None).cast("string").alias("error")), "poor": lambda d: d.select("id", F.lit("boom").alias("error"))}
+    got = {r.id: r for r in run_batch(jobs, handlers, now(), 4, factor=F.lit(1.0)).collect()}
+    assert {i: r.status for i, r in got.items()} == {
+        "ok": "succeeded", "bad": "queued", "last": "failed", "odd": "failed", "wait": "queued", "over": "queued"
+    }
+    assert (got["ok"].attempts, got["ok"].last_error, got["ok"].updated_at) == (0, "old", NOW)
+    assert (got["bad"].attempts, got["bad"].backoff_seconds, got["bad"].run_at, got["bad"].last_error) == (1, 60, at(1), "boom")
+    assert (got["last"].attempts, got["last"].visibility_till, got["last"].reserved_by, got["last"].run_at) == (25, None, None, at(-3))
+    assert got["odd"].last_error == "Failed to create handler: No handler registered for job kind: nobody"
+    assert got["over"].updated_at == at(-9) and got["wait"].updated_at == at(-9)

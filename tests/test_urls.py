@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from pagelake.functions.html import serialize_url
 from pagelake.functions.urls import normalize_url, resolve_reference, url_host, valid_url
@@ -69,3 +71,20 @@ def test_parser_side_agrees(ref):
     from urllib.parse import urljoin
 
     assert serialize_url(urljoin(BASE, ref)) == RESOLVED[ref]
+
+
+URLS = st.builds(
+    "{}://{}{}{}{}{}".format, st.sampled_from(["http", "HTTPS", "ftp"]), st.sampled_from(["a.b", "Ü.example", "u:p@H.org", "[::1]"]),
+    st.sampled_from(["", ":80", ":443", ":8080", ":"]),
+    st.lists(st.sampled_from(["/", "/.", "/..", "/a", "/%41", "/ü b", "/{x}", "/..."]), max_size=5).map("".join),
+    st.sampled_from(["", "?", "?q=1&r=é", "?a b"]), st.sampled_from(["", "#", "#f/../g"]),
+)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(URLS, min_size=80, max_size=80))
+def test_normal_form_is_idempotent(spark, urls):
+    once = normalize_url(_column(spark, urls), "u", "n")
+    for r in normalize_url(once, "n", "m").collect():
+        assert r.n is not None and r.n == r.m, r.u
+        assert "#" not in r.n and "/../" not in r.n and " " not in r.n
