@@ -17,6 +17,7 @@ from pagelake.operators.quality import reject_content
 from pagelake.operators.responses import (
     classify_fetch_error, decode_responses, gate_responses, header, map_transport_error, resolve_redirects, with_error,
 )
+from pagelake.operators.store import with_checksum
 from pagelake.plans import sqltext as S
 from pagelake.plans.extract import article_documents, extract_pages
 from pagelake.sources import fixtures as X
@@ -192,20 +193,16 @@ def undecoded(spark, d):
 
 @query(
     "write_contents",
-    f"""with {X.CONTENTS_SQL}
-    select item_id, md5(clean_text) as text_md5, checksum, extracted_at from incoming
-    union all select item_id, md5(clean_text), checksum, extracted_at from contents where item_id not in (select item_id from incoming)""",
+    f"""with {X.CONTENTS_SQL} select item_id, c.raw_html, md5(coalesce(i.clean_text, c.clean_text)) as text_md5, coalesce(i.checksum, c.checksum) as checksum,
+      coalesce(i.extracted_at, c.extracted_at) as extracted_at from contents c full join incoming i using (item_id)""",
 )
 def written_contents(spark, d):
+    """Two versions: all stored contents, then the clean columns of the incoming rows."""
     base = work_path(spark, "contents")
     write_contents(X.contents(spark, d), base, 0)
-    raw = F.lit(None).cast("string")
-    rows = X.incoming_contents(spark, d).withColumns(
-        {"raw_html": raw, "raw_text": raw, "checksum": F.md5(F.concat("clean_html", "clean_text"))}
-    )
-    write_contents(rows, base, 1)
+    write_contents(with_checksum(X.incoming_contents(spark, d)), base, 1, part="clean")
     return read_contents(spark, base).select(
-        "item_id", F.md5("clean_text").alias("text_md5"), "checksum", F.col("extracted_at").cast("timestamp_ntz").alias("extracted_at")
+        "item_id", "raw_html", F.md5("clean_text").alias("text_md5"), "checksum", F.col("extracted_at").cast("timestamp_ntz").alias("extracted_at")
     )
 
 

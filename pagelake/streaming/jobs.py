@@ -20,7 +20,8 @@ from pagelake.operators.jobs import job_state_fold
 from pagelake.operators.limits import limiter_state, rate_limit
 from pagelake.operators.store import detect_changed, with_checksum
 from pagelake.plans.extract import extract_pages
-from pagelake.sources.tables import read_contents, write_contents
+from pagelake.session import cut_lineage
+from pagelake.sources.tables import read_checksums, write_contents
 
 
 def _folder(base: str, name: str, version: int) -> str:
@@ -79,7 +80,8 @@ def stream_extract(
 ) -> StreamingQuery:
     """Extract a stream of pages (item_id, url, html, fetched_at) and store what changed in ``base/contents``.
 
-    Only changed rows are written, so a batch costs what it brings, not what is stored.
+    Only changed rows are written, with their clean columns; of the stored rows only
+    ids, versions and checksums are read.
     """
     contents = f"{base}/contents"
 
@@ -92,14 +94,10 @@ def stream_extract(
                 F.col("fetched_at").alias("extracted_at"),
             )
         )
-        nothing = F.lit(None).cast("string")
-        rows = incoming.withColumns({"raw_html": nothing, "raw_text": nothing})
+        incoming = cut_lineage(incoming)  # read again below; extraction runs once
         if version > 0:
-            current = read_contents(spark, contents, before=version)
-            kept = current.select("item_id", F.col("raw_html").alias("_html"), F.col("raw_text").alias("_text"))
-            rows = detect_changed(incoming, current).join(kept, "item_id", "left")
-            rows = rows.withColumnsRenamed({"_html": "raw_html", "_text": "raw_text"})
-        write_contents(rows, contents, version)
+            incoming = detect_changed(incoming, read_checksums(spark, contents, incoming, before=version))
+        write_contents(incoming, contents, version, part="clean")
 
     return _start(pages, step, base, available_now)
 

@@ -8,7 +8,7 @@ from pagelake.operators.store import (
     mark_fetched, partial_patch, touch_updated_at, upsert_clean, upsert_raw, with_checksum,
 )
 from pagelake.schemas import CONTENTS, ITEMS
-from pagelake.sources.tables import compact_contents, read_contents, write_contents
+from pagelake.sources.tables import compact_contents, read_checksums, read_contents, write_contents
 
 T0, T1, T2 = (dt.datetime(2024, 1, d) for d in (1, 2, 3))
 NEW = "item_id string, clean_html string, clean_text string, lang string, extracted_at timestamp"
@@ -167,3 +167,20 @@ def test_store_responses(spark):
     assert [(r.item_id, r.raw_html, r.checksum, r.clean_html) for r in stored] == [("i1", "<p>one</p>", _md5("<p>one</p>"), None)]
     assert {r.id: r.status for r in out["items"].collect()} == {"i1": "fetched", "i2": "fetched"}
     assert {r.item_id: r.error.code for r in out["errors"].collect()} == {"i2": "Http", "i9": "Charset"}
+
+
+def test_parts_merge_like_the_upserts(spark, tmp_path):
+    """Raw and clean versions that carry only their own columns read back as the chain of upserts."""
+    base = str(tmp_path / "parts")
+    raw = spark.createDataFrame([("a", "<html>", T1, _md5("<html>")), ("n", "<b>", T1, _md5("<b>"))], "item_id string, raw_html string, extracted_at timestamp, checksum string")
+    clean0, clean2 = _incoming(spark, ("a", "<p>x</p>", "x", "en", T0)), _incoming(spark, ("a", "<p>y</p>", "y", None, T2), ("m", "h", "t", "de", T2))
+    write_contents(with_checksum(clean0), base, 0, part="clean")
+    write_contents(raw, base, 1, part="raw")
+    write_contents(with_checksum(clean2), base, 2, part="clean")
+    want = upsert_clean(upsert_raw(upsert_clean(spark.createDataFrame([], CONTENTS), clean0), raw), clean2)
+    got = read_contents(spark, base)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    sums = read_checksums(spark, base, spark.createDataFrame([("a",), ("zz",)], "item_id string"), before=2)
+    assert [tuple(r) for r in sums.collect()] == [("a", _md5("<html>"))]
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "clean_html" not in plan and "raw_html" not in plan
