@@ -41,7 +41,8 @@ def html_to_text(html: Column | str) -> Column:
         out = text
         for entity, char in COLUMN_ENTITIES.items():
             out = F.replace(out, F.lit(entity), F.lit(char))
-        return F.when(text.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+        # browsers also read an ampersand entity that lacks its semicolon; no longer name starts like it
+        return F.when(text.contains("&"), F.regexp_replace(out, "&amp;?", "&")).otherwise(text)
 
     return F.transform(F.array(F.regexp_replace(col(html), TAG, "")), decoded)[0]
 

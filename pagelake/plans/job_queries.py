@@ -295,22 +295,26 @@ def streamed_state(spark, d):
 LOG_END = "2024-02-15 00:00:00"
 
 
-def gaps_sql(end: str) -> str:
-    """Leases of the log that ran out by ``end``."""
+def gaps_sql(condition: str) -> str:
+    """Leases of the log that ran out, under a condition on until and next_ts."""
     return f"""with {X.LOG_SQL}, r as (select * from log where action <> 'enqueue'),
-    s as (select *, lead(ts) over w as next_ts, last_value(case when action <> 'extend' then action end ignore nulls) over w as state
+    s as (select *, ts + to_seconds(lease_secs) as until, lead(ts) over w as next_ts,
+        last_value(case when action <> 'extend' then action end ignore nulls) over w as state
       from r window w as (partition by job_id order by ts, seq))
-    select job_id, ts + to_seconds(lease_secs) as expired_at from s
-    where state = 'claim' and ts + to_seconds(lease_secs) <= {end} and (next_ts is null or next_ts > ts + to_seconds(lease_secs))"""
+    select job_id, until as expired_at from s where state = 'claim' and {condition}"""
 
 
-@query("lease_gaps", gaps_sql(f"timestamp '{LOG_END}'"))
+@query("lease_gaps", gaps_sql(f"until <= timestamp '{LOG_END}' and (next_ts is null or next_ts > until)"))
 def gaps(spark, d):
     return lease_gaps(X.job_log(X.with_k(read_fixture(spark, d, "events"))), X.as_of(LOG_END))
 
 
-# the stream's clock is its watermark: the newest row minus an hour, in whole milliseconds
-@query("stream_lease_expiry", gaps_sql("(select date_trunc('milliseconds', max(ts)) - interval 1 hour from log)"))
+# a lease is reported when the next action shows that it ran out, or when the stream's clock passes it:
+# the watermark, which is the newest row minus an hour in whole milliseconds
+@query(
+    "stream_lease_expiry",
+    gaps_sql("(next_ts > until or (next_ts is null and until <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from log)))"),
+)
 def streamed_leases(spark, d):
     base = work_path(spark, "leases")
     log = X.job_log(X.with_k(_event_stream(spark, d))).withColumn("ts", F.col("ts").cast("timestamp"))

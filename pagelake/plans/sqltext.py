@@ -30,7 +30,7 @@ def strip_tags(c: str) -> str:
     out = f"regexp_replace({c}, '{TAG}', '', 'g')"
     for entity, char in COLUMN_ENTITIES.items():
         out = "replace({}, '{}', '{}')".format(out, entity, char.replace("'", "''"))
-    return f"replace({out}, '&amp;', '&')"
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
 
 
 def first_text(c: str, pattern: str) -> str:

@@ -64,6 +64,7 @@ def test_titles(spark):
         "<h1>  </h1><h1><b>Head</b> line</h1>": "Head line",
         "<p>nothing</p>": None,
         "<title>A &amp; B</title>": "A & B",
+        "<title>cut &amp</title>": "cut &",
         '<meta content="Turned" property="og:title">': "Turned",
     }
     rows = page_metadata(_pages(spark, *cases)).collect()

@@ -51,9 +51,11 @@ def test_lease_expiry(spark, tmp_path):
     stream = _in_files(spark, log, "ts", str(tmp_path / "in"))
     out = stream_lease_expiry(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
     out.outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    end = log.agg(F.date_trunc("millisecond", F.max("ts")) - F.expr("interval 1 hour")).first()[0]
-    want = lease_gaps(log.filter("action <> 'enqueue'"), F.lit(end))
-    assert _rows(spark.read.parquet(str(tmp_path / "out"))) == _rows(want)
+    newest, end = log.agg(F.max("ts"), F.date_trunc("millisecond", F.max("ts")) - F.expr("interval 1 hour")).first()
+    got = set(_rows(spark.read.parquet(str(tmp_path / "out"))))
+    # past the watermark a lease is known to have run out only if a later action says so
+    assert set(_rows(lease_gaps(log, F.lit(end)))) <= got <= set(_rows(lease_gaps(log, F.lit(newest))))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(got) > 0
 
 
 def test_extract(spark, tmp_path):
