@@ -15,7 +15,7 @@ from pagelake.operators.pages import (
 )
 from pagelake.operators.quality import reject_content
 from pagelake.operators.responses import (
-    classify_fetch_error, decode_responses, gate_responses, header, map_transport_error, resolve_redirects, with_error,
+    classify_fetch_error, decode_responses, gate_responses, header, map_transport_error, resolve_redirects,
 )
 from pagelake.operators.store import with_checksum
 from pagelake.plans import sqltext as S
@@ -371,9 +371,6 @@ def rejects(spark, d):
     return reject_content(read_texts(spark, d, "documents"), "source", "text").select("doc_id", "reason")
 
 
-CODE3 = {"en": "eng", "es": "spa", "fr": "fra", "de": "deu"}
-
-
 @query(
     "language_code",
     "select doc_id, code3, case code3 " + " ".join(f"when '{a}' then '{b}'" for a, b in LANGUAGE_CODES.items())

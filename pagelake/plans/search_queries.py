@@ -10,7 +10,7 @@ from pagelake.operators.search import (
 )
 from pagelake.functions.text import tokenize_simple
 from pagelake.session import cut_lineage, work_path
-from pagelake.sources.tables import read_fixture, read_texts
+from pagelake.sources.tables import read_texts
 
 QUERIES = {}
 

@@ -71,8 +71,6 @@ def item_response(spark, d):
 
 # ----------------------------------------------------------------------- rules
 
-ODD_URL = "case when {n} < 300 then '' when {n} > 9000 then {t} else {u} end"
-
 
 @query(
     "validate_urls",
@@ -104,10 +102,6 @@ def email_rules(spark, d):
     return validate_emails(users, "email", "c_custkey")
 
 
-RAW_ITEMS = """select o_orderkey as id, case o_orderstatus when 'O' then 'pending' when 'P' then 'fetched' else lower(o_orderpriority) end as status,
-  case when o_totalprice > 100000 then o_orderpriority end as title, cast(o_totalprice / 1000 as bigint) - 50 as attempts from orders"""
-
-
 @query(
     "check_domains",
     f"""with i as (select o_orderkey as id, case o_orderstatus when 'O' then 'pending' when 'P' then 'fetched' else lower(o_orderpriority) end as status,

@@ -3,7 +3,6 @@ from html import unescape
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from pagelake.functions.html import absolute_links, html_to_text, parse_pages, read_page, sanitize
 from pagelake.operators.pages import article_table, link_edges, main_content_table, page_metadata, page_parts, sanitize_table
