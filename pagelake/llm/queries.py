@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelake.llm import mixing, quality_rules, token_counts
+from pagelake.llm import language_id, line_dedup, mixing, quality_rules, token_counts
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -28,13 +29,12 @@ WITH d AS (
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
              CAST(3 * source_size AS DOUBLE) AS cap FROM s),
-o AS (SELECT *, sum(cap) OVER (r) - cap AS cap_before, sum(weight) OVER (r) - weight AS weight_before,
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source) AS place, sum(cap) OVER r - cap AS cap_before, sum(weight) OVER r - weight AS weight_before,
              (SELECT CAST(sum(source_size) AS DOUBLE) FROM s) AS total, (SELECT sum(weight) FROM w) AS weights
       FROM w WINDOW r AS (ORDER BY cap / weight, source ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, (total - cap_before) / CAST(weights - weight_before AS DOUBLE) AS level FROM o),
-c AS (SELECT *, weight * level > cap AS capped FROM l),
-t AS (SELECT source, source_size,
-             CASE WHEN capped THEN cap ELSE weight * (SELECT min(level) FROM c AS x WHERE NOT x.capped) END AS target FROM c),
+f AS (SELECT level AS shared, place AS free FROM l WHERE NOT weight * level > cap ORDER BY place LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN place < free THEN cap ELSE weight * shared END AS target FROM l, f),
 n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM t),
 g AS (SELECT source, u, doc_id, size, count(*) AS k FROM d GROUP BY source, u, doc_id, size),
 e AS (SELECT g.*, n.source_size, n.target, n.repeats, CAST(round(n.target - n.repeats * n.source_size) AS BIGINT) AS need,
@@ -47,12 +47,58 @@ FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.doc_id IS NOT DIST
 """
 
 
+def held_out(docs: DataFrame):
+    """Whether a row is kept from the fit: a quarter of the ids by their checksum."""
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    model = language_id.fit_languages(docs.filter(~held_out(docs)), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model, {"held_out": held_out(docs)})
+
+
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, d))
 
 
+def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = line_dedup.line_dedup(_documents(spark, d))
+    return found.select("doc_id", "n_lines", "removed_lines", F.md5("text").alias("text_md5"))
+
+
+# all windows of lines by their content, without fingerprints
+OP10_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, len(lines) AS n_lines, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s),
+a AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM x),
+b AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS until,
+             coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), n_lines) - 1 AS last
+      FROM a WHERE words > 0),
+c AS (SELECT *, until - words AS start FROM b),
+w AS (
+  SELECT doc_id, pos AS first, max(last) OVER f AS last, list(line) OVER f AS content, max(until) OVER f - start AS total
+  FROM c WINDOW f AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(pos) OVER g, last, list(line) OVER g, until - min(start) OVER g
+  FROM c WINDOW g AS (PARTITION BY doc_id ORDER BY until RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)),
+k AS (SELECT doc_id, first, last, content FROM w WHERE total >= 10),
+m AS (SELECT content, min({'d': doc_id, 'f': first}) AS place FROM k GROUP BY content),
+r AS (SELECT DISTINCT k.doc_id, k.first, k.last FROM k JOIN m ON k.content = m.content
+      WHERE {'d': k.doc_id, 'f': k.first} > m.place),
+z AS (SELECT DISTINCT x.doc_id, x.pos FROM x JOIN r ON x.doc_id = r.doc_id AND x.pos BETWEEN r.first AND r.last),
+t AS (SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.pos) FILTER (WHERE z.pos IS NULL) AS kept, count(z.pos) AS removed
+      FROM x LEFT JOIN z ON x.doc_id = z.doc_id AND x.pos = z.pos GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(s.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(t.removed, 0) AS BIGINT) AS removed_lines,
+       CASE WHEN d.text IS NOT NULL THEN md5(coalesce(t.kept, '')) END AS text_md5
+FROM documents AS d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
+    "op4_language_id": (op4_language_id, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
