@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import language_id, line_dedup, mixing, quality_rules, token_counts
+from pagelake.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, token_counts
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, d))
 
 
+def op8_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.edit_likeness(_documents(spark, d))
+
+
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = line_dedup.line_dedup(_documents(spark, d))
     return found.select("doc_id", "n_lines", "removed_lines", F.md5("text").alias("text_md5"))
@@ -100,5 +104,6 @@ QUERIES = {
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op8_fingerprints": (op8_fingerprints, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
