@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, token_counts
+from pagelake.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, token_counts, url_filters
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, d))
 
 
+def op7_url_filters(spark: SparkSession, d: str) -> DataFrame:
+    return url_filters.url_filters(spark.read.parquet(f"{d}/pages.parquet"))
+
+
 def op8_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.edit_likeness(_documents(spark, d))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op7_url_filters": (op7_url_filters, None),
     "op8_fingerprints": (op8_fingerprints, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
