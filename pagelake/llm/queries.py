@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, token_counts, url_filters
+from pagelake.llm import fingerprints, id_files, language_id, line_dedup, mixing, packing, quality_rules, token_counts, url_filters
+from pagelake.session import work_path
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_pack_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_documents(spark, d), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op3_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(_documents(spark, d))
 
@@ -62,6 +67,12 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, d))
 
 
+def op6_token_id_files(spark: SparkSession, d: str) -> DataFrame:
+    path = work_path(spark, "token-ids")
+    id_files.write_ids(_documents(spark, d), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return id_files.read_ids(spark, path, with_ids=False)
+
+
 def op7_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_filters.url_filters(spark.read.parquet(f"{d}/pages.parquet"))
 
@@ -105,9 +116,11 @@ FROM documents AS d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN t ON d.doc_id =
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_pack_sequences": (op2_pack_sequences, None),
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_token_id_files": (op6_token_id_files, None),
     "op7_url_filters": (op7_url_filters, None),
     "op8_fingerprints": (op8_fingerprints, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
