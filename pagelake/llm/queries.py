@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, id_files, language_id, line_dedup, mixing, packing, quality_rules, token_counts, url_filters
+from pagelake.llm import fingerprints, id_files, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, token_counts, url_filters
 from pagelake.session import work_path
 
 
@@ -81,6 +81,34 @@ def op8_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.edit_likeness(_documents(spark, d))
 
 
+def op9_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.ngram_join(_documents(spark, d))
+
+
+# all pairs of documents that share a shingle
+OP9_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (
+  SELECT p.a, p.b FROM p JOIN n AS x ON p.a = x.doc_id JOIN n AS y ON p.b = y.doc_id
+  WHERE 100 * p.shared >= 75 * (x.size + y.size - p.shared)),
+r AS (
+  SELECT doc_id, doc_id AS reached FROM w
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT w.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) AS c ON w.doc_id = c.doc_id
+"""
+
+
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = line_dedup.line_dedup(_documents(spark, d))
     return found.select("doc_id", "n_lines", "removed_lines", F.md5("text").alias("text_md5"))
@@ -123,5 +151,6 @@ QUERIES = {
     "op6_token_id_files": (op6_token_id_files, None),
     "op7_url_filters": (op7_url_filters, None),
     "op8_fingerprints": (op8_fingerprints, None),
+    "op9_ngram_join": (op9_ngram_join, OP9_SQL),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
