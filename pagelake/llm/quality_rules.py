@@ -115,11 +115,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 
 def statistic_vector() -> dict[str, Column]:
-    words = F.col("n_words")
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return {
         "log_words": F.log(words),
-        "log_word_length": F.log(F.col("word_chars") / words),
+        "log_word_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
         "root_symbols": F.sqrt(F.col("n_symbols") / words),
         "root_dup_lines": F.sqrt(F.col("n_dup_lines") / lines),
         "root_repeats": F.sqrt(F.col("n_repeat_words") / words),
