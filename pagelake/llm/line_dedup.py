@@ -111,30 +111,26 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pass through; ones called n_lines or removed_lines are replaced.
     """
     runs = repeated_runs(docs, min_words)
-    runs = runs.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
-    joined = docs.join(runs, same, "left")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{c}") for c in docs.columns])
+    same = F.col("_keep_doc_id").eqNullSafe(F.col("doc")) & (F.xxhash64("_keep_text") == F.col("mark"))
+    joined = rows.join(runs, same, "left")
 
-    lines = F.split("text", LINE_END)
-    n_runs = F.size("_runs")
+    lines = F.split("_keep_text", LINE_END)
+    n_runs = F.size("runs")
     kept = F.transform(
         F.sequence(F.lit(0), n_runs),
         lambda i: F.struct(
-            F.when(i == 0, 0).otherwise(F.try_element_at("_runs", F.greatest(i, F.lit(1)))["last"] + 1).alias("first"),
-            F.when(i == n_runs, F.size(lines)).otherwise(F.try_element_at("_runs", i + 1)["first"]).alias("end"),
+            F.when(i == 0, 0).otherwise(F.try_element_at("runs", F.greatest(i, F.lit(1)))["last"] + 1).alias("first"),
+            F.when(i == n_runs, F.size(lines)).otherwise(F.try_element_at("runs", i + 1)["first"]).alias("end"),
         ),
     )
-    pieces = F.flatten(F.transform("_kept", lambda k: F.slice(F.col("_lines"), k["first"] + 1, k["end"] - k["first"])))
-    removed = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    new_text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(pieces, LINE_END))
-    result = joined.withColumns({"_lines": lines, "_kept": F.when(F.col("_runs").isNotNull(), kept)})
-    result = result.withColumns({
-        "_new": new_text,
-        "_n": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
-        "_removed": F.coalesce(removed, F.lit(0)).cast("long"),
-    })
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col("_new")}
+    pieces = F.flatten(F.transform("kept", lambda k: F.slice(F.col("lines"), k["first"] + 1, k["end"] - k["first"])))
+    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    joined = joined.withColumns({"lines": lines, "kept": F.when(F.col("runs").isNotNull(), kept)})
+    joined = joined.withColumn("new", F.when(F.col("runs").isNull(), F.col("_keep_text")).otherwise(F.array_join(pieces, LINE_END)))
+    columns = {c: F.col(f"`_keep_{c}`") for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast("long"))
-    columns |= {"n_lines": F.col("_n"), "removed_lines": F.col("_removed")}
-    return result.select(*[c.alias(n) for n, c in columns.items()])
+        columns["n_chars"] = F.when(F.col("runs").isNull(), columns["n_chars"]).otherwise(F.length("new").cast("long"))
+    columns["n_lines"] = F.when(F.col("_keep_text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    columns["removed_lines"] = F.coalesce(removed, F.lit(0)).cast("long")
+    return joined.select(*[c.alias(n) for n, c in columns.items()])
