@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.functions.fixed import CHARSET_LABELS, CHARSET_SNIFF_BYTES, OTHER_CHARSET_PATTERN
+from pagelake.functions.fixed import CHARSET_LABELS, CHARSET_SNIFF_BYTES, ENCODING_NAMES, OTHER_CHARSET_LABELS
 
 # Where a charset label is read from.
 HEADER_PATTERN = r"""(?i)charset\s*=\s*["']?([^"'\s;]+)"""
@@ -28,12 +28,18 @@ CODECS = {
 def charset_label(label: Column) -> Column:
     """Charset name for a web encoding label; NULL where the label is unknown."""
     name = F.lower(label)
-    out = F.when(name.rlike(f"^(?:{OTHER_CHARSET_PATTERN})$"), F.lit("Other"))
+    out = F.when(name.isin(*OTHER_CHARSET_LABELS), F.lit("Other"))
     for charset, labels in CHARSET_LABELS.items():
         out = F.when(name.isin(*labels), F.lit(charset)).otherwise(out)
     return F.when(name == "", F.lit(None).cast("string")).otherwise(out)
 
 
+def encoding_name(charset: Column) -> Column:
+    """The standard's name of the encoding that reads a charset."""
+    table = F.create_map(*[F.lit(x) for pair in ENCODING_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, charset), charset)
+
+
 def sniffed_text(body: Column) -> Column:
     """The first bytes of a body as text in which every byte is one character."""
     return F.decode(F.substring(body, 1, CHARSET_SNIFF_BYTES), "ISO-8859-1")
@@ -83,11 +89,12 @@ def _decode_other(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 def decode_body(body: Column, charset: Column) -> Column:
     """Body as text; NULL where any byte sequence is malformed.
 
-    UTF-8 stays in the JVM. Other charsets go through one Arrow stage, which is
+    A byte order mark (UTF-8 or UTF-16) says more than the label. UTF-8 stays in the JVM. Other charsets go through one Arrow stage, which is
     handed NULL instead of the bytes for every UTF-8 row.
     """
     bom16 = F.coalesce(F.hex(F.substring(body, 1, 2)).isin("FFFE", "FEFF"), F.lit(False))
-    native = charset.isin("Utf8", "Other") & ~bom16
+    bom8 = F.coalesce(F.hex(F.substring(body, 1, 3)) == "EFBBBF", F.lit(False))
+    native = bom8 | (charset.isin("Utf8", "Other") & ~bom16)
     text = F.regexp_replace(F.try_validate_utf8(body.cast("string")), r"\A\x{FEFF}", "")
     other = _decode_other(F.when(~native, body), F.when(~native, F.coalesce(charset, F.lit(""))))
     return F.when(native, text).otherwise(other)

@@ -57,22 +57,39 @@ CHARSET_LABELS = {
     "Big5": ("big5", "big5-hkscs", "cn-big5", "csbig5", "x-x-big5"),
 }
 
-# Label families of the remaining web encodings, all of which are read as UTF-8.
-OTHER_CHARSET_PATTERN = (
-    r"(cs)?(ibm|cp)?866"
-    r"|iso[-_]?8859[-_]?([2-9]|1[0134569])(:\d{4}|-[ei])?|csiso8859(6|8)[ei]|csiso885915"
-    r"|csisolatin([2-6]|9|arabic|cyrillic|greek|hebrew)"
-    r"|iso-ir-(101|109|110|126|127|138|144|148|149|157)"
-    r"|latin[2-6]|l[24569]|l3|arabic|cyrillic|greek8?|hebrew|visual|logical|asmo-708|ecma-11[48]|elot_928"
-    r"|sun_eu_greek|csiso88596[ei]|csiso88598[ei]"
-    r"|(cs)?koi8?([-_]?(r|u|ru))?|cskoi8r"
-    r"|(cs)?macintosh|mac|x-mac-(roman|cyrillic|ukrainian)"
-    r"|windows-(874|125[0134-8])|(x-)?cp125[0134-8]|dos-874|tis-620|iso-8859-11|iso8859-11|iso885911"
-    r"|(cseucpkdfmt|cseuckr|csksc56011987|euc-jp|x-euc-jp|euc-kr|korean|ks_c_5601-19(87|89)|ksc_?5601|windows-949)"
-    r"|csiso2022(jp|kr)|iso-2022-(jp|kr|cn|cn-ext)|hz-gb-2312|replacement"
-    r"|utf-16(be|le)?|unicode(fffe|feff)?|ucs-2|iso-10646-ucs-2|csunicode|x-user-defined"
+# The remaining labels of the same standard; their texts are read as UTF-8.
+OTHER_CHARSET_LABELS = (
+    "866", "cp866", "csibm866", "ibm866",
+    "csisolatin2", "iso-8859-2", "iso-ir-101", "iso8859-2", "iso88592", "iso_8859-2", "iso_8859-2:1987", "l2", "latin2",
+    "csisolatin3", "iso-8859-3", "iso-ir-109", "iso8859-3", "iso88593", "iso_8859-3", "iso_8859-3:1988", "l3", "latin3",
+    "csisolatin4", "iso-8859-4", "iso-ir-110", "iso8859-4", "iso88594", "iso_8859-4", "iso_8859-4:1988", "l4", "latin4",
+    "csisolatincyrillic", "cyrillic", "iso-8859-5", "iso-ir-144", "iso8859-5", "iso88595", "iso_8859-5", "iso_8859-5:1988",
+    "arabic", "asmo-708", "csiso88596e", "csiso88596i", "csisolatinarabic", "ecma-114", "iso-8859-6", "iso-8859-6-e",
+    "iso-8859-6-i", "iso-ir-127", "iso8859-6", "iso88596", "iso_8859-6", "iso_8859-6:1987",
+    "csisolatingreek", "ecma-118", "elot_928", "greek", "greek8", "iso-8859-7", "iso-ir-126", "iso8859-7", "iso88597",
+    "iso_8859-7", "iso_8859-7:1987", "sun_eu_greek",
+    "csiso88598e", "csisolatinhebrew", "hebrew", "iso-8859-8", "iso-8859-8-e", "iso-ir-138", "iso8859-8", "iso88598",
+    "iso_8859-8", "iso_8859-8:1988", "visual", "csiso88598i", "iso-8859-8-i", "logical",
+    "csisolatin6", "iso-8859-10", "iso-ir-157", "iso8859-10", "iso885910", "l6", "latin6",
+    "iso-8859-13", "iso8859-13", "iso885913", "iso-8859-14", "iso8859-14", "iso885914",
+    "csisolatin9", "iso-8859-15", "iso8859-15", "iso885915", "iso_8859-15", "l9", "iso-8859-16",
+    "cskoi8r", "koi", "koi8", "koi8-r", "koi8_r", "koi8-ru", "koi8-u",
+    "csmacintosh", "mac", "macintosh", "x-mac-roman", "x-mac-cyrillic", "x-mac-ukrainian",
+    "dos-874", "iso-8859-11", "iso8859-11", "iso885911", "tis-620", "windows-874",
+    "cp1250", "windows-1250", "x-cp1250", "cp1251", "windows-1251", "x-cp1251", "cp1253", "windows-1253", "x-cp1253",
+    "cp1254", "csisolatin5", "iso-8859-9", "iso-ir-148", "iso8859-9", "iso88599", "iso_8859-9", "iso_8859-9:1989", "l5",
+    "latin5", "windows-1254", "x-cp1254", "cp1255", "windows-1255", "x-cp1255", "cp1256", "windows-1256", "x-cp1256",
+    "cp1257", "windows-1257", "x-cp1257", "cp1258", "windows-1258", "x-cp1258",
+    "cseucpkdfmtjapanese", "euc-jp", "x-euc-jp", "csiso2022jp", "iso-2022-jp",
+    "cseuckr", "csksc56011987", "euc-kr", "iso-ir-149", "korean", "ks_c_5601-1987", "ks_c_5601-1989", "ksc5601", "ksc_5601",
+    "windows-949", "csiso2022kr", "hz-gb-2312", "iso-2022-cn", "iso-2022-cn-ext", "iso-2022-kr", "replacement",
+    "unicodefffe", "utf-16be", "csunicode", "iso-10646-ucs-2", "ucs-2", "unicode", "unicodefeff", "utf-16", "utf-16le",
+    "x-user-defined",
 )
 
+# Names of the encodings in error messages.
+ENCODING_NAMES = {"Utf8": "UTF-8", "Windows1252": "windows-1252", "ShiftJis": "Shift_JIS", "Gb2312": "GBK", "Big5": "Big5", "Other": "UTF-8"}
+
 # Default ports of the web schemes.
 DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 

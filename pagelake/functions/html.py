@@ -96,21 +96,21 @@ def article_parts(html: Column | str) -> Column:
     return F.split(col(html), ARTICLE_TAG)
 
 
-def article_text(html: Column | str) -> Column:
-    """Text of the first ``article`` that holds enough of it (articles not nested); NULL if there is none."""
-    insides = F.filter(article_parts(html), lambda _, i: i % 2 == 1)
-    texts = F.filter(F.transform(insides, html_to_text), lambda t: byte_count(utrim(t)) > MIN_MAIN_CONTENT_BYTES)
-    return F.try_element_at(texts, F.lit(1))
+def without_hidden(html: Column | str) -> Column:
+    """The page without comments, scripts and styles, whose content is never markup."""
+    return F.regexp_replace(col(html), r"(?is)<!--.*?-->|<(script|style)\b[^<>\"']*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^<>\"']*+)*+>.*?</\1\s*>", "")
 
 
-def is_regular(html: Column | str, items: Column, tags: Column, parts: Column, text: Column) -> Column:
+def is_regular(html: Column | str, plain: Column, items: Column, tags: Column, parts: Column, text: Column) -> Column:
     """True where the column forms give what the parser would give.
 
-    There must be one plain ``article`` with enough text, with no script, style,
-    textarea, comment or unfinished tag inside, and no entity but the ones that
-    the columns decode.
+    ``plain`` is the page without comments, scripts and styles, from which the
+    others come. There must be one ``article`` with enough text that is the same
+    in the page itself, with no textarea or unfinished tag inside, and no entity
+    but the ones that the columns decode; nowhere may a tag have ``<`` or ``>``
+    inside quotes, nor a hidden part begin that does not end.
     """
-    special = r"template|noscript|svg|math|plaintext|xmp|iframe"
+    special = r"template|noscript|svg|math|plaintext|xmp|iframe|textarea"
     known = "|".join(e[1:] for e in (*COLUMN_ENTITIES, "&amp;"))
     other_entity = rf"&(?!(?:{known}))[#a-zA-Z]"
     one = (F.size(tags) == 2) & ~tags[0].startswith("</") & tags[1].startswith("</")
@@ -120,8 +120,11 @@ def is_regular(html: Column | str, items: Column, tags: Column, parts: Column, t
     )
     odd_head = parts[0].rlike(rf"(?i)<(?:{special})\b")
     odd_item = F.exists(items, lambda i: i.rlike(other_entity))
-    plain = ~(col(html).contains("\r") | col(html).contains("\x00"))
-    return F.coalesce(one & enough & ~odd & ~odd_head & ~odd_item & plain, F.lit(False))
+    odd_quotes = plain.rlike(r"""<[a-zA-Z][^<>"']*+(?:(?:"[^"<>]*+"|'[^'<>]*+')[^<>"']*+)*+["']""")
+    left_over = plain.rlike(r"(?i)<(?:!--|script\b|style\b)") | col(html).rlike(r"(?is)<(?:title|textarea)\b[^>]*+>[^<]*+<(?:!--|script\b|style\b)")
+    same = col(html).contains(F.concat(tags[0], parts[1], tags[1]))
+    no_odd_characters = ~(col(html).contains("\r") | col(html).contains("\x00"))
+    return F.coalesce(one & enough & ~odd & ~odd_head & ~odd_item & ~odd_quotes & ~left_over & same & no_odd_characters, F.lit(False))
 
 
 # ----------------------------------------------------- the Arrow stage (parser)

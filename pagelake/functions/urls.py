@@ -14,15 +14,24 @@ from pagelake.functions.text import col
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 SPECIAL = r"(?i)^(https?|wss?|ftp):"
-WEB_URL = r"(?i)^(https?|wss?|ftp)://([^/?#@\s]*@)?([^/?#@:\s\[\]<>^|%]+|\[[0-9a-f:.]+\])(:[0-9]{0,5})?([/?#].*)?$"
+WEB_URL = (
+    r"(?i)^(https?|wss?|ftp)://([^/?#@\s]*@)?([^/?#@:\s\[\]<>^|%]+|\[[0-9a-f:.]+\])"
+    # a port of at most 65535
+    r"(:0*(?:[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])?)?([/?#].*)?$"
+)
 ENCODED_CHARS = r"[^\x21-\x7E]|[\"<>`{}]"
 # parts of a hierarchical URL: scheme, authority, path, query, fragment
 PARTS = r"(?s)^([^:/?#]+):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def full_slashes(url: Column) -> Column:
+    """Two slashes after a web scheme, as the URL standard reads any number of them."""
+    return F.regexp_replace(url, r"(?i)^(https?|wss?|ftp):[/\\]*", "$1://")
+
+
 def valid_url(url: Column | str) -> Column:
     """True where the text is an absolute URL; web schemes also need a host."""
-    u = F.trim(col(url))
+    u = full_slashes(F.trim(col(url)))
     return F.coalesce(
         F.when(u.rlike(SPECIAL), u.rlike(WEB_URL)).otherwise(u.rlike(SCHEME)), F.lit(False)
     )
@@ -71,7 +80,7 @@ def normalize_url(df: DataFrame, url: str, out: str, keep_fragment: bool = False
     empty path, percent-encoded path and query, no fragment unless asked for.
     Applying it twice changes nothing.
     """
-    u = F.regexp_replace(F.trim(F.col(url)), r"[\t\r\n]", "")
+    u = full_slashes(F.regexp_replace(F.trim(F.col(url)), r"[\t\r\n]", ""))
     ports = F.lit("|".join(f"{s}:{p}" for s, p in DEFAULT_PORTS.items()))
     parts = df.withColumns(
         {

@@ -22,15 +22,15 @@ def find_duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def find_orphans(tables: dict[str, DataFrame], fks: tuple = FOREIGN_KEYS) -> DataFrame:
-    """(rule, key) for every reference whose parent row is missing, over all given tables.
+    """(rule, key) for every reference of ``fks`` whose parent row is missing; a table that a rule names must be given.
 
     References are counted per value first, so a value that a third of all rows
     share reaches the join as one row.
     """
     found = []
+    if absent := {name for child, _, parent, _, _ in fks for name in (child, parent)} - set(tables):
+        raise ValueError(f"tables without which rules cannot be checked: {', '.join(sorted(absent))}")
     for child, column, parent, parent_key, _ in fks:
-        if child not in tables or parent not in tables:
-            continue
         refs = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
         parents = tables[parent].select(F.col(parent_key).alias("key"))
         found.append(

@@ -182,7 +182,7 @@ def attach_item_url(jobs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
     joined = jobs.join(urls, "item_id", "left")
     found = joined.filter(F.col("url").isNotNull())
     missing = joined.filter(F.col("url").isNull()).drop("url")
-    return found, missing.withColumn("error", F.concat(F.lit("Item "), F.col("item_id"), F.lit(" not found")))
+    return found, missing.withColumn("error", F.concat(F.lit("Item "), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit(" not found")))
 
 
 def dispatch_by_kind(
@@ -195,7 +195,7 @@ def dispatch_by_kind(
     """
     outputs = [handler(df.filter(F.col(kind) == name)) for name, handler in handlers.items()]
     unknown = df.filter(~F.coalesce(F.col(kind).isin(*handlers), F.lit(False))).withColumn(
-        "error", F.concat(F.lit("No handler registered for job kind: "), F.col(kind))
+        "error", F.concat(F.lit("No handler registered for job kind: "), F.coalesce(F.col(kind), F.lit("")))
     )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outputs), unknown
 

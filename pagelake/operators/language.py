@@ -13,7 +13,6 @@ from pagelake.functions.fixed import LANGUAGE_CODES, MIN_LANGUAGE_BYTES, MIN_LAN
 from pagelake.functions.text import compute_once, utrim
 
 PROFILE_SIZE = 300
-MAX_LANGUAGES = 200
 CHARS_PER_COUNT = 1_000_000
 
 
@@ -73,7 +72,7 @@ def _scorer(profiles: dict[str, dict[str, int]], size: int):
         codes, ranks = np.array(ranked, dtype=np.uint64).T
         tables.append((lang, codes, ranks.astype(np.int64)))
 
-    def nearest(plain: str | None) -> tuple[str, int, int]:
+    def nearest(plain: str | None) -> tuple[str | None, int, int]:
         codes, counts = np.unique(_grams(plain or ""), return_counts=True)
         codes = codes[np.argsort(-counts, kind="stable")[:size]]  # ties stay in trigram order
         own = np.arange(1, len(codes) + 1)
@@ -82,6 +81,8 @@ def _scorer(profiles: dict[str, dict[str, int]], size: int):
             at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
             hit = known[at] == codes
             found.append((-int((size - np.abs(ranks[at] - own))[hit].sum()), lang))
+        if not found:  # no profiles
+            return None, 0, 0
         found.sort()
         return found[0][1], -found[0][0], -found[1][0] if len(found) > 1 else 0
 
@@ -94,19 +95,19 @@ def _scorer(profiles: dict[str, dict[str, int]], size: int):
 
 
 def assign_language(
-    df: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE_SIZE, out: str = "language"
+    df: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE_SIZE, out: str = "language", max_languages: int = 200
 ) -> DataFrame:
     """Add the nearest profile's language and its confidence; NULL language for short or unclear texts.
 
     Every trigram of a text that a profile knows adds ``size`` minus its rank
     difference to the similarity (the out-of-place measure, counted from its
     worst value). Confidence is the lead over the second language,
-    1 - second / best. The profiles (at most ``size`` rows per language) go to
+    1 - second / best. Without profiles every language is NULL. The profiles (at most ``size`` rows per language) go to
     the tasks inside the function; documents are not shuffled.
     """
-    rows = profiles.limit(size * MAX_LANGUAGES + 1).collect()
-    if len(rows) > size * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} language profiles")
+    rows = profiles.limit(size * max_languages + 1).collect()
+    if len(rows) > size * max_languages:
+        raise ValueError(f"more than {max_languages} language profiles")
     table: dict[str, dict[str, int]] = {}
     for lang, gram, rank in rows:
         table.setdefault(lang, {})[gram] = rank

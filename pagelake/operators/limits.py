@@ -49,9 +49,12 @@ def rate_limit(
 
     Events are taken in (ts, order) order. ``state`` (key, window_start,
     window_count) carries windows that are still open from earlier events; an
-    event older than its key's open window counts in that window.
+    event older than its key's open window counts in that window. An event
+    without key or time belongs to no window and comes back with NULLs.
     """
     width = window_secs * MICROS
+    placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    unplaced, events = events.filter(~placed), events.filter(placed)
     rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     if state is not None:
         opened = state.select(
@@ -86,17 +89,19 @@ def rate_limit(
     if state is not None:
         carried = F.when(F.col("_s") == F.col("_open"), F.col("_used")).otherwise(F.lit(0))
         ranked = ranked.withColumn("_rank", F.col("_rank") + carried).drop("_open", "_used")
-    return ranked.select(
+    ranked = ranked.select(
         *events.columns,
         F.timestamp_micros("_s").cast(events.schema[ts].dataType).alias("window_start"),
         F.col("_rank").cast("bigint").alias("window_count"),
         (F.col("_rank") <= max_requests).alias("allowed"),
     )
+    kinds = {name: ranked.schema[name].dataType for name in FIELDS}
+    return ranked.unionByName(unplaced.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()}))
 
 
 def limiter_state(limited: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
     """The open window per key after the events of ``limited``; keys without events keep their state."""
-    newest = limited.groupBy(key).agg(F.max(F.struct("window_start", "window_count")).alias("_w"))
+    newest = limited.filter("window_start is not null").groupBy(key).agg(F.max(F.struct("window_start", "window_count")).alias("_w"))
     newest = newest.select(key, "_w.window_start", "_w.window_count")
     if state is None:
         return newest

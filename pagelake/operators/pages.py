@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.html import (
-    HREF, SRC, article_parts, article_tags, article_text, extract_site_name, extract_title, head_items, html_to_text,
-    is_regular, parse_pages, sanitize_html,
+    HREF, SRC, article_parts, article_tags, extract_site_name, extract_title, head_items, html_to_text, is_regular, parse_pages,
+    sanitize_html, without_hidden,
 )
 from pagelake.functions.text import (
     boilerplate_ratio, byte_count, char_count, compute_once, content_checksum, normalize_whitespace, raw_checksum, word_count,
@@ -21,12 +21,13 @@ def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
     Pages with regular markup are read by JVM columns. Only the others reach the
     Arrow stage (it is handed NULL for the rest), which runs once for all parts.
     """
+    staged = compute_once(pages, {"_plain": without_hidden(html)})
     staged = compute_once(
-        pages, {"_items": head_items(html), "_tags": article_tags(html), "_parts": article_parts(html)}
+        staged, {"_items": head_items("_plain"), "_tags": article_tags("_plain"), "_parts": article_parts("_plain")}
     )
     tags, parts = F.col("_tags"), F.col("_parts")
     staged = compute_once(staged, {"_text": F.when(F.size(tags) == 2, html_to_text(parts[1]))})
-    staged = compute_once(staged, {"_regular": is_regular(html, F.col("_items"), tags, parts, F.col("_text"))})
+    staged = compute_once(staged, {"_regular": is_regular(html, F.col("_plain"), F.col("_items"), tags, parts, F.col("_text"))})
     staged = staged.withColumn("_parsed", parse_pages(F.when(~F.col("_regular"), F.col(html))))
 
     def pick(native, parsed):
@@ -41,14 +42,12 @@ def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
             "main_html": pick(F.concat(tags[0], parts[1], tags[1]), "html"),
             "selector": pick(F.lit("article"), "selector"),
         },
-    ).drop("_items", "_tags", "_parts", "_text", "_regular", "_parsed")
+    ).drop("_plain", "_items", "_tags", "_parts", "_text", "_regular", "_parsed")
 
 
 def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add title and site_name by JVM columns only."""
-    staged = compute_once(pages, {"_items": head_items(html)})
-    named = {"title": extract_title(F.col("_items")), "site_name": extract_site_name(F.col("_items"))}
-    return compute_once(staged, named).drop("_items")
+    """Add title and site_name."""
+    return page_parts(pages, html).drop("main_text", "main_html", "selector")
 
 
 def main_content_table(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -57,8 +56,10 @@ def main_content_table(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def article_table(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add main_text of the ``article`` selector by JVM columns only; NULL where there is none."""
-    return compute_once(pages, {"main_text": article_text(html)})
+    """Add main_text of the ``article`` selector; NULL where there is none."""
+    parts = page_parts(pages, html)
+    text = F.when(F.col("selector") == "article", F.col("main_text"))
+    return parts.withColumn("main_text", text).drop("title", "site_name", "main_html", "selector")
 
 
 def link_edges(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.functions.charset import decode_body, detect_charset
+from pagelake.functions.charset import decode_body, detect_charset, encoding_name
 from pagelake.functions.fixed import ACCEPTED_TYPES, FATAL_FETCH_ERRORS, MAX_BODY_BYTES, MAX_REDIRECTS
 from pagelake.functions.text import compute_once
 from pagelake.functions.urls import valid_url
@@ -134,7 +134,7 @@ def decode_responses(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
         "error",
         F.struct(
             F.lit("Charset").alias("code"),
-            F.concat(F.lit("Failed to decode content with encoding: "), F.col("charset")).alias("detail"),
+            F.concat(F.lit("Failed to decode content with encoding: "), encoding_name(F.col("charset"))).alias("detail"),
             F.lit(False).alias("retriable"),
         ),
     )

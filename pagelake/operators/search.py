@@ -43,19 +43,24 @@ def write_postings(postings: DataFrame, key: str, path: str, buckets: int = 64)
     """Postings laid out by term hash, so that a term lookup reads one folder.
 
     Rows are ranged by (bucket, term, key): a term that a third of all postings
-    share is split over many files, and still lies together.
+    share is split over many files, and still lies together. The number of
+    buckets is a folder level, so readers take it from the data.
     """
-    laid = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
+    laid = postings.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.col("term"), buckets)})
     order = ["bucket", "term", key]
-    laid.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+    laid.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("buckets", "bucket").parquet(path)
 
 
-def read_postings(spark: SparkSession, path: str, terms: list[str], buckets: int = 64) -> DataFrame:
-    """Stored postings of some terms; only their folders are read."""
+def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """Stored postings of some terms; only their folders are read, whatever number of buckets they were written with."""
+    rows = spark.read.parquet(path)
+    known = [r[0] for r in rows.select("buckets").distinct().collect()]  # from the folders' names
     asked = spark.createDataFrame([(t,) for t in terms], "term string")
-    hashes = [r[0] for r in asked.select(_bucket(F.col("term"), buckets)).distinct().collect()]
-    rows = spark.read.parquet(path).filter(F.col("bucket").isin(hashes))
-    return rows.filter(F.col("term").isin(*terms)).drop("bucket")
+    wanted = F.lit(False)
+    for buckets in known:
+        hashes = [r[0] for r in asked.select(_bucket(F.col("term"), buckets)).distinct().collect()]
+        wanted = wanted | ((F.col("buckets") == buckets) & F.col("bucket").isin(hashes))
+    return rows.filter(wanted & F.col("term").isin(*terms)).drop("buckets", "bucket")
 
 
 def _bucket(term: Column, buckets: int) -> Column:

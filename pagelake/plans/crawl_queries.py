@@ -21,7 +21,7 @@ from pagelake.operators.store import with_checksum
 from pagelake.plans import sqltext as S
 from pagelake.plans.extract import article_documents, extract_pages
 from pagelake.sources import fixtures as X
-from pagelake.sources.tables import read_contents, read_fixture, read_texts, write_contents
+from pagelake.sources.tables import read_contents, read_fixture, read_texts, scan_responses, write_contents
 from pagelake.session import work_path
 
 MAX_BYTES = 8000
@@ -41,16 +41,58 @@ def query(name: str, sql: str | None = None):
 
 @query(
     "scan_responses",
-    f"with {X.RESPONSES_SQL} select page_id, url, status, case when page_id % 11 <> 1 then content_type end as content_type, "
+    f"with {X.RESPONSES_SQL} select url, status, case when page_id % 11 <> 1 then content_type end as content_type, "
     "cast(strlen(html) as bigint) as n_bytes, md5(html) as body_md5 from resp",
 )
-def scan_responses(spark, d):
-    return X.responses(spark, d).select(
-        "page_id", "url", "status", header(F.col("headers"), "content-type").alias("content_type"),
+def responses_scan(spark, d):
+    path = work_path(spark, "responses")
+    X.responses(spark, d).drop("page_id").write.parquet(path)
+    return scan_responses(spark, path).select(
+        "url", "status", header(F.col("headers"), "content-type").alias("content_type"),
         F.octet_length("body").cast("bigint").alias("n_bytes"), raw_checksum("body").alias("body_md5"),
     )
 
 
+@query(
+    "gate_responses_branches",
+    f"""with {X.RESPONSES_SQL}, j as (select page_id, status, content_type, html,
+      case page_id % 4 when 2 then 'page ' || page_id else url end as url, case page_id % 4 when 1 then 9000 + page_id end as declared from resp),
+    e as (select *, case when page_id % 4 = 2 then 'InvalidUrl' when declared > {MAX_BYTES} then 'BodyTooLarge' when status not between 200 and 299 then 'Http'
+      when not contains(content_type, 'text/html') then 'UnsupportedContentType' when strlen(html) > {MAX_BYTES} then 'BodyTooLarge' end as code from j)
+    select page_id, code, case code when 'InvalidUrl' then url when 'BodyTooLarge' then cast(coalesce(declared, strlen(html)) as varchar)
+      when 'Http' then cast(status as varchar) else content_type end as detail, code = 'Http' and status between 500 and 599 as retriable
+    from e where code is not null""",
+)
+def gate_branches(spark, d):
+    odd = X.responses(spark, d).withColumns({
+        "url": F.when(F.col("page_id") % 4 == 2, F.concat(F.lit("page "), "page_id")).otherwise(F.col("url")),
+        "declared_length": F.when(F.col("page_id") % 4 == 1, F.col("page_id") + 9000),
+    })
+    return gate_responses(odd, MAX_BYTES)[1].select("page_id", "error.code", "error.detail", "error.retriable")
+
+
+ASCII_SQL = "regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g')"
+
+
+@query(
+    "decode_other_charsets",
+    f"""select page_id, case page_id % 5 when 0 then 'Windows1252' when 1 then 'ShiftJis' when 2 then 'Gb2312' when 3 then 'Big5' else 'Windows1252' end as charset,
+      md5({ASCII_SQL} || case page_id % 5 when 0 then '€é' when 1 then '日本語' when 2 then '中文' when 3 then '中文' else '' end) as text_md5 from pages""",
+)
+def other_charsets(spark, d):
+    kind = F.col("page_id") % 5
+    ascii_part = F.encode(F.regexp_replace("html", r"[^\x00-\x7F]", "?"), "US-ASCII")
+    # the last letters in each encoding; pages of the fifth kind begin with a UTF-8 mark in spite of their label
+    pages = read_texts(spark, d, "pages").select(
+        "page_id",
+        F.concat(F.when(kind == 4, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit(""))), ascii_part,
+                 F.unhex(F.expr("case page_id % 5 when 0 then '80E9' when 1 then '93FA967B8CEA' when 2 then 'D6D0CEC4' when 3 then 'A4A4A4E5' else '' end"))).alias("body"),
+        F.concat(F.lit("text/html; charset="), F.expr("case page_id % 5 when 0 then 'cp1252' when 1 then 'x-sjis' when 2 then 'gbk' when 3 then 'big5' else 'latin1' end")).alias("content_type"),
+    )
+    decoded, _ = decode_responses(pages)
+    return decoded.select("page_id", "charset", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 ERROR_SQL = f"""case when status not between 200 and 299 then 'Http'
   when not contains(content_type, 'text/html') then 'UnsupportedContentType'
   when strlen(html) > {MAX_BYTES} then 'BodyTooLarge' end"""
@@ -184,7 +226,7 @@ def decoded(spark, d):
 
 @query(
     "decode_responses_failed",
-    f"with {X.RESPONSES_SQL} select page_id, 'Charset' as code, 'Failed to decode content with encoding: Utf8' as detail, false as retriable from resp where {GOOD_SQL} and contains(url, '?')",
+    f"with {X.RESPONSES_SQL} select page_id, 'Charset' as code, 'Failed to decode content with encoding: UTF-8' as detail, false as retriable from resp where {GOOD_SQL} and contains(url, '?')",
 )
 def undecoded(spark, d):
     _, bad = decode_responses(broken_responses(spark, d))

@@ -9,7 +9,7 @@ from pagelake.functions.fixed import MAX_BODY_BYTES
 from pagelake.functions.html import sanitize_html
 from pagelake.functions.text import compute_once, normalize_whitespace, raw_checksum
 from pagelake.operators.language import assign_language
-from pagelake.operators.pages import article_table, page_metadata, page_parts
+from pagelake.operators.pages import page_parts
 from pagelake.operators.quality import non_blank, reject_reason
 from pagelake.operators.responses import decode_responses, gate_responses
 from pagelake.operators.store import mark_fetched, upsert_raw
@@ -46,23 +46,30 @@ def extract_pages(
 
 
 def article_documents(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Pages judged by JVM columns only: title, site_name, article text and reason."""
-    parts = article_table(page_metadata(pages, html), html)
-    parts = compute_once(parts, {"text": normalize_whitespace("main_text")})
-    return compute_once(parts, {"reason": reject_reason("title", "text")}).drop("main_text", html)
+    """Pages judged by their ``article``: title, site_name, its text and reason."""
+    article = F.when(F.col("selector") == "article", F.col("main_text"))
+    parts = compute_once(page_parts(pages, html).withColumn("main_text", article), {"text": normalize_whitespace("main_text")})
+    return compute_once(parts, {"reason": reject_reason("title", "text")}).drop("main_text", "main_html", "selector", html)
 
 
 def store_responses(
     items: DataFrame, contents: DataFrame, responses: DataFrame, as_of: Column, max_bytes: int = MAX_BODY_BYTES
 ) -> dict[str, DataFrame]:
-    """Gate, decode and store fetched responses (they carry item_id): new items, new contents, errors."""
+    """Gate, decode and store fetched responses (they carry item_id): new items, new contents, errors.
+
+    Every response is either stored or among the errors; one of an unknown item is an error.
+    """
     accepted, rejected = gate_responses(responses, max_bytes)
     decoded, undecodable = decode_responses(accepted)
     fetched = decoded.select(
         "item_id", F.col("text").alias("raw_html"), as_of.alias("extracted_at"), raw_checksum("body").alias("checksum")
     )
-    known = fetched.join(items.select(F.col("id").alias("item_id")), "item_id", "left_semi")
-    errors = rejected.select("item_id", "error").unionByName(undecodable.select("item_id", "error"))
+    ids = items.select(F.col("id").alias("item_id"))
+    known = fetched.join(ids, "item_id", "left_semi")
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    missing = F.struct(F.lit("ItemNotFound").alias("code"), F.concat(F.lit("Item "), name, F.lit(" not found")).alias("detail"), F.lit(False).alias("retriable"))
+    unknown = decoded.select("item_id").join(ids, "item_id", "left_anti").select("item_id", missing.alias("error"))
+    errors = rejected.select("item_id", "error").unionByName(undecodable.select("item_id", "error")).unionByName(unknown)
     return {
         "contents": upsert_raw(contents, known),
         "items": mark_fetched(items, known, as_of),

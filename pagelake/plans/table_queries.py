@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.operators.integrity import (
@@ -14,9 +17,10 @@ from pagelake.operators.store import (
     mark_fetched, partial_patch, touch_updated_at, upsert_clean, upsert_raw, with_checksum,
 )
 from pagelake.plans.extract import store_responses
-from pagelake.schemas import ITEM_STATUS
+from pagelake.schemas import ITEM_STATUS, UNIQUE_KEYS
+from pagelake.session import work_path
 from pagelake.sources import fixtures as X
-from pagelake.sources.tables import read_fixture
+from pagelake.sources.tables import read_fixture, scan_table
 
 QUERIES = {}
 
@@ -47,7 +51,9 @@ def lake(spark, d) -> dict:
 
 @query("scan_table", f"with {LAKE} select id, email, created_at from users")
 def scan_users(spark, d):
-    return X.users(spark, d).select("id", "email", "created_at")
+    path = work_path(spark, "users")
+    X.users(spark, d).write.parquet(path)
+    return scan_table(spark, "users", path)
 
 
 @query(
@@ -134,17 +140,40 @@ def duplicate_texts(spark, d):
     return find_duplicates(docs, ["lang", "text_md5"])
 
 
+@query(
+    "find_duplicate_keys",
+    f"""with {LAKE}, contents as (select id as item_id, md5(url) as checksum from items union all select id, md5(url) from items where status = 'archived')
+    select 'users' as table_name, email as key, count(*) as n from users group by email having count(*) > 1
+    union all select 'tags', user_id || '|' || name, count(*) from tags group by user_id, name having count(*) > 1
+    union all select 'item_tags', item_id || '|' || tag_id, count(*) from item_tags group by item_id, tag_id having count(*) > 1
+    union all select 'contents', item_id || '|' || checksum, count(*) from contents group by item_id, checksum having count(*) > 1""",
+)
+def duplicate_keys(spark, d):
+    tables = lake(spark, d)
+    archived = tables["items"].filter("status = 'archived'").select(F.col("id").alias("item_id"), F.md5("url").alias("checksum"))
+    tables["contents"] = tables["contents"].unionByName(archived)
+    found = [
+        find_duplicates(tables[name], list(key)).select(F.lit(name).alias("table_name"), F.concat_ws("|", *key).alias("key"), "n")
+        for name, keys in UNIQUE_KEYS.items() for key in keys
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "find_orphans",
     f"""with {LAKE}, kept as (select * from users where c_acctbal >= 0), open_items as (select * from items where status <> 'archived')
-    select 'items.user_id' as rule, user_id as key, count(*) as n from items where user_id not in (select id from kept) group by user_id
+    select 'items.user_id' as rule, user_id as key, count(*) as n from open_items where user_id not in (select id from kept) group by user_id
     union all select 'tags.user_id', user_id, count(*) from tags where user_id not in (select id from kept) group by user_id
     union all select 'item_tags.tag_id', tag_id, count(*) from item_tags where tag_id not in (select id from tags) group by tag_id
-    union all select 'item_tags.item_id', item_id, count(*) from item_tags where item_id not in (select id from items) group by item_id""",
+    union all select 'item_tags.item_id', item_id, count(*) from item_tags where item_id not in (select id from open_items) group by item_id
+    union all select 'contents.item_id', id, 1 from items where id not in (select id from open_items)
+    union all select 'jobs.item_id', id, 1 from items where id not in (select id from open_items)""",
 )
 def orphans(spark, d):
-    tables = {k: v for k, v in lake(spark, d).items() if k in ("items", "tags", "item_tags")}
-    return find_orphans({**tables, "users": X.users(spark, d).filter("c_acctbal >= 0")})
+    tables = lake(spark, d)
+    tables["users"] = X.users(spark, d).filter("c_acctbal >= 0")
+    tables["items"] = tables["items"].filter("status <> 'archived'")
+    return find_orphans(tables)
 
 
 @query(
@@ -411,12 +440,14 @@ def migrated_contents(spark, d):
 
 STORED_SQL = f"""{LAKE}, {X.RESPONSES_SQL},
 judged as (select *, case when status not between 200 and 299 then 'Http' when not contains(content_type, 'text/html') then 'UnsupportedContentType'
-  when strlen(html) > 8000 then 'BodyTooLarge' end as code, cast(page_id as varchar) as item_id from resp),
+  when strlen(html) > 8000 then 'BodyTooLarge' end as code,
+  case when page_id % 6 = 5 then 'gone-' || page_id else cast(page_id as varchar) end as item_id from resp),
 kept as (select * from judged where code is null and item_id in (select id from items))"""
 
 
 def _stored(spark, d):
-    found = X.responses(spark, d).withColumn("item_id", F.col("page_id").cast("string"))
+    name = F.when(F.col("page_id") % 6 == 5, F.concat(F.lit("gone-"), "page_id")).otherwise(F.col("page_id").cast("string"))
+    found = X.responses(spark, d).withColumn("item_id", name)
     current = X.contents(spark, d).withColumn("item_id", F.expr("substring(item_id, 2)"))
     return store_responses(X.items(spark, d), current, found, X.as_of(), 8000)
 
@@ -444,6 +475,11 @@ def stored_items(spark, d):
     return _stored(spark, d)["items"].select("id", "status", "updated_at")
 
 
-@query("store_responses_errors", f"with {STORED_SQL} select item_id, code from judged where code is not null")
+@query(
+    "store_responses_errors",
+    f"""with {STORED_SQL} select item_id, code, case code when 'Http' then cast(status as varchar) when 'BodyTooLarge' then cast(strlen(html) as varchar)
+      else content_type end as detail from judged where code is not null
+    union all select item_id, 'ItemNotFound', 'Item ' || item_id || ' not found' from judged where code is null and item_id not in (select id from items)""",
+)
 def stored_errors(spark, d):
-    return _stored(spark, d)["errors"].select("item_id", "error.code")
+    return _stored(spark, d)["errors"].select("item_id", "error.code", "error.detail")

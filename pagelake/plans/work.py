@@ -31,13 +31,13 @@ def run_batch(
     """
     claimed = cut_lineage(claimed_jobs(jobs, as_of, limit))  # at most ``limit`` rows, read several times below
     outcomes, unknown = dispatch_by_kind(claimed, handlers)
-    lost = unknown.select("id", F.concat(F.lit("Failed to create handler: "), "error").alias("error"))
-    errors = cut_lineage(outcomes.select("id", "error").unionByName(lost))  # a handler runs once
+    lost = unknown.select("id", F.concat(F.lit("Failed to create handler: "), "error").alias("error"), F.lit(False).alias("ok"))
+    errors = cut_lineage(outcomes.select("id", "error", F.isnull("error").alias("ok")).unionByName(lost))  # a handler runs once
 
-    failed = claimed.select("id", "kind", "run_at", "attempts", "max_attempts").join(errors.filter("error is not null"), "id")
+    failed = claimed.select("id", "kind", "run_at", "attempts", "max_attempts").join(errors.filter("not ok").drop("ok"), "id")
     planned = retry_plan(failed, as_of, base_secs, tuple(handlers), factor)
     done = claimed.select("id", "kind", "run_at", "attempts", "max_attempts", "backoff_seconds")
-    done = done.join(errors.filter("error is null").select("id"), "id", "left_semi").withColumns(
+    done = done.join(errors.filter("ok").select("id"), "id", "left_semi").withColumns(
         {"status": F.lit("succeeded"), "error": F.lit(None).cast("string")}
     )
     columns = ["status", "run_at", "attempts", "backoff_seconds", "error"]

@@ -15,6 +15,7 @@ DETECT = [
     ('text/html; CHARSET = "Shift_JIS"', b"", "ShiftJis"),
     ("text/html; charset=big5", META % b"utf-8", "Big5"),
     ("text/html; charset=euc-kr", b"", "Other"),
+    ("text/html; charset=iso-8859-19", META % b"gbk", "Gb2312"),
     ("text/html", FAR, "Utf8"),
     ("text/html", b"caf\xe9", "Windows1252"),
     (None, "é".encode(), "Utf8"),
@@ -30,14 +31,16 @@ def test_detect(spark):
 @pytest.mark.parametrize(
     "label,name",
     [("UTF8", "Utf8"), ("latin1", "Windows1252"), ("x-sjis", "ShiftJis"), ("GBK", "Gb2312"), ("x-x-big5", "Big5"),
-     ("iso-8859-2", "Other"), ("windows-1251", "Other"), ("utf-16le", "Other"), ("nope", None), ("", None)],
+     ("iso-8859-2", "Other"), ("windows-1251", "Other"), ("utf-16le", "Other"), ("nope", None), ("", None), ("iso-8859-19", None), ("cs866", None), ("cskoi", None), ("koi8-r", "Other")],
 )
 def test_labels(one, label, name):
     assert one(charset_label(F.col("x")), x=label) == name
 
 
 BODIES = [
-    ("Hello, 世界!".encode(), "Utf8", "Hello, 世界!"),
+    ("Καλημέρα, 港!".encode(), "Utf8", "Καλημέρα, 港!"),
+    (b"\xef\xbb\xbfcaf\xc3\xa9", "Windows1252", "café"),
+    (b"\xef\xbb\xbfcaf\xc3\xa9", "ShiftJis", "café"),
     (b"\xef\xbb\xbfbom", "Utf8", "bom"),
     (b"ok \xff", "Utf8", None),
     (b"caf\xe9 \x81 \x93", "Windows1252", "café \x81 “"),

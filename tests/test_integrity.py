@@ -1,3 +1,5 @@
+import pytest
+
 from pyspark.sql import functions as F
 
 from pagelake.operators.integrity import (
@@ -41,6 +43,13 @@ def test_orphans(spark):
     }
 
 
+def test_orphans_need_their_tables(spark):
+    lake = _lake(spark)
+    del lake["contents"]
+    with pytest.raises(ValueError, match="contents"):
+        find_orphans(lake)
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([("i", "c"), ("i", "c"), ("i", None), ("i", None), ("j", "c")], "item_id string, checksum string")
     assert _set(find_duplicates(df, ["item_id", "checksum"])) == {("i", "c", 2)}

@@ -126,7 +126,7 @@ def test_dispatch(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "zz"), (4, None)], "id int, kind string")
     out, unknown = dispatch_by_kind(rows, {"a": lambda d: d.withColumn("x", F.lit(1)), "b": lambda d: d.withColumn("y", F.lit(2))})
     assert {r.id: (r.x, r.y) for r in out.collect()} == {1: (1, None), 2: (None, 2)}
-    assert {r.id: r.error for r in unknown.collect()} == {3: "No handler registered for job kind: zz", 4: None}
+    assert {r.id: r.error for r in unknown.collect()} == {3: "No handler registered for job kind: zz", 4: "No handler registered for job kind: "}
 
 
 # ------------------------------------------------------------ state from a log
@@ -221,14 +221,15 @@ def test_run_batch(spark):
         ("bad", "poor", "queued", at(-4), 0, 25, None, None, None, at(-9)),
         ("last", "poor", "running", at(-3), 24, 25, at(-1), "w", None, at(-9)),
         ("odd", "nobody", "queued", at(-2), 0, 25, None, None, None, at(-9)),
+        ("none", None, "queued", at(-6), 0, 25, None, None, None, at(-9)),
         ("wait", "good", "queued", at(9), 0, 25, None, None, None, at(-9)),
         ("over", "good", "queued", at(-1), 0, 25, None, None, None, at(-9)),
     ]
     jobs = spark.createDataFrame(rows, JOBS).withColumn("backoff_seconds", F.lit(0).cast("bigint"))
     handlers = {"good": lambda d: d.select("id", F.lit(None).cast("string").alias("error")), "poor": lambda d: d.select("id", F.lit("boom").alias("error"))}
-    got = {r.id: r for r in run_batch(jobs, handlers, now(), 4, factor=F.lit(1.0)).collect()}
+    got = {r.id: r for r in run_batch(jobs, handlers, now(), 5, factor=F.lit(1.0)).collect()}
     assert {i: r.status for i, r in got.items()} == {
-        "ok": "succeeded", "bad": "queued", "last": "failed", "odd": "failed", "wait": "queued", "over": "queued"
+        "ok": "succeeded", "bad": "queued", "last": "failed", "odd": "failed", "none": "failed", "wait": "queued", "over": "queued"
     }
     assert (got["ok"].attempts, got["ok"].last_error, got["ok"].updated_at) == (0, "old", NOW)
     assert (got["bad"].attempts, got["bad"].backoff_seconds, got["bad"].run_at, got["bad"].last_error) == (1, 60, at(1), "boom")

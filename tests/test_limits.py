@@ -93,3 +93,11 @@ def test_usage(spark):
     rows = [(i, "a", sec(i)) for i in range(5)] + [(9, "a", sec(90)), (10, "b", sec(0))]
     got = {r.key: tuple(r)[1:] for r in rate_limit_usage(run(spark, rows, 3, 60), "key").collect()}
     assert got == {"a": (6, 2, 2, 5), "b": (1, 0, 1, 1)}
+
+
+def test_events_without_key_or_time_come_back(spark):
+    rows = [("a", T0, 1), (None, T0, 2), ("a", None, 3), (None, None, 4), ("a", T0, 5)]
+    events = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int")
+    limited = rate_limit(events, "k", "ts", "id", 1, 60)
+    assert {r.id: (r.window_count, r.allowed) for r in limited.collect()} == {1: (1, True), 5: (2, False), 2: (None, None), 3: (None, None), 4: (None, None)}
+    assert limiter_state(limited, "k").count() == 1

@@ -3,16 +3,16 @@ import pytest
 from pagelake.operators.quality import check_domains, reject_content, validate_emails, validate_urls
 
 REJECT = [
-    ("Title", "Short", "too_short"),
-    ("Title", "Long enough content " * 50, None),
-    ("", "Just a few words here", "too_short"),
+    ("Harbour notes", "Fog.", "too_short"),
+    ("Harbour notes", "the tide turned at noon and " * 40, None),
+    ("", "six words are not a page", "too_short"),
     ("", "x" * 300, "untitled"),
     (" 　", "abcdefgh " * 49, "untitled"),
     ("", "abcdefgh " * 50, None),
     (None, "abcdefgh " * 40, "untitled"),
-    ("Good", "x" * 300, None),
-    ("Title", "cookie consent privacy policy terms service gdpr tracking advertisement " * 20, "boilerplate"),
-    ("Good Article Title", "This is an article with real content that gives value to its readers. " * 10, None),
+    ("Runes", "x" * 300, None),
+    ("Settings", "login register password reset newsletter subscribe preferences browser " * 15, "boilerplate"),
+    ("Field guide", "Herons stand in the shallows and wait for fish to come within reach of the bill. " * 8, None),
     # exactly 0.3 is not more than 0.3: 3 keywords in 10 words
     ("T", ("cookie cookie cookie " + "wordwordword " * 7) * 5, None),
     ("T", "x" * 249, "too_short"),

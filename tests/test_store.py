@@ -159,14 +159,20 @@ def test_store_responses(spark):
         ("https://a.example/1", 200, {"content-type": "text/html"}, None, bytearray(b"<p>one</p>"), T1),
         ("https://a.example/2", 404, {}, None, bytearray(b""), T1),
         ("https://a.example/3", 200, {"content-type": "text/html; charset=utf-8"}, None, bytearray(b"\xff"), T1),
+        ("https://a.example/4", 200, {}, None, bytearray(b"<p>of no item</p>"), T1),
+        ("https://a.example/5", 200, {}, None, bytearray(b"<p>of no item</p>"), T1),
     ]
     responses = spark.createDataFrame(rows, RESPONSES)
-    ids = F.element_at(F.array(F.lit("i1"), F.lit("i2"), F.lit("i9")), F.substring("url", -1, 1).cast("int"))
+    ids = F.element_at(F.array(F.lit("i1"), F.lit("i2"), F.lit("i9"), F.lit("gone"), F.lit(None)), F.substring("url", -1, 1).cast("int"))
     out = store_responses(_items(spark), spark.createDataFrame([], CONTENTS), responses.withColumn("item_id", ids), _now())
     stored = out["contents"].collect()
     assert [(r.item_id, r.raw_html, r.checksum, r.clean_html) for r in stored] == [("i1", "<p>one</p>", _md5("<p>one</p>"), None)]
     assert {r.id: r.status for r in out["items"].collect()} == {"i1": "fetched", "i2": "fetched"}
-    assert {r.item_id: r.error.code for r in out["errors"].collect()} == {"i2": "Http", "i9": "Charset"}
+    errors = {r.item_id: (r.error.code, r.error.detail) for r in out["errors"].collect()}
+    assert errors == {
+        "i2": ("Http", "404"), "i9": ("Charset", "Failed to decode content with encoding: UTF-8"),
+        "gone": ("ItemNotFound", "Item gone not found"), None: ("ItemNotFound", "Item  not found"),
+    }
 
 
 def test_parts_merge_like_the_upserts(spark, tmp_path):

@@ -7,7 +7,8 @@ from pagelake.functions.urls import normalize_url, resolve_reference, url_host,
 
 VALID = {
     "https://example.com": True, "http://a.b/c?d#e": True, "HTTPS://EXAMPLE.com:8443/": True, "mailto:x@y.z": True,
-    "http://[::1]:80/": True, "": False, "not-a-url": False, "/relative": False, "http://": False, "http:///x": False,
+    "http://[::1]:80/": True, "": False, "not-a-url": False, "/relative": False, "http://": False, "http:///x": True, "http:/example.com": True, "http:example.com": True, "https:\\\\h": True,
+    "http://h:65535/": True, "http://h:65536/": False, "http://h:99999/": False, "http://h:000080/": True,
     "http://a b/": False, "//host/x": False, "https://user:pw@host/": True,
 }
 
@@ -21,6 +22,8 @@ NORMAL = {
     "http://example.com/../../x": "http://example.com/x",
     "http://User@Example.com/": "http://User@example.com/",
     "mailto:Joe@Example.com": "mailto:Joe@Example.com",
+    "http:/example.com/x": "http://example.com/x",
+    "http://example.com:99999/": None,
     "nonsense": None,
 }
 
