@@ -308,20 +308,15 @@ def gaps(spark, d):
     return lease_gaps(X.job_log(X.with_k(read_fixture(spark, d, "events"))), X.as_of(LOG_END))
 
 
-# a lease is reported when the next action shows that it ran out, or when the stream's clock passes it:
-# the watermark, which is the newest row minus an hour in whole milliseconds
+# a lease is reported when the stream's clock passes its end: the newest row less an hour
 @query(
     "stream_lease_expiry",
-    gaps_sql("(next_ts > until or (next_ts is null and until <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from log)))"),
+    gaps_sql("until <= (select max(ts) - interval 1 hour from log) and (next_ts is null or next_ts > until)"),
 )
 def streamed_leases(spark, d):
     base = work_path(spark, "leases")
-    log = X.job_log(X.with_k(_event_stream(spark, d))).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = stream_lease_expiry(log.select("job_id", "ts", "seq", "action", "lease_secs"))
-    run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
-    run.trigger(availableNow=True).start(f"{base}/expired").awaitTermination()
-    expired = spark.read.schema("job_id string, expired_at timestamp").parquet(f"{base}/expired")
-    return expired.select("job_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
+    stream_lease_expiry(X.job_log(X.with_k(_event_stream(spark, d))), base).awaitTermination()
+    return spark.read.parquet(f"{base}/expired").select("job_id", "expired_at")
 
 
 # -------------------------------------------------------------------- limiter

@@ -8,15 +8,11 @@ and rewrites its own, so the result is the same after a failure.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagelake.operators.jobs import job_state_fold
+from pagelake.operators.jobs import job_state_fold, lease_gaps
 from pagelake.operators.limits import limiter_state, rate_limit
 from pagelake.operators.store import detect_changed, with_checksum
 from pagelake.plans.extract import extract_pages
@@ -33,6 +29,13 @@ def _previous(spark: SparkSession, base: str, name: str, version: int) -> DataFr
     return spark.read.parquet(_folder(base, name, version - 1)) if version > 0 else None
 
 
+def _forget(spark: SparkSession, base: str, name: str, version: int) -> None:
+    """Delete the state that no replay can need any more: a batch reads the version before it only."""
+    if version > 1:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folder(base, name, version - 2))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _start(stream: DataFrame, step, base: str, available_now: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -55,6 +58,7 @@ def stream_rate_limit(
         limited.write.mode("overwrite").parquet(_folder(base, "decisions", version))
         stored = spark.read.parquet(_folder(base, "decisions", version))
         limiter_state(stored, key, state).write.mode("overwrite").parquet(_folder(base, "state", version))
+        _forget(spark, base, "state", version)
 
     return _start(events, step, base, available_now)
 
@@ -65,14 +69,19 @@ def stream_job_state(log: DataFrame, base: str, available_now: bool = True) -> S
     def step(batch: DataFrame, version: int) -> None:
         state = job_state_fold(batch, _previous(batch.sparkSession, base, "jobs", version))
         state.write.mode("overwrite").parquet(_folder(base, "jobs", version))
+        _forget(batch.sparkSession, base, "jobs", version)
 
     return _start(log, step, base, available_now)
 
 
 def read_latest(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """The newest version of a state table."""
-    rows = spark.read.parquet(f"{base}/{name}")
-    return rows.filter(F.col("version") == rows.select(F.max("version")).scalar()).drop("version")
+    """The newest version of a state table that was written to its end."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    versions = sorted(int(mark.getPath().getParent().getName().partition("=")[2]) for mark in found or ())
+    if not versions:
+        raise ValueError(f"no complete version of {name} in {base}")
+    return spark.read.parquet(_folder(base, name, versions[-1]))
 
 
 def stream_extract(
@@ -104,55 +113,57 @@ def stream_extract(
 
 # Log actions that concern a lease.
 LEASE_ACTIONS = ("claim", "extend", "success", "failure")
-LEASE_STATE = "at timestamp, seq bigint, running boolean, until timestamp"
-LEASE_EVENTS = "job_id string, expired_at timestamp"
 
 
-def stream_lease_expiry(log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One row (job_id, expired_at) for every lease that runs out with no action in time.
+def stream_lease_expiry(log: DataFrame, base: str, late_secs: int = 3600, available_now: bool = True) -> StreamingQuery:
+    """Write one row (job_id, expired_at) to ``base/expired`` for every lease that runs out with no action in time.
 
-    The log has job_id, ts (TIMESTAMP), seq, action and lease_secs. Leases that
-    run out between two rows are found in order; the last one waits for an
-    event-time timer. Rows that arrive more than ``late`` behind are dropped. The
-    state per job is one row.
+    The log has job_id, ts, seq, action and lease_secs. The stream's clock is
+    the newest time seen less ``late_secs``; a lease is reported when the clock
+    passes its end, so rows that come out of order before that count in their
+    place. Rows behind the clock, and rows without job or time, go to
+    ``base/late``. Kept are the rows after the clock and, of each job whose last
+    move is a claim, that claim and the last extension.
     """
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, _, running, until = state.get
-            state.remove()
-            if running:
-                yield pd.DataFrame({"job_id": [key[0]], "expired_at": [until]})
-            return
-        at, seq, running, until = state.get if state.exists else (pd.Timestamp.min, -1, False, None)
-        columns = ["ts", "seq", "action", "lease_secs"]
-        rows = pd.concat([b.loc[b["action"].isin(LEASE_ACTIONS), columns] for b in batches]).sort_values(["ts", "seq"])
-        rows = rows[(rows["ts"] > at) | ((rows["ts"] == at) & (rows["seq"] > seq))]
-        if rows.empty:
-            return
-        moves = rows["action"].where(rows["action"] != "extend")
-        runs = moves.ffill().fillna("claim" if running else "idle") == "claim"
-        ends = (rows["ts"] + pd.to_timedelta(rows["lease_secs"], unit="s")).where(runs)
-        # the lease open before this batch, then the lease after each row, against the time of the next row
-        before = pd.concat([pd.Series([until if running else pd.NaT], dtype="datetime64[ns]"), ends])
-        gone = before.to_numpy()[:-1] < rows["ts"].to_numpy()
-        expired = list(before[:-1][gone])
-        last = rows.iloc[-1]
-        at, seq, running = last["ts"], int(last["seq"]), bool(runs.iloc[-1])
-        until = ends.iloc[-1] if running else None
-        # a finished job is remembered until no row older than its end can arrive
-        wake = int((until if running else at + pd.Timedelta(late)).timestamp() * 1000)
-        if wake > state.getCurrentWatermarkMs():
-            state.update((at, seq, running, until))
-            state.setTimeoutTimestamp(wake)
+    def step(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        before = _previous(spark, base, "clock", version)
+        clock = before.first()["clock"] if before is not None else None
+        rows = batch.select("job_id", "ts", "seq", "action", "lease_secs").filter(F.col("action").isin(*LEASE_ACTIONS))
+        rows = cut_lineage(rows)
+        placed = F.col("job_id").isNotNull() & F.col("ts").isNotNull()
+        in_time = placed & (F.col("ts") > clock) if clock is not None else placed
+        rows.filter(~F.coalesce(in_time, F.lit(False))).write.mode("overwrite").parquet(_folder(base, "late", version))
+        rows = rows.filter(in_time)
+        newest = rows.agg((F.max("ts") - F.make_dt_interval(secs=F.lit(late_secs))).alias("clock")).first()["clock"]
+        known = [t for t in (clock, newest) if t is not None]
+        now = max(known) if known else None
+        held = _previous(spark, base, "rows", version)
+        rows = rows if held is None else held.unionByName(rows)
+        if now is None:
+            expired, kept = rows.limit(0).select("job_id", F.col("ts").alias("expired_at")), rows
         else:
-            expired += [until] if running else []
-            if state.exists:
-                state.remove()
-        if expired:
-            yield pd.DataFrame({"job_id": key[0], "expired_at": expired})
-
-    marked = log.withWatermark("ts", late)
-    return marked.groupBy("job_id").applyInPandasWithState(
-        follow, LEASE_EVENTS, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+            expired = lease_gaps(rows, F.lit(now).cast(rows.schema["ts"].dataType))
+            if clock is not None:
+                expired = expired.filter(F.col("expired_at") > clock)
+            kept = _open_leases(rows.filter(F.col("ts") <= now)).unionByName(rows.filter(F.col("ts") > now))
+        expired.write.mode("overwrite").parquet(_folder(base, "expired", version))
+        kept.write.mode("overwrite").parquet(_folder(base, "rows", version))
+        stamp = spark.range(1).select(F.lit(now).cast(batch.schema["ts"].dataType).alias("clock"))
+        stamp.write.mode("overwrite").parquet(_folder(base, "clock", version))
+        for name in ("rows", "clock"):
+            _forget(spark, base, name, version)
+
+    return _start(log, step, base, available_now)
+
+
+def _open_leases(rows: DataFrame) -> DataFrame:
+    """Of each job whose last move is a claim, that claim and the last extension after it."""
+    at = F.struct("ts", "seq", "action", "lease_secs")
+    move = F.col("action") != "extend"
+    last = rows.groupBy("job_id").agg(F.max(F.when(move, at)).alias("move"), F.max(F.when(~move, at)).alias("ext"))
+    last = last.filter("move.action = 'claim'")
+    after = F.struct("ext.ts", "ext.seq") > F.struct("move.ts", "move.seq")
+    both = F.array_compact(F.array("move", F.when(after, F.col("ext"))))
+    return last.select("job_id", F.inline(both)).select(*rows.columns)

@@ -1,5 +1,8 @@
 """Streams in several micro-batches give what the batch operators give."""
 
+import datetime as dt
+import time
+
 from pyspark.sql import functions as F
 
 from pagelake.operators.jobs import job_state_fold, lease_gaps
@@ -46,16 +49,43 @@ def test_job_state(spark, tmp_path):
 
 
 def test_lease_expiry(spark, tmp_path):
-    log = X.job_log(X.with_k(read_fixture(spark, SF, "events"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    log = log.select("job_id", "ts", "seq", "action", "lease_secs")
-    stream = _in_files(spark, log, "ts", str(tmp_path / "in"))
-    out = stream_lease_expiry(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
-    out.outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    newest, end = log.agg(F.max("ts"), F.date_trunc("millisecond", F.max("ts")) - F.expr("interval 1 hour")).first()
-    got = set(_rows(spark.read.parquet(str(tmp_path / "out"))))
-    # past the watermark a lease is known to have run out only if a later action says so
-    assert set(_rows(lease_gaps(log, F.lit(end)))) <= got <= set(_rows(lease_gaps(log, F.lit(newest))))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(got) > 0
+    log = X.job_log(X.with_k(read_fixture(spark, SF, "events"))).select("job_id", "ts", "seq", "action", "lease_secs")
+    base = str(tmp_path / "out")
+    stream_lease_expiry(_in_files(spark, log, "ts", str(tmp_path / "in")), base).awaitTermination()
+    end = log.agg(F.max("ts") - F.expr("interval 1 hour")).first()[0]
+    got = spark.read.parquet(f"{base}/expired").select("job_id", "expired_at")
+    assert _rows(got) == _rows(lease_gaps(log, F.lit(end))) and got.count() > 0
+    assert spark.read.parquet(f"{base}/late").count() == 0
+
+
+def test_lease_rows_out_of_order(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    rows = [  # batch, job, minute, seq, action, lease
+        (0, "a", 0, 1, "claim", 300), (0, "a", 10, 3, "extend", 300), (1, "a", 4, 2, "success", None),
+        (0, "b", 0, 4, "claim", 300), (1, "b", 4, 5, "extend", 300), (0, "c", 2, 6, "claim", 600), (2, "c", 30, 7, "success", None),
+        (1, "d", 400, 8, "claim", 60), (2, "d", 900, 9, "success", None), (2, "e", 100, 10, "claim", 60), (2, None, 500, 11, "claim", 60),
+        (0, "f", 20, 12, "claim", 3600), (1, "f", 70, 13, "extend", 3600),
+    ]
+    path, base = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "job_id string, ts timestamp_ntz, seq long, action string, lease_secs long"
+    for batch in range(3):
+        own = [(j, day + dt.timedelta(minutes=m), s, a, n) for b, j, m, s, a, n in rows if b == batch]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream_lease_expiry(stream, base).awaitTermination()
+    got = {(r.job_id, int((r.expired_at - day).total_seconds() / 60)) for r in spark.read.parquet(f"{base}/expired").collect()}
+    # a: closed in time; b: extended in time; c: its end came too late; e: behind the clock; d and f run out
+    assert got == {("b", 9), ("c", 12), ("d", 401), ("f", 130)}
+    assert {r.job_id for r in spark.read.parquet(f"{base}/late").collect()} == {"c", "e", None}
+
+
+def test_unfinished_versions_are_not_read(spark, tmp_path):
+    base = str(tmp_path)
+    for version in (3, 4):
+        spark.range(version).write.parquet(f"{base}/jobs/version={version:012d}")
+    (tmp_path / "jobs" / f"version={4:012d}" / "_SUCCESS").unlink()
+    assert read_latest(spark, base, "jobs").count() == 3
 
 
 def test_extract(spark, tmp_path):
