@@ -14,7 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(EAGER)])
+@pytest.mark.parametrize("name", [n for n in entry.OWN_QUERIES if not n.startswith(EAGER)])
 def test_no_cross_join_and_no_single_partition_exchange(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text

@@ -31,7 +31,7 @@ def canonical(rows, columns):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.OWN_QUERIES))
 def test_twin(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     result = duck.execute(entry.oracle_sql()[name])
@@ -46,4 +46,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.OWN_QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_missing_parts_are_left_out_and_broken_ones_are_not(tmp_path, monkeypatch):
+    (tmp_path / "part_with_a_fault.py").write_text("import no_such_module_at_all\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert entry._optional("pagelake_part_that_is_not_there") is None
+    with pytest.raises(ModuleNotFoundError, match="no_such_module_at_all"):
+        entry._optional("part_with_a_fault")
