@@ -64,6 +64,23 @@ def language_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang
     return ranked.select("lang", "gram", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _ranked_grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, trigram, rank) of the ``size`` most frequent trigrams of each text; ties stay in trigram order."""
+    grams = [_grams(t) for t in texts]
+    text = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+    codes = np.concatenate([*grams, np.zeros(0, dtype=np.uint64)])
+    order = np.lexsort((codes, text))
+    text, codes = text[order], codes[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (codes[1:] != codes[:-1])])) if len(text) else text
+    counts = np.diff(np.append(first, len(text)))
+    text, codes = text[first], codes[first]
+    order = np.lexsort((codes, -counts, text))
+    text, codes = text[order], codes[order]
+    rank = np.arange(len(text)) - np.searchsorted(text, text) + 1
+    keep = rank <= size
+    return text[keep], codes[keep], rank[keep]
+
+
 def _scorer(profiles: dict[str, dict[str, int]], size: int):
     """Column function: the nearest language and the similarity of the two nearest."""
     tables = []
@@ -71,25 +88,28 @@ def _scorer(profiles: dict[str, dict[str, int]], size: int):
         ranked = sorted((int(_grams(gram)[0]), rank) for gram, rank in profiles[lang].items())
         codes, ranks = np.array(ranked, dtype=np.uint64).T
         tables.append((lang, codes, ranks.astype(np.int64)))
+    names = np.array([lang for lang, _, _ in tables] or [None], dtype=object)
 
-    def nearest(plain: str | None) -> tuple[str | None, int, int]:
-        codes, counts = np.unique(_grams(plain or ""), return_counts=True)
-        codes = codes[np.argsort(-counts, kind="stable")[:size]]  # ties stay in trigram order
-        own = np.arange(1, len(codes) + 1)
-        found = []
-        for lang, known, ranks in tables:
+    def nearest(texts: list[str]) -> pd.DataFrame:
+        text, codes, own = _ranked_grams(texts, size)
+        found = np.zeros((max(1, len(tables)), len(texts)), dtype=np.int64)
+        for i, (_, known, ranks) in enumerate(tables):
             at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-            hit = known[at] == codes
-            found.append((-int((size - np.abs(ranks[at] - own))[hit].sum()), lang))
-        if not found:  # no profiles
-            return None, 0, 0
-        found.sort()
-        return found[0][1], -found[0][0], -found[1][0] if len(found) > 1 else 0
+            near = np.where(known[at] == codes, size - np.abs(ranks[at] - own), 0)
+            found[i] = np.bincount(text, weights=near, minlength=len(texts))
+        best = found.argmax(axis=0)  # the first in alphabetical order of equals
+        ordered = np.sort(found, axis=0)
+        second = ordered[-2] if len(found) > 1 else np.zeros(len(texts), dtype=np.int64)
+        return pd.DataFrame({"lang": names[best], "best": ordered[-1], "second": second})
 
     @F.pandas_udf("lang string, best bigint, second bigint")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([nearest(plain) for plain in batch], columns=["lang", "best", "second"])
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # a bounded number of letters at a time, or one longer text
+            plain = batch.fillna("").tolist()
+            group = np.cumsum([len(t) for t in plain]) // CHARS_PER_COUNT
+            parts = [nearest([plain[i] for i in np.flatnonzero(group == g)]) for g in np.unique(group)]
+            yield pd.concat(parts, ignore_index=True) if parts else nearest([])
 
     return score
 

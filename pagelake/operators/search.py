@@ -84,13 +84,13 @@ def rank_bm25(
 ) -> DataFrame:
     """(query, key, score, rank): the k best documents per query, ties by key.
 
-    ``queries`` maps a name to its terms; the (query, term) table is as small as
-    the request and is broadcast. Only postings of these terms are read. The
+    ``queries`` maps a name to its terms; Spark broadcasts the (query, term)
+    table where its size allows it. Only postings of these terms are read. The
     per-query limit is applied before the shuffle (Spark's window group limit).
     """
     spark = postings.sparkSession
     pairs = [(name, term) for name, terms in queries.items() for term in dict.fromkeys(terms)]
-    asked = F.broadcast(spark.createDataFrame(pairs, "query string, term string"))
+    asked = spark.createDataFrame(pairs, "query string, term string")
     terms = sorted({term for _, term in pairs})
     # read twice below: once for the document frequencies, once for the scores
     hits = cut_lineage(postings.filter(F.col("term").isin(*terms)).select("term", key, "tf"))
@@ -99,7 +99,7 @@ def rank_bm25(
     idf = df.select("term", F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = hits.join(lengths.select(key, "dl", (F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))).alias("norm")), key)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
-    scored = weighted.join(F.broadcast(idf), "term").withColumn("part", part).join(asked, "term")
+    scored = weighted.join(idf, "term").withColumn("part", part).join(asked, "term")
     scores = scored.groupBy("query", key).agg(F.round(F.sum("part"), digits).alias("score"))
     return search_topk(scores, key, k)
 
