@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.store import stored, tuned
-from pagelake.llm.textbatch import U64, slices, span_hashes
+from pagelake.llm.textbatch import U64, mix, slices, value_hashes
 
 #: Labelled rows of each language that the fit reads.
 SAMPLE_ROWS = 1000
 #: Different words of each language, the most frequent of the sample, that the fit rests on.
-SAMPLE_WORDS = 30_000
+SAMPLE_WORDS = 20_000
 ROUNDS = 2
 #: Letters of a word that are scored together; longer ones are cut into stretches of this length.
 WORD_LETTERS = 32
@@ -32,8 +32,10 @@ WORD_LETTERS = 32
 PIECE_LETTERS = 8
 #: Share of a language's probability that all pieces have alike.
 SMOOTHING = 1e-3
+#: Bytes of text that are scored together; a byte needs some dozens of bytes of work arrays.
+MODEL_BYTES = 2 << 20
 #: Words whose probabilities a worker remembers.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 WORD_MARK = "▁"
 UNDETERMINED = "und"
 
@@ -122,7 +124,7 @@ class Words:
         self.order = np.argsort(-lengths, kind="stable")
         self.lengths = lengths[self.order] + 1
         width = int(self.lengths[0]) if len(lengths) else 0
-        self.points = np.zeros((width, len(lengths)), dtype=U64)  # position first: a step reads one row
+        self.points = np.zeros((width, len(lengths)), dtype=np.uint32)  # position first: a step reads one row
         self.points[:1] = ord(WORD_MARK)
         self.active = np.searchsorted(-self.lengths, -np.arange(width), side="left")  # words that have this position
         for j in range(1, width):
@@ -135,7 +137,7 @@ class Words:
         key = np.zeros(n, dtype=U64)
         for length in range(1, min(PIECE_LETTERS, end + 1) + 1):
             power = U64(pow(0x100000001B3, length - 1, 1 << 64))
-            key = key + (self.points[end - length + 1, :n] + U64(1)) * power
+            key = key + (self.points[end - length + 1, :n].astype(U64) + U64(1)) * power
             yield length, known.find(key)
 
 
@@ -165,7 +167,7 @@ def forward(words: Words, known: Vocabulary, table: np.ndarray) -> tuple[list[np
 def fit(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (pieces + 1, languages) from word counts (words, languages) by expectation and maximisation."""
     known = vocabulary(path)
-    points = np.array([ord(c) for w in words for c in w], dtype=U64)
+    points = np.array([ord(c) for w in words for c in w], dtype=np.uint32)
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     chart = Words(points, np.cumsum(lengths) - lengths, lengths)
     counts = counts[chart.order]
@@ -176,7 +178,8 @@ def fit(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -
     for _ in range(rounds):
         alpha, total = forward(chart, known, table)
         share = counts / total
-        beta = [np.zeros_like(total) for _ in range(len(chart.active) + 1)]  # probability of what follows a position
+        # probability of what follows a position, for the words that have it
+        beta = [np.zeros_like(total), *[np.zeros((m, languages)) for m in chart.active]]
         expected = np.zeros_like(table)
         for end in range(len(chart.active), 0, -1):
             m = chart.active[end - 1]
@@ -255,20 +258,25 @@ class LanguageModel:
         n = len(part)
         if not len(starts):
             return np.zeros((n, len(self.languages))), np.zeros(n, dtype=np.int64)
-        raw = np.ascontiguousarray(points).view(np.uint8)
-        hashes = span_hashes(raw, starts * 4, (starts + lengths) * 4)
+        hashes = value_hashes(mix(points.astype(U64) + U64(1)), starts, starts + lengths)
         hashes, first, each = np.unique(hashes, return_index=True, return_inverse=True)
-        logs = self.word_logs(hashes, points.astype(U64), starts[first], lengths[first])
+        logs = self.word_logs(hashes, points, starts[first], lengths[first])
         total = np.stack([np.bincount(document, weights=logs[each, i], minlength=n) for i in range(len(self.languages))], axis=1)
         return total, np.bincount(document, minlength=n)
 
 
 def sample_words(labelled: DataFrame, sample_rows: int, sample_words: int) -> DataFrame:
     """(lang, word, n): the most frequent words of at most ``sample_rows`` rows of each language, chosen by hash."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_rows)
+    # twice the rows that are needed, by hash, so that no language's rows stand in one task
+    place = F.col("place") / F.lit(float(1 << 32))
+    ids = labelled.select("doc_id", "lang", F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")).alias("place"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("lang", "_lang")
+    near = ids.join(sizes, F.col("lang") == F.col("_lang")).filter(place * F.col("rows") < 2 * sample_rows)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_rows)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    rows = labelled.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    # at most ``sample_rows`` ids of each language
+    rows = labelled.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     found = F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{WORD_LETTERS}}}"), F.lit(0))
     counted = rows.select("lang", F.explode(found).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
@@ -312,7 +320,7 @@ def identify(docs: DataFrame, model: LanguageModel, extra: dict[str, Column] | N
         for batch in batches:
             best = np.full(batch.num_rows, len(languages), dtype=np.int64)
             score = np.zeros(batch.num_rows)
-            for part in slices(batch.column(batch.num_columns - 1)) if languages else ():
+            for part in slices(batch.column(batch.num_columns - 1), MODEL_BYTES) if languages else ():
                 logs, words = model.score(part)
                 top = logs.max(axis=1)
                 share = 1 / np.exp(logs - top[:, None]).sum(axis=1)

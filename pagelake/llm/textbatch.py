@@ -114,9 +114,15 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes give equal hashes wherever they stand."""
-    forward, back = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(BYTE_VALUES[data] * forward[: len(data)], out=total[1:])
+    return value_hashes(BYTE_VALUES[data], starts, ends)
+
+
+def value_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same for spans of 64-bit values, which are overwritten."""
+    forward, back = powers(len(values))
+    total = np.zeros(len(values) + 1, dtype=U64)
+    np.multiply(values, forward[: len(values)], out=values)
+    np.cumsum(values, out=total[1:])
     value = (total[ends] - total[starts]) * back[starts]
     return mix(value ^ (ends - starts).astype(U64))
 
