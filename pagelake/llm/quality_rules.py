@@ -40,7 +40,7 @@ MIN_GROUP = 200
 REJECT_PROBABILITY = 1e-6
 PERCENTILE_ACCURACY = 10_000
 #: Tolerances: the least standard deviation of each transformed statistic that counts as usual.
-TOLERANCE = {"log_words": 1.0, "log_word_length": 0.1, "root_symbols": 0.15, "root_dup_lines": 0.15, "root_repeats": 0.15}
+TOLERANCE = {"log_words": 1.0, "log_word_length": 0.1, "root_symbols": 0.1, "root_dup_lines": 0.15, "root_repeats": 0.15}
 DIMENSIONS = tuple(TOLERANCE)
 
 _IS_SYMBOL = np.zeros(256, dtype=bool)
