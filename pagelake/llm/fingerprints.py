@@ -215,7 +215,7 @@ def with_next(docs: DataFrame, cells: int) -> DataFrame:
     first = placed.groupBy("cell").agg(smallest.alias("id")).orderBy("cell").collect()
     heads = [(row["id"], first[i - 1]["cell"]) for i, row in enumerate(first)]
     heads = spark.createDataFrame(heads, T.StructType([T.StructField("head", docs.schema["doc_id"].dataType), T.StructField("before", T.IntegerType())]))
-    placed = placed.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    placed = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "left")  # one row a cell
     places = F.array(
         F.struct(F.col("cell").alias("cell"), F.lit(False).alias("tail")),
         F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("cell"), F.lit(True).alias("tail"))),
