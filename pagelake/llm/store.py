@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm.textbatch import BATCH_ROWS
-from pagelake.session import work_path
+from pagelake.session import ship_package, work_path
 
 #: Error of the boundaries of cells, as a share of one cell's rows.
 BOUNDARY_ERROR = 0.1
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches: a batch of whole documents must fit beside its work arrays."""
+    """Small Arrow batches, as whole documents must fit beside their work arrays; and the package on the Python workers."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
@@ -44,14 +47,21 @@ def cell_bounds(df: DataFrame, key: str, cells: int) -> list:
 
 
 def cell_of(column: Column, bounds: list) -> Column:
-    """Cell of a value: the number of bounds that are at most the value; NULL is in cell 0."""
+    """Cell of a value: the number of bounds that are at most the value; NULL is in cell 0.
+
+    A binary search in one literal array, so that the expression stays small for any number of cells.
+    """
     if not bounds:
         return F.lit(0)
-
-    def split(low: int, high: int) -> Column:  # a balanced tree of comparisons
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(column < F.lit(bounds[middle]), split(low, middle)).otherwise(split(middle + 1, high))
-
-    return F.when(column.isNull(), F.lit(0)).otherwise(split(0, len(bounds)))
+    kind = "double" if any(isinstance(b, float) for b in bounds) else "bigint"
+    limits = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")  # a constant: read once
+    open_ = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = F.shiftright(range_["low"] + range_["high"], 1)
+        right = F.struct((middle + 1).alias("low"), range_["high"].alias("high"))
+        left = F.struct(range_["low"].alias("low"), middle.alias("high"))
+        return F.when(range_["low"] >= range_["high"], range_).when(F.get(limits, middle) <= column, right).otherwise(left)
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.when(column.isNull(), F.lit(0)).otherwise(F.aggregate(steps, open_, halve, lambda range_: range_["low"]))
