@@ -9,13 +9,14 @@ from pagelake.operators.jobs import (
     attach_item_url, claim_rows, claimed_jobs, dead_letter, dispatch_by_kind, due_batch, due_jobs, job_monitor,
     job_state_fold, lease_expiry, lease_gaps, parse_payloads, retry_plan,
 )
+from pagelake.operators.language import language_profiles
 from pagelake.operators.limits import rate_limit, rate_limit_usage
 from pagelake.plans import sqltext as S
-from pagelake.plans.crawl_queries import MAIN_SQL
+from pagelake.plans.crawl_queries import GRAMS_SQL, MAIN_SQL, language_sql
 from pagelake.plans.work import run_batch
 from pagelake.session import work_path
 from pagelake.sources import fixtures as X
-from pagelake.sources.tables import read_contents, read_fixture
+from pagelake.sources.tables import read_contents, read_fixture, read_texts
 from pagelake.streaming.jobs import read_latest, stream_extract, stream_job_state, stream_lease_expiry, stream_rate_limit
 
 QUERIES = {}
@@ -360,16 +361,17 @@ def streamed_limits(spark, d):
 
 @query(
     "stream_extract",
-    f"""with parts as (select page_id, {S.title('html')} as title, {S.normalize(MAIN_SQL)} as text from pages)
-    select cast(page_id as varchar) as item_id, text as clean_text, cast(null as varchar) as lang, timestamp '2024-01-01 00:00:00' as extracted_at, true as has_checksum
-    from parts where title is not null and {S.trim('text')} <> '' and ({S.reject_reason('title', 'text')}) is null""",
+    f"""with {GRAMS_SQL}, parts as (select page_id as id, {S.title('html')} as title, {S.normalize(MAIN_SQL)} as text from pages),
+    given as (select id, text from parts where title is not null and {S.trim('text')} <> '' and ({S.reject_reason('title', 'text')}) is null), {language_sql('given')}
+    select cast(g.id as varchar) as item_id, g.text as clean_text, case when s.confidence >= 0.25 then s.lang end as lang,
+      timestamp '2024-01-01 00:00:00' as extracted_at, true as has_checksum from given g join scored s using (id)""",
 )
 def streamed_pages(spark, d):
     base = work_path(spark, "extract")
     schema = read_fixture(spark, d, "pages").schema
     pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
     pages = pages.selectExpr("cast(page_id as string) as item_id", "url", "html", "timestamp'2024-01-01 00:00:00' as fetched_at")
-    stream_extract(pages, base).awaitTermination()
+    stream_extract(pages, base, profiles=language_profiles(read_texts(spark, d, "documents"))).awaitTermination()
     return read_contents(spark, f"{base}/contents").select(
         "item_id", "clean_text", "lang", F.col("extracted_at").cast("timestamp_ntz").alias("extracted_at"),
         (F.col("checksum") == F.md5(F.concat("clean_html", "clean_text"))).alias("has_checksum"),

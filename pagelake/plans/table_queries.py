@@ -17,7 +17,7 @@ from pagelake.operators.store import (
     mark_fetched, partial_patch, touch_updated_at, upsert_clean, upsert_raw, with_checksum,
 )
 from pagelake.plans.extract import store_responses
-from pagelake.schemas import ITEM_STATUS, UNIQUE_KEYS
+from pagelake.schemas import ITEM_STATUS, JOB_STATUS, NOT_NULL, UNIQUE_KEYS
 from pagelake.session import work_path
 from pagelake.sources import fixtures as X
 from pagelake.sources.tables import read_fixture, scan_table
@@ -126,6 +126,25 @@ def domain_rules(spark, d):
     return check_domains(rows, "id", {"status": ITEM_STATUS}, ["title"], ["attempts"])
 
 
+ODD_JOBS_SQL = f"""{X.JOBS_SQL}, odd as (select id, kind, case when attempts = 26 then 'lost' else status end as status, run_at, attempts,
+  max_attempts - attempts as max_attempts, backoff_seconds, case when last_error is null then '{{}}' end as payload, created_at, updated_at from jobs)"""
+
+
+@query(
+    "check_domains_jobs",
+    f"""with {ODD_JOBS_SQL} select 'status domain' as rule, cast(id as varchar) as key from odd where status not in {JOB_STATUS}
+    union all select 'payload not null', cast(id as varchar) from odd where payload is null
+    union all select 'max_attempts >= 0', cast(id as varchar) from odd where max_attempts < 0""",
+)
+def job_rules(spark, d):
+    odd = X.jobs(spark, d).withColumns({
+        "status": F.when(F.col("attempts") == 26, "lost").otherwise(F.col("status")),
+        "payload": F.when(F.col("last_error").isNull(), "{}"),
+        "max_attempts": F.col("max_attempts") - F.col("attempts"),
+    })
+    return check_domains(odd, "id", {"status": JOB_STATUS}, NOT_NULL["jobs"], ["attempts", "max_attempts", "backoff_seconds"])
+
+
 @query("find_duplicates", f"with {LAKE} select email, count(*) as n from users group by email having count(*) > 1")
 def duplicate_emails(spark, d):
     return find_duplicates(X.users(spark, d), ["email"])
@@ -265,14 +284,14 @@ def newest_items(spark, d):
 @query(
     "partial_patch",
     f"""with {LAKE}, p as (select l_orderkey, max(case when l_returnflag = 'A' then 'Returned' end) as title, max(case when l_linestatus = 'F' then 'archived' end) as status
-      from lineitem where l_quantity > 40 group by 1)
+      from lineitem group by 1)
     select i.id, i.user_id, i.url, coalesce(p.title, i.title) as title, i.site, coalesce(p.status, i.status) as status, i.created_at,
       case when p.l_orderkey is not null then {NOW_SQL} else i.updated_at end as updated_at
     from items i left join p on cast(p.l_orderkey as varchar) = i.id""",
 )
 def patched(spark, d):
     patches = (
-        read_fixture(spark, d, "lineitem").filter("l_quantity > 40").groupBy(F.col("l_orderkey").cast("string").alias("id"))
+        read_fixture(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id"))
         .agg(F.expr("max(case when l_returnflag = 'A' then 'Returned' end) as title"),
              F.expr("max(case when l_linestatus = 'F' then 'archived' end) as status"))
     )
