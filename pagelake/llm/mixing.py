@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pagelake.llm.store import stored
 from pagelake.llm.textbatch import WORD_PATTERN
 
-#: Hexadecimal digits of the seeded order that make a bucket: 65,536 buckets of a source.
+#: Hexadecimal digits of the seeded order that make a bucket: 65,536 buckets of a source. An even number.
 BUCKET_DIGITS = 4
 
 
@@ -67,6 +67,14 @@ def water_fill(sources: DataFrame, share: float, max_epochs: int) -> DataFrame:
     return sources.withColumn("_target", F.when(capped, cap).otherwise(F.col("_weight") * F.lit(level)))
 
 
+def _at_limit(rows: DataFrame) -> DataFrame:
+    """Of each source the stretch in which the words before reach the need (_n): its _label as _limit, and _before."""
+    order = Window.partitionBy("_source").orderBy("_label")
+    before = F.col("_base") + F.sum("_words").over(order) - F.col("_words")
+    found = rows.withColumn("_before", before).filter("_before < _n and _before + _words >= _n")
+    return found.select("_source", "_s", "_n", F.col("_label").alias("_limit"), "_before")
+
+
 def _limits(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> tuple[DataFrame, DataFrame]:
     """Per source: whole repetitions, and the bucket and place of the limit; and the groups of equal rows in that bucket."""
     sums = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"))
@@ -77,13 +85,14 @@ def _limits(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs
     sources = sources.withColumn("_whole", whole)
     sources = sources.withColumn("_need", F.round(F.col("_target") - F.col("_whole") * F.col("_source_size")).cast("long"))
 
-    # at most 16 ** BUCKET_DIGITS buckets of a source stand in a window
-    before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_words")
-    placed = sums.withColumn("_before", before).withColumnRenamed("_source", "_s")
-    placed = placed.join(sources.select(F.col("_source"), F.col("_need").alias("_n")), F.col("_s").eqNullSafe(F.col("_source")))
-    at_limit = placed.filter("_before < _n and _before + _words >= _n").groupBy("_s").agg(
-        F.min("_bucket").alias("_limit"), F.min("_before").alias("_before")
-    )
+    # the limit among the first digits, and then among the buckets that begin with those: short windows at any size
+    needs = sources.select(F.col("_source").alias("_s"), F.col("_need").alias("_n"))
+    coarse = F.substring("_bucket", 1, BUCKET_DIGITS // 2)
+    top = sums.groupBy("_source", coarse.alias("_label")).agg(F.sum("_words").alias("_words"))
+    top = _at_limit(top.join(needs, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_base", F.lit(0)))
+    inside = F.col("_source").eqNullSafe(F.col("_s")) & (coarse == F.col("_limit"))
+    fine = sums.join(top.drop("_source"), inside).select("_source", "_s", "_n", F.col("_bucket").alias("_label"), "_words", F.col("_before").alias("_base"))
+    at_limit = _at_limit(fine).select("_s", "_limit", "_before")
     sources = sources.join(at_limit, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
     sources = stored(sources, "mix-limits")
 
