@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+#: Documents of a slice, so that 16 bits number them.
+SLICE_ROWS = 1 << 15
 #: Rows of an Arrow batch between the JVM and Python, so that a batch of usual documents stays at a few MB.
 BATCH_ROWS = 1000
 
@@ -107,7 +109,7 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + max_bytes, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), at + SLICE_ROWS, n)
         yield Slice(at, offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]])
         at = to
 
