@@ -271,7 +271,7 @@ def sample_words(labelled: DataFrame, sample_rows: int, sample_words: int) -> Da
     place = F.col("place") / F.lit(float(1 << 32))
     ids = labelled.select("doc_id", "lang", F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")).alias("place"))
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("lang", "_lang")
-    near = ids.join(sizes, F.col("lang") == F.col("_lang")).filter(place * F.col("rows") < 2 * sample_rows)
+    near = ids.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).filter(place * F.col("rows") < 2 * sample_rows)  # one row a language
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_rows)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
