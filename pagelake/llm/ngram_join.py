@@ -31,13 +31,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagelake.llm.components import connected_components
 from pagelake.llm.signature_tree import link_components
-from pagelake.llm.store import partitions, stored, tuned
+from pagelake.llm.store import map_batches, partitions, stored, tuned
 from pagelake.llm.textbatch import LOWER, U64, mix, slices, span_hashes, windows
 
 SHINGLE_WORDS = 5
 PERCENT = 75
 TOKEN_BITS = 48
 _TOKEN = U64((1 << TOKEN_BITS) - 1)
+#: Bits of a stretch's number inside its task; a document's number has 16 bits more.
+UNIT_BITS = 20
 #: Tokens of a block of a large group; a group up to this size is one block.
 BLOCK_TOKENS = 1_000_000
 #: Tokens of groups that a task looks at together.
@@ -102,7 +104,7 @@ def _packed_sets(docs: DataFrame, parts: int, size: int) -> DataFrame:
         number = 0
         for batch in batches:
             for part in slices(batch.column(1)):
-                unit = TaskContext.get().partitionId() << 32 | number
+                unit = TaskContext.get().partitionId() << UNIT_BITS | number
                 number += 1
                 n = len(part)
                 document, tokens = document_sets(part, size)
@@ -118,7 +120,7 @@ def _packed_sets(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 members = document[order][np.repeat(times > 1, times)]
 
                 home = {
-                    "part": unit % parts, "unit": unit, "home": True, "often": often.astype("<u8").tobytes(), "times": often_times.astype("<u4").tobytes(),
+                    "part": (TaskContext.get().partitionId() + number) % parts, "unit": unit, "home": True, "often": often.astype("<u8").tobytes(), "times": often_times.astype("<u4").tobytes(),
                     "doc_ids": batch.column(0).slice(part.first, n).to_pylist(), "sizes": np.bincount(document, minlength=n).tolist(),
                     "da": da.tolist(), "db": db.tolist(), "members": members.astype("<u2").tobytes(),
                 }
@@ -137,7 +139,7 @@ def _packed_sets(docs: DataFrame, parts: int, size: int) -> DataFrame:
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, names)
+    return map_batches(docs.select("doc_id", "text"), run, names)
 
 
 def rarity(documents: np.ndarray) -> np.ndarray:
@@ -182,13 +184,13 @@ def _shared_tokens(packed: DataFrame, parts: int) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, names)
+    return map_batches(packed.repartitionById(parts, F.col("part")), run, names)
 
 
 def _ordered_sets(replies: DataFrame, percent: int) -> DataFrame:
-    """(rid, doc_id, n, da, db, tokens) of each document; tokens, rarest first, only where they suffice for a link."""
+    """(rid, doc_id, n, da, db, shared, tokens) of each document; tokens, rarest first, only where they suffice for a link."""
     kind = replies.schema["doc_ids"].dataType.elementType.simpleString()
-    names = f"rid long, doc_id {kind}, n long, da long, db long, tokens binary"
+    names = f"rid long, doc_id {kind}, n long, da long, db long, shared long, tokens binary"
     schema = to_arrow_schema(replies.sparkSession.createDataFrame([], names).schema)
 
     def finish(home: dict, parts: list[dict]) -> pa.RecordBatch:
@@ -213,10 +215,11 @@ def _ordered_sets(replies: DataFrame, percent: int) -> DataFrame:
         token = token[order]
         sizes = np.array(home["sizes"], dtype=np.int64)
         enough = (100 * np.diff(limits) >= percent * sizes) & (sizes > 0)
-        contents = [token[limits[i] : limits[i + 1]].astype("<u8").tobytes() if enough[i] else None for i in range(n)]
+        packed = pack48(token)
+        contents = [packed[6 * limits[i] : 6 * limits[i + 1]] if enough[i] else None for i in range(n)]
         columns = [
             pa.array((home["unit"] << 16) + np.arange(n)), pa.array(home["doc_ids"], type=schema.field("doc_id").type), pa.array(sizes),
-            pa.array(home["da"], type=pa.int64()), pa.array(home["db"], type=pa.int64()), pa.array(contents, type=pa.binary()),
+            pa.array(home["da"], type=pa.int64()), pa.array(home["db"], type=pa.int64()), pa.array(np.diff(limits)), pa.array(contents, type=pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -234,7 +237,7 @@ def _ordered_sets(replies: DataFrame, percent: int) -> DataFrame:
             yield finish(home, parts)
 
     dealt = replies.repartition(partitions(replies.sparkSession), "unit").sortWithinPartitions("unit", F.col("home").desc())
-    return dealt.mapInArrow(run, names)
+    return map_batches(dealt, run, names)
 
 
 def _prefixes(sizes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -246,8 +249,8 @@ def _prefixes(sizes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray
 def _set_batch(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """rid, n, limits and tokens from the columns ``first`` on."""
     contents = batch.column(first + 2).to_pylist()
-    counts = np.array([len(c) // 8 for c in contents], dtype=np.int64)
-    tokens = np.frombuffer(b"".join(contents), dtype="<u8")
+    counts = np.array([len(c) // 6 for c in contents], dtype=np.int64)
+    tokens = unpack48(b"".join(contents))
     return batch.column(first).to_numpy(), batch.column(first + 1).to_numpy(), np.concatenate([[0], np.cumsum(counts)]), tokens
 
 
@@ -295,8 +298,8 @@ def _group_links(sets: DataFrame, percent: int) -> DataFrame:
             pairs = np.unique(np.stack([owner, star], axis=1)[owner != star], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    stars = sets.select("rid", "n", "tokens").mapInArrow(local, "part int, token long, a long, b long")
-    return stars.repartitionById(parts, F.col("part")).mapInArrow(across, "a long, b long")
+    stars = map_batches(sets.select("rid", "n", "tokens"), local, "part int, token long, a long, b long")
+    return map_batches(stars.repartitionById(parts, F.col("part")), across, "a long, b long")
 
 
 def _tree_links(dealt: DataFrame, percent: int) -> DataFrame:
@@ -342,37 +345,42 @@ def _tree_links(dealt: DataFrame, percent: int) -> DataFrame:
             yield solve(done)
 
     columns = dealt.select("grp", "i", "j", "rid", "n", "tokens")
-    return columns.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rid").mapInArrow(run, "a long, b long")
+    return map_batches(columns.repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rid"), run, "a long, b long")
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the documents (rid, n, tokens) that link."""
-    groups = connected_components(_group_links(sets, percent))
-    placed = sets.join(groups, F.col("rid") == F.col("node")).select(F.col("component").alias("grp"), "rid", "n", "tokens")
-    placed = stored(placed, "grouped-sets")
-    blocks = placed.groupBy("grp").agg(F.ceil(F.sum(F.length("tokens")) / (8 * BLOCK_TOKENS)).alias("blocks"), F.count(F.lit(1)).alias("members"))
-    blocks = stored(blocks.withColumn("blocks", F.least("blocks", "members").cast("int")).drop("members"), "groups")
-    placed = placed.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+def _links(full: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of those of the documents ``heads`` (head) that link; ``full`` has their sets.
+
+    Who meets whom is decided on numbers alone; the tokens move to their
+    document's row once, and once to the place where the document meets others.
+    """
+    groups = connected_components(_group_links(full, percent)).withColumnRenamed("component", "grp")
+    counts = full.select("rid", "shared").join(heads, F.col("rid") == F.col("head")).select("rid", "shared")
+    members = stored(counts.join(groups, F.col("rid") == F.col("node")).select("rid", "shared", "grp"), "group-members")
+    blocks = members.groupBy("grp").agg(F.ceil(F.sum("shared") / BLOCK_TOKENS).alias("blocks"), F.count(F.lit(1)).alias("members"))
+    blocks = blocks.filter("members > 1").select("grp", F.least("blocks", "members").cast("int").alias("blocks"))
+    members = members.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    members = stored(members.drop("shared"), "group-blocks")
 
     own = F.struct(F.col("block").alias("i"), F.col("block").alias("j"))
     first = F.struct(F.lit(0).alias("i"), F.col("block").alias("j"))
     others = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.cast("int").alias("j")))
     pairs = F.when(F.col("blocks") == 1, F.array(own)).when(F.col("block") > 0, F.array(own, first)).otherwise(F.concat(F.array(own), others))
-    dealt = placed.withColumn("p", F.explode(pairs)).select("grp", "p.i", "p.j", "rid", "n", "tokens")
-    links = stored(_tree_links(dealt, percent), "tree-links")
+    sets = full.select("rid", "n", "tokens")
+    links = stored(_tree_links(sets.join(members.select("rid", "grp", F.explode(pairs).alias("p")).select("rid", "grp", "p.i", "p.j"), "rid"), percent), "tree-links")
     found = connected_components(links)
-    if not blocks.filter("blocks > 2").limit(1).count():
+    if not members.filter("blocks > 2").limit(1).count():
         return found
     # pairs of other blocks, where not all documents of both are in one component by now
     found = stored(found, "components")
-    parted = placed.filter("blocks > 2").join(found, F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid"))
+    parted = members.filter("blocks > 2").join(found, F.col("rid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rid"))
     ranges = stored(parted.groupBy("grp", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "block-ranges")
     other = ranges.select(F.col("grp").alias("g"), F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     open_ = ranges.filter("block > 0").join(other, (F.col("grp") == F.col("g")) & (F.col("block") < F.col("j")))
     open_ = open_.filter("not (low = high and low2 = high2 and low = low2)").select(F.col("grp").alias("g"), F.col("block").alias("i"), "j")
     meet = open_.withColumn("side", F.explode(F.array("i", "j")))
-    dealt = parted.join(meet, (F.col("grp") == F.col("g")) & (F.col("block") == F.col("side"))).select("grp", "i", "j", "rid", "n", "tokens")
-    return connected_components(links.union(_tree_links(dealt, percent)))
+    meet = parted.join(meet, (F.col("grp") == F.col("g")) & (F.col("block") == F.col("side"))).select("rid", "grp", "i", "j")
+    return connected_components(links.union(_tree_links(sets.join(meet, "rid"), percent)))
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -397,8 +405,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORD
     full = sets.filter("tokens is not null")
     classes = full.groupBy("da", "db", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("m"))
     classes = stored(classes.select("da", "db", "n", F.col("m.rid").alias("head"), F.col("m.doc_id").alias("head_id")), "set-classes")
-    heads = stored(full.join(classes.select("head"), F.col("rid") == F.col("head"), "left_semi").select("rid", "n", "tokens"), "class-sets")
-    found = stored(_links(heads, percent), "set-components")
+    found = stored(_links(full, classes.select("head"), percent), "set-components")
 
     members = classes.join(found, F.col("head") == F.col("node"), "left").withColumn("component", F.coalesce("component", "head"))
     smallest = members.groupBy("component").agg(F.min("head_id").alias("smallest"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.llm.textbatch import BATCH_ROWS
 from pagelake.session import ship_package, work_path
@@ -28,6 +31,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` whose workers give back the memory of a partition's batches when it is done."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(whole, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of a shuffle of the input's size, as the cluster is configured."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
