@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pagelake.llm.range_coder import read_blocks, write_blocks
-from pagelake.llm.store import cell_bounds, cell_of, partitions, tuned
+from pagelake.llm.store import cell_bounds, cell_of, map_batches, partitions, tuned
 from pagelake.llm.word_tokens import word_tokens
 
 #: Ids after which a frame is closed; a longer document is a frame alone.
@@ -43,7 +43,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, cells: int) -> Data
         tokens = word_tokens(vocabulary, False)
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
-            ids, counts = tokens.encode(batch.column(2).to_pylist())
+            ids, counts = tokens.encode(batch.column(2))
             if len(ids) and int(ids.max()) > 0xFFFF:
                 raise ValueError("the vocabulary has ids beyond 65535")
             content, limits = ids.astype("<u2"), np.concatenate([[0], np.cumsum(counts)])
@@ -52,7 +52,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, cells: int) -> Data
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = docs.select(cell_of(F.col("doc_id"), cell_bounds(docs, "doc_id", cells)).alias("cell"), "doc_id", "text")
-    return placed.mapInArrow(run, f"cell int, doc_id {kind}, ids binary")
+    return map_batches(placed, run, f"cell int, doc_id {kind}, ids binary")
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
@@ -92,8 +92,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> N
             yield close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    frames = ordered.mapInArrow(
-        run,
+    frames = map_batches(
+        ordered, run,
         f"cell int, frame int, doc_ids array<{kind}>, lengths array<long>, n_ids long, blocks array<struct<content: binary, n: int, checksum: long>>",
     )
     frames.write.option("compression", "uncompressed").parquet(path)
@@ -104,7 +104,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
 
     ``ids`` has little-endian unsigned 32-bit integers. A damaged block is an error.
     """
-    frames = spark.read.parquet(path)
+    frames = tuned(spark).read.parquet(path)
     by_cell = Window.partitionBy("cell").orderBy("frame")
     # one row a cell stands in one task
     cells = frames.groupBy("cell").agg(F.sum("n_ids").alias("n"))
@@ -129,7 +129,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, ["cell", "frame", "doc_id", "offset", "n_tokens", "ids_crc32", "ids"])
 
     names = f"cell int, frame int, doc_id {id_type.simpleString()}, offset long, n_tokens long, ids_crc32 long, ids binary"
-    found = frames.select("cell", "frame", "doc_ids", "lengths", "blocks").mapInArrow(run, names)
+    found = map_batches(frames.select("cell", "frame", "doc_ids", "lengths", "blocks"), run, names)
     found = found.join(starts, ["cell", "frame"])
     columns = ["doc_id", (F.col("frame_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"]
     return found.select(*columns, *["ids"][: int(with_ids)])

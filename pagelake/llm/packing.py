@@ -19,36 +19,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagelake.llm.store import cell_bounds, cell_of, partitions, tuned
+from pagelake.llm.store import cell_bounds, cell_of, map_batches, partitions, tuned
 from pagelake.llm.textbatch import U64, slices, span_hashes
 from pagelake.llm.word_tokens import word_tokens
 
 SEQUENCE_IDS = 2048
 #: Entries of the hashed vector, dimensions of the curve, and bits of each.
 HASHED, DIMENSIONS, BITS = 64, 4, 10
-SEED = 20
+SEED, DIRECTION = 20, 1024
+#: Bits of the doc_id's checksum below the place on the curve.
+SPREAD_BITS = 20
 #: A sequence's number has its cell above these bits.
 SEQUENCE_BITS = 40
 
 
 def directions() -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((HASHED, DIMENSIONS))
+    """Whole numbers, so that a projection is exact on any machine: a task that runs again deals its rows out alike."""
+    return np.random.default_rng(SEED).integers(-DIRECTION, DIRECTION + 1, (HASHED, DIMENSIONS))
 
 
-def vectors(part) -> np.ndarray:
-    """Unit vectors of the hashed words of a slice's documents; texts without words have zeros."""
+def places(part) -> np.ndarray:
+    """Coordinates of BITS bits of each document of a slice; texts without words are in the middle.
+
+    The signed sums of hashed words, projected and brought to unit length, are
+    about normal with a deviation of 1 along each direction.
+    """
     starts, ends, document = part.words()
     hashes = span_hashes(part.data, starts, ends)
     place = document * HASHED + (hashes & U64(HASHED - 1)).astype(np.int64)
     sign = ((hashes >> U64(20)) & U64(1)).astype(np.int64) * 2 - 1
-    summed = np.bincount(place, weights=sign, minlength=len(part) * HASHED).reshape(len(part), HASHED)
+    summed = np.bincount(place, weights=sign, minlength=len(part) * HASHED).astype(np.int64).reshape(len(part), HASHED)
     norm = np.sqrt((summed * summed).sum(axis=1))
-    return summed / np.where(norm > 0, norm, 1)[:, None]
-
-
-def grid(points: np.ndarray) -> np.ndarray:
-    """Projections to whole numbers of BITS bits; tanh spreads them over the range."""
-    return np.clip(((np.tanh(points) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+    x = (summed @ directions()) / (np.where(norm > 0, norm, 1) * DIRECTION / np.sqrt(3.0))[:, None]
+    return np.clip(((x / (1 + np.abs(x)) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
 def hilbert_keys(coordinates: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -80,10 +83,12 @@ def hilbert_keys(coordinates: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def batch_keys(column: pa.Array) -> np.ndarray:
-    through = directions()
-    found = [hilbert_keys(grid(vectors(part) @ through)) for part in slices(column)]
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+def batch_keys(doc_ids: pa.Array, texts: pa.Array) -> np.ndarray:
+    """Place on the curve, and below it bits of the doc_id, so that a range can end among copies of one text."""
+    found = [hilbert_keys(places(part)) for part in slices(texts)]
+    curve = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+    spread = np.array([zlib.crc32(str(i).encode()) >> (32 - SPREAD_BITS) for i in doc_ids.to_pylist()], dtype=np.int64)
+    return curve << SPREAD_BITS | spread
 
 
 def curve_keys(docs: DataFrame) -> DataFrame:
@@ -91,9 +96,9 @@ def curve_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(batch_keys(batch.column(0)))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch_keys(batch.column(0), batch.column(1)))], ["key"])
 
-    return docs.select("text").mapInArrow(run, "key long")
+    return map_batches(docs.select("doc_id", "text"), run, "key long")
 
 
 def sequence_lengths(rest: int) -> list[int]:
@@ -130,7 +135,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids: bool = Tru
     empty table gives no rows.
 
     Texts are read twice, for the ranges of the curve and for the ids; the ids
-    move once. Only quantiles of the keys come to the driver. A task holds the
+    move once. Many copies of one text are dealt out over several ranges. Only quantiles of the keys come to the driver. A task holds the
     ids of a bounded number of sequences and of one document.
     """
     spark = tuned(docs.sparkSession)
@@ -141,16 +146,16 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids: bool = Tru
         encoder = word_tokens(vocabulary, True)
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
-            ids, counts = encoder.encode(batch.column(1).to_pylist())
+            ids, counts = encoder.encode(batch.column(1))
             if len(ids) and int(ids.max()) > 0xFFFF:
                 raise ValueError("the vocabulary has ids beyond 65535")
             content, limits = ids.astype("<u2"), np.concatenate([[0], np.cumsum(counts)])
             rows = [content[a:b].tobytes() + end for a, b in zip(limits[:-1], limits[1:], strict=True)]
-            keys = pa.array(batch_keys(batch.column(1)))
+            keys = pa.array(batch_keys(batch.column(0), batch.column(1)))
             yield pa.RecordBatch.from_arrays([keys, batch.column(0), pa.array(rows, type=pa.binary())], ["key", "doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType
-    rows = docs.select("doc_id", "text").mapInArrow(tokens, f"key long, doc_id {kind.simpleString()}, ids binary")
+    rows = map_batches(docs.select("doc_id", "text"), tokens, f"key long, doc_id {kind.simpleString()}, ids binary")
     rows = rows.select(cell_of(F.col("key"), bounds).alias("cell"), "key", "doc_id", "ids")
     ordered = rows.repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "key", "doc_id", "ids")
     schema = pa.schema([
@@ -195,5 +200,5 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, with_ids: bool = Tru
             yield close(True)
 
     names = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    packed = ordered.mapInArrow(run, names)
+    packed = map_batches(ordered, run, names)
     return packed if with_ids else packed.drop("ids")

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from pagelake.llm.packing import SEQUENCE_IDS, fill, hilbert_keys, pack, sequence_lengths
@@ -79,7 +80,7 @@ def test_word_tokens_are_the_library_s(vocabulary, spark):
     texts += [t for _, t, _, _ in EDGE] + ["  a  b \n\n c\t\td ", "it's we'll 'tis x<|endoftext|>y", "a\xa0\n b  c", "ΑΣ ς ﬁ é İ", "\n\n\nB  C\n", "x\x1cy \x85 z"]
     for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
         tokenizer = Tokenizer.from_file(vocabulary(name))
-        ids, counts = word_tokens(vocabulary(name), drops).encode(texts)
+        ids, counts = word_tokens(vocabulary(name), drops).encode(pa.array(texts))
         limits = np.concatenate([[0], np.cumsum(counts)])
         for i, text in enumerate(texts):
             assert ids[limits[i] : limits[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
