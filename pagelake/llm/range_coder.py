@@ -3,11 +3,11 @@
 Each block of a frame starts from the same empty model. An id is coded by the
 predictions of three orders: the id that last followed the two ids before it, the
 id that last followed the one before it, and, for the rest, adaptive frequencies
-of the id's high byte and the low byte that last came with it. Whether a
-prediction holds is a binary decision, whose probability is mixed from adaptive
-counters in two contexts; everything is integer arithmetic, so reading repeats
-exactly what writing did. All blocks of a frame take the same
-step at once, as numpy arrays.
+of the id's high byte and the low byte that last came with it. How far each
+prediction is believed comes from adaptive counters, those of the second order
+mixed from two contexts; everything is integer arithmetic, so reading repeats
+exactly what writing did. All blocks of a frame take the same step at once, as
+numpy arrays.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ _ALL = 1 << P_BITS
 _WORD = np.uint64(32)
 _MASK = np.uint64(0xFFFFFFFF)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-_ONE = np.uint64(1)
+_ZERO, _ONE = np.uint64(0), np.uint64(1)
 _P_BITS, _TOTAL_BITS, _BYTE_BITS = np.uint64(P_BITS), np.uint64(TOTAL_BITS), np.uint64(8)
 
 
@@ -61,7 +61,7 @@ class Writer(Coder):
 
     def __init__(self, blocks: int, ids: int):
         super().__init__(blocks)
-        # no id takes more than two words: 12 + 12 + 15 + 12 + 8 bits and what clamping loses
+        # no id takes more than two words: 24 + 15 + 20 bits and what clamping loses
         self.words = np.zeros((blocks, 3 * ids + 4), dtype=np.uint32)
         self.at = np.zeros(blocks, dtype=np.int64)
 
@@ -70,25 +70,31 @@ class Writer(Coder):
         self.words[rows, at] = word
         self.at[rows] = at + 1
 
-    def bit(self, rows: np.ndarray, p: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Code decisions with probabilities of True."""
+    def choice(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The first, the second or neither of two; p is believed of the first, q of the second if it isn't the first."""
         low, size = self.low.take(rows), self.range.take(rows)
-        part = (size >> _P_BITS) * p.astype(np.uint64)
-        self.narrow(rows, np.where(known, low, low + part), np.where(known, part, size - part))
-        return known
+        one = (size >> _P_BITS) * p
+        two = ((size - one) >> _P_BITS) * q
+        first, second = known
+        both = one + two
+        self.narrow(rows, low + np.where(first, _ZERO, np.where(second, one, both)), np.where(first, one, np.where(second, two, size - both)))
+        return first, second
 
     def symbol(self, rows: np.ndarray, limits: np.ndarray, known: np.ndarray) -> np.ndarray:
         place = rows * limits.shape[1] + known
         begin = limits.ravel().take(place)
         width = limits.ravel().take(place + 1) - begin
         step = self.range.take(rows) >> _TOTAL_BITS
-        self.narrow(rows, self.low.take(rows) + step * begin.astype(np.uint64), step * width.astype(np.uint64))
+        self.narrow(rows, self.low.take(rows) + step * begin, step * width)
         return known
 
-    def plain(self, rows: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """A byte without a prediction."""
-        step = self.range.take(rows) >> _BYTE_BITS
-        self.narrow(rows, self.low.take(rows) + step * known.astype(np.uint64), step)
+    def byte(self, rows: np.ndarray, guess: np.ndarray, p: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """A byte that is the guess with belief p, or else any."""
+        low, size = self.low.take(rows), self.range.take(rows)
+        one = (size >> _P_BITS) * p
+        step = (size - one) >> _BYTE_BITS
+        right = known == guess
+        self.narrow(rows, low + np.where(right, _ZERO, one + step * known.astype(np.uint64)), np.where(right, one, step))
         return known
 
     def finish(self) -> list[np.ndarray]:
@@ -116,47 +122,56 @@ class Reader(Coder):
         self.code[rows] = self.code.take(rows) << _WORD | self.words[rows, np.minimum(at, self.words.shape[1] - 1)]
         self.at[rows] = at + 1
 
-    def bit(self, rows: np.ndarray, p: np.ndarray, known: None = None) -> np.ndarray:
+    def choice(self, rows: np.ndarray, p: np.ndarray, q: np.ndarray, known: None) -> tuple[np.ndarray, np.ndarray]:
         low, size = self.low.take(rows), self.range.take(rows)
-        part = (size >> _P_BITS) * p.astype(np.uint64)
-        value = self.code.take(rows) - low < part
-        self.narrow(rows, np.where(value, low, low + part), np.where(value, part, size - part))
-        return value
-
-    def symbol(self, rows: np.ndarray, limits: np.ndarray, known: None = None) -> np.ndarray:
+        one = (size >> _P_BITS) * p
+        two = ((size - one) >> _P_BITS) * q
+        both = one + two
+        value = self.code.take(rows) - low
+        first = value < one
+        second = ~first & (value < both)
+        self.narrow(rows, low + np.where(first, _ZERO, np.where(second, one, both)), np.where(first, one, np.where(second, two, size - both)))
+        return first, second
+
+    def symbol(self, rows: np.ndarray, limits: np.ndarray, known: None) -> np.ndarray:
         low, step = self.low.take(rows), self.range.take(rows) >> _TOTAL_BITS
-        target = np.minimum((self.code.take(rows) - low) // step, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int32)
+        target = np.minimum((self.code.take(rows) - low) // step, np.uint64((1 << TOTAL_BITS) - 1))
         flat, place = limits.ravel(), rows * limits.shape[1]
         first = place.copy()
         for jump in (128, 64, 32, 16, 8, 4, 2, 1):
             place += jump * (flat.take(place + jump) <= target)
         begin = flat.take(place)
-        width = flat.take(place + 1) - begin
-        self.narrow(rows, low + step * begin.astype(np.uint64), step * width.astype(np.uint64))
+        self.narrow(rows, low + step * begin, step * (flat.take(place + 1) - begin))
         return place - first
 
-    def plain(self, rows: np.ndarray, known: None = None) -> np.ndarray:
-        low, step = self.low.take(rows), self.range.take(rows) >> _BYTE_BITS
-        value = np.minimum((self.code.take(rows) - low) // step, np.uint64(255))
-        self.narrow(rows, low + step * value, step)
-        return value.astype(np.int64)
+    def byte(self, rows: np.ndarray, guess: np.ndarray, p: np.ndarray, known: None) -> np.ndarray:
+        low, size = self.low.take(rows), self.range.take(rows)
+        one = (size >> _P_BITS) * p
+        step = (size - one) >> _BYTE_BITS
+        value = self.code.take(rows) - low
+        right = value < one
+        other = np.minimum((value - one) // step, np.uint64(255))  # the value is below one where the guess is right
+        self.narrow(rows, low + np.where(right, _ZERO, one + step * other), np.where(right, one, step))
+        return np.where(right, guess, other.astype(np.int64))
 
 
-class Decision:
-    """Binary decisions: the mean of the beliefs of counters in two contexts."""
+class Counters:
+    """Beliefs of P_BITS bits by block and context, that move towards what came."""
 
-    def __init__(self, blocks: int, first: int, second: int):
-        self.sizes = (first, second)
-        self.counters = [np.full(blocks * size, _ALL // 2, dtype=np.int32) for size in self.sizes]
+    def __init__(self, blocks: int, size: int):
+        self.size = size
+        self.beliefs = np.full(blocks * size, _ALL // 2, dtype=np.int32)
+
+    def look(self, rows: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = rows * self.size + context
+        return place, self.beliefs.take(place)
+
+    def learn(self, place: np.ndarray, belief: np.ndarray, came: np.ndarray) -> None:
+        self.beliefs[place] = belief + ((came * np.int32(_ALL - 1) - belief) >> RATE)
 
-    def code(self, coder: Coder, rows: np.ndarray, first: np.ndarray, second: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-        places = (rows * self.sizes[0] + first, rows * self.sizes[1] + second)
-        beliefs = [counter.take(place) for counter, place in zip(self.counters, places, strict=True)]
-        value = coder.bit(rows, np.clip((beliefs[0] + beliefs[1]) >> 1, 16, _ALL - 16), known)
-        aim = value * np.int32(_ALL - 1)
-        for counter, place, belief in zip(self.counters, places, beliefs, strict=True):
-            counter[place] = belief + ((aim - belief) >> RATE)
-        return value
+
+def bounded(belief: np.ndarray) -> np.ndarray:
+    return np.clip(belief, 16, _ALL - 16).astype(np.uint64)
 
 
 #: Held count after a right guess, and after a wrong one.
@@ -184,45 +199,49 @@ class Successors:
 
 class Model:
     def __init__(self, blocks: int):
-        n = MAX_HELD + 1
+        n = 2 * (MAX_HELD + 1)
         self.second, self.first, self.low_byte = Successors(blocks, SLOTS), Successors(blocks, SLOTS), Successors(blocks, 256)
-        self.is_second, self.is_first, self.is_low = Decision(blocks, n, 2 * n), Decision(blocks, n, n), Decision(blocks, n, 256)
+        self.by_second, self.by_first = Counters(blocks, n), Counters(blocks, n)  # whether the second order is right
+        self.is_first, self.is_low = Counters(blocks, n), Counters(blocks, n)
         self.counts = np.ones((blocks, 256), dtype=np.int32)
-        self.limits = np.zeros((blocks, 257), dtype=np.int32)
+        self.limits = np.zeros((blocks, 257), dtype=np.uint64)
         self.renew()
 
     def renew(self) -> None:
         """Frequencies of the high byte with a total of 2 ** TOTAL_BITS, each at least 1."""
         room = (1 << TOTAL_BITS) - 256
         share = self.counts * room // self.counts.sum(axis=1, dtype=np.int32)[:, None] + 1
-        np.cumsum(share, axis=1, out=self.limits[:, 1:])
+        np.cumsum(share, axis=1, out=self.limits[:, 1:], dtype=np.uint64)
         self.limits[:, 256] = 1 << TOTAL_BITS
 
     def step(self, coder: Coder, rows: np.ndarray, last: np.ndarray, before: np.ndarray, known: np.ndarray | None) -> np.ndarray:
         """One id of each of the given blocks."""
-        place1, guess1, held1 = self.first.look(rows, (last * 40503 >> 3) & (SLOTS - 1))
-        place2, guess2, held2 = self.second.look(rows, (last * 40503 + before * 50021 >> 4) & (SLOTS - 1))
+        mixed = last * 40503
+        place1, guess1, held1 = self.first.look(rows, (mixed >> 3) & (SLOTS - 1))
+        place2, guess2, held2 = self.second.look(rows, (mixed + before * 50021 >> 4) & (SLOTS - 1))
         agree = guess1 == guess2
-        done = self.is_second.code(coder, rows, held2, 2 * held1 + agree, None if known is None else known == guess2)
-        ids = np.where(done, guess2, guess1)
-        left = np.flatnonzero(~(done | agree))
-        if len(left):
-            truth = None if known is None else known.take(left) == guess1.take(left)
-            done = done.copy()
-            done[left] = self.is_first.code(coder, rows.take(left), held1.take(left), held2.take(left), truth)
-        left = np.flatnonzero(~done)
+        twice1 = held1 * np.uint8(2)
+        a, belief_a = self.by_second.look(rows, held2 * np.uint8(2) + agree)
+        b, belief_b = self.by_first.look(rows, twice1 + agree)
+        c, belief_c = self.is_first.look(rows, twice1 + (held2 > 0))
+        q = bounded(belief_c)
+        q[agree] = 0  # both orders guess the same
+        is2, is1 = coder.choice(rows, bounded((belief_a + belief_b) >> 1), q, None if known is None else (known == guess2, known == guess1))
+        self.by_second.learn(a, belief_a, is2)
+        self.by_first.learn(b, belief_b, is2)
+        open_ = ~is2 & ~agree
+        self.is_first.beliefs[c] = np.where(open_, belief_c + ((is1 * np.int32(_ALL - 1) - belief_c) >> RATE), belief_c)
+        ids = np.where(is2, guess2, guess1)
+        left = np.flatnonzero(~is2 & ~(is1 & ~agree))
         if len(left):
             own = rows.take(left)
             literal = None if known is None else known.take(left)
             high = coder.symbol(own, self.limits, None if literal is None else literal >> 8)
             self.counts.ravel()[own * 256 + high] += GAIN
             place0, guess0, held0 = self.low_byte.look(own, high)
-            low = None if literal is None else literal & 255
-            is_low = self.is_low.code(coder, own, held0, high, None if low is None else low == guess0)
-            byte = guess0.copy()
-            other = np.flatnonzero(~is_low)
-            if len(other):
-                byte[other] = coder.plain(own.take(other), None if low is None else low.take(other))
+            d, belief_d = self.is_low.look(own, held0)
+            byte = coder.byte(own, guess0, bounded(belief_d), None if literal is None else literal & 255)
+            self.is_low.learn(d, belief_d, byte == guess0)
             self.low_byte.learn(place0, guess0, held0, byte)
             ids[left] = high << 8 | byte
         self.first.learn(place1, guess1, held1, ids)
