@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pagelake.llm.store import cell_bounds, cell_of, partitions, tuned
+from pagelake.llm.store import cell_bounds, cell_of, map_batches, partitions, tuned
 from pagelake.llm.textbatch import U64, mix
 
 WINDOW = 32
@@ -198,7 +198,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = [digest(_chain(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def with_next(docs: DataFrame, cells: int) -> DataFrame:
@@ -260,4 +260,4 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
     ])
     names = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}")
+    return map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}")

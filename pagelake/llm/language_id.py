@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.store import stored, tuned
+from pagelake.llm.store import map_batches, stored, tuned
 from pagelake.llm.textbatch import U64, mix, slices, value_hashes
 
 #: Labelled rows of each language that the fit reads.
@@ -35,7 +35,7 @@ SMOOTHING = 1e-3
 #: Bytes of text that are scored together; a byte needs some dozens of bytes of work arrays.
 MODEL_BYTES = 2 << 20
 #: Words whose probabilities a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 WORD_MARK = "▁"
 UNDETERMINED = "und"
 
@@ -331,4 +331,4 @@ def identify(docs: DataFrame, model: LanguageModel, extra: dict[str, Column] | N
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{head}, lang_pred string, score double")
+    return map_batches(chosen, run, f"{head}, lang_pred string, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.store import stored, tuned
+from pagelake.llm.store import map_batches, stored, tuned
 from pagelake.llm.textbatch import U64, mix, slices, span_hashes, spans, windows
 
 SYMBOLS = "#*$%&|<>"
@@ -109,7 +109,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     tuned(docs.sparkSession)
     kept = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    counted = kept.mapInArrow(count_batches, f"{head}, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = map_batches(kept, count_batches, f"{head}, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.store import tuned
+from pagelake.llm.store import map_batches, tuned
 from pagelake.llm.textbatch import U64, gather, slices, span_hashes
 
 
@@ -183,5 +183,5 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(tokens)], ["k", "n_words", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    counted = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_words long, n_tokens long")
+    counted = map_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, n_words long, n_tokens long")
     return counted.withColumnRenamed("k", key)
