@@ -1,11 +1,16 @@
 """Quality rules: base statistics of whole texts, and robust multivariate outliers.
 
 Base rules reject short and repetitive texts. The others are judged by the
-minimum-covariance-determinant estimate of their language and source: starting
-from medians and absolute deviations, the mean and covariance of the share of
-rows that lie nearest are taken again and again (concentration steps). A vector
-of transformed statistics whose squared Mahalanobis distance lies beyond the
-chi-squared quantile is an outlier.
+minimum-covariance-determinant estimate of their language and source: from
+several starts, the mean and covariance of the share of rows that lie nearest
+are taken until the determinant falls no more (concentration steps), and the
+start of the least determinant counts. Its usual rows give the final estimate. A vector of transformed statistics whose
+squared Mahalanobis distance lies beyond the chi-squared quantile is an outlier.
+
+The statistics are counts of a text, so those of a short text vary by chance
+(``counting_noise``): that variance, of the document itself, is added to the
+covariance it is judged by. A few words tell little, a long text is held to the
+spread of its group.
 
 Each step is an aggregate over all rows of narrow statistics, combined before
 the shuffle, so a source with a third of the rows is a few rows a task.
@@ -33,15 +38,20 @@ MAX_REPEAT_PERCENT = 20
 
 #: Share of a group that the estimate rests on.
 SUPPORT = 0.75
-STEPS = 4
+#: Concentration steps end when no logarithm of a determinant falls by more than this, or after MAX_STEPS.
+CONVERGED = 1e-3
+MAX_STEPS = 50
 #: Rows below which a source's rows are judged with the other small sources of their language, and then with all.
 MIN_GROUP = 200
+#: Quantile up to which a row counts in the last estimate of its group.
+USUAL = 0.975
 #: Probability that a normal vector is rejected.
-REJECT_PROBABILITY = 1e-6
+REJECT_PROBABILITY = 1e-3
 PERCENTILE_ACCURACY = 10_000
-#: Tolerances: the least standard deviation of each transformed statistic that counts as usual.
-TOLERANCE = {"log_words": 1.0, "log_word_length": 0.1, "root_symbols": 0.1, "root_dup_lines": 0.15, "root_repeats": 0.15}
-DIMENSIONS = tuple(TOLERANCE)
+#: Share of the corpus's own spread that is added to each group's, so that its matrix can be inverted.
+FLOOR = 0.1
+DIMENSIONS = ("log_words", "log_word_length", "root_symbols", "root_dup_lines", "root_repeats")
+STARTS = ("deviations", "all", "signs")
 
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -125,6 +135,18 @@ def statistic_vector() -> dict[str, Column]:
     }
 
 
+def counting_noise() -> dict[str, Column]:
+    """Variance of each statistic if its count is a Poisson one; repeated words come in two windows at least."""
+    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
+    return {
+        "log_words": 1 / words,
+        "log_word_length": 1 / F.greatest(F.col("word_chars"), F.lit(1)),
+        "root_symbols": 1 / (4 * words),
+        "root_dup_lines": 1 / (4 * lines),
+        "root_repeats": 2 * WINDOW / (4 * words),
+    }
+
+
 def chi_squared(p: float, k: int) -> float:
     """Quantile by the cube-root approximation."""
     z = NormalDist().inv_cdf(p)
@@ -138,32 +160,119 @@ def _distance(center: str, precision: str) -> Column:
     return reduce(lambda a, b: a + b, [away[i] * rows[i] for i in range(k)])
 
 
-def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Center and precision from the sums of a group's nearest rows."""
-    k = len(DIMENSIONS)
-    floor = np.diag([t * t for t in TOLERANCE.values()])
-    for frame in frames:
-        center, precision = [], []
-        for n, total, cross in zip(frame["n"], frame["total"], frame["cross"], strict=True):
-            mean = np.asarray(total, dtype=float) / n
-            covariance = np.asarray(cross, dtype=float).reshape(k, k) / n - np.outer(mean, mean)
-            # the tolerance is a part of the usual spread, so the matrix can always be inverted
-            center.append(mean.tolist())
-            precision.append(np.linalg.inv(covariance + floor).ravel().tolist())
-        yield pd.DataFrame({"cell": frame["cell"], "center": center, "precision": precision})
-
-
-def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Estimates from the nearest rows of each group under the given ones."""
-    measured = rows.join(estimates, "cell").withColumn("distance", _distance("center", "precision"))
-    near = measured.groupBy("cell").agg(F.percentile_approx("distance", SUPPORT, PERCENTILE_ACCURACY).alias("radius"))
-    measured = measured.join(near, "cell").filter("distance <= radius")
-    sums = measured.groupBy("cell").agg(
+def _sums() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(c) for c in DIMENSIONS]).alias("total"),
         F.array(*[F.sum(F.col(a) * F.col(b)) for a in DIMENSIONS for b in DIMENSIONS]).alias("cross"),
-    )
-    return sums.mapInPandas(_estimates, "cell string, center array<double>, precision array<double>")
+    ]
+
+
+_ESTIMATE = "cell string, start string, center array<double>, covariance array<double>, precision array<double>, logdet double"
+
+
+def _estimated(sums: DataFrame, floor: list[float]) -> DataFrame:
+    """Estimates from the sums (cell, start, n, total, cross) of a group's rows; ``floor`` is a variance for each dimension."""
+    k = len(DIMENSIONS)
+    least = np.diag(floor)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for cell, start, n, total, cross in zip(*[frame[c] for c in ("cell", "start", "n", "total", "cross")], strict=True):
+                mean = np.asarray(total, dtype=float) / n
+                covariance = np.asarray(cross, dtype=float).reshape(k, k) / n - np.outer(mean, mean) + least
+                inverse = np.linalg.inv(covariance)
+                found.append((cell, start, mean.tolist(), covariance.ravel().tolist(), inverse.ravel().tolist(), np.linalg.slogdet(covariance)[1]))
+            yield pd.DataFrame(found, columns=["cell", "start", "center", "covariance", "precision", "logdet"])
+
+    return sums.select("cell", "start", "n", "total", "cross").mapInPandas(run, _ESTIMATE)
+
+
+def _concentrate(rows: DataFrame, estimates: DataFrame, floor: list[float]) -> DataFrame:
+    """Estimates from the nearest rows of each group under the given ones."""
+    measured = rows.join(estimates, "cell").withColumn("distance", _distance("center", "precision"))
+    near = measured.groupBy("cell", "start").agg(F.percentile_approx("distance", SUPPORT, PERCENTILE_ACCURACY).alias("radius"))
+    measured = measured.join(near, ["cell", "start"]).filter("distance <= radius")
+    return _estimated(measured.groupBy("cell", "start").agg(*_sums()), floor)
+
+
+def _starts(rows: DataFrame, middle: DataFrame, floor: list[float]) -> DataFrame:
+    """The estimates to begin with: absolute deviations, the covariance of all rows, and that of the directions from the median."""
+    k = len(DIMENSIONS)
+    away = [F.col(c) - F.col("middle")[i] for i, c in enumerate(DIMENSIONS)]
+    spread = [1.4826 * F.percentile_approx(F.abs(a), 0.5, PERCENTILE_ACCURACY) for a in away]
+    scale = [F.sqrt(F.col("spread")[i] * F.col("spread")[i] + F.lit(floor[i])) for i in range(k)]
+    spreads = rows.join(middle, "cell").groupBy("cell").agg(F.array(*spread).alias("spread"))
+    scales = stored(middle.join(spreads, "cell").select("cell", "middle", F.array(*scale).alias("scale")), "quality-scales")
+    zero, one = F.lit(0.0), F.lit(1)
+
+    def moments(start: str, n: Column, second: list[Column]) -> DataFrame:
+        """As sums of n rows around the median."""
+        m = [F.col("middle")[i] for i in range(k)]
+        cross = [n * (second[i * k + j] + m[i] * m[j]) for i in range(k) for j in range(k)]
+        return scales.select("cell", F.lit(start).alias("start"), n.alias("n"), F.array(*[n * x for x in m]).alias("total"), F.array(*cross).alias("cross"))
+
+    own = [F.col("scale")[i] * F.col("scale")[i] if i == j else zero for i in range(k) for j in range(k)]
+    by_deviations = moments("deviations", one, own)
+    by_all = rows.groupBy("cell").agg(*_sums()).select("cell", F.lit("all").alias("start"), "n", "total", "cross")
+    # each row counts by its direction alone, at the length of a usual one
+    unit = rows.join(scales, "cell").withColumn("z", F.array(*[a / F.col("scale")[i] for i, a in enumerate(away)]))
+    unit = unit.withColumn("length", reduce(lambda a, b: a + b, [F.col("z")[i] * F.col("z")[i] for i in range(k)])).filter("length > 0")
+    turned = [k * F.avg(F.col("z")[i] * F.col("z")[j] / F.col("length")) for i in range(k) for j in range(k)]
+    signs = unit.groupBy("cell").agg(F.array(*turned).alias("sign"))
+    scales = stored(scales.join(signs, "cell"), "quality-signs")
+    by_signs = moments("signs", one, [F.col("sign")[i * k + j] * F.col("scale")[i] * F.col("scale")[j] for i in range(k) for j in range(k)])
+    columns = ["cell", "start", F.col("n").cast("long").alias("n"), "total", "cross"]
+    return _estimated(by_deviations.select(columns).union(by_all.select(columns)).union(by_signs.select(columns)), floor)
+
+
+def _least_determinants(rows: DataFrame, estimates: DataFrame, floor: list[float]) -> DataFrame:
+    """(cell, center, covariance, precision) after the last step of the best start of each group."""
+    moving, done = stored(estimates.withColumn("logdet", F.lit(None).cast("double")), "quality-start"), []
+    for _ in range(MAX_STEPS):
+        before = moving.select("cell", "start", F.col("logdet").alias("before"))
+        after = stored(_concentrate(rows, moving, floor).join(before, ["cell", "start"]), "quality-estimates")
+        falls = F.col("before").isNull() | (F.col("before") - F.col("logdet") > CONVERGED)
+        done.append(after.filter(~falls).drop("before"))
+        moving = after.filter(falls).drop("before")
+        if not moving.limit(1).count():
+            break
+    found = reduce(DataFrame.union, [*done, moving])
+    best = found.groupBy("cell").agg(F.min_by(F.struct("center", "covariance", "precision"), F.struct("logdet", "start")).alias("best"))
+    return stored(best.select("cell", "best.*"), "quality-best")
+
+
+def _scaled(rows: DataFrame, estimates: DataFrame, name: str) -> DataFrame:
+    """Estimates whose covariance is wide enough for the nearest rows' share to lie inside its quantile."""
+    measured = rows.join(estimates, "cell").withColumn("d", _distance("center", "precision"))
+    factor = F.greatest(F.lit(1.0), F.percentile_approx("d", SUPPORT, PERCENTILE_ACCURACY) / chi_squared(SUPPORT, len(DIMENSIONS)))
+    factors = measured.groupBy("cell").agg(factor.alias("factor"))
+    wide = {"covariance": F.transform("covariance", lambda x: x * F.col("factor")), "precision": F.transform("precision", lambda x: x / F.col("factor"))}
+    return stored(estimates.join(factors, "cell").withColumns(wide).select("cell", "center", *wide), name)
+
+
+def _distances(rows: DataFrame, limit: float) -> DataFrame:
+    """Adds ``distance``, over the limit, with the document's ``noise`` in its covariance; NULL without ``vector``. Drops what it read."""
+    read = ("vector", "noise", "center", "covariance")
+    kept = [c for c in rows.columns if c not in read]
+    k = len(DIMENSIONS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = pa.compute.is_valid(batch.column("vector"))
+            used = batch.filter(here)
+            vector, noise, center, covariance = (used.column(c).flatten().to_numpy(zero_copy_only=False) for c in read)
+            away = (vector - center).reshape(-1, k, 1)
+            matrix = covariance.reshape(-1, k, k) + noise.reshape(-1, k, 1) * np.eye(k)
+            distance = np.zeros(batch.num_rows)
+            mask = here.to_numpy(zero_copy_only=False)
+            distance[mask] = (away * np.linalg.solve(matrix, away)).sum(axis=(1, 2)) / limit
+            column = pa.array(distance, mask=~mask)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], column], [*kept, "distance"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
+    return map_batches(rows.select(*kept, *read), run, f"{head}, distance double")
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -178,6 +287,16 @@ def _cells(rows: DataFrame) -> DataFrame:
     return sizes.select(F.col("lang").alias("cell_lang"), F.col("source").alias("cell_source"), cell.alias("cell"))
 
 
+def _floor(rows: DataFrame, middle: DataFrame) -> list[float] | None:
+    """Least variance of each dimension: FLOOR of the median deviation in the corpus or, if that is less, of the median noise."""
+    spread = [F.percentile_approx(F.abs(F.col(c) - F.col("middle")[i]), 0.5, PERCENTILE_ACCURACY) for i, c in enumerate(DIMENSIONS)]
+    noise = [F.percentile_approx(F.col("noise")[i], 0.5, PERCENTILE_ACCURACY) for i in range(len(DIMENSIONS))]
+    found = rows.join(middle, "cell").agg(F.array(*spread).alias("spread"), F.array(*noise).alias("noise")).first()
+    if found["noise"][0] is None:
+        return None
+    return [FLOOR**2 * max((1.4826 * s) ** 2, n) for s, n in zip(found["spread"], found["noise"], strict=True)]
+
+
 def quality_rules(docs: DataFrame, reject_probability: float = REJECT_PROBABILITY) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of each row.
 
@@ -193,29 +312,28 @@ def quality_rules(docs: DataFrame, reject_probability: float = REJECT_PROBABILIT
     in_cell = F.col("lang").eqNullSafe(F.col("cell_lang")) & F.col("source").eqNullSafe(F.col("cell_source"))
     rows = passed.join(cells, in_cell)
 
-    middle = rows.groupBy("cell").agg(F.array(*[F.percentile_approx(c, 0.5, PERCENTILE_ACCURACY) for c in DIMENSIONS]).alias("center"))
+    rows = stored(rows.select("cell", *DIMENSIONS, F.array(*counting_noise().values()).alias("noise")), "quality-vectors")
+
+    middle = rows.groupBy("cell").agg(F.array(*[F.percentile_approx(c, 0.5, PERCENTILE_ACCURACY) for c in DIMENSIONS]).alias("middle"))
     middle = stored(middle, "quality-medians")
-    spread = [
-        1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col("center")[i]), 0.5, PERCENTILE_ACCURACY) for i, c in enumerate(DIMENSIONS)
-    ]
-    spreads = rows.join(middle, "cell").groupBy("cell").agg(F.array(*spread).alias("spread"))
-    zero = F.lit(0.0)
-    scale = [1 / (F.col("spread")[i] * F.col("spread")[i] + F.lit(t * t)) for i, t in enumerate(TOLERANCE.values())]
-    precision = F.array(*[scale[i] if i == j else zero for i in range(len(scale)) for j in range(len(scale))])
-    estimates = stored(middle.join(spreads, "cell").select("cell", "center", precision.alias("precision")), "quality-start")
-    for _ in range(STEPS):
-        estimates = stored(_concentrate(rows, estimates), "quality-estimates")
-
-    # the covariance of the nearest rows is too small: scale it so that their share lies inside its quantile
-    measured = rows.join(estimates, "cell").withColumn("d", _distance("center", "precision"))
-    factor = F.greatest(F.lit(1.0), F.percentile_approx("d", SUPPORT, PERCENTILE_ACCURACY) / chi_squared(SUPPORT, len(DIMENSIONS)))
-    factors = measured.groupBy("cell").agg(factor.alias("factor"))
-    estimates = stored(estimates.join(factors, "cell"), "quality-scaled").join(cells, "cell")
+    floor = _floor(rows, middle)
+    if floor is None:  # no row passed the base rules
+        empty = statistics.withColumns({"kept": F.lit(False), "distance": F.lit(None).cast("double")})
+        return empty.select("doc_id", *COUNTS[:5], "base_failed", "kept", "distance")
+    rows = rows.drop("noise")
+    estimates = _least_determinants(rows, _starts(rows, middle, floor), floor)
+
+    # the nearest rows say too little of the others: the estimate is taken once more, from all rows that are usual under it
+    measured = rows.join(_scaled(rows, estimates, "quality-scaled"), "cell").filter(_distance("center", "precision") <= chi_squared(USUAL, len(DIMENSIONS)))
+    estimates = stored(_estimated(measured.groupBy("cell").agg(F.lit("usual").alias("start"), *_sums()), floor), "quality-usual")
+    estimates = _scaled(rows, estimates, "quality-final").select("cell", "center", "covariance").join(cells, "cell")
 
-    limit = chi_squared(1 - reject_probability, len(DIMENSIONS))
     judged = statistics.withColumns(statistic_vector()).join(estimates, in_cell, "left")
-    distance = F.when(~F.col("base_failed"), _distance("center", "precision") / F.col("factor") / limit)
-    judged = judged.withColumn("distance", distance)
+    judged = judged.select(
+        "doc_id", *COUNTS[:5], "base_failed", "center", "covariance",
+        F.when(~F.col("base_failed"), F.array(*DIMENSIONS)).alias("vector"), F.array(*counting_noise().values()).alias("noise"),
+    )
+    judged = _distances(judged, chi_squared(1 - reject_probability, len(DIMENSIONS)))
     return judged.select(
         "doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.col("distance") <= 1)).alias("kept"), "distance"
     )

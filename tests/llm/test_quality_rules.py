@@ -68,3 +68,29 @@ def test_good_labels_are_kept(spark):
 
 def test_quantile():
     assert abs(chi_squared(0.95, 5) - 11.07) < 0.05 and abs(chi_squared(0.75, 5) - 6.63) < 0.05
+
+
+def new_lines(rng):
+    """A function of (words, letters): lines of ten random words."""
+    return lambda n, letters=6: [" ".join("".join(w) for w in rng.choice(list("abcdefgh"), (10, letters))) for _ in range(n // 10)]
+
+
+def test_an_outlier_in_each_dimension_goes(spark):
+    rng = np.random.default_rng(9)
+    text = new_lines(rng)
+    rows = [text(int(rng.integers(36, 45)) * 10) for _ in range(300)]
+    short, again = [" ".join(line.split()[:2]) for line in text(150)], text(30)
+    strange = {
+        "many words": text(8000), "few words": text(20), "long words": text(400, 16), "short words": text(400, 2),
+        "symbols": [line + " #" if i % 2 else line for i, line in enumerate(text(400))],
+        # 15 lines of two words stand twice, each between others, so that no window of five words does
+        "lines": [part for pair in zip(text(300), short + short) for part in pair],
+        # 60 of 400 words stand twice, inside lines that differ
+        "repeats": text(340) + [f"u{k} {line}" for k in range(2) for line in again],
+    }
+    cases = [*rows, *strange.values()]
+    table = [(i, "\n".join(x), "en", "tight") for i, x in enumerate(cases)]
+    found = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect()}
+    for i, name in enumerate(strange, len(rows)):
+        assert not found[i]["base_failed"] and not found[i]["kept"], (name, found[i])
+    assert sum(found[i]["kept"] for i in range(len(rows))) >= 0.99 * len(rows)
