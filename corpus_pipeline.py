@@ -8,7 +8,7 @@ of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import language_id, line_dedup, mixing, ngram_join, packing
@@ -37,11 +37,34 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def row_identity(docs: DataFrame) -> Column:
+    """25 bytes that only rows equal in all columns share, in the order of doc_id, NULL last."""
+    doc_id = F.col("doc_id").cast("long")
+    order = F.when(doc_id.isNull(), F.lit("01" + 16 * "0")).otherwise(F.concat(F.lit("00"), F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")))
+    values = [x for c in docs.columns for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`"))]  # a hash passes over NULL
+    hashes = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *values)), 16, "0") for seed in (1, 2)]
+    return F.unhex(F.concat(order, *hashes))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays; documents without words stay."""
-    found = ngram_join.ngram_join(docs)
-    copies = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(stored(copies.distinct(), "near-copies"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    """Of each group of near copies one row stays, and one of rows that are equal in all columns.
+
+    The decision is by row: the row of the smallest doc_id stays, NULL last, and
+    of several with that doc_id the one of least hash. Rows that share a doc_id
+    are documents of their own, as are rows without one. Documents without words
+    link with nothing and stay.
+    """
+    marked = docs.withColumn("_row", row_identity(docs))
+    found = ngram_join.ngram_join(marked.select(F.col("_row").alias("doc_id"), "text"))
+    found = stored(found.select(F.col("doc_id").alias("_row"), "component_id"), "near-components")
+    copies = found.filter("component_id <> _row").select("_row").distinct()
+    again = found.filter("component_id = _row").groupBy("_row").count().filter("count > 1").select("_row")
+    again = stored(again, "repeated-rows")
+    others = marked.join(stored(copies.union(again), "near-copies"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not again.limit(1).count():
+        return others
+    one = marked.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return others.union(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,25 @@ def test_near_copy_stage(steps):
     assert after.exceptAll(before).count() == 0
 
 
+def test_near_copy_stage_decides_by_row(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    near, other, lone = text + " end", " ".join(f"other{i}" for i in range(60)), " ".join(f"lone{i}" for i in range(60))
+    rows = [
+        (5, text, "en", "a"), (5, text, "en", "a"),  # equal rows
+        (-3, near, "en", "a"),  # the smallest doc_id of the group stays
+        (5, other, "en", "a"),  # shares a doc_id with a near copy
+        (None, near, "en", "a"), (None, lone, None, "a"), (None, lone, "a", None), (None, lone, None, "a"),
+        (7, other, "en", "a"), (7, "", "en", "b"), (7, None, "en", "b"), (8, "", "en", "b"), (8, "", "en", "b"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    after = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert after.columns == docs.columns
+    found = [tuple(r) for r in after.collect()]
+    expected = [(-3, near), (5, other), (7, ""), (7, None), (8, "")]
+    assert sorted(((d, t) for d, t, _, _ in found if d is not None), key=str) == sorted(expected, key=str)
+    assert [t for d, t, _, _ in found if d is None] == [lone]
+
+
 def test_mix_stage(steps):
     before, after = steps["mix_sources"]
     taken = {r["doc_id"]: r["taken"] for r in mix_plan(before).collect()}
