@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import fingerprints, id_files, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, token_counts, url_filters
+from pagelake.llm import centroids, fingerprints, id_files, language_id, line_dedup, minhash_dedup, mixing, ngram_join, packing, quality_rules, source_divergence, token_counts, url_filters
 from pagelake.session import work_path
 
 
@@ -142,6 +142,83 @@ FROM documents AS d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN t ON d.doc_id =
 """
 
 
+def op11_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return source_divergence.source_divergence(_documents(spark, d))
+
+
+# every kept term of a language with every group and pair of groups
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, id, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY lang, source, term),
+k AS (SELECT lang, term, sum(n) AS whole FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(whole) AS HUGEINT) AS total FROM k GROUP BY lang),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.whole
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM m GROUP BY lang, source),
+p AS (SELECT m.lang, m.source, m.term, m.n,
+             1 + (CAST(1000000000 AS HUGEINT) * (m.n + 5)) // (s.total + 5 * l.v) AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (m.whole + 5)) // (l.total + 5 * l.v) AS q
+      FROM m JOIN s ON m.lang = s.lang AND m.source = s.source JOIN l ON m.lang = l.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_centroid_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.centroid_clusters(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+def _op12_sql() -> str:
+    """Lloyd's rounds with every distance, one step after the other."""
+    distance = "CAST(list_sum(list_transform(list_zip(v.c, k.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64)""",
+        """k0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), c) - 1 AS cluster, c FROM v
+  QUALIFY cluster < 16)""",
+    ]
+    for i in range(4):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': {distance}, 'k': k.cluster}}) AS m FROM v, k{i} AS k GROUP BY r)")
+        if i < 3:
+            steps.append(f"""e{i} AS (SELECT m.k AS cluster, unnest(v.c) AS x, unnest(range(64)) AS i FROM a{i} JOIN v USING (r)),
+s{i} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM e{i} GROUP BY cluster, i),
+n{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{i} GROUP BY cluster),
+k{i + 1} AS MATERIALIZED (SELECT k{i}.cluster, coalesce(n{i}.c, k{i}.c) AS c FROM k{i} LEFT JOIN n{i} ON k{i}.cluster = n{i}.cluster)""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT v.vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance,
+       CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(k3.c, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN k3 ON k3.cluster = m.k
+"""
+
+
+def op13_minhash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return minhash_dedup.minhash_dedup(_documents(spark, d))
+
+
+# the links of the n-gram join's SQL with other shingles and threshold
+OP13_SQL = f"""
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM (
+{OP9_SQL.replace("i : i + 4", "i : i + 3").replace("len(words) - 4", "len(words) - 3").replace("75 *", "80 *")}
+)
+"""
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_pack_sequences": (op2_pack_sequences, None),
@@ -153,4 +230,7 @@ QUERIES = {
     "op8_fingerprints": (op8_fingerprints, None),
     "op9_ngram_join": (op9_ngram_join, OP9_SQL),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op11_source_divergence": (op11_source_divergence, OP11_SQL),
+    "op12_centroid_clusters": (op12_centroid_clusters, _op12_sql()),
+    "op13_minhash_dedup": (op13_minhash_dedup, OP13_SQL),
 }
