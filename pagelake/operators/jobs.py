@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -202,6 +203,80 @@ def dispatch_by_kind(
 
 # ------------------------------------------------------------- state from a log
 
+#: Codes of the actions in the packed order; the last three move a job.
+ACTIONS = {"enqueue": 0, "extend": 1, "claim": 2, "success": 3, "failure": 4}
+
+
+def packed_at(ts: Column, seq: Column, action: Column) -> Column:
+    """(ts, seq) and the action's code as one number, in the order of (ts, seq), so that maxima are hash aggregates.
+
+    Times of the years 1 to 9999 have less than 2**58 microseconds, so the number has at most 38 digits.
+    """
+    kind = "decimal(20,0)"
+    micros = F.unix_micros(ts.cast("timestamp")).cast(kind)
+    place = (micros * F.lit(Decimal(1 << 64)).cast(kind) + (seq.cast(kind) + F.lit(Decimal(1 << 63)).cast(kind))).cast("decimal(37,0)")
+    code = F.element_at(F.create_map(*[F.lit(x) for item in ACTIONS.items() for x in item]), action)
+    return (place * 8 + code).cast("decimal(38,0)")
+
+
+def _place(packed: Column) -> Column:
+    """The packed number without its action."""
+    return packed - F.pmod(packed, F.lit(8))
+
+
+def _log_rows(log: DataFrame) -> DataFrame:
+    """The rows of a log that fold, with their packed number."""
+    rows = log.filter(F.col("action").isin(*ACTIONS))
+    return rows.withColumn("at", packed_at(F.col("ts"), F.col("seq"), F.col("action")))
+
+
+def job_moves(rows: DataFrame) -> DataFrame:
+    """One row per job of the log rows (with ``at``): what decides its state, in fixed-width columns.
+
+    Every column is a minimum, a maximum, the value at one, or a count, so rows
+    combine in any order, and in a hash aggregate before the shuffle.
+    """
+    action = F.col("action")
+    failure, extended, claimed = action == "failure", action == "extend", action == "claim"
+    moved = failure & F.col("next_run_at").isNotNull()
+
+    def newest(value: str, condition: Column) -> Column:
+        return F.max_by(value, F.when(condition, F.col("at")))
+
+    return rows.groupBy("job_id").agg(
+        F.min(F.when(action == "enqueue", F.col("at"))).alias("born"),
+        F.min_by("ts", F.when(action == "enqueue", F.col("at"))).alias("born_ts"),
+        F.max(F.when(action.isin("claim", "success", "failure"), F.col("at"))).alias("last"),
+        F.max(F.when(claimed, F.col("at"))).alias("claim"),
+        newest("ts", claimed).alias("claim_ts"),
+        newest("lease_secs", claimed).alias("claim_secs"),
+        F.max(F.when(extended, F.col("at"))).alias("ext"),
+        newest("ts", extended).alias("ext_ts"),
+        newest("lease_secs", extended).alias("ext_secs"),
+        F.max(F.when(failure, F.col("at"))).alias("fail"),
+        newest("backoff_seconds", failure).alias("fail_backoff"),
+        newest("next_run_at", failure).alias("fail_next"),
+        F.max(F.when(moved, F.col("at"))).alias("moved"),
+        newest("next_run_at", moved).alias("moved_next"),
+        F.count_if(failure).alias("failures"),
+        F.min(F.when(failure, F.col("at"))).alias("first_failure"),
+    )
+
+
+def _texts(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """(job_id, owner, error) of the claim and the failure that decide a job.
+
+    The log meets the winners on (job_id, at), so a hot job's rows lie in many tasks.
+    """
+    wanted = moves.select("job_id", F.explode(F.array_compact(F.array(F.when(F.col("claim") == F.col("last"), F.col("claim")), "fail"))).alias("at"))
+    texts = rows.filter(F.col("action").isin("claim", "failure")).select("job_id", "at", "owner", "error")
+    found = texts.join(wanted, ["job_id", "at"], "left_semi")  # two rows of a job, but for repeated ones
+    claimed, job = F.pmod(F.col("at"), F.lit(8)) == ACTIONS["claim"], Window.partitionBy("job_id")
+    named = found.select(
+        "job_id", F.max(F.when(claimed, F.col("owner"))).over(job).alias("owner"), F.max(F.when(~claimed, F.col("error"))).over(job).alias("error"),
+        F.row_number().over(job.orderBy("at")).alias("_n"),
+    )
+    return named.filter("_n = 1").drop("_n")
 
 
 def job_state_fold(log: DataFrame, initial: DataFrame | None = None, salts: int = 16) -> DataFrame:
@@ -211,32 +286,20 @@ def job_state_fold(log: DataFrame, initial: DataFrame | None = None, salts: int
     a second enqueue of the same id adds nothing, and no action checks the owner.
     ``initial`` is an earlier result, to which the log is then added.
 
-    The fold is one aggregate that combines before the shuffle, so a job that
-    holds a third of the log is one row per task: status and lease come from the
-    last claim, success or failure; an extension counts only if it is later than
-    a claim that nothing has followed; attempts is a count; run_at is the last
-    next_run_at given. All but the count are maxima, which are void when they are
-    older than the enqueue. Failures older than the enqueue, which a sound log
-    does not have, are counted apart and taken off.
+    The fold is one hash aggregate over packed numbers that combines before the
+    shuffle, so a job that holds a third of the log is one row per task: status
+    and lease come from the last claim, success or failure; an extension counts
+    only if it is later than a claim that nothing has followed; attempts is a
+    count; run_at is the last next_run_at given. All but the count are void when
+    they are older than the enqueue. Owner and error are joined in for the rows
+    that decide. Failures older than the enqueue, which a sound log does not
+    have, are counted apart and taken off.
     """
-    action, at = F.col("action"), F.struct("ts", "seq")
-    failure = action == "failure"
-
-    def newest(condition: Column, *columns: str) -> Column:
-        return F.max(F.when(condition, F.struct(at.alias("at"), *columns)))
-
-    moves = log.groupBy("job_id").agg(
-        F.min(F.when(action == "enqueue", at)).alias("born"),
-        newest(action.isin("claim", "success", "failure"), "action", "ts", "lease_secs", "owner").alias("last"),
-        newest(action == "extend", "ts", "lease_secs").alias("ext"),
-        newest(failure, "error", "backoff_seconds", "next_run_at").alias("fail"),
-        newest(failure & F.col("next_run_at").isNotNull(), "next_run_at").alias("moved"),
-        F.count_if(failure).alias("failures"),
-        F.min(F.when(failure, at)).alias("first_failure"),
-    )
+    rows = _log_rows(log)
+    moves = job_moves(rows)
     ts_type = log.schema["ts"].dataType
     fields = {
-        "status": F.lit("queued"), "run_at": F.col("born.ts"), "attempts": F.lit(0).cast("bigint"),
+        "status": F.lit("queued"), "run_at": F.col("born_ts"), "attempts": F.lit(0).cast("bigint"),
         "backoff_seconds": F.lit(0).cast("bigint"), "visibility_till": F.lit(None).cast(ts_type),
         "reserved_by": F.lit(None).cast("string"), "last_error": F.lit(None).cast("string"),
     }
@@ -256,38 +319,49 @@ def job_state_fold(log: DataFrame, initial: DataFrame | None = None, salts: int
     else:
         # the early side has one row per job, repeated per salt, so that a hot job's failures meet it in many tasks
         early = early.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        failures = log.filter(failure).select("job_id", at.alias("at"), F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int").alias("salt"))
+        failures = rows.filter(F.col("action") == "failure").select("job_id", "at", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int").alias("salt"))
         counted = failures.join(early, ["job_id", "salt"]).filter(F.col("at") < F.col("born"))
         moves = moves.join(counted.groupBy("job_id").agg(F.count("*").alias("void")), "job_id", "left")
         void = F.coalesce(F.col("void"), F.lit(0))
 
     def valid(name: str) -> Column:
-        return F.when(F.col("born").isNull() | (F.col(f"{name}.at") > F.col("born")), F.col(name)).alias(name)
+        return F.col(name).isNotNull() & (F.col("born").isNull() | (F.col(name) > F.col("born")))
 
-    state = moves.select(
-        "job_id", *fields, *map(valid, ("last", "ext", "fail", "moved")),
-        (F.coalesce("failures", F.lit(0)) - void).alias("failures"),
-    )
-    last = F.col("last.action")
-    claimed = last == "claim"
+    state = moves.join(_texts(rows, moves.select("job_id", "claim", "last", "fail")), "job_id", "left")
+    state = state.withColumns({
+        "_moved": valid("last"), "_claimed": valid("last") & (F.col("last") == F.col("claim")), "_extends": valid("ext"), "_failed": valid("fail"),
+    })
     # with no move in this log the stored status decides whether an extension counts
-    running = F.when(last.isNull(), F.col("status") == "running").otherwise(claimed)
-    own_lease = F.when(last.isNull(), F.col("visibility_till")).when(claimed, F.col("last.ts") + seconds(F.col("last.lease_secs")))
-    extended = running & F.col("ext").isNotNull() & (last.isNull() | (F.col("ext.at") > F.col("last.at")))
+    running = F.when(F.col("_moved"), F.col("_claimed")).otherwise(F.col("status") == "running")
+    own_lease = F.when(~F.col("_moved"), F.col("visibility_till")).when(F.col("_claimed"), F.col("claim_ts") + seconds(F.col("claim_secs")))
+    extended = running & F.col("_extends") & (~F.col("_moved") | (_place(F.col("ext")) > _place(F.col("last"))))
     status = (
-        F.when(last.isNull(), F.col("status"))
-        .when(claimed, "running")
-        .when(last == "success", "succeeded")
-        .when(F.col("fail.next_run_at").isNotNull(), "queued")
+        F.when(~F.col("_moved"), F.col("status"))
+        .when(F.col("_claimed"), "running")
+        .when(F.pmod(F.col("last"), F.lit(8)) == ACTIONS["success"], "succeeded")
+        .when(F.col("fail_next").isNotNull(), "queued")
         .otherwise("failed")
     )
     return state.select(
         "job_id",
         status.alias("status"),
-        F.coalesce(F.col("moved.next_run_at"), F.col("run_at")).alias("run_at"),
-        (F.col("attempts") + F.col("failures")).alias("attempts"),
-        F.coalesce(F.col("fail.backoff_seconds").cast("bigint"), F.col("backoff_seconds")).alias("backoff_seconds"),
-        F.when(extended, F.col("ext.ts") + seconds(F.col("ext.lease_secs"))).otherwise(own_lease).alias("visibility_till"),
-        F.when(last.isNull(), F.col("reserved_by")).when(claimed, F.col("last.owner")).alias("reserved_by"),
-        F.when(F.col("fail").isNotNull(), F.col("fail.error")).otherwise(F.col("last_error")).alias("last_error"),
+        F.coalesce(F.when(valid("moved"), F.col("moved_next")), F.col("run_at")).alias("run_at"),
+        (F.col("attempts") + F.coalesce("failures", F.lit(0)) - void).alias("attempts"),
+        F.coalesce(F.when(F.col("_failed"), F.col("fail_backoff")).cast("bigint"), F.col("backoff_seconds")).alias("backoff_seconds"),
+        F.when(extended, F.col("ext_ts") + seconds(F.col("ext_secs"))).otherwise(own_lease).alias("visibility_till"),
+        F.when(~F.col("_moved"), F.col("reserved_by")).when(F.col("_claimed"), F.col("owner")).alias("reserved_by"),
+        F.when(F.col("_failed"), F.col("error")).otherwise(F.col("last_error")).alias("last_error"),
     )
+
+
+def extend_leases(jobs: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Job table after lease extensions (id, lease_secs): running jobs get a lease from ``as_of``, and updated_at.
+
+    Requests for jobs in another state, or for no job, touch nothing; of several
+    for one job the longest counts.
+    """
+    longest = requests.filter(F.col("lease_secs").isNotNull()).groupBy("id").agg(F.max("lease_secs").alias("_secs"))
+    joined = jobs.join(longest, "id", "left")
+    hit = F.col("_secs").isNotNull() & F.coalesce(F.col("status") == "running", F.lit(False))
+    new = {"visibility_till": as_of + seconds(F.col("_secs")), "updated_at": as_of}
+    return joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])

@@ -1,8 +1,8 @@
 """Writes as table-to-table operators: upserts, patches, deletes, enqueue, migration.
 
 Spark's file tables are immutable, so every write is a function from the old
-snapshot and the incoming rows to the new snapshot. ``sources.tables`` stores
-either the snapshot or only the changed rows under a new version folder.
+snapshot and the incoming rows to the new snapshot. ``sources.contents`` stores
+either the snapshot or only the changed rows as a new version.
 """
 
 from __future__ import annotations
@@ -12,40 +12,84 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.text import content_checksum
 from pagelake.schemas import DEFAULT_MAX_ATTEMPTS
+from pagelake.session import cut_lineage
 
 CLEAN = ("clean_html", "clean_text", "lang", "extracted_at", "checksum")
 RAW = ("raw_html", "extracted_at", "checksum")
 
 
-def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Newest row per key, by an aggregate that combines before the shuffle (no per-key sort)."""
-    rest = [c for c in df.columns if c != key and c not in order]
-    newest = df.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_row"))
-    return newest.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+def packed_order(time: Column, checksum: Column) -> Column:
+    """One number that orders rows by time and then by the first 60 bits of a hex checksum, so that a maximum of it is a
+    hash aggregate."""
+    micros = F.unix_micros(time.cast("timestamp")).cast("decimal(19,0)")
+    low = F.coalesce(F.conv(F.substring(checksum, 1, 15), 16, 10).cast("decimal(19,0)"), F.lit(0))
+    return (micros * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows written once, with a number that names them in both reads of an upsert: the choice and the fetch."""
+    return rows if "_row" in rows.columns else cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _chosen(rows: DataFrame, key: str) -> DataFrame:
+    """(_key, _best, _sum): each key's newest row and its checksum; reads narrow columns only, in hash aggregates by key."""
+    order = F.coalesce(packed_order(F.col("extracted_at"), F.col("checksum")), F.lit(-1).cast("decimal(38,0)"))
+    narrow = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), order.alias("_n"), "_row", F.col("checksum").alias("_sum"))
+    newest = narrow.groupBy(F.col("_key").alias("_k")).agg(F.max("_n").alias("_most")).hint("shuffle_hash")
+    # rows that agree in time and checksum: the first one. Only the key is a join key, so that all steps keep its partitions
+    best = narrow.join(newest, (F.col("_key") == F.col("_k")) & (F.col("_n") - F.col("_most") == 0)).groupBy("_k").agg(F.min("_row").alias("_best"))
+    return narrow.join(best.hint("shuffle_hash"), (F.col("_key") == F.col("_k")) & (F.col("_row") - F.col("_best") == 0)).select("_key", "_best", "_sum")
+
+
+def _fetched(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The chosen rows with all columns, by a join that builds the narrow side and sorts neither."""
+    same = (F.col(key) == F.col("_key")) & (F.col("_row") - F.col("_best") == 0)
+    return rows.join(chosen.select("_key", "_best").hint("shuffle_hash"), same).drop("_key", "_best")
+
+
+def newest_rows(rows: DataFrame, key: str) -> DataFrame:
+    """The newest row per key (not NULL) by extracted_at, then checksum; wide columns are fetched for the winners alone."""
+    held = _held(rows)
+    return _fetched(held, _chosen(held, key), key).select(*rows.columns)
 
 
 def with_checksum(incoming: DataFrame) -> DataFrame:
     """Clean rows (item_id, clean_html, clean_text, lang, extracted_at) with their checksum, one per item."""
-    rows = incoming.withColumn("checksum", content_checksum("clean_html", "clean_text"))
-    return last_wins(rows, "item_id", ["extracted_at", "checksum"])
+    return newest_rows(incoming.withColumn("checksum", content_checksum("clean_html", "clean_text")), "item_id")
 
 
 def detect_changed(incoming: DataFrame, current: DataFrame) -> DataFrame:
     """Incoming rows that differ from the stored checksum; a missing or NULL checksum counts as different."""
-    stored = current.select("item_id", F.col("checksum").alias("_stored"))
-    changed = ~F.coalesce(F.col("_stored") == F.col("checksum"), F.lit(False))
-    return incoming.join(stored, "item_id", "left").filter(changed).drop("_stored")
-
-
-def _merge(current: DataFrame, incoming: DataFrame, columns: tuple[str, ...], replaces: Column) -> DataFrame:
-    new = incoming.select("item_id", *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_incoming"))
-    merged = current.join(new, "item_id", "full_outer")
-    return merged.select(
-        *[
-            F.when(replaces, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
-            for c in current.columns
-        ]
-    )
+    same = current.select(F.col("item_id").alias("_key"), F.col("checksum").alias("_stored"))
+    equal = (F.col("item_id") == F.col("_key")) & (F.col("checksum") == F.col("_stored"))
+    return incoming.join(same.hint("shuffle_hash"), equal, "left_anti")
+
+
+def _upsert(current: DataFrame, incoming: DataFrame, columns: tuple[str, ...], unless_same: bool) -> DataFrame:
+    """``current`` with the newest incoming row of each item.
+
+    Which rows are replaced, added or left is decided on ids, times and
+    checksums; incoming rows without an id belong to no item and are left out. Only rows that change something are fetched with their wide
+    columns, and the stored rows stream past them: neither is sorted, aggregated
+    or joined in full.
+    """
+    held = _held(incoming)
+    chosen = _chosen(held, "item_id")
+    known = current.select(F.col("item_id").alias("_id"), F.col("checksum").alias("_stored"), F.lit(True).alias("_there"))
+    chosen = chosen.join(known.hint("shuffle_hash"), F.col("_key") == F.col("_id"), "left")
+    if unless_same:
+        chosen = chosen.filter(~F.coalesce(F.col("_sum") == F.col("_stored"), F.lit(False)))
+    chosen = chosen.select("_key", "_best", F.col("_there").isNotNull().alias("_there"))
+    kinds = {c: current.schema[c].dataType for c in columns}
+
+    replacing = _fetched(held, chosen.filter("_there"), "item_id")
+    replacing = replacing.select(F.col("item_id").alias("_id"), F.lit(True).alias("_hit"), *[F.col(c).cast(k).alias(f"_new_{c}") for c, k in kinds.items()])
+    merged = current.join(replacing.hint("shuffle_hash"), F.col("item_id") == F.col("_id"), "left")
+    kept = merged.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
+    added = _fetched(held, chosen.filter("not _there"), "item_id")
+    given = {"item_id": current.schema["item_id"].dataType, **kinds}
+    added = added.select(*[F.col(c).cast(given[c]).alias(c) if c in given else F.lit(None).cast(current.schema[c].dataType).alias(c) for c in current.columns])
+    return kept.unionByName(added)
 
 
 def upsert_clean(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -56,14 +100,13 @@ def upsert_clean(current: DataFrame, incoming: DataFrame) -> DataFrame:
     checksum column is shared with ``upsert_raw``, where it means something
     else, so a clean row after a raw write always counts as changed.
     """
-    same = F.coalesce(F.col("checksum") == F.col("_new_checksum"), F.lit(False))
-    return _merge(current, with_checksum(incoming), CLEAN, F.col("_incoming").isNotNull() & ~same)
+    rows = incoming.withColumn("checksum", content_checksum("clean_html", "clean_text"))
+    return _upsert(current, rows, CLEAN, unless_same=True)
 
 
 def upsert_raw(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Contents after fetched rows (item_id, raw_html, extracted_at, checksum) arrive; always replaces."""
-    newest = last_wins(incoming.select("item_id", *RAW), "item_id", ["extracted_at", "checksum"])
-    return _merge(current, newest, RAW, F.col("_incoming").isNotNull())
+    return _upsert(current, incoming.select("item_id", *RAW), RAW, unless_same=False)
 
 
 def touch_updated_at(df: DataFrame, touched: Column, as_of: Column) -> DataFrame:

@@ -21,7 +21,8 @@ from pagelake.operators.store import with_checksum
 from pagelake.plans import sqltext as S
 from pagelake.plans.extract import article_documents, extract_pages
 from pagelake.sources import fixtures as X
-from pagelake.sources.tables import read_contents, read_fixture, read_texts, scan_responses, write_contents
+from pagelake.sources.contents import merge_segments, read_contents, write_contents
+from pagelake.sources.tables import read_fixture, read_texts, scan_responses
 from pagelake.session import work_path
 
 MAX_BYTES = 8000
@@ -239,10 +240,11 @@ def undecoded(spark, d):
       coalesce(i.extracted_at, c.extracted_at) as extracted_at from contents c full join incoming i using (item_id)""",
 )
 def written_contents(spark, d):
-    """Two versions: all stored contents, then the clean columns of the incoming rows."""
+    """Two versions, merged: all stored contents, then the clean columns of the incoming rows."""
     base = work_path(spark, "contents")
     write_contents(X.contents(spark, d), base, 0)
     write_contents(with_checksum(X.incoming_contents(spark, d)), base, 1, part="clean")
+    merge_segments(spark, base, fanout=2)
     return read_contents(spark, base).select(
         "item_id", "raw_html", F.md5("clean_text").alias("text_md5"), "checksum", F.col("extracted_at").cast("timestamp_ntz").alias("extracted_at")
     )

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.retry import backoff_bounds, backoff_seconds, next_run_at
 from pagelake.operators.jobs import (
-    attach_item_url, claim_rows, claimed_jobs, dead_letter, dispatch_by_kind, due_batch, due_jobs, job_monitor,
-    job_state_fold, lease_expiry, lease_gaps, parse_payloads, retry_plan,
+    attach_item_url, claim_rows, claimed_jobs, dead_letter, dispatch_by_kind, due_batch, due_jobs, extend_leases,
+    job_monitor, job_state_fold, lease_expiry, lease_gaps, parse_payloads, retry_plan,
 )
 from pagelake.operators.language import language_profiles
 from pagelake.operators.limits import rate_limit, rate_limit_usage
@@ -16,7 +16,8 @@ from pagelake.plans.crawl_queries import GRAMS_SQL, MAIN_SQL, language_sql
 from pagelake.plans.work import run_batch
 from pagelake.session import work_path
 from pagelake.sources import fixtures as X
-from pagelake.sources.tables import read_contents, read_fixture, read_texts
+from pagelake.sources.contents import read_contents
+from pagelake.sources.tables import read_fixture, read_texts
 from pagelake.streaming.jobs import read_latest, stream_extract, stream_job_state, stream_lease_expiry, stream_rate_limit
 
 QUERIES = {}
@@ -69,6 +70,17 @@ def claim(spark, d):
     )
 
 
+@query(
+    "extend_leases",
+    f"""with {X.JOBS_SQL}, r as (select cast(l_orderkey as varchar) as id, max(60 * l_linenumber) as secs from lineitem where l_returnflag = 'R' group by l_orderkey)
+    select jobs.id, status, case when r.id is not null and status = 'running' then {NOW_SQL} + to_seconds(secs) else visibility_till end as visibility_till,
+      case when r.id is not null and status = 'running' then {NOW_SQL} else updated_at end as updated_at from jobs left join r on jobs.id = r.id""",
+)
+def extended(spark, d):
+    requests = read_fixture(spark, d, "lineitem").filter("l_returnflag = 'R'").selectExpr("cast(l_orderkey as string) as id", "cast(60 * l_linenumber as bigint) as lease_secs")
+    return extend_leases(X.jobs(spark, d), requests, X.as_of()).select("id", "status", "visibility_till", "updated_at")
+
+
 @query(
     "job_monitor",
     f"""with {X.JOBS_SQL} select kind, status, count(*) as n_jobs, cast(count_if(attempts > 0) as bigint) as n_retried, cast(sum(attempts) as bigint) as attempts,

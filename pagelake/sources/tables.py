@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pagelake.operators.store import last_wins
-from pagelake.schemas import CONTENTS, RESPONSES, TABLES
+from pagelake.schemas import RESPONSES, TABLES
 
 FIXTURE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -63,56 +61,3 @@ def scan_body_files(spark: SparkSession, path: str, glob: str = "*.html") -> Dat
         F.col("content").alias("body"),
         F.col("modificationTime").alias("fetched_at"),
     )
-
-
-STORED = T.StructType([*CONTENTS.fields, T.StructField("part", T.StringType()), T.StructField("version", T.LongType())])
-
-
-def write_contents(rows: DataFrame, base: str, version: int, part: str = "all") -> None:
-    """Store content rows under their own version folder.
-
-    ``part`` tells which columns the rows carry: ``raw``, ``clean`` or ``all``;
-    the other columns keep their stored values, which need not be read for it.
-    Nothing that a reader may have open is touched, and writing a version again
-    replaces it whole, so a replayed batch leaves no second copy.
-    """
-    given = [c if c in rows.columns else F.lit(None).cast(CONTENTS[c].dataType).alias(c) for c in CONTENTS.names]
-    out = rows.select(*given, F.lit(part).alias("part"))
-    out.write.mode("overwrite").parquet(f"{base}/version={version:012d}")
-
-
-def _stored(spark: SparkSession, base: str, before: int | None) -> DataFrame:
-    rows = spark.read.schema(STORED).parquet(base)
-    return rows if before is None else rows.filter(F.col("version") < before)
-
-
-def read_contents(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
-    """The current row per item over all versions (or those before one version).
-
-    Raw and clean columns each come from the newest version that carried them,
-    time and checksum from the newest of all. One aggregate that combines
-    before the shuffle.
-    """
-
-    def newest(parts: tuple[str, ...], *columns: str):
-        return F.max(F.when(F.col("part").isin(*parts), F.struct("version", *columns)))
-
-    merged = _stored(spark, base, before).groupBy("item_id").agg(
-        newest(("all", "raw"), "raw_html", "raw_text").alias("raw"),
-        newest(("all", "clean"), "clean_html", "clean_text", "lang").alias("clean"),
-        newest(("all", "raw", "clean"), "extracted_at", "checksum").alias("any"),
-    )
-    source = {"raw_html": "raw", "raw_text": "raw", "clean_html": "clean", "clean_text": "clean", "lang": "clean",
-              "extracted_at": "any", "checksum": "any"}
-    return merged.select("item_id", *[F.col(f"{source[c]}.{c}").alias(c) for c in CONTENTS.names[1:]])
-
-
-def read_checksums(spark: SparkSession, base: str, ids: DataFrame, before: int | None = None) -> DataFrame:
-    """(item_id, checksum) of the items in ``ids``; reads three small columns and no content."""
-    rows = _stored(spark, base, before).select("item_id", "version", "checksum").join(ids.select("item_id"), "item_id", "left_semi")
-    return last_wins(rows, "item_id", ["version"]).drop("version")
-
-
-def compact_contents(spark: SparkSession, base: str, into: str, version: int) -> None:
-    """Write the current rows as the first version of a new folder."""
-    write_contents(read_contents(spark, base), into, version)

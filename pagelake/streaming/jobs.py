@@ -17,7 +17,7 @@ from pagelake.operators.limits import limiter_state, rate_limit
 from pagelake.operators.store import detect_changed, with_checksum
 from pagelake.plans.extract import extract_pages
 from pagelake.session import cut_lineage
-from pagelake.sources.tables import read_checksums, write_contents
+from pagelake.sources.contents import merge_segments, read_checksums, write_contents
 
 
 def _folder(base: str, name: str, version: int) -> str:
@@ -89,8 +89,9 @@ def stream_extract(
 ) -> StreamingQuery:
     """Extract a stream of pages (item_id, url, html, fetched_at) and store what changed in ``base/contents``.
 
-    Only changed rows are written, with their clean columns; of the stored rows only
-    ids, versions and checksums are read.
+    Only changed rows are written, with their clean columns. Of the stored rows only
+    ids, versions and checksums are read, from segments whose Bloom filter may hold
+    an id of the batch, and segments are merged as their levels fill.
     """
     contents = f"{base}/contents"
 
@@ -107,6 +108,7 @@ def stream_extract(
         if version > 0:
             incoming = detect_changed(incoming, read_checksums(spark, contents, incoming, before=version))
         write_contents(incoming, contents, version, part="clean")
+        merge_segments(spark, contents, version)
 
     return _start(pages, step, base, available_now)
 

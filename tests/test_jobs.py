@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,13 +205,15 @@ def test_lease_gaps_equal_walk(spark, cell):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_fold_of_a_sound_log_joins_nothing(spark):
-    """Enqueues come first here, so no failure is early and a hot job stays one row per task."""
+def test_fold_of_a_sound_log_joins_winners_only(spark):
+    """Enqueues come first here, so no failure is early; the log meets the rows that decide on job and place, never on a hot job alone."""
     rows = [("j1", at(0), 0, "enqueue", "w", 300, None, None, None), ("j1", at(1), 1, "claim", "w", 300, None, None, None),
             ("j1", at(2), 2, "failure", "w", 300, "boom", at(9), 60), ("j1", at(3), 3, "extend", "w", 300, None, None, None)]
     folded = job_state_fold(spark.createDataFrame(rows, LOG))
     assert _as_dict(folded) == _walk(rows)
-    assert "Join" not in folded._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"\w+Join \[([^]]*)\]", folded._jdf.queryExecution().executedPlan().toString())
+    scans = [keys for keys in joins if "at#" in keys]
+    assert scans and all(keys.startswith("job_id#") for keys in scans)
 
 
 def test_run_batch(spark):
@@ -236,3 +239,27 @@ def test_run_batch(spark):
     assert (got["last"].attempts, got["last"].visibility_till, got["last"].reserved_by, got["last"].run_at) == (25, None, None, at(-3))
     assert got["odd"].last_error == "Failed to create handler: No handler registered for job kind: nobody"
     assert got["over"].updated_at == at(-9) and got["wait"].updated_at == at(-9)
+
+
+def test_extend_leases(spark):
+    from pagelake.operators.jobs import extend_leases
+
+    jobs = spark.createDataFrame(
+        [("r", "running", None, dt.datetime(2024, 1, 1)), ("q", "queued", None, dt.datetime(2024, 1, 1)), ("s", None, None, None), ("t", "running", None, None)],
+        "id string, status string, visibility_till timestamp, updated_at timestamp",
+    )
+    requests = spark.createDataFrame([("r", 60), ("r", 300), ("r", None), ("q", 60), ("s", 60), ("gone", 60), (None, 60), ("t", None)], "id string, lease_secs long")
+    now = dt.datetime(2024, 1, 2)
+    got = {r.id: (r.visibility_till, r.updated_at) for r in extend_leases(jobs, requests, F.lit(now)).collect()}
+    assert got == {"r": (now + dt.timedelta(seconds=300), now), "q": (None, dt.datetime(2024, 1, 1)), "s": (None, None), "t": (None, None)}
+
+
+def test_packed_order_of_extreme_rows(spark):
+    """Times of any year and numbers of any sign keep the order of (ts, seq)."""
+    from pagelake.operators.jobs import ACTIONS, packed_at
+
+    times = [dt.datetime(1, 1, 1), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(1970, 1, 1), dt.datetime(9999, 12, 31)]
+    rows = [(t, s, a) for t in times for s in (-(1 << 63), -1, 0, (1 << 63) - 1) for a in ("enqueue", "failure")]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, seq long, action string")
+    got = [tuple(r) for r in df.orderBy(packed_at(F.col("ts"), F.col("seq"), F.col("action"))).collect()]
+    assert got == sorted(rows, key=lambda r: (r[0], r[1], ACTIONS[r[2]]))

@@ -8,7 +8,9 @@ from pagelake.operators.store import (
     mark_fetched, partial_patch, touch_updated_at, upsert_clean, upsert_raw, with_checksum,
 )
 from pagelake.schemas import CONTENTS, ITEMS
-from pagelake.sources.tables import compact_contents, read_checksums, read_contents, write_contents
+from pagelake.sources.contents import (
+    compact_contents, live_segments, merge_segments, read_checksums, read_contents, run_to_merge, segments_with, write_contents,
+)
 
 T0, T1, T2 = (dt.datetime(2024, 1, d) for d in (1, 2, 3))
 NEW = "item_id string, clean_html string, clean_text string, lang string, extracted_at timestamp"
@@ -124,7 +126,7 @@ def test_versions(spark, tmp_path):
         write_contents(changed, base, 1)
     assert {r.item_id: r.clean_text for r in read_contents(spark, base).collect()} == {"a": "2", "b": "1"}
     assert {r.item_id: r.clean_text for r in read_contents(spark, base, before=1).collect()} == {"a": "1", "b": "1"}
-    compact_contents(spark, base, str(tmp_path / "next"), 0)
+    compact_contents(spark, base, str(tmp_path / "next"))
     assert read_contents(spark, str(tmp_path / "next")).count() == 2
 
 
@@ -190,3 +192,63 @@ def test_parts_merge_like_the_upserts(spark, tmp_path):
     assert [tuple(r) for r in sums.collect()] == [("a", _md5("<html>"))]
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert "clean_html" not in plan and "raw_html" not in plan
+
+
+def test_live_segments_and_levels():
+    assert live_segments([(0, 0), (1, 1), (0, 1), (2, 2)]) == [(0, 1), (2, 2)]
+    assert live_segments([(0, 7), (0, 0), (8, 8), (8, 9)], before=9) == [(0, 7), (8, 8)]
+    # what remains after many versions, each merged as the levels fill
+    live, most = [], 0
+    for version in range(1000):
+        live.append((version, version))
+        run = run_to_merge(live, 4)
+        if run:
+            live[-run:] = [(live[-run][0], version)]
+        assert live == live_segments(live) and live[0][0] == 0
+        most = max(most, len(live))
+    assert most <= 3 * 5 + 3  # three segments of each of five levels
+    assert run_to_merge([(0, 3), (4, 7), (8, 11), (12, 12), (13, 13), (14, 14), (15, 15)], 4) == 7
+
+
+def test_many_versions_stay_few_files(spark, tmp_path):
+    """50 batches: the last one looks into few segments, and the contents are those of one upsert after the other."""
+    base, want = str(tmp_path / "contents"), {}
+    reads = []
+    for version in range(50):
+        # three items of their own, and one that every seventh batch writes again
+        ids = [f"i{version * 3 + i}" for i in range(3)] + (["again"] if version % 7 == 0 else [])
+        rows = [(i, f"<p>{version}</p>", f"{i} {version}", "en", T0 + dt.timedelta(days=version)) for i in ids]
+        incoming = with_checksum(_incoming(spark, *rows))
+        if version:
+            reads.append(segments_with(spark, base, incoming.select("item_id")))
+        write_contents(incoming, base, version, part="clean", buckets=2)
+        merge_segments(spark, base, version, fanout=4)
+        want |= {i: text for i, _, text, _, _ in rows}
+    folders = sorted(p.name for p in (tmp_path / "contents" / "buckets=2" / "head").iterdir() if p.name.startswith("seg="))
+    files = list((tmp_path / "contents").glob("buckets=*/*/seg=*/part-*"))
+    assert len(folders) <= 14 and len(files) <= 14 * 2 * 3
+    # new items are in no segment; a Bloom filter errs rarely
+    assert sum(map(len, reads)) <= 40 and all(len(reads[v - 1]) >= 1 for v in (7, 14, 49))
+    assert {r.item_id: r.clean_text for r in read_contents(spark, base, columns=["clean_text"]).collect()} == want
+
+
+def test_rewritten_version_undoes_its_merge(spark, tmp_path):
+    base = str(tmp_path / "contents")
+    for version in range(4):
+        write_contents(with_checksum(_incoming(spark, ("a", str(version), "x", "en", T0), (f"b{version}", "1", "x", "en", T0))), base, version, part="clean", buckets=2)
+    merge_segments(spark, base, 3, fanout=4)
+    again = with_checksum(_incoming(spark, ("a", "new", "x", "en", T1)))
+    write_contents(again, base, 3, part="clean")
+    got = {r.item_id: r.clean_html for r in read_contents(spark, base).collect()}
+    assert got == {"a": "new", "b0": "1", "b1": "1", "b2": "1"}
+    merge_segments(spark, base, 3, fanout=4)
+    assert {r.item_id: r.clean_html for r in read_contents(spark, base).collect()} == got
+    assert read_contents(spark, base, before=2).count() == 0 or read_contents(spark, base, before=2).count() == 3
+
+
+def test_rows_without_an_item_are_left_out(spark, tmp_path):
+    rows = _incoming(spark, (None, "1", "1", "en", T0), ("a", "1", "1", "en", None))
+    assert [r.item_id for r in upsert_clean(spark.createDataFrame([], CONTENTS), rows).collect()] == ["a"]
+    write_contents(with_checksum(rows), str(tmp_path / "c"), 0, part="clean")
+    assert [r.item_id for r in read_contents(spark, str(tmp_path / "c")).collect()] == ["a"]
+    assert read_contents(spark, str(tmp_path / "nothing")).count() == 0
