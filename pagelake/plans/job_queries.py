@@ -18,7 +18,7 @@ from pagelake.session import work_path
 from pagelake.sources import fixtures as X
 from pagelake.sources.contents import read_contents
 from pagelake.sources.tables import read_fixture, read_texts
-from pagelake.streaming.jobs import read_latest, stream_extract, stream_job_state, stream_lease_expiry, stream_rate_limit
+from pagelake.streaming.jobs import read_jobs, stream_extract, stream_job_state, stream_lease_expiry, stream_rate_limit
 
 QUERIES = {}
 
@@ -291,17 +291,34 @@ def folded(spark, d):
     return job_state_fold(X.job_log(X.with_k(read_fixture(spark, d, "events"))))
 
 
-def _event_stream(spark, d):
-    """The events table as a file stream."""
-    schema = read_fixture(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+def _in_files(spark, df, batch, name, n=4):
+    """``df`` as a stream of several micro-batches: one file for each value of ``batch`` (0 to n - 1), in their order."""
+    path, dealt = work_path(spark, name), df.withColumn("_batch", batch)
+    for i in range(n):
+        dealt.filter(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _quarter(ts, end, start):
+    """Which quarter of the time from start to end holds ts, 0 to 3."""
+    share = (F.unix_micros(ts.cast("timestamp")) - start) * 4 / (end - start + 1)
+    return F.least(F.greatest(F.floor(share), F.lit(0)), F.lit(3)).cast("int")
+
+
+def _event_stream(spark, d, late_secs=0):
+    """The events table as a stream of four batches by time; rows come up to ``late_secs`` out of order, and by hash inside a batch."""
+    events = read_fixture(spark, d, "events")
+    start, end = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    delay = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(late_secs + 1)).cast("decimal(18,6)"))
+    batch = _quarter(F.col("ts") + delay, end or 0, start or 0)
+    return _in_files(spark, events.sortWithinPartitions(F.xxhash64("event_id", F.lit(1))), batch, "events")
 
 
 @query("stream_job_state", FOLD_SQL)
 def streamed_state(spark, d):
     base = work_path(spark, "job-state")
-    stream_job_state(X.job_log(X.with_k(_event_stream(spark, d))), base).awaitTermination()
-    return read_latest(spark, base, "jobs")
+    stream_job_state(X.job_log(X.with_k(_event_stream(spark, d, 30 * 86400))), base).awaitTermination()
+    return read_jobs(spark, base)
 
 
 LOG_END = "2024-02-15 00:00:00"
@@ -328,7 +345,7 @@ def gaps(spark, d):
 )
 def streamed_leases(spark, d):
     base = work_path(spark, "leases")
-    stream_lease_expiry(X.job_log(X.with_k(_event_stream(spark, d))), base).awaitTermination()
+    stream_lease_expiry(X.job_log(X.with_k(_event_stream(spark, d, 3000))), base).awaitTermination()
     return spark.read.parquet(f"{base}/expired").select("job_id", "expired_at")
 
 
@@ -380,8 +397,7 @@ def streamed_limits(spark, d):
 )
 def streamed_pages(spark, d):
     base = work_path(spark, "extract")
-    schema = read_fixture(spark, d, "pages").schema
-    pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    pages = _in_files(spark, read_fixture(spark, d, "pages"), F.pmod(F.hash("page_id"), F.lit(3)), "pages", 3)
     pages = pages.selectExpr("cast(page_id as string) as item_id", "url", "html", "timestamp'2024-01-01 00:00:00' as fetched_at")
     stream_extract(pages, base, profiles=language_profiles(read_texts(spark, d, "documents"))).awaitTermination()
     return read_contents(spark, f"{base}/contents").select(
