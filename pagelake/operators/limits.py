@@ -5,35 +5,38 @@ after its end opens the next one. Every event counts, blocked ones too; an event
 is allowed while its number inside the window is at most the limit.
 
 Which events open a window is a chain per key, so a naive fold sorts each key in
-one task. Here a key's timeline is cut first:
-
-* a quiet gap of at least W always ends a window, whatever came before, so the
-  pieces between gaps ("sessions") are independent. Gaps are found on counts per
-  (key, W-long cell), which are combined before the shuffle.
-* a session shorter than W is one window; nothing has to be followed.
-* longer sessions with a bounded number of distinct times are followed inside
-  one row's array.
-* longer sessions beyond that bound are followed by jump doubling: each time
-  points to the first time at least W later, and joining jumps with themselves
-  marks all window starts in log2(length) rounds. No task holds such a key.
+one task. Here it is a segmented scan over ranges of (key, time), for keys of
+any size alike:
+
+1. The events are ranged and sorted once. A range that begins inside a key does
+   not know which window is open there, so it sums up what each possible window
+   would lead to: a table from the end of the open window to the window that is
+   open at the range's end, and its count. Windows that begin apart run
+   together, so the table of a range much longer than W is short; that of a
+   range shorter than W has its times.
+2. The carries, a row for each range, are scanned in order: each range's window
+   at its begin is that of the range before, looked up in its table.
+3. Each range is followed batch by batch from the window it begins with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.session import cut_lineage
 
 MICROS = 1_000_000
-HOT_ROWS = 500_000
 FIELDS = ("window_start", "window_count", "allowed")
 
+#: A key with its open window: start and count.
+Carry = tuple[object, int, int]
+
 
 def rate_limit(
     events: DataFrame,
@@ -43,7 +46,7 @@ def rate_limit(
     max_requests: int,
     window_secs: int,
     state: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Events with window_start, window_count and allowed.
 
@@ -51,52 +54,39 @@ def rate_limit(
     window_count) carries windows that are still open from earlier events; an
     event older than its key's open window counts in that window. An event
     without key or time belongs to no window and comes back with NULLs.
+    ``ranges`` sets the number of ranges; without it Spark chooses.
     """
     width = window_secs * MICROS
     placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
-    unplaced, events = events.filter(~placed), events.filter(placed)
-    rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    if state is not None:
-        opened = state.select(
-            F.col(key), F.unix_micros(F.col("window_start").cast("timestamp")).alias("_open"), F.col("window_count").alias("_used")
-        )
-        rows = rows.join(opened, key, "left").withColumn("_t", F.greatest("_t", "_open"))
-        times = rows.select(key, "_t").unionByName(rows.filter("_open is not null").select(key, F.col("_open").alias("_t")))
-    else:
-        times = rows.select(key, "_t")
-    rows = rows.withColumn("_cell", _floor(F.col("_t"), width))
-
-    cells = cut_lineage(_cells(times, key, width))
-    # sizes that decide the way: the largest cell, the longest sessions within and beyond the bound
-    long_session = F.col("_last") - F.col("_first") >= width
-    span = F.when(long_session, F.col("_last") - F.col("_first"))
-    largest, bounded_span, hot_span = cells.agg(
-        F.max("_n"), F.max(F.when(F.col("_total") <= hot_rows, span)), F.max(F.when(F.col("_total") > hot_rows, span))
-    ).first()
-    starts = cells.filter(~long_session).select(key, F.col("_first").alias("_s")).distinct()
-    if bounded_span is not None or hot_span is not None:
-        wide = cells.filter(long_session)
-        starts = starts.unionByName(_long_session_starts(times, wide, key, width, hot_rows, bounded_span, hot_span))
-    # an event's window opens in its own cell or in the one before
-    here = starts.select(key, _floor(F.col("_s"), width).alias("_cell"), F.col("_s").alias("_here"), F.lit(None).cast("bigint").alias("_before"))
-    before = here.select(key, (F.col("_cell") + 1).alias("_cell"), F.col("_before").alias("_here"), F.col("_here").alias("_before"))
-    by_cell = here.unionByName(before).groupBy(key, "_cell").agg(F.max("_here").alias("_here"), F.max("_before").alias("_before"))
-    opens = F.when(F.col("_here") <= F.col("_t"), F.col("_here")).otherwise(F.col("_before"))
-    rows = rows.join(by_cell, [key, "_cell"]).withColumn("_s", opens).drop("_here", "_before", "_cell")
-
-    # a window lies in two cells, so twice the largest cell bounds every window
-    ranked = _numbered(rows, [key, "_s"], [ts, order], hot=2 * (largest or 0) > hot_rows)
+    unplaced, known = events.filter(~placed), events.filter(placed)
+    none = F.lit(None).cast("bigint")
+    rows = known.select("*", F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), none.alias("_used"))
     if state is not None:
-        carried = F.when(F.col("_s") == F.col("_open"), F.col("_used")).otherwise(F.lit(0))
-        ranked = ranked.withColumn("_rank", F.col("_rank") + carried).drop("_open", "_used")
-    ranked = ranked.select(
+        # an open window is a row before its key's events
+        given = {key: F.col(key).cast(events.schema[key].dataType), "_t": F.unix_micros(F.col("window_start").cast("timestamp")), "_used": F.col("window_count").cast("bigint")}
+        opened = state.filter(F.col(key).isNotNull() & F.col("window_start").isNotNull())
+        rows = rows.unionByName(opened.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema]))
+    along = [F.col(key), F.col("_used").isNull(), F.col("_t"), F.col(order)]
+    dealt = rows.repartitionByRange(ranges, *along) if ranges else rows.repartitionByRange(*along)
+    dealt = cut_lineage(dealt.sortWithinPartitions(*along).withColumn("_part", F.spark_partition_id()))
+
+    kind = dealt.schema[key].dataType
+    narrow = dealt.select(F.col(key).alias("key"), "_t", "_used", "_part")
+    carries = narrow.mapInArrow(_summed(width), _summary_schema(kind))
+    entries = carries.repartition(1).sortWithinPartitions("part").mapInArrow(_scanned(width), "part int, start long, used long")
+    begins = {row["part"]: (row["start"], row["used"]) for row in entries.collect()}  # at most one row for each range
+
+    columns = [*events.columns, "_t", "_used", "_part"]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in events.schema], T.StructField("_s", T.LongType()), T.StructField("_n", T.LongType())])
+    followed = dealt.select(*columns).mapInArrow(_followed(width, events.columns.index(key), len(events.columns), begins), schema)
+    limited = followed.select(
         *events.columns,
         F.timestamp_micros("_s").cast(events.schema[ts].dataType).alias("window_start"),
-        F.col("_rank").cast("bigint").alias("window_count"),
-        (F.col("_rank") <= max_requests).alias("allowed"),
+        F.col("_n").alias("window_count"),
+        (F.col("_n") <= max_requests).alias("allowed"),
     )
-    kinds = {name: ranked.schema[name].dataType for name in FIELDS}
-    return ranked.unionByName(unplaced.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()}))
+    kinds = {name: limited.schema[name].dataType for name in FIELDS}
+    return limited.unionByName(unplaced.withColumns({name: F.lit(None).cast(k) for name, k in kinds.items()}))
 
 
 def limiter_state(limited: DataFrame, key: str, state: DataFrame | None = None) -> DataFrame:
@@ -118,130 +108,141 @@ def rate_limit_usage(limited: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _floor(t: Column, width: int) -> Column:
-    """Index of the cell of this width that holds t, in whole numbers."""
-    return ((t - F.pmod(t, F.lit(width))) / F.lit(width)).cast("bigint")
-
-
-def _cells(times: DataFrame, key: str, width: int) -> DataFrame:
-    """Per (key, cell): first and last time, number of events, session number and session bounds.
-
-    The windows below run over one row per cell, so a key's share is bounded by
-    the length of the log in W, not by its events.
-    """
-    cells = times.groupBy(key, _floor(F.col("_t"), width).alias("_cell")).agg(
-        F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_n")
-    )
-    along = Window.partitionBy(key).orderBy("_cell")
-    gap = F.col("_lo") - F.lag("_hi").over(along) >= width
-    cells = cells.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int"))
-    cells = cells.withColumn("_session", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(key, "_session")
-    return cells.withColumns(
-        {"_first": F.min("_lo").over(whole), "_last": F.max("_hi").over(whole), "_total": F.sum("_n").over(whole)}
-    ).drop("_new")
-
-
-def _long_session_starts(
-    times: DataFrame, wide: DataFrame, key: str, width: int, hot_rows: int, bounded_span: int | None, hot_span: int | None
-) -> DataFrame:
-    """(key, _s) for every time that opens a window in sessions of at least one width."""
-    points = times.withColumn("_cell", _floor(F.col("_t"), width)).join(
-        wide.select(key, "_cell", "_session", "_total"), [key, "_cell"]
-    )
-    found = []
-    if bounded_span is not None:
-        small = points.filter(F.col("_total") <= hot_rows)
-        arrays = small.groupBy(key, "_session").agg(F.collect_set("_t").alias("_ts"))
-        found.append(arrays.select(key, F.explode(_chain(width)("_ts")).alias("_s")))
-    if hot_span is not None:
-        far = points.filter(F.col("_total") > hot_rows).select(key, "_session", "_t").distinct()
-        found.append(_chain_by_doubling(far, [key, "_session"], width, hot_span).select(key, "_s"))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _chain(width: int):
-    """Column function: the window starts among the times of one session."""
-
-    @F.pandas_udf("array<bigint>")
-    def follow(sessions: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in sessions:
-            out = []
-            for values in batch:
-                t = np.sort(np.asarray(values))
-                starts, i = [], 0
-                while i < len(t):
-                    starts.append(int(t[i]))
-                    i = int(np.searchsorted(t, t[i] + width))
-                out.append(starts)
-            yield pd.Series(out)
-
-    return follow
-
-
-def _chain_by_doubling(points: DataFrame, group: list[str], width: int, longest: int) -> DataFrame:
-    """Window starts among (group, _t), for groups of any size."""
-    asked = points.select(*group, "_t", (F.col("_t") + width).alias("_q"))
-    jump = _first_at_or_after(asked, points, group, (MICROS, 3600 * MICROS))
-    jump = cut_lineage(jump.filter("_next is not null").select(*group, "_t", "_next"))
-    marked = points.groupBy(*group).agg(F.min("_t").alias("_s"))
-    reach = 1
-    while True:
-        ahead = jump.withColumnRenamed("_t", "_s")
-        marked = cut_lineage(marked.unionByName(marked.join(ahead, [*group, "_s"]).select(*group, F.col("_next").alias("_s"))))
-        reach *= 2
-        if reach * width > longest + width:  # starts lie at least one width apart
-            return marked
-        further = jump.select(*group, F.col("_t").alias("_next"), F.col("_next").alias("_far"))
-        jump = cut_lineage(jump.join(further, [*group, "_next"]).select(*group, "_t", F.col("_far").alias("_next")))
-
-
-def _first_at_or_after(asked: DataFrame, points: DataFrame, group: list[str], cells: tuple[int, ...]) -> DataFrame:
-    """Add ``_next`` to (group, _t, _q): the first point at or after ``_q``.
-
-    Points and questions meet inside one cell of the time axis (a second holds
-    at most a million distinct times). Where the cell has no later point, the
-    question moves to the start of the next cell and looks among the first
-    points per cell, in cells of the next size; the last level has one row per
-    cell of the largest size.
-    """
-    if cells:
-        size, rest = cells[0], cells[1:]
-        cell = _floor(F.col("_q"), size).alias("_cell")
-        own_cell = _floor(F.col("_t"), size).alias("_cell")
-    else:
-        size, rest = 0, ()
-        cell = own_cell = F.lit(0).alias("_cell")
-    nothing = F.lit(None).cast("bigint")
-    both = asked.select(*group, cell, F.col("_q").alias("_at"), F.lit(0).alias("_kind"), "_t").unionByName(
-        points.select(*group, own_cell, F.col("_t").alias("_at"), F.lit(1).alias("_kind"), nothing.alias("_t"))
-    )
-    onward = Window.partitionBy(*group, "_cell").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    seen = both.withColumn("_next", F.min(F.when(F.col("_kind") == 1, F.col("_at"))).over(onward)).filter("_kind = 0")
-    seen = seen.select(*group, "_t", "_cell", "_next")
-    if not cells:
-        return seen.drop("_cell")
-    found = seen.filter("_next is not null").drop("_cell")
-    open_ = seen.filter("_next is null").select(*group, "_t", ((F.col("_cell") + 1) * size).alias("_q"))
-    firsts = points.groupBy(*group, own_cell).agg(F.min("_t").alias("_t")).drop("_cell")
-    later = open_.select(*group, F.col("_q").alias("_t"), "_q").distinct()
-    hit = _first_at_or_after(later, firsts, group, rest).select(*group, F.col("_t").alias("_q"), "_next")
-    return found.unionByName(open_.join(hit, [*group, "_q"]).select(*group, "_t", "_next"))
-
-
-def _numbered(rows: DataFrame, group: list[str], order: list[str], hot: bool) -> DataFrame:
-    """Add ``_rank``, the row number inside a group.
-
-    With a hot group the rows are range-partitioned, which splits it, and
-    numbered inside each partition; the counts of the earlier partitions, one
-    row per partition and group, are added.
-    """
-    if not hot:
-        return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    placed = cut_lineage(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
-    counts = placed.groupBy(*group, "_part").agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_skip", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    inside = Window.partitionBy(*group, "_part").orderBy(*order)
-    numbered = placed.withColumn("_rank", F.row_number().over(inside)).join(counts, [*group, "_part"])
-    return numbered.withColumn("_rank", F.col("_rank") + F.col("_skip")).drop("_skip", "_part")
+def _open_window(t: np.ndarray, width: int, start: int, used: int, starts: np.ndarray, numbers: np.ndarray) -> tuple[int, int]:
+    """Fill in window start and number of a key's sorted times after an open window; returns the window open at the end."""
+    i, n = 0, len(t)
+    while i < n:
+        if t[i] - start >= width:
+            start, used = int(t[i]), 0
+        j = max(int(np.searchsorted(t, start + width)), i + 1)
+        starts[i:j] = start
+        numbers[i:j] = np.arange(used + 1, used + 1 + j - i)
+        used, i = used + j - i, j
+    return start, used
+
+
+def _runs(batch: pa.RecordBatch, at: int, carry: Carry | None) -> Iterator[tuple[int, int, object, bool]]:
+    """(low, high, key, continues) of each run of a key in a batch; whether the first one goes on with the carry's key."""
+    coded = batch.column(at).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    begins = np.flatnonzero(np.diff(codes, prepend=-1))
+    for low, high in zip(begins.tolist(), np.append(begins[1:], len(codes)).tolist(), strict=True):
+        own = coded.dictionary[codes[low]].as_py()
+        yield low, high, own, low == 0 and carry is not None and carry[0] == own
+
+
+def _follow(batch: pa.RecordBatch, key_at: int, t_at: int, width: int, carry: Carry | None) -> tuple[np.ndarray, np.ndarray, Carry | None]:
+    """Window start and number of each row, and the window open at the end of the batch."""
+    t, used = batch.column(t_at).to_numpy(), batch.column(t_at + 1)
+    opened = used.is_valid().to_numpy(zero_copy_only=False)
+    starts, numbers = np.zeros(len(t), dtype=np.int64), np.zeros(len(t), dtype=np.int64)
+    for low, high, own, continues in _runs(batch, key_at, carry):
+        if continues:
+            start, count = carry[1], carry[2]
+        elif opened[low]:
+            start, count = int(t[low]), used[low].as_py()
+        else:
+            start, count = int(t[low]), 0
+        first = low + int(opened[low:high].sum())
+        start, count = _open_window(t[first:high], width, start, count, starts[first:high], numbers[first:high])
+        carry = (own, start, count)
+    return starts, numbers, carry
+
+
+def _transfer(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(until, start, count) of a run of sorted times: a window whose end is at most ``until``, and after the ``until``
+    before, leads to this open window. A window that ends after all times stays open."""
+    first = np.flatnonzero(np.diff(t, prepend=t[0] - 1))  # of equal times
+    distinct = t[first]
+    to = np.searchsorted(distinct, distinct + width)
+    to = np.where(to < len(distinct), to, np.arange(len(distinct)))
+    while True:  # jumps double until all stand at their last window
+        further = to[to]
+        if (further == to).all():
+            break
+        to = further
+    last = np.flatnonzero(np.append(to[1:] != to[:-1], True))
+    return distinct[last], distinct[to[last]], len(t) - first[to[last]]
+
+
+def _summary_schema(kind: T.DataType) -> T.StructType:
+    numbers = T.ArrayType(T.LongType())
+    fields = [("part", T.IntegerType()), ("first", kind), ("last", kind), ("single", T.BooleanType()), ("opened", T.BooleanType()), ("n", T.LongType()),
+              ("until", numbers), ("starts", numbers), ("counts", numbers), ("start", T.LongType()), ("used", T.LongType())]
+    return T.StructType([T.StructField(*f) for f in fields])
+
+
+def _summed(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a range: its first and last key, the first one's transfer table, and the window that a fresh begin leaves open."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, carry, part, first, kind = [], None, None, None, None
+        single = True
+        opened = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if part is None:
+                part, kind, first = batch.column(3)[0].as_py(), batch.column(0).type, batch.column(0)[0].as_py()
+                opened = batch.column(2)[0].is_valid
+            for low, high, own, _ in _runs(batch, 0, None):
+                if own != first:
+                    single = False
+                    break
+                head.append(batch.column(1).to_numpy()[low:high])
+            _, _, carry = _follow(batch, 0, 1, width, carry)
+        if part is None:
+            return
+        times = np.concatenate(head)
+        table = [np.zeros(0, dtype=np.int64)] * 3 if opened or not single else _transfer(times, width)
+        row = [part, first, carry[0], single, bool(opened), len(times), *table, carry[1], carry[2]]
+        types = [pa.int32(), kind, kind, pa.bool_(), pa.bool_(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int64()]
+        names = ["part", "first", "last", "single", "opened", "n", "until", "starts", "counts", "start", "used"]
+        yield pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(row, types, strict=True)], names)
+
+    return run
+
+
+def _scanned(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Exclusive scan of the carries: (part, start, used) of ranges that begin inside a key."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        found = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                inside = carry is not None and carry[0] == row["first"].as_py() and not row["opened"].as_py()
+                if inside:
+                    found.append((row["part"].as_py(), carry[1], carry[2]))
+                window = row["start"].as_py(), row["used"].as_py()
+                if inside and row["single"].as_py():
+                    until = row["until"].values.to_numpy()
+                    at = int(np.searchsorted(until, carry[1] + width))
+                    stays = at == len(until)
+                    window = (carry[1], carry[2] + row["n"].as_py()) if stays else (row["starts"].values[at].as_py(), row["counts"].values[at].as_py())
+                carry = (row["last"].as_py(), *window)
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["part", "start", "used"])
+
+    return run
+
+
+def _followed(width: int, key_at: int, n_columns: int, begins: dict[int, tuple[int, int]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The events of a range with window start and number, from the window that is open at its begin."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, fresh = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if fresh:
+                fresh = False
+                begin = begins.get(batch.column(n_columns + 2)[0].as_py())
+                if begin is not None:
+                    carry = (batch.column(key_at)[0].as_py(), *begin)
+            starts, numbers, carry = _follow(batch, key_at, n_columns, width, carry)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.array(starts), pa.array(numbers)], [*batch.schema.names[:n_columns], "_s", "_n"])
+            yield out.filter(batch.column(n_columns + 1).is_null())  # without the rows of open windows
+
+    return run

@@ -1,9 +1,10 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
-from pagelake.operators.limits import limiter_state, rate_limit, rate_limit_usage
+from pagelake.operators.limits import _transfer, limiter_state, rate_limit, rate_limit_usage
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "id long, key string, ts timestamp"
@@ -23,9 +24,9 @@ def walk(rows, limit, width, state=None):
     return out, state
 
 
-def run(spark, rows, limit, width, hot_rows=1_000_000, state=None):
+def run(spark, rows, limit, width, ranges=None, state=None):
     events = spark.createDataFrame(rows, SCHEMA)
-    return rate_limit(events, "key", "ts", "id", limit, width, state, hot_rows)
+    return rate_limit(events, "key", "ts", "id", limit, width, state, ranges)
 
 
 def as_dict(limited):
@@ -50,26 +51,44 @@ def random_rows(seed, n, keys, span):
     return [(i, rnd.choice(keys), sec(round(rnd.random() * span, rnd.choice([0, 3, 6])))) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 40, 1])
+@pytest.mark.parametrize("ranges", [None, 9, 60])
 @pytest.mark.parametrize("seed,span,width", [(1, 2000, 60), (2, 100, 60), (3, 50000, 60), (4, 3000, 7)])
-def test_equals_walk_on_every_path(spark, hot_rows, seed, span, width):
-    """hot_rows = 40 or 1 sends long sessions through jump doubling and windows through range numbering."""
+def test_equals_walk_over_any_ranges(spark, ranges, seed, span, width):
+    """Many ranges cut the hot key, its windows and equal times; windows are longer and shorter than a range."""
     rows = random_rows(seed, 600, ["hot"] * 8 + ["a", "b", "c"], span)
-    assert as_dict(run(spark, rows, 3, width, hot_rows)) == walk(rows, 3, width)[0]
+    assert as_dict(run(spark, rows, 3, width, ranges)) == walk(rows, 3, width)[0]
 
 
-def test_periodic_events_on_the_hot_path(spark):
+def test_third_of_the_rows_on_one_key_and_windows_of_a_second(spark):
+    rows = random_rows(8, 6000, ["hot"] * 10 + [f"k{i}" for i in range(20)], 900)
+    assert as_dict(run(spark, rows, 3, 1, 40)) == walk(rows, 3, 1)[0]
+
+
+def test_carries_are_small_where_windows_are_short():
+    """Windows run together: a range of a dense key sums up to far less than its rows."""
+    t = np.sort(np.random.default_rng(2).integers(0, 10_000 * 1_000_000, 200_000))
+    until, starts, counts = _transfer(t, 1_000_000)
+    assert len(until) < len(t) / 500
+    for end in (int(t[0]) - 5, int(t[777]), int(t[100_000]) + 1, int(t[-1])):
+        i = int(np.searchsorted(t, end))
+        while (j := int(np.searchsorted(t, t[i] + 1_000_000))) < len(t):
+            i = j
+        at = int(np.searchsorted(until, end))
+        assert (starts[at], counts[at]) == (t[i], len(t) - i)
+
+
+def test_periodic_events_over_many_ranges(spark):
     rows = [(i, "hot", sec(i * 5)) for i in range(300)] + [(1000 + i, "hot", sec(20000 + i * 61)) for i in range(20)]
     assert as_dict(run(spark, rows, 2, 60, 10)) == walk(rows, 2, 60)[0]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
-def test_batches_carry_their_windows(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [None, 20])
+def test_batches_carry_their_windows(spark, ranges):
     rows = sorted(random_rows(5, 400, ["a", "b", "c", "d"], 3000), key=lambda r: (r[2], r[0]))
     want, _ = walk(rows, 3, 60)
     got, state = {}, None
     for part in (rows[:100], rows[100:103], rows[103:250], rows[250:]):
-        limited = run(spark, part, 3, 60, hot_rows, state)
+        limited = run(spark, part, 3, 60, ranges, state)
         got |= as_dict(limited)
         # as a stream does, through a stored table
         state = spark.createDataFrame(limiter_state(limited, "key", state).collect(), "key string, window_start timestamp, window_count long")
