@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.functions.text import words
+from pagelake.functions.text import compute_once, tokenize_simple, words
 from pagelake.session import cut_lineage
 
 # BM25 (Robertson and Zaragoza 2009).
@@ -27,44 +27,44 @@ def token_rows(docs: DataFrame, key: str, text: str, terms: list[str] | None = N
     return rows if terms is None else rows.filter(F.col("term").isin(*terms))
 
 
-def build_postings(docs: DataFrame, key: str, text: str, terms: list[str] | None = None, positions: bool = True) -> DataFrame:
-    """(term, key, tf, first_pos[, positions]) for documents with text.
+def doc_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dl, terms, tfs, firsts, positions) of each document with text: its distinct terms, in order, with counts,
+    first positions and all positions.
 
-    All tokens of a document are in one task, so the combine before the shuffle
-    already yields final postings; a frequent term is many small groups.
+    Grouped inside the row: the tokens are sorted with their positions, and each
+    run of a term is cut out. Nothing is shuffled.
     """
-    aggs = [F.count("*").alias("tf"), F.min("pos").alias("first_pos")]
-    if positions:
-        aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return token_rows(docs, key, text, terms).groupBy("term", key).agg(*aggs)
+    place = F.transform(tokenize_simple(text), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    rows = compute_once(docs.filter(F.col(text).isNotNull()).select(key, text), {"_s": F.sort_array(place)}).drop(text)
+    rows = compute_once(rows, {"_n": F.size("_s"), "_terms": F.col("_s.term"), "_pos": F.col("_s.pos")}).drop("_s")
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1)))
+    rows = compute_once(rows, {"_begins": begins})
+    rows = compute_once(rows, {"_ends": F.concat(F.slice("_begins", 2, F.greatest(F.size("_begins"), F.lit(1))), F.array("_n"))})
+    runs = F.arrays_zip(F.col("_begins").alias("b"), F.slice("_ends", 1, F.size("_begins")).alias("e"))
+    return rows.select(
+        key, F.col("_n").cast("bigint").alias("dl"),
+        F.transform("_begins", lambda b: F.get("_terms", b)).alias("terms"),
+        F.transform(runs, lambda r: r["e"] - r["b"]).alias("tfs"),
+        F.transform("_begins", lambda b: F.get("_pos", b)).alias("firsts"),
+        F.transform(runs, lambda r: F.slice("_pos", r["b"] + 1, r["e"] - r["b"])).alias("positions"),
+    )
 
 
-def write_postings(postings: DataFrame, key: str, path: str, buckets: int = 64) -> None:
-    """Postings laid out by term hash, so that a term lookup reads one folder.
+def build_postings(docs: DataFrame, key: str, text: str, terms: list[str] | None = None, positions: bool = True) -> DataFrame:
+    """(term, key, tf, first_pos[, positions]) for documents with text; each row is a document.
 
-    Rows are ranged by (bucket, term, key): a term that a third of all postings
-    share is split over many files, and still lies together. The number of
-    buckets is a folder level, so readers take it from the data.
+    All tokens of a document are in its row, so its postings are made there and
+    nothing is shuffled. With ``terms`` only those of some terms are made.
     """
-    laid = postings.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.col("term"), buckets)})
-    order = ["bucket", "term", key]
-    laid.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("buckets", "bucket").parquet(path)
-
-
-def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """Stored postings of some terms; only their folders are read, whatever number of buckets they were written with."""
-    rows = spark.read.parquet(path)
-    known = [r[0] for r in rows.select("buckets").distinct().collect()]  # from the folders' names
-    asked = spark.createDataFrame([(t,) for t in terms], "term string")
-    wanted = F.lit(False)
-    for buckets in known:
-        hashes = [r[0] for r in asked.select(_bucket(F.col("term"), buckets)).distinct().collect()]
-        wanted = wanted | ((F.col("buckets") == buckets) & F.col("bucket").isin(hashes))
-    return rows.filter(wanted & F.col("term").isin(*terms)).drop("buckets", "bucket")
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    grouped = doc_postings(docs, key, text)
+    lists = ["terms", "tfs", "firsts", *(["positions"] if positions else [])]
+    zipped = F.arrays_zip(*lists)
+    if terms is not None:
+        zipped = F.filter(zipped, lambda p: p["terms"].isin(*terms))
+    rows = grouped.select(key, F.inline(zipped))
+    named = [F.col("terms").alias("term"), key, F.col("tfs").cast("bigint").alias("tf"), F.col("firsts").cast("bigint").alias("first_pos")]
+    return rows.select(*named, *([F.col("positions").cast("array<bigint>").alias("positions")] if positions else []))
 
 
 def doc_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelake.operators.search import (
-    build_postings, doc_lengths, match_all_terms, rank_bm25, read_postings, search_incremental, search_topk, snippets,
-    token_rows, tokens_of, write_postings,
+    build_postings, doc_lengths, match_all_terms, rank_bm25, search_incremental, search_topk, snippets, token_rows, tokens_of,
 )
 from pagelake.functions.text import tokenize_simple
 from pagelake.session import cut_lineage, work_path
+from pagelake.sources.index import index_documents, match_index, open_index, rank_index, read_index
 from pagelake.sources.tables import read_texts
 
 QUERIES = {}
@@ -96,12 +96,52 @@ def ranked(spark, d):
     BM25_SQL + " select query, doc_id, score, row_number() over (partition by query order by score desc, doc_id) as rank from scores qualify rank <= 10",
 )
 def ranked_from_store(spark, d):
-    """The same ranking from postings that were written by term hash; only the folders of the asked terms are read."""
-    docs = _docs(spark, d)
-    path = work_path(spark, "postings")
-    write_postings(build_postings(docs, "doc_id", "text", positions=False), "doc_id", path)
-    lengths = cut_lineage(doc_lengths(docs, "doc_id", "text"))
-    return rank_bm25(read_postings(spark, path, TERMS), lengths, {q: tokens_of(p) for q, p in PHRASES.items()}, "doc_id", 10)
+    """The same ranking from a stored index; only blocks that can hold one of the best documents are unpacked."""
+    return rank_index(_index(spark, d), {q: tokens_of(p) for q, p in PHRASES.items()}, 10)
+
+
+def _index(spark, d):
+    base = work_path(spark, "index")
+    index_documents(_docs(spark, d), base, 0, "doc_id", "text")
+    return open_index(spark, base)
+
+
+@query(
+    "search_own_items",
+    BM25_SQL + """ select query, doc_id, score, row_number() over (partition by query order by score desc, doc_id) as rank
+    from scores join documents using (doc_id) where source = 'src' || length(query) qualify rank <= 10""",
+)
+def ranked_among(spark, d):
+    """Each query over the documents of one owner, here a source."""
+    owned = read_texts(spark, d, "documents").select("doc_id", "source")
+    queries = {q: tokens_of(p) for q, p in PHRASES.items()}
+    asked = spark.createDataFrame([(q, f"src{len(q)}") for q in queries], "query string, source string")
+    return rank_index(_index(spark, d), queries, 10, among=owned.join(asked, "source"))
+
+
+@query(
+    "match_stored_index",
+    f"with {TOKENS_SQL} select doc_id from tokens where term in ('that', 'the', 'and') group by doc_id having count(distinct term) = 3",
+)
+def conjunctive_from_store(spark, d):
+    return match_index(_index(spark, d), tokens_of(PHRASES["q_en"]))
+
+
+CHANGED_SQL = r"""with docs as (select doc_id, case when lang = 'fr' then source when lang = 'es' then null else text end as text from documents),
+    tokens as (select doc_id, i - 1 as pos, lower(ws[i]) as term from (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') as ws from docs where text is not null),
+      lateral unnest(range(1, len(ws) + 1)) as t(i))
+    select term, doc_id, count(*) as tf, min(pos) as first_pos from tokens group by term, doc_id"""
+
+
+@query("index_update", CHANGED_SQL)
+def updated_index(spark, d):
+    """French documents get a new text, Spanish ones lose theirs: one segment is added, and merged with the first."""
+    docs, base = read_texts(spark, d, "documents"), work_path(spark, "index")
+    index_documents(docs, base, 0, "doc_id", "text")
+    changed = docs.filter(F.col("lang").isin("fr", "es")).select("doc_id", F.when(F.col("lang") == "fr", F.col("source")).alias("text"))
+    index_documents(changed.filter("text is not null"), base, 1, "doc_id", "text")
+    index_documents(changed.filter("text is null"), base, 2, "doc_id", "text", fanout=3)
+    return read_index(open_index(spark, base))
 
 
 @query(
@@ -127,10 +167,7 @@ def snippet_rows(spark, d):
 
 @query(
     "search_incremental",
-    r"""with docs as (select doc_id, case when lang = 'fr' then source when lang = 'es' then null else text end as text from documents),
-    tokens as (select doc_id, i - 1 as pos, lower(ws[i]) as term from (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') as ws from docs where text is not null),
-      lateral unnest(range(1, len(ws) + 1)) as t(i))
-    select term, doc_id, count(*) as tf, min(pos) as first_pos from tokens group by term, doc_id""",
+    CHANGED_SQL,
 )
 def incremental(spark, d):
     """French documents get a new text, Spanish ones lose theirs."""

@@ -3,8 +3,8 @@ import math
 from pyspark.sql import functions as F
 
 from pagelake.operators.search import (
-    build_postings, doc_lengths, latest_items, match_all_terms, project_item_response, rank_bm25, read_postings, search_document,
-    search_incremental, snippets, tokens_of, write_postings,
+    build_postings, doc_lengths, latest_items, match_all_terms, project_item_response, rank_bm25, search_document,
+    search_incremental, snippets, tokens_of,
 )
 from pagelake.schemas import ITEMS
 
@@ -22,15 +22,9 @@ def test_postings(spark):
     assert ("été", 3) in got and ("2024", 3) in got and not any(d in (4, 5) for _, d in got)
 
 
-def test_written_postings_read_one_bucket(spark, tmp_path):
-    path = str(tmp_path / "postings")
-    write_postings(build_postings(_docs(spark), "doc_id", "text"), "doc_id", path, buckets=4)
-    back = spark.read.parquet(path)
-    assert back.count() == build_postings(_docs(spark), "doc_id", "text").count()
-    cats = read_postings(spark, path, ["cat", "zebra"])
-    assert {(r.term, r.doc_id) for r in cats.collect()} == {("cat", 1), ("cat", 2)}
-    text = cats._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in text.split("PartitionFilters")[1]
+def test_postings_are_made_without_a_shuffle(spark):
+    plan = build_postings(_docs(spark), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
 
 
 def test_match_all(spark):
@@ -101,11 +95,3 @@ def test_search_document(spark):
     contents = spark.createDataFrame([("i1", "body"), ("i2", None)], "item_id string, clean_text string")
     got = {r.id: r.document for r in search_document(_items(spark), links, tags, contents).collect()}
     assert got == {"i0": "s", "i1": "T\ns\nblue red\nbody", "i2": "T\ns", "i3": "T\ns\nred"}
-
-
-def test_stored_postings_know_their_buckets(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"w{i} shared x{i % 3}") for i in range(20)], "id int, text string")
-    path = str(tmp_path / "postings")
-    write_postings(build_postings(docs, "id", "text"), "id", path, buckets=5)
-    terms = ["shared", "x1", "w7"]
-    assert read_postings(spark, path, terms).groupBy("term").count().orderBy("term").collect() == [("shared", 20), ("w7", 1), ("x1", 7)]
