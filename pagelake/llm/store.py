@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,9 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed arrays go back to the system, where its allocator can
+        if trim:
+            trim(0)
 
     return df.mapInArrow(whole, schema)
 
