@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.components import connected_components
-from pagelake.llm.ngram_join import document_sets
+from pagelake.llm.ngram_join import document_sets, pack48, unpack48
 from pagelake.llm.store import map_batches, partitions, stored, tuned
 from pagelake.llm.textbatch import U64, mix, slices
 
@@ -46,6 +46,11 @@ BLOCK_SETS = 50_000
 #: Tokens of a block of full sets.
 BLOCK_TOKENS = 1_000_000
 
+#: Bits of the filter that keeps sets without partners in place.
+FILTER_BITS = 1 << 25
+#: Bytes of text whose sets are built at once.
+SET_BYTES = 1 << 20
+
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -82,7 +87,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SET_BYTES):
                 n = len(part)
                 document, tokens = document_sets(part, size)
                 sizes = np.bincount(document, minlength=n)
@@ -92,11 +97,11 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                     first = np.flatnonzero(np.diff(document, prepend=-1))
                     digests[0, document[first]] = np.add.reduceat(mix(tokens), first)
                     digests[1, document[first]] = np.bitwise_xor.reduceat(mix(tokens ^ U64(0x5851F42D4C957F2D)), first)
-                found, content = signatures(document, tokens, n), tokens.astype("<u8").tobytes()
+                found, content = signatures(document, tokens, n), pack48(tokens)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(number + np.arange(n)), batch.column(0).slice(part.first, n), pa.array(sizes), *[pa.array(d.view(np.int64)) for d in digests],
                     pa.array([row.tobytes() for row in found], type=pa.binary()),
-                    pa.array([content[8 * a : 8 * b] for a, b in zip(limits[:-1], limits[1:], strict=True)], type=pa.binary()),
+                    pa.array([content[6 * a : 6 * b] for a, b in zip(limits[:-1], limits[1:], strict=True)], type=pa.binary()),
                 ], ["rid", "doc_id", "n", "da", "db", "sig", "tokens"])
                 number += n
 
@@ -232,8 +237,8 @@ def _met(dealt: DataFrame, percent: int, exact: bool) -> DataFrame:
         sizes, found = table.column(2).to_numpy(), _signature_rows(table.column(3))
         if exact:
             contents = table.column(4).to_pylist()
-            tokens = np.frombuffer(b"".join(contents), dtype="<u8")
-            limits = np.concatenate([[0], np.cumsum([len(c) // 8 for c in contents])])
+            tokens = unpack48(b"".join(contents))
+            limits = np.concatenate([[0], np.cumsum([len(c) // 6 for c in contents])])
             to = reach(len(rid), alike(found, sizes, tokens, limits, percent), table.column(5).to_numpy())
         else:
             to = reach(len(rid), near(found, sizes, percent))
@@ -283,25 +288,49 @@ def _signature_links(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     blocks = blocks.select("place", F.ceil(F.col("members") / BLOCK_SETS).cast("int").alias("blocks"))
     parted = parted.join(blocks, "place").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     parted = parted.withColumn("p", F.explode(_blocks("block", "blocks", False))).select(F.xxhash64("place", "p.i", "p.j").alias("place"), "rid")
-    found = _met(usual.select("place", "rid").join(sets, "rid"), percent, False)
+    found = _met(usual.select("place", "rid").hint("merge").join(sets, "rid"), percent, False)
     if large.limit(1).count():
         found = found.union(_met(parted.join(sets, "rid"), percent, False))
     return found
 
 
-def _links(heads: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the sets ``heads`` (rid, n, sig, tokens) that link with another one."""
+def _only(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``full`` whose rid may be in ``wanted``: a bitmap of fixed size keeps most others from being moved.
+
+    The bitmap has at most FILTER_BITS bits whatever the input. Where it fills up, it lets more rows pass; the join that
+    follows is exact either way.
+    """
+    place = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
+    words = wanted.select(F.shiftright(place, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bitmap[[row["w"] for row in found]] = [row["b"] for row in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            held = bitmap[at >> 6] >> (at & 63) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(held.astype(bool)))
+
+    return map_batches(full.select("*", place.alias("_place")), run, full.schema)
+
+
+def _links(heads: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets ``heads`` (rid, n, sig) that link with another one; ``full`` also has the tokens.
+
+    Tokens are read for the sets that meet others, not for all.
+    """
     members = stored(_shared(_keys(heads)), "shared-keys")
-    narrow = heads.select("rid", "n", "sig")
-    links = stored(_signature_links(members, narrow, percent), "signature-links")
+    links = stored(_signature_links(members, heads, percent), "signature-links")
     groups = connected_components(links).withColumnRenamed("component", "grp")
 
     placed = stored(heads.select("rid", "n").join(groups, F.col("rid") == F.col("node")).select("rid", "n", "grp"), "group-members")
     blocks = placed.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     placed = placed.drop("n").join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    placed = stored(placed, "group-blocks")
     dealt = placed.withColumn("p", F.explode(_blocks("block", "blocks", True)))
     dealt = dealt.select(F.xxhash64("grp", "p.i", "p.j").alias("place"), "rid", F.col("rid").alias("label"))
-    links = stored(_met(dealt.join(heads, "rid"), percent, True), "set-links")
+    links = stored(_met(_only(full, placed).join(dealt.hint("merge"), "rid"), percent, True), "set-links")
     found = stored(connected_components(links), "set-components")
     cut = placed.filter("blocks > 2").select("rid", "grp")
     if not cut.limit(1).count():
@@ -315,8 +344,8 @@ def _links(heads: DataFrame, percent: int) -> DataFrame:
     sizes = met.join(heads.select("rid", "n"), "rid").groupBy("key", "grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
     met = met.join(sizes, ["key", "grp"]).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     met = met.withColumn("p", F.explode(_blocks("block", "blocks", False)))
-    met = met.select(F.xxhash64("key", "grp", "p.i", "p.j").alias("place"), "rid", "label")
-    return connected_components(links.union(_met(met.join(heads, "rid"), percent, True)))
+    met = stored(met.select(F.xxhash64("key", "grp", "p.i", "p.j").alias("place"), "rid", "label"), "open-places")
+    return connected_components(links.union(_met(_only(full, met).join(met.hint("merge"), "rid"), percent, True)))
 
 
 def minhash_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -326,7 +355,7 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_W
     fewer than ``size`` words is a single shingle; NULL texts and texts without
     words are empty sets and link with nothing. Documents link when
     100 * intersection >= percent * union; links are confirmed on full sets, of
-    64-bit hashes. Every pair whose signatures differ in at most ``LIMIT``
+    48-bit hashes. Every pair whose signatures differ in at most ``LIMIT``
     symbols is tested. ``component_id`` is the smallest doc_id of the component,
     NULL only if all are NULL; ``kept`` tells whether it is the row's own. Rows
     that repeat a doc_id are documents of their own, so equal rows of the
@@ -338,8 +367,8 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_W
     full = sets.filter("n > 0")
     classes = full.groupBy("da", "db", "n").agg(F.min("doc_id").alias("head_id"), F.min("rid").alias("head"))
     classes = stored(classes, "set-classes")
-    heads = full.join(classes.select("head"), F.col("rid") == F.col("head"), "left_semi").select("rid", "n", "sig", "tokens")
-    found = stored(_links(heads, percent), "components")
+    heads = full.select("rid", "n", "sig").join(classes.select("head"), F.col("rid") == F.col("head"), "left_semi")
+    found = stored(_links(stored(heads, "class-heads"), full.select("rid", "n", "sig", "tokens"), percent), "components")
 
     parts = classes.join(found, F.col("head") == F.col("node"), "left").withColumn("component", F.coalesce("component", "head"))
     smallest = parts.groupBy("component").agg(F.min("head_id").alias("smallest"))
