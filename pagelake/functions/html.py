@@ -108,7 +108,8 @@ def is_regular(html: Column | str, plain: Column, items: Column, tags: Column, p
     others come. There must be one ``article`` with enough text that is the same
     in the page itself, with no textarea or unfinished tag inside, and no entity
     but the ones that the columns decode; nowhere may a tag have ``<`` or ``>``
-    inside quotes, nor a hidden part begin that does not end.
+    inside quotes, nor a hidden part begin that does not end. Titles must pair
+    and hold no markup.
     """
     special = r"template|noscript|svg|math|plaintext|xmp|iframe|textarea"
     known = "|".join(e[1:] for e in (*COLUMN_ENTITIES, "&amp;"))
@@ -123,8 +124,11 @@ def is_regular(html: Column | str, plain: Column, items: Column, tags: Column, p
     odd_quotes = plain.rlike(r"""<[a-zA-Z][^<>"']*+(?:(?:"[^"<>]*+"|'[^'<>]*+')[^<>"']*+)*+["']""")
     left_over = plain.rlike(r"(?i)<(?:!--|script\b|style\b)") | col(html).rlike(r"(?is)<(?:title|textarea)\b[^>]*+>[^<]*+<(?:!--|script\b|style\b)")
     same = col(html).contains(F.concat(tags[0], parts[1], tags[1]))
+    titles = F.size(F.filter(items, lambda i: i.rlike("(?i)^<title\\b")))
+    paired = (F.regexp_count(plain, F.lit(r"(?i)<title\b")) == titles) & (F.regexp_count(plain, F.lit(r"(?i)</title\b")) == titles)
+    bare = ~F.exists(items, lambda i: i.rlike(r"(?is)^<title\b[^>]*+>[^<]*+<(?!/title)"))
     no_odd_characters = ~(col(html).contains("\r") | col(html).contains("\x00"))
-    return F.coalesce(one & enough & ~odd & ~odd_head & ~odd_item & ~odd_quotes & ~left_over & same & no_odd_characters, F.lit(False))
+    return F.coalesce(one & enough & ~odd & ~odd_head & ~odd_item & ~odd_quotes & ~left_over & same & paired & bare & no_odd_characters, F.lit(False))
 
 
 # ----------------------------------------------------- the Arrow stage (parser)

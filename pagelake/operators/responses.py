@@ -9,7 +9,6 @@ from pagelake.functions.charset import decode_body, detect_charset, encoding_nam
 from pagelake.functions.fixed import ACCEPTED_TYPES, FATAL_FETCH_ERRORS, MAX_BODY_BYTES, MAX_REDIRECTS
 from pagelake.functions.text import compute_once
 from pagelake.functions.urls import valid_url
-from pagelake.session import cut_lineage
 
 
 def header(headers: Column, name: str) -> Column:
@@ -91,32 +90,19 @@ def map_transport_error(df: DataFrame) -> DataFrame:
 def resolve_redirects(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFrame:
     """Final URL of every start URL, or code ``RedirectLoop`` past ``max_hops``.
 
-    ``edges`` is (url, location) with one location per url. A table of jumps
-    over 1 edge is joined with itself to jumps over 2, 4, 8 edges; then every
-    start takes each jump at most once, longest first. Ten hops need three
-    self-joins on the unique ``url`` instead of ten rounds over the starts, and
-    start URLs that many rows share are followed once.
+    ``edges`` is (url, location) with one location per url. The starts are the
+    frontier: hop by hop they meet the edges that leave it, in a join that
+    builds the frontier and streams the edges past it. The edges are dealt by
+    url once, and every hop reads that same exchange; start URLs that many rows
+    share are followed once. Nothing is written or run on the way.
     """
-    jumps = [(1, edges.select("url", F.col("location").alias("target")))]
-    while jumps[-1][0] * 2 <= max_hops:
-        span, half = jumps[-1]
-        rest = half.select(F.col("url").alias("target"), F.col("target").alias("far"))
-        jumps.append((span * 2, cut_lineage(half.join(rest, "target").select("url", F.col("far").alias("target")))))
-
+    step = edges.filter(F.col("location").isNotNull()).select(F.col("url").alias("_from"), F.col("location").alias("_to"))
     reached = starts.select("url").distinct().select("url", F.col("url").alias("at"), F.lit(0).alias("hops"))
-    for span, table in reversed(jumps):
-        step = table.select(F.col("url").alias("at"), F.col("target").alias("to"))
-        taken = F.col("to").isNotNull() & (F.col("hops") + span <= max_hops)
-        reached = reached.join(step, "at", "left").select(
-            "url",
-            F.when(taken, F.col("to")).otherwise(F.col("at")).alias("at"),
-            F.when(taken, F.col("hops") + span).otherwise(F.col("hops")).alias("hops"),
-        )
-
-    # an edge left over at the end means that the limit was exceeded
-    more = edges.select(F.col("url").alias("at"), F.lit(True).alias("more"))
-    done = F.col("more").isNull()
-    resolved = reached.join(more, "at", "left").select(
+    for _ in range(max_hops + 1):  # an edge found at the last step means that the limit was exceeded
+        met = reached.hint("shuffle_hash").join(step, F.col("at") == F.col("_from"), "left")
+        reached = met.select("url", F.coalesce("_to", "at").alias("at"), (F.col("hops") + F.col("_to").isNotNull().cast("int")).alias("hops"))
+    done = F.col("hops") <= max_hops
+    resolved = reached.select(
         "url",
         F.when(done, F.col("at")).alias("final_url"),
         F.when(done, F.col("hops")).cast("bigint").alias("hops"),

@@ -1,3 +1,5 @@
+import random
+import re
 from html import unescape
 
 import pytest
@@ -14,40 +16,48 @@ from conftest import SF
 
 LONG = "A sentence that carries enough words to count as content of a page. " * 3
 
-FERRY = f"""<html><head><title>Winter timetable - Harbour Lines</title>
-<meta property="og:title" content="Winter timetable"><meta property='og:site_name' content='Harbour Lines'>
-<script>count(1);</script><style>p {{ margin: 0 }}</style></head>
-<body><nav><a href="/ports">Ports</a></nav><main><article><h1>Winter timetable</h1><p>Boats leave the north quay every hour. {LONG}</p>
-<p>On Sundays the last crossing is earlier, see <a href="/fares">the fares</a>.</p><img src="maps/quay.png" alt="map"></article></main>
-<footer>Harbour office</footer></body></html>"""
-
-BREAD = f"""<html lang="en"><head><title>Sourdough in a cold kitchen | Crumb Notes</title></head>
-<body><div class="sheet"><div class="wide content"><h1>Sourdough in a cold kitchen</h1>
-<p>A slow dough wants patience, a warm corner and a scale that can be trusted.</p><h2>Feeding the starter</h2>
-<p>{LONG}</p></div></div></body></html>"""
-
-THIN = """<html><head><title>Closed</title></head><body><p>The reading room opens again in May.</p><form>Search</form></body></html>"""
-TIDES = f"""<html><head><title>Tide tables</title></head><body><article><h1>Tide tables</h1><p>{"High water comes fifty minutes later each day. " * 20}</p></article></body></html>"""
-UNCLOSED = "<html><head><title>Loose ends<body><ul><li>one <b>two<li>three"
+# one small page for each thing that matters
+KNOTS = f"<!doctype html>\n<meta charset=utf-8><title>Bowline | Rope Room</title>\n<div id=content><ol><li>{LONG * 2}</ol></div>"
+LOUD = f"<main><style>.x{{}}</style>{LONG * 2}<script src=x.js></script><b>dry</b> rope holds</main><h1>Loud page</h1>"
+GLAZE = f"<p>outside</p><title>Ash glaze</title><article>{LONG * 2}<em>Cone ten.</em></article><p>after</p>"
+SOIL = f'<meta property="og:site_name" content="Field Desk"><h1>Clay soils</h1><section class="post">{LONG * 2}<a href="loam.html">loam</a> <img src="/pit.gif"></section>'
+NOTE = "<title>Gone fishing</title><body>Back on Monday."
+OPEN = "<h1>Tackle</h1><body><ul><li>reel<li>line<b>hook"
 
 
 def _pages(spark, *htmls):
     return spark.createDataFrame([(i, "https://example.com/dir/page", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
 
 
-def test_extract_documents(spark):
-    documents, rejected = extract_pages(_pages(spark, TIDES, THIN, FERRY, UNCLOSED, BREAD))
-    kept = {r.title: r for r in documents.collect()}
-    assert {t: r.site_name for t, r in kept.items()} == {
-        "Winter timetable": "Harbour Lines", "Sourdough in a cold kitchen | Crumb Notes": "Crumb Notes", "Tide tables": None
-    }
-    boats = kept["Winter timetable"]
-    assert boats.text.startswith("Winter timetable") and "last crossing" in boats.text and "Ports" not in boats.text
-    assert [link in boats.clean_html for link in ('"https://example.com/fares"', '"https://example.com/dir/maps/quay.png"')] == [True, True]
-    assert {"script", "style", "nav"}.isdisjoint(tag.strip("</>").split()[0] for tag in boats.clean_html.split("<")[1:])
-    assert "Feeding the starter" in kept["Sourdough in a cold kitchen | Crumb Notes"].text
-    assert kept["Tide tables"].text.count("High water") == 20
-    assert {r.page_id: r.reason for r in rejected.collect()} == {1: "too_short", 3: "too_short"}
+def test_short_pages_are_rejected(spark):
+    kept, thrown = extract_pages(_pages(spark, NOTE, GLAZE, OPEN))
+    assert [r.page_id for r in kept.collect()] == [1]
+    assert sorted((r.page_id, r.reason) for r in thrown.collect()) == [(0, "too_short"), (2, "too_short")]
+
+
+@pytest.mark.parametrize(
+    "html,title,site",
+    [(KNOTS, "Bowline | Rope Room", "Rope Room"), (LOUD, "Loud page", None), (GLAZE, "Ash glaze", None), (SOIL, "Clay soils", "Field Desk")],
+    ids=["site in the title", "heading only", "title after text", "site in a meta tag"],
+)
+def test_names_of_kept_pages(spark, html, title, site):
+    row = extract_pages(_pages(spark, html))[0].first()
+    assert (row.title, row.site_name) == (title, site)
+
+
+def test_references_of_kept_pages_are_absolute(spark):
+    html = extract_pages(_pages(spark, SOIL))[0].first().clean_html
+    assert re.findall(r'(?:href|src)="([^"]*)"', html) == ["https://example.com/dir/loam.html", "https://example.com/pit.gif"]
+
+
+def test_main_part_is_kept_alone(spark):
+    row = extract_pages(_pages(spark, GLAZE))[0].first()
+    assert row.text.endswith("Cone ten.") and "outside" not in row.text and "after" not in row.text
+
+
+def test_scripts_and_styles_leave_the_markup(spark):
+    html = extract_pages(_pages(spark, LOUD))[0].first().clean_html
+    assert "<b>dry</b> rope holds" in html and not re.search(r"<(script|style)|x\.js|\.x", html)
 
 
 def test_no_title_and_no_text(spark):
@@ -119,7 +129,7 @@ def test_body_keeps_script_text_and_unclosed_elements():
 def test_columns_equal_parser(spark):
     """On regular pages the JVM columns give what the parser gives, on supplied and on odd pages."""
     pages = read_fixture(spark, SF, "pages").select("page_id", "url", "html")
-    odd = [FERRY, BREAD, THIN, TIDES, UNCLOSED, f"<article>{LONG}<!-- no --></article>", f"<article>{LONG} 1 < 2</article>",
+    odd = [KNOTS, LOUD, GLAZE, SOIL, NOTE, OPEN, f"<article>{LONG}<!-- no --></article>", f"<article>{LONG} 1 < 2</article>",
            f"<article>{LONG}&eacute;</article>", f"<article>{LONG}<article>in</article></article>", f"<ARTICLE class=x>{LONG}</ARTICLE >",
            f"<title>a&#39;b</title><article>{LONG}</article>", f"<article>{LONG}<script>x</script></article>", f"</article><article>{LONG}",
            f"<!-- <article>{LONG} old</article> --><main>{LONG} new</main>", f"<script>x = '<article>{LONG}</article>'</script><main>{LONG}</main>",
@@ -135,6 +145,21 @@ def test_columns_equal_parser(spark):
         ), r.html[:300]
 
 
+def test_columns_equal_parser_on_random_pages(spark):
+    """Titles that nest, stay open or come twice, articles inside them and around them, comments and entities."""
+    rnd = random.Random(7)
+    bits = ["<title>", "</title>", "<title>", "</title>", "<article>", "</article>", f"<article>{LONG}", "</article>", "<!doctype html>", "<br/>", "<body>", "<h1>head</h1>",
+            "<li>x", "~", "a &amp; b", "&eacute;", "<!-- c -->", "<p class='k'>", "</p>", "one - two", "three | four", "<script>s</script>", "<textarea>", "</textarea>"]
+    htmls = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 14))) for _ in range(3000)]
+    htmls += [f"<title><!doctype html><article>{LONG}</article><br/>", f"<title><article>{LONG}</article><body><li>x<li>y</article>", f"<article>{LONG}</article><title>late",
+              f"<title>a<title>b</title><article>{LONG}</article>", f"</title><article>{LONG}</article>"]
+    both = page_parts(_pages(spark, *htmls)).withColumn("p", parse_pages("html"))
+    for r in both.collect():
+        assert (r.title, r.site_name, r.main_text, r.main_html, r.selector) == (
+            r.p.title, r.p.site_name, r.p.text, r.p.html, r.p.selector
+        ), r.html
+
+
 def test_metadata_and_articles_equal_parser(spark):
     odd = [f"<!-- <title>Old</title> --><title>New</title><article>{LONG}</article>", "<title>A &mdash; B&#8217;s - C</title>",
            f"<article>{LONG}<article>inner</article> after</article>", f"<script>'<article>{LONG}</article>'</script><main>{LONG}</main>"]
@@ -147,7 +172,7 @@ def test_metadata_and_articles_equal_parser(spark):
 def test_article_columns(spark):
     pages = _pages(spark, f"<article>no</article><article>{LONG}</article>", "<p>none</p>")
     assert [r.main_text for r in article_table(pages).orderBy("page_id").collect()] == [LONG, None]
-    assert article_documents(_pages(spark, TIDES)).first().reason is None
+    assert article_documents(_pages(spark, GLAZE)).first().reason is None
     assert main_content_table(pages).filter("selector = 'article'").count() == 1
 
 

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 from conftest import SF
 
-EAGER = ("stream", "write_contents", "rate_limit", "resolve_redirects")
+EAGER = ("stream", "write_contents", "rate_limit", "search_stored", "search_own", "match_stored", "index_update")
 
 
 def plan(df):
@@ -91,3 +91,16 @@ def test_job_fold_is_a_hash_aggregate_that_combines(spark):
     below = text[text.index("Exchange") :]
     assert "HashAggregate" in below and "partial_max" in below
     assert "SortAggregate" not in plan(entry.queries()["job_state_fold"](spark, SF))
+
+
+def test_redirect_edges_are_dealt_once(spark):
+    from pagelake.operators.responses import resolve_redirects
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows which exchanges are read again
+    try:
+        starts = spark.range(100).selectExpr("cast(id as string) as url")
+        edges = spark.range(1000).selectExpr("cast(id as string) as url", "cast(id + 7 as string) as location")
+        text = plan(resolve_redirects(starts, edges))
+        assert text.count("ReusedExchange") == 10 and "SortMergeJoin [at" not in text and "Scan ExistingRDD" not in text
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
