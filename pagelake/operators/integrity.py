@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.schemas import FOREIGN_KEYS
+from pagelake.session import cut_lineage
 
 
 def lookup_by_key(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -41,33 +42,81 @@ def find_orphans(tables: dict[str, DataFrame], fks: tuple = FOREIGN_KEYS) -> Dat
     return reduce(DataFrame.unionByName, found)
 
 
-def cascade_delete(tables: dict[str, DataFrame], user_ids: DataFrame) -> dict[str, DataFrame]:
-    """Tables after the users with these ids (column ``id``) are deleted.
+def cascade_delete(
+    tables: dict[str, DataFrame], deleted: DataFrame, root: str = "users", fks: tuple[tuple, ...] = FOREIGN_KEYS
+) -> dict[str, DataFrame]:
+    """Tables after the rows of ``root`` with these ids (column ``id``) are deleted, by the actions of the rules.
 
-    Items, tags, contents and item_tags of the users go too; jobs keep their
-    row but lose the reference to a deleted item.
+    ``cascade`` deletes the rows that refer to a deleted one, ``set null`` keeps
+    them without the reference, ``restrict`` refuses the whole deletion with an
+    error while a row that stays refers to a deleted one. Tables are worked on
+    with parents before children, so each is read once; tables that refer to
+    each other, or to themselves, in rounds until nothing more goes. Rules of
+    tables that aren't given are skipped.
     """
-    gone_users = user_ids.select("id").distinct()
-    by_user = gone_users.select(F.col("id").alias("user_id"))
-    gone_items = tables["items"].join(by_user, "user_id", "left_semi").select(F.col("id").alias("item_id"))
-    gone_tags = tables["tags"].join(by_user, "user_id", "left_semi").select(F.col("id").alias("tag_id"))
-    out = {
-        "users": tables["users"].join(gone_users, "id", "left_anti"),
-        "items": tables["items"].join(by_user, "user_id", "left_anti"),
-        "tags": tables["tags"].join(by_user, "user_id", "left_anti"),
-    }
-    if "contents" in tables:
-        out["contents"] = tables["contents"].join(gone_items, "item_id", "left_anti")
-    if "item_tags" in tables:
-        out["item_tags"] = tables["item_tags"].join(gone_items, "item_id", "left_anti").join(gone_tags, "tag_id", "left_anti")
-    if "jobs" in tables:
-        columns = tables["jobs"].columns
-        marked = tables["jobs"].join(gone_items.withColumn("_gone", F.lit(True)), "item_id", "left")
-        kept = F.when(F.col("_gone").isNull(), F.col("item_id")).alias("item_id")
-        out["jobs"] = marked.select(*[kept if c == "item_id" else F.col(c) for c in columns])
+    known = {"cascade", "set null", "restrict"}
+    rules = [r for r in fks if r[0] in tables and r[2] in tables]
+    if odd := {r[4] for r in rules} - known:
+        raise ValueError(f"unknown actions: {', '.join(sorted(odd))}")
+    cascades = [r for r in rules if r[4] == "cascade"]
+    #: deleted values of the parent columns that rules refer to
+    gone: dict[tuple[str, str], DataFrame] = {}
+
+    def causes(table: str) -> list[tuple[str, DataFrame]]:
+        """(column, deleted values): a row of the table goes if its column has one of the values."""
+        own = [("id", deleted.select("id").distinct())] if table == root else []
+        return own + [(c, gone[p, k]) for child, c, p, k, _ in cascades if child == table and (p, k) in gone]
+
+    def keys(table: str) -> dict[tuple[str, str], DataFrame]:
+        """Deleted values of each column of the table that a rule refers to."""
+        found = {}
+        for column in {r[3] for r in rules if r[2] == table}:
+            lost = [tables[table].join(values.toDF("_value"), F.col(c) == F.col("_value"), "left_semi").select(column) for c, values in causes(table)]
+            if lost:
+                found[table, column] = reduce(DataFrame.union, lost).distinct()
+        return found
+
+    for group in _parents_first(list(tables), [(child, p) for child, _, p, _, _ in cascades]):
+        inside = [r for r in cascades if r[0] in group and r[2] in group]
+        if not inside:
+            gone |= keys(group[0])
+            continue
+        size = -1
+        while True:
+            found = {name: cut_lineage(df) for table in group for name, df in keys(table).items()}
+            now = sum(df.count() for df in found.values())
+            if now == size:
+                break
+            size, gone = now, gone | found
+
+    out = {}
+    for table, rows in tables.items():
+        for column, values in causes(table):
+            rows = rows.join(values.toDF("_value"), F.col(column) == F.col("_value"), "left_anti")
+        for child, column, parent, key, action in rules:
+            if child != table or action == "cascade" or (parent, key) not in gone:
+                continue
+            values = gone[parent, key].toDF("_value")
+            if action == "restrict":
+                held = rows.join(values, F.col(column) == F.col("_value"), "left_semi").select(column).limit(1).collect()
+                if held:
+                    raise ValueError(f"{child}.{column} still refers to {parent}.{key} {held[0][0]}")
+                continue
+            joined = rows.join(values, F.col(column) == F.col("_value"), "left")
+            rows = joined.select(*[F.when(F.col("_value").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in rows.columns])
+        out[table] = rows
     return out
 
 
+def _parents_first(names: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
+    """Groups of tables that refer to each other, parents before children; ``edges`` are (child, parent)."""
+    above = {n: {n} for n in names}
+    for _ in names:
+        above = {n: set().union(above[n], *(above[p] for child, p in edges if child == n)) for n in names}
+    groups = {tuple(sorted(m for m in names if m in above[n] and n in above[m])) for n in names}
+    return [list(g) for g in sorted(groups, key=lambda g: (len(above[g[0]]), g))]
+
+
 def insert_if_absent(
     base: DataFrame, incoming: DataFrame, key: str, order: str
 ) -> tuple[DataFrame, DataFrame]:

@@ -67,7 +67,8 @@ def lookup(spark, d):
 
 @query("lookup_by_email", f"with {LAKE} select id, email from users where email = 'building.7@mail.example'")
 def lookup_email(spark, d):
-    return X.users(spark, d).filter(F.col("email") == "building.7@mail.example").select("id", "email")
+    wanted = spark.createDataFrame([("building.7@mail.example",)], "email string")
+    return lookup_by_key(X.users(spark, d).select("id", "email"), wanted, "email").select("id", "email")
 
 
 @query("project_item_response", f"with {LAKE} select id, user_id, url, title, site, status, created_at, updated_at from items")

@@ -2,6 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from pagelake.schemas import FOREIGN_KEYS
 from pagelake.operators.integrity import (
     cascade_delete, find_duplicates, find_orphans, insert_if_absent, items_by_tag, lookup_by_key, tag_items,
 )
@@ -75,3 +76,33 @@ def test_lookup(spark):
     lake = _lake(spark)
     keys = spark.createDataFrame([("u2",), ("u2",), ("u9",)], "user_id string")
     assert _set(lookup_by_key(lake["items"], keys, "user_id").select("id")) == {("i2",), ("i3",)}
+
+
+def test_cascade_reads_its_actions_from_the_rules(spark):
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "id string")
+    parts = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "x"), ("x", "d"), ("e", "d")], "id string, above string")
+    notes = spark.createDataFrame([("n1", "c"), ("n2", "e"), ("n3", None)], "id string, part string")
+    own = ("parts", "above", "parts", "id", "cascade")
+
+    def run(gone, action):
+        out = cascade_delete({"parts": parts, "notes": notes}, ids(*gone), "parts", (own, ("notes", "part", "parts", "id", action)))
+        return {name: sorted((tuple(r) for r in df.collect()), key=str) for name, df in out.items()}
+
+    # a table that refers to itself goes down all levels, and around a ring
+    assert run(["a"], "cascade") == {"parts": [("d", "x"), ("e", "d"), ("x", "d")], "notes": [("n2", "e"), ("n3", None)]}
+    assert run(["x"], "set null") == {"parts": [("a", None), ("b", "a"), ("c", "b")], "notes": [("n1", "c"), ("n2", None), ("n3", None)]}
+    with pytest.raises(ValueError, match="notes.part still refers to parts.id"):
+        run(["b"], "restrict")
+    assert run(["missing"], "restrict")["notes"] == [("n1", "c"), ("n2", "e"), ("n3", None)]
+    with pytest.raises(ValueError, match="unknown actions: ignore"):
+        run(["a"], "ignore")
+
+
+def test_cascade_around_two_tables(spark):
+    """A seventh rule that closes a circle: an item goes with the tag that it was made from."""
+    users = spark.createDataFrame([("u",), ("v",)], "id string")
+    items = spark.createDataFrame([("i1", "u", None), ("i2", "v", "t1"), ("i3", "v", None)], "id string, user_id string, tag_id string")
+    tags = spark.createDataFrame([("t1", "v", "i1"), ("t2", "v", "i2"), ("t3", "v", "i3")], "id string, user_id string, item_id string")
+    rules = (*[r for r in FOREIGN_KEYS if r[0] in ("items", "tags")], ("items", "tag_id", "tags", "id", "cascade"), ("tags", "item_id", "items", "id", "cascade"))
+    out = cascade_delete({"users": users, "items": items, "tags": tags}, spark.createDataFrame([("u",)], "id string"), fks=rules)
+    assert {name: [r.id for r in df.collect()] for name, df in out.items()} == {"users": ["v"], "items": ["i3"], "tags": ["t3"]}
