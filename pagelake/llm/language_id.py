@@ -28,8 +28,8 @@ SAMPLE_WORDS = 20_000
 ROUNDS = 2
 #: Letters of a word that are scored together; longer ones are cut into stretches of this length.
 WORD_LETTERS = 32
-#: Longest piece, in letters, with the mark of a word's begin.
-PIECE_LETTERS = 8
+#: Letters up to which a longer piece has a higher probability before the fit.
+START_LETTERS = 8
 #: Share of a language's probability that all pieces have alike.
 SMOOTHING = 1e-3
 #: Bytes of text that are scored together; a byte needs some dozens of bytes of work arrays.
@@ -60,6 +60,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         self.bits = max(4, (len(pieces) * 4).bit_length())
         keys = np.array([self.key(p) for p in pieces], dtype=U64)
         self.keys = np.zeros(1 << self.bits, dtype=U64)  # 0: free
@@ -112,7 +113,7 @@ def vocabulary(path: str) -> Vocabulary:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
             continue
         core = piece.removeprefix(WORD_MARK)
-        if len(piece) <= PIECE_LETTERS and (core == "" or core.isalpha()) and core == core.lower():
+        if (core == "" or core.isalpha()) and core == core.lower():
             found.add(piece)
     return Vocabulary(sorted(found))
 
@@ -135,7 +136,7 @@ class Words:
         """(length, piece numbers) of the substrings that end at a position, for the words that have it."""
         n = self.active[end]
         key = np.zeros(n, dtype=U64)
-        for length in range(1, min(PIECE_LETTERS, end + 1) + 1):
+        for length in range(1, min(known.longest, end + 1) + 1):
             power = U64(pow(0x100000001B3, length - 1, 1 << 64))
             key = key + (self.points[end - length + 1, :n].astype(U64) + U64(1)) * power
             yield length, known.find(key)
@@ -173,7 +174,7 @@ def fit(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -
     counts = counts[chart.order]
     size, languages = len(known.pieces) + 1, counts.shape[1]
     # at first all languages are alike, and a piece is worth about its letters
-    start = np.array([30.0 ** (len(p) - 1) for p in known.pieces] + [1.0])
+    start = np.array([30.0 ** (min(len(p), START_LETTERS) - 1) for p in known.pieces] + [1.0])
     table = np.repeat(((1 - SMOOTHING) * start / start.sum() + SMOOTHING / size)[:, None], languages, axis=1)
     for _ in range(rounds):
         alpha, total = forward(chart, known, table)
@@ -221,15 +222,15 @@ def batch_words(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 class LanguageModel:
     """Languages and their piece probabilities; of the size of the vocabulary times the languages.
 
-    A worker's copy remembers the probabilities of the last words it met, at
-    most CACHED_WORDS of them; that saves work and changes no result.
+    A worker's copy remembers the probabilities of the last words it met in a
+    partition, at most CACHED_WORDS of them; that saves work and changes no result.
     """
 
     def __init__(self, languages: list[str], table: np.ndarray, path: str):
         self.languages, self.table, self.path = languages, table, path
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.seen, self.logs = np.zeros(0, dtype=U64), np.zeros((0, len(self.languages)))
 
     def word_logs(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -245,7 +246,7 @@ class LanguageModel:
         fresh[words.order] = np.log(forward(words, vocabulary(self.path), self.table)[1])
         result[new] = fresh
         if len(self.seen) + len(fresh) > CACHED_WORDS:
-            self._forget()
+            self.forget()
             at = np.zeros(len(at), dtype=np.int64)
         if len(fresh) <= CACHED_WORDS:
             self.seen = np.insert(self.seen, at[new], hashes[new])
@@ -329,6 +330,7 @@ def identify(docs: DataFrame, model: LanguageModel, extra: dict[str, Column] | N
                 score[rows] = np.where(words > 0, share, 0.0)
             columns = [*batch.columns[:-1], pa.array(names[best], type=pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
+        model.forget()
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return map_batches(chosen, run, f"{head}, lang_pred string, score double")
