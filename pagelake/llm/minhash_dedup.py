@@ -37,8 +37,10 @@ SYMBOL_BITS = 16
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
 ERRORS = 1
-#: Largest number of differing symbols: a pair of 80 percent differs in 8 of 40 on average, and in more than this with 1e-4.
+#: Differing symbols up to which a pair surely shares keys of two chunks; one of 80 percent differs in 8 on average.
 LIMIT = (CHUNKS - 1) * (ERRORS + 1) - 1
+#: Differing symbols up to which sets that share a key are compared in full; one pair in 200,000 of 80 percent differs in more.
+NEAR = LIMIT + 3
 #: Sets of a bucket that is looked at whole; beyond it the keys of a second chunk part it.
 BUCKET = 4096
 #: Sets of a block of a bucket that is still larger then.
@@ -192,19 +194,19 @@ def reach(n: int, linked, labels: np.ndarray | None = None) -> np.ndarray:
 
 
 def near(found: np.ndarray, sizes: np.ndarray, percent: int):
-    """Test of signatures within the limit whose sizes allow a link."""
+    """Test of signatures that are near and whose sizes allow a link."""
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
         fits = 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
         at = np.flatnonzero(fits)
-        fits[at] = (found[others[at]] != found[i]).sum(1) <= LIMIT
+        fits[at] = (found[others[at]] != found[i]).sum(1) <= NEAR
         return fits
 
     return linked
 
 
 def alike(found: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, limits: np.ndarray, percent: int):
-    """Test of full sets, whose tokens ascend, among those within the limit by signature."""
+    """Test of full sets, whose tokens ascend, among those that are near by signature."""
     first = near(found, sizes, percent)
 
     def linked(i: int, others: np.ndarray) -> np.ndarray:
