@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.store import map_batches, tuned
-from pagelake.session import work_path
+from pagelake.llm.store import dropped, map_batches, stored, stored_at, tuned
 
 DIMENSIONS = 64
 CLUSTERS = 16
@@ -188,17 +187,6 @@ def _last(table: DataFrame, history: list[np.ndarray]) -> DataFrame:
     return map_batches(table.select("id", "v", *STATE), run, f"id {kind}, cluster int, distance long")
 
 
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def _moved(table: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Floors of the means by cluster; an empty cluster's centroid stays. At most k * 65 numbers come to the driver."""
     sums = table.filter("sums is not null").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
@@ -237,17 +225,17 @@ def centroid_clusters(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUND
     history = [np.array([row["v"] for row in first], dtype=np.int64)]
     table, old = kept, None
     for i in range(rounds):
-        table, path = _write(_pass(table, history).filter("true"), f"cluster-round-{i}")
+        table, path = stored_at(_pass(table, history), f"cluster-round-{i}")
         if old:
-            _delete(spark, old)
+            dropped(spark, old)
         old = path
         history.append(_moved(table, history[-1]))
         table = table.filter("sums is null")
     if not rounds:
-        table, old = _write(_pass(kept, history), "cluster-round-0")
+        table, old = stored_at(_pass(kept, history), "cluster-round-0")
         table = table.filter("sums is null")
-    found, _ = _write(_last(table, history), "clusters")
-    _delete(spark, old)
+    found = stored(_last(table, history), "clusters")
+    dropped(spark, old)
 
     sizes = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()  # at most k rows
     inertia = {row["cluster"]: int(row["s"]) for row in sizes}
