@@ -201,6 +201,23 @@ def dispatch_by_kind(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outputs), unknown
 
 
+def dispatch_columns(
+    df: DataFrame, handlers: dict[str, dict[str, Column]], kind: str = "kind"
+) -> tuple[DataFrame, DataFrame]:
+    """``dispatch_by_kind`` in one pass, for handlers that only add columns: kind -> new columns over the row.
+
+    All kinds are worked on in one scan; a column that a kind does not have is NULL.
+    """
+    names = list(dict.fromkeys(name for columns in handlers.values() for name in columns))
+
+    def chosen(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col(kind) == k, columns[name]) for k, columns in handlers.items() if name in columns]).alias(name)
+
+    known = F.coalesce(F.col(kind).isin(*handlers), F.lit(False))
+    error = F.concat(F.lit("No handler registered for job kind: "), F.coalesce(F.col(kind), F.lit("")))
+    return df.filter(known).select("*", *[chosen(name) for name in names]), df.filter(~known).withColumn("error", error)
+
+
 # ------------------------------------------------------------- state from a log
 
 #: Codes of the actions in the packed order; the last three move a job.

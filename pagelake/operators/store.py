@@ -26,9 +26,14 @@ def packed_order(time: Column, checksum: Column) -> Column:
     return (micros * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a number ``_row``, which names them once they are written."""
+    return rows.withColumn("_row", F.monotonically_increasing_id())
+
+
 def _held(rows: DataFrame) -> DataFrame:
     """Rows written once, with a number that names them in both reads of an upsert: the choice and the fetch."""
-    return rows if "_row" in rows.columns else cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    return rows if "_row" in rows.columns else cut_lineage(numbered(rows))
 
 
 def _chosen(rows: DataFrame, key: str) -> DataFrame:
@@ -105,8 +110,11 @@ def upsert_clean(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_raw(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Contents after fetched rows (item_id, raw_html, extracted_at, checksum) arrive; always replaces."""
-    return _upsert(current, incoming.select("item_id", *RAW), RAW, unless_same=False)
+    """Contents after fetched rows (item_id, raw_html, extracted_at, checksum) arrive; always replaces.
+
+    Rows that are ``numbered`` and written already are not written again.
+    """
+    return _upsert(current, incoming.select("item_id", *RAW, *(["_row"] if "_row" in incoming.columns else [])), RAW, unless_same=False)
 
 
 def touch_updated_at(df: DataFrame, touched: Column, as_of: Column) -> DataFrame:

@@ -12,7 +12,8 @@ from pagelake.operators.language import assign_language
 from pagelake.operators.pages import page_parts
 from pagelake.operators.quality import non_blank, reject_reason
 from pagelake.operators.responses import decode_responses, gate_responses
-from pagelake.operators.store import mark_fetched, upsert_raw
+from pagelake.operators.store import mark_fetched, numbered, upsert_raw
+from pagelake.session import cut_lineage
 
 
 def judge_pages(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -64,11 +65,12 @@ def store_responses(
     fetched = decoded.select(
         "item_id", F.col("text").alias("raw_html"), as_of.alias("extracted_at"), raw_checksum("body").alias("checksum")
     )
+    fetched = cut_lineage(numbered(fetched))  # decoded once for all outputs
     ids = items.select(F.col("id").alias("item_id"))
     known = fetched.join(ids, "item_id", "left_semi")
     name = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
     missing = F.struct(F.lit("ItemNotFound").alias("code"), F.concat(F.lit("Item "), name, F.lit(" not found")).alias("detail"), F.lit(False).alias("retriable"))
-    unknown = decoded.select("item_id").join(ids, "item_id", "left_anti").select("item_id", missing.alias("error"))
+    unknown = fetched.select("item_id").join(ids, "item_id", "left_anti").select("item_id", missing.alias("error"))
     errors = rejected.select("item_id", "error").unionByName(undecodable.select("item_id", "error")).unionByName(unknown)
     return {
         "contents": upsert_raw(contents, known),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.retry import backoff_bounds, backoff_seconds, next_run_at
 from pagelake.operators.jobs import (
-    attach_item_url, claim_rows, claimed_jobs, dead_letter, dispatch_by_kind, due_batch, due_jobs, extend_leases,
+    attach_item_url, claim_rows, claimed_jobs, dead_letter, dispatch_by_kind, dispatch_columns, due_batch, due_jobs, extend_leases,
     job_monitor, job_state_fold, lease_expiry, lease_gaps, parse_payloads, retry_plan,
 )
 from pagelake.operators.language import language_profiles
@@ -229,6 +229,16 @@ def dispatched(spark, d):
     return _dispatched(spark, d)[0]
 
 
+@query(
+    "dispatch_columns",
+    f"""with {X.JOBS_SQL} select id, case kind when 'fetch_page' then 'fetch ' || status else 'message ' || attempts end as result
+    from jobs where kind in ('fetch_page', 'example_job')""",
+)
+def dispatched_in_one_pass(spark, d):
+    handlers = {"fetch_page": {"result": F.concat(F.lit("fetch "), "status")}, "example_job": {"result": F.concat(F.lit("message "), F.col("attempts").cast("string"))}}
+    return dispatch_columns(X.jobs(spark, d), handlers)[0].select("id", "result")
+
+
 @query(
     "dispatch_by_kind_unknown",
     f"with {X.JOBS_SQL} select id, 'No handler registered for job kind: ' || kind as error from jobs where kind not in ('fetch_page', 'example_job')",

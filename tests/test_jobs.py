@@ -130,6 +130,16 @@ def test_dispatch(spark):
     assert {r.id: r.error for r in unknown.collect()} == {3: "No handler registered for job kind: zz", 4: "No handler registered for job kind: "}
 
 
+def test_dispatch_in_one_pass(spark):
+    from pagelake.operators.jobs import dispatch_columns
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "zz"), (4, None)], "id int, kind string")
+    out, unknown = dispatch_columns(rows, {"a": {"x": F.col("id") * 10}, "b": {"x": F.lit(7), "y": F.col("kind")}})
+    assert {r.id: (r.x, r.y) for r in out.collect()} == {1: (10, None), 2: (7, "b")}
+    assert {r.id: r.error for r in unknown.collect()} == {3: "No handler registered for job kind: zz", 4: "No handler registered for job kind: "}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
 # ------------------------------------------------------------ state from a log
 
 def _walk(rows, state=None):
