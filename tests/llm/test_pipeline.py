@@ -92,3 +92,31 @@ def test_pack_stage(steps, vocabulary):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).filter("offset = 0").count() > 0
+
+
+CLASHES = ("a.b", "_text", "_row", "score", "lang_pred", "component_id", "size", "_size", "n_lines", "unit", "c0", "passed_1")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_columns_of_any_name_and_type(spark, name):
+    """Clashing names, a map, rows that repeat and NULL ids; what passes through comes back as it was."""
+    texts = [" ".join(f"{w}{i}" for w in ("the", "green", "garden", "gate") for i in range(k, k + 12)) for k in range(4)]
+    rows = [(i, texts[i % 4], "en", f"s{i % 2}") for i in range(8)] + [(3, texts[3], "en", "s1"), (None, texts[0] + " and more of it", "en", None), (9, None, None, "s0"), (10, "", "en", "s0")]
+    schema = "doc_id long, text string, lang string, source string, meta map<string,int>" + "".join(f", `{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame([(*r, {"k": i}, *[f"{c} {i}" for c in CLASHES]) for i, r in enumerate(rows)], schema).repartition(3)
+    made = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    if name == "pack_sequences":
+        assert made.count() >= len(rows)
+        return
+    assert made.schema.simpleString() == docs.schema.simpleString()
+    found = made.collect()
+    assert found
+    for r in found:
+        i = r["meta"]["k"]
+        assert [r[c] for c in CLASHES] == [f"{c} {i}" for c in CLASHES] and (r["doc_id"], r["lang"], r["source"]) == (rows[i][0], *rows[i][2:])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_an_empty_table(spark, no_docs, name):
+    made = dict(corpus_pipeline.STAGES)[name](spark, no_docs, SF)
+    assert made.count() == 0 and (name == "pack_sequences" or made.columns == no_docs.columns)
