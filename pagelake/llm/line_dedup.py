@@ -1,16 +1,21 @@
-"""Line dedup: winnowing over line hashes.
-
-Lines with a word are hashed. From each line on, the shortest stretch of lines
-with ``min_words`` words is a window, and the line of least hash in it is the
-window's fingerprint. A run of ``min_words`` words holds a whole window, so every
-repeated run has a fingerprint that repeats. Positions are joined on the
-repeated fingerprints, and only there matches are followed: onwards by the
-windows that begin at a line, and back by those that end at one, so that the
-windows of a run cover it to both ends. A window that stands at an earlier
-position too is a later copy, and its lines are deleted.
-
-DataFrame functions only. Equal windows are counted before the shuffle, so a
-line in a third of the documents is a few rows a task; the texts move once.
+"""Line dedup: winnowing over hashes of lines, long lines cut at their sentences.
+
+A piece is a line or a sentence of one, with the blanks behind it, so a passage
+that stands inside a longer line has pieces of its own. From each piece on, the
+shortest stretch of pieces with ``min_words`` words is a window, and the leftmost
+piece of least hash in it is its fingerprint. Only these window minima are
+selected. A run of ``min_words`` words holds a whole window, so every repeated
+run has a fingerprint that repeats. Positions are joined on the repeated
+fingerprints, and only there matches are extended, piece by piece: onwards by
+the windows that begin at a piece, and back by those that end at one, so that
+the windows of a run cover it to both ends. What stands at an earlier position
+too is a later copy, and its pieces are deleted.
+
+DataFrame functions only. Documents are cut into chunks of ``CHUNK`` pieces, and
+pieces, windows and minima are arrays inside a chunk's row, so nothing is sorted
+to find them. Equal fingerprints and equal windows are counted before the
+shuffle, so a line in a third of the documents is a few rows a task; the texts
+move once.
 """
 
 from __future__ import annotations
@@ -22,73 +27,90 @@ from pagelake.llm.store import stored
 from pagelake.llm.textbatch import WORD_PATTERN
 
 MIN_WORDS = 10
-LINE_END = "\n"
+#: Where a text is cut: before a word, behind a line's end or a sentence's.
+CUT_PATTERN = r"(?<=\n|[.!?] )(?=[^\x20\x09-\x0D])"
+BLANKS = " \t\n\x0b\x0c\r"
+#: Pieces whose windows are found in one row.
+CHUNK = 256
 
 
-def _hash(*columns: Column) -> Column:
-    """128 bits, as two numbers: different lines share them only by a chance that no table reaches."""
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b"))
+def pieces_of(text: Column) -> Column:
+    """The lines and sentences of a text; joined they are the text. Only the first one may have no word."""
+    return F.split(text, CUT_PATTERN)
 
 
-def worded_lines(docs: DataFrame) -> DataFrame:
-    """(doc, mark, pos, h, words, n_lines): lines with a word; doc and mark (a hash of the text) name the document."""
-    rows = docs.select(
-        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), F.split("text", LINE_END).alias("lines")
-    ).filter("lines is not null")
-    lines = rows.select("doc", "mark", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    words = F.regexp_count("line", F.lit(WORD_PATTERN))
-    return lines.select("doc", "mark", "n_lines", "pos", _hash(F.col("line")).alias("h"), words.alias("words")).filter("words > 0")
+def chunks_of_pieces(docs: DataFrame, min_words: int) -> DataFrame:
+    """(chunk, doc, mark, base, own, h, words): hashes and word numbers of the pieces from number ``base`` on.
 
+    ``own`` windows begin in a chunk; what follows these pieces is there to end
+    the windows. doc and mark (a hash of the text) name the document.
+    """
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), pieces_of(F.col("text")).alias("pieces")).filter("pieces is not null")
+    # a window has min_words pieces at most, as every piece but the first has a word
+    bases = F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(CHUNK))
+    rows = rows.withColumn("all", F.size("pieces")).select("doc", "mark", "all", "pieces", F.explode(bases).alias("base"))
+    part = F.slice("pieces", F.col("base") + 1, F.lit(CHUNK + min_words + 1))
+    rows = rows.select("doc", "mark", "base", F.least(F.lit(CHUNK), F.col("all") - F.col("base")).alias("own"), part.alias("part"))
+    return rows.select(
+        F.xxhash64("doc", "mark", "base").alias("chunk"), "doc", "mark", "base", "own",
+        F.transform("part", lambda p: F.xxhash64(F.trim(p, F.lit(BLANKS)))).alias("h"),
+        F.transform("part", lambda p: F.regexp_count(p, F.lit(WORD_PATTERN))).alias("words"),
+    )
+
+
+def with_windows(chunks: DataFrame, min_words: int) -> DataFrame:
+    """Adds ``size``, the pieces of the window from each piece on (NULL without one), and ``at``, its minimum's place."""
+
+    def size_from(i: Column) -> Column:
+        total, found = F.get("words", i), None
+        for n in range(1, min_words + 1):
+            reached = total >= min_words
+            found = F.when((F.get("words", i) > 0) & reached, n) if found is None else found.when((F.get("words", i) > 0) & reached, n)
+            total = total + F.get("words", i + n)
+        return found
 
-def windows_of_lines(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, mark, first, last, key, print): windows of at least ``min_words`` words, both ways, with their fingerprint.
+    def least(i: Column) -> Column:
+        window = F.slice("h", i + 1, F.get("size", i))
+        return (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
 
-    ``last`` is the last line before the next one with a word, so that lines
-    without words go with the line before them.
+    # one window more than its own, to know where the last one's matches are extended to
+    chunks = chunks.withColumn("size", F.transform(F.sequence(F.lit(0), F.col("own")), size_from))
+    return chunks.withColumn("at", F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.when(F.get("size", i).isNotNull(), least(i))))
+
+
+def extended(chunks: DataFrame) -> DataFrame:
+    """(doc, mark, first, last, a, b): the windows whose minimum is in ``hits``, and their extensions, with 128 bits of content.
+
+    From one piece on these are the window and those that end before the next
+    piece's window does, so every piece with enough words before it ends one.
     """
-    of_document = Window.partitionBy("doc", "mark")
-    by_line = of_document.orderBy("pos")
-    # rows that repeat a document are one document
-    lines = lines.withColumn("before_pos", F.lag("pos").over(by_line)).filter("before_pos is null or before_pos < pos")
-    lines = lines.withColumns({
-        "until": F.sum("words").over(by_line.rowsBetween(Window.unboundedPreceding, 0)),
-        "last": F.coalesce(F.lead("pos").over(by_line), F.col("n_lines")) - 1,
-    }).withColumn("begin", F.col("until") - F.col("words"))
-    # every line has a word, so "begin" and "until" grow from line to line
-    onwards = of_document.orderBy("begin").rangeBetween(0, min_words - 1)
-    back = of_document.orderBy("until").rangeBetween(-(min_words - 1), 0)
-    lines = lines.withColumns({
-        "print": F.min("h").over(onwards),
-        "on_key": F.collect_list("h").over(onwards),
-        "on_last": F.last("last").over(onwards),
-        "on_words": F.last("until").over(onwards) - F.col("begin"),
-    })
-    lines = lines.withColumns({
-        "back_print": F.first("print").over(back),  # of the window that begins at the same line
-        "back_key": F.collect_list("h").over(back),
-        "back_first": F.first("pos").over(back),
-        "back_words": F.col("until") - F.first("begin").over(back),
-    })
-    both = F.array(
-        F.when(F.col("on_words") >= min_words, F.struct(F.col("pos").alias("first"), F.col("on_last").alias("last"), _hash(F.col("on_key")).alias("key"), F.col("print"))),
-        # a single line is the window that begins there
-        F.when(
-            (F.col("back_words") >= min_words) & (F.size("back_key") > 1),
-            F.struct(F.col("back_first").alias("first"), F.col("last"), _hash(F.col("back_key")).alias("key"), F.col("back_print").alias("print")),
-        ),
+
+    def ends(i: Column) -> Column:
+        end = i + F.get("size", i) - 1
+        following = F.when(i + 1 < F.size("h"), i + 1 + F.get("size", i + 1) - 2)
+        last = F.coalesce(following, F.size("h") - 1)
+        return F.transform(F.sequence(end, F.greatest(end, last)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    starts = F.filter(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.array_contains("hits", F.get("at", i)))
+    rows = chunks.withColumn("found", F.flatten(F.transform(starts, ends))).select("doc", "mark", "base", "h", F.explode("found").alias("w"))
+    content = F.slice("h", F.col("w.i") + 1, F.col("w.j") - F.col("w.i") + 1)
+    return rows.select(
+        "doc", "mark", (F.col("base") + F.col("w.i")).alias("first"), (F.col("base") + F.col("w.j")).alias("last"),
+        F.xxhash64(content).alias("a"), F.xxhash64(F.lit("second"), content).alias("b"),
     )
-    found = lines.select("doc", "mark", F.explode(F.array_compact(both)).alias("w"))
-    return found.select("doc", "mark", "w.*")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, mark, runs): the stretches of lines of each document that stand earlier already, in order, none touching another."""
-    found = stored(windows_of_lines(worded_lines(docs), min_words), "line-windows")
-    prints = found.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
-    near = found.join(prints, "print", "left_semi")
+    """(doc, mark, runs): the stretches of pieces of each document that stand earlier already, in order, none touching another."""
+    chunks = with_windows(stored(chunks_of_pieces(docs, min_words), "line-pieces"), min_words)
+    minima = chunks.select("chunk", "h", F.explode(F.array_distinct(F.filter("at", lambda p: p.isNotNull()))).alias("at"))
+    minima = minima.select("chunk", "at", F.get("h", F.col("at")).alias("print"))
+    prints = minima.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    hits = minima.join(prints, "print", "left_semi").groupBy("chunk").agg(F.collect_set("at").alias("hits"))
+    near = stored(extended(chunks.join(hits, "chunk")), "line-windows")
     place = F.struct("doc", "mark", "first")
-    firsts = near.groupBy("key").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "place")
-    later = near.join(firsts, "key").filter(place > F.col("place")).select("doc", "mark", "first", "last")
+    firsts = near.groupBy("a", "b").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "place")
+    later = near.join(firsts, ["a", "b"]).filter(place > F.col("place")).select("doc", "mark", "first", "last")
 
     order = Window.partitionBy("doc", "mark").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -99,38 +121,42 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without later copies of runs of lines, and with n_lines and removed_lines.
-
-    Runs of at least ``min_words`` words count, in the order of (doc_id, line),
-    across documents and inside one; the first place of a run stays. A line
-    without a word goes with the line before it. A NULL text stays NULL with 0
-    lines; a text that loses all its lines becomes empty. NULL as doc_id comes
-    first. Rows that agree in doc_id and text are one document and get the same
-    result, as do rows of the same doc_id with different texts each by its own.
-    If the table has n_chars, it becomes the new text's length. Other columns
-    pass through; ones called n_lines or removed_lines are replaced.
+    """``docs`` without later copies of runs of lines and sentences, and with n_pieces and removed_pieces.
+
+    Runs of at least ``min_words`` words count, in the order of (doc_id, piece),
+    across documents and inside one; the first place of a run stays. Blanks go
+    with the piece before them and count for nothing when pieces are compared.
+    What a run shares with another copy beyond its whole pieces stays. A NULL
+    text stays NULL with 0 pieces; an empty one is one piece; a text that loses
+    all its pieces becomes empty. Texts of any length are read whole, in chunks.
+    NULL as doc_id comes first. Rows that agree in doc_id and text are one
+    document and get the same result, as do rows of the same doc_id with
+    different texts each by its own. An empty table stays empty. If the table has
+    n_chars, it becomes the new text's length where something was deleted. Other
+    columns pass through; ones called n_pieces or removed_pieces are replaced.
     """
     runs = repeated_runs(docs, min_words)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{c}") for c in docs.columns])
-    same = F.col("_keep_doc_id").eqNullSafe(F.col("doc")) & (F.xxhash64("_keep_text") == F.col("mark"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(docs.columns)])
+    text, doc_id = (f"_keep_{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    same = F.col(doc_id).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("mark"))
     joined = rows.join(runs, same, "left")
 
-    lines = F.split("_keep_text", LINE_END)
     n_runs = F.size("runs")
     kept = F.transform(
         F.sequence(F.lit(0), n_runs),
         lambda i: F.struct(
             F.when(i == 0, 0).otherwise(F.try_element_at("runs", F.greatest(i, F.lit(1)))["last"] + 1).alias("first"),
-            F.when(i == n_runs, F.size(lines)).otherwise(F.try_element_at("runs", i + 1)["first"]).alias("end"),
+            F.when(i == n_runs, F.size("pieces")).otherwise(F.try_element_at("runs", i + 1)["first"]).alias("end"),
         ),
     )
-    pieces = F.flatten(F.transform("kept", lambda k: F.slice(F.col("lines"), k["first"] + 1, k["end"] - k["first"])))
+    left = F.flatten(F.transform("kept", lambda k: F.slice(F.col("pieces"), k["first"] + 1, k["end"] - k["first"])))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    joined = joined.withColumns({"lines": lines, "kept": F.when(F.col("runs").isNotNull(), kept)})
-    joined = joined.withColumn("new", F.when(F.col("runs").isNull(), F.col("_keep_text")).otherwise(F.array_join(pieces, LINE_END)))
-    columns = {c: F.col(f"`_keep_{c}`") for c in docs.columns} | {"text": F.col("new")}
+    joined = joined.withColumn("pieces", pieces_of(F.col(text)))
+    joined = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
+    joined = joined.withColumn("new", F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(left, "")))
+    columns = {c: F.col(f"_keep_{i}") for i, c in enumerate(docs.columns)} | {"text": F.col("new")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("runs").isNull(), columns["n_chars"]).otherwise(F.length("new").cast("long"))
-    columns["n_lines"] = F.when(F.col("_keep_text").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    columns["removed_lines"] = F.coalesce(removed, F.lit(0)).cast("long")
+    columns["n_pieces"] = F.when(F.col(text).isNull(), 0).otherwise(F.size("pieces")).cast("long")
+    columns["removed_pieces"] = F.coalesce(removed, F.lit(0)).cast("long")
     return joined.select(*[c.alias(n) for n, c in columns.items()])

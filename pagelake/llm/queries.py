@@ -111,32 +111,32 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT doc_id, min(reached) AS c
 
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = line_dedup.line_dedup(_documents(spark, d))
-    return found.select("doc_id", "n_lines", "removed_lines", F.md5("text").alias("text_md5"))
+    return found.select("doc_id", "n_pieces", "removed_pieces", F.md5("text").alias("text_md5"))
 
 
-# all windows of lines by their content, without fingerprints
+# all windows of lines and sentences by their content, without fingerprints; a mark stands where a text is cut
 OP10_SQL = r"""
-WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-x AS (SELECT doc_id, len(lines) AS n_lines, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s),
-a AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM x),
-b AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS until,
-             coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), n_lines) - 1 AS last
-      FROM a WHERE words > 0),
+WITH o AS (SELECT doc_id, regexp_replace(text, '(\n)([^\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, regexp_replace(t, '([.!?] )([^\x20\x09-\x0D\x01])', '\1' || chr(1) || '\2', 'g') AS t FROM o),
+s AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?] )([^\x20\x09-\x0D\x01])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS pieces FROM p),
+x AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS pos FROM s),
+a AS (SELECT *, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS words, regexp_replace(piece, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS inner_ FROM x),
+b AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS until FROM a WHERE words > 0),
 c AS (SELECT *, until - words AS start FROM b),
 w AS (
-  SELECT doc_id, pos AS first, max(last) OVER f AS last, list(line) OVER f AS content, max(until) OVER f - start AS total
+  SELECT doc_id, pos AS first, max(pos) OVER f AS last, list(inner_) OVER f AS content, max(until) OVER f - start AS total
   FROM c WINDOW f AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING)
   UNION ALL
-  SELECT doc_id, min(pos) OVER g, last, list(line) OVER g, until - min(start) OVER g
+  SELECT doc_id, min(pos) OVER g, pos, list(inner_) OVER g, until - min(start) OVER g
   FROM c WINDOW g AS (PARTITION BY doc_id ORDER BY until RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)),
 k AS (SELECT doc_id, first, last, content FROM w WHERE total >= 10),
 m AS (SELECT content, min({'d': doc_id, 'f': first}) AS place FROM k GROUP BY content),
 r AS (SELECT DISTINCT k.doc_id, k.first, k.last FROM k JOIN m ON k.content = m.content
       WHERE {'d': k.doc_id, 'f': k.first} > m.place),
 z AS (SELECT DISTINCT x.doc_id, x.pos FROM x JOIN r ON x.doc_id = r.doc_id AND x.pos BETWEEN r.first AND r.last),
-t AS (SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.pos) FILTER (WHERE z.pos IS NULL) AS kept, count(z.pos) AS removed
+t AS (SELECT x.doc_id, string_agg(x.piece, '' ORDER BY x.pos) FILTER (WHERE z.pos IS NULL) AS kept, count(z.pos) AS removed
       FROM x LEFT JOIN z ON x.doc_id = z.doc_id AND x.pos = z.pos GROUP BY x.doc_id)
-SELECT d.doc_id, CAST(coalesce(len(s.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(t.removed, 0) AS BIGINT) AS removed_lines,
+SELECT d.doc_id, CAST(coalesce(len(s.pieces), 0) AS BIGINT) AS n_pieces, CAST(coalesce(t.removed, 0) AS BIGINT) AS removed_pieces,
        CASE WHEN d.text IS NOT NULL THEN md5(coalesce(t.kept, '')) END AS text_md5
 FROM documents AS d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
