@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.store import stored
-from pagelake.llm.textbatch import WORD_PATTERN
 
 MIN_WORDS = 10
 #: Where a text is cut: before a word, behind a line's end or a sentence's.
-CUT_PATTERN = r"(?<=\n|[.!?] )(?=[^\x20\x09-\x0D])"
+CUT_PATTERN = r"(?<=[\n ])(?=[^\x20\x09-\x0D])(?<=\n|[.!?] )"
 BLANKS = " \t\n\x0b\x0c\r"
+BLANK_PATTERN = r"[\x20\x09-\x0D]+"
 #: Pieces whose windows are found in one row.
 CHUNK = 256
 
@@ -39,43 +39,46 @@ def pieces_of(text: Column) -> Column:
     return F.split(text, CUT_PATTERN)
 
 
-def chunks_of_pieces(docs: DataFrame, min_words: int) -> DataFrame:
-    """(chunk, doc, mark, base, own, h, words): hashes and word numbers of the pieces from number ``base`` on.
+def capped_words(piece: Column, cap: int) -> Column:
+    """Words of a piece without blanks around it, at most ``cap``: no window needs to know of more."""
+    return F.when(piece == "", 0).otherwise(F.size(F.split(piece, BLANK_PATTERN, cap)))
 
-    ``own`` windows begin in a chunk; what follows these pieces is there to end
-    the windows. doc and mark (a hash of the text) name the document.
-    """
-    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), pieces_of(F.col("text")).alias("pieces")).filter("pieces is not null")
-    # a window has min_words pieces at most, as every piece but the first has a word
-    bases = F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(CHUNK))
-    rows = rows.withColumn("all", F.size("pieces")).select("doc", "mark", "all", "pieces", F.explode(bases).alias("base"))
-    part = F.slice("pieces", F.col("base") + 1, F.lit(CHUNK + min_words + 1))
-    rows = rows.select("doc", "mark", "base", F.least(F.lit(CHUNK), F.col("all") - F.col("base")).alias("own"), part.alias("part"))
-    return rows.select(
-        F.xxhash64("doc", "mark", "base").alias("chunk"), "doc", "mark", "base", "own",
-        F.transform("part", lambda p: F.xxhash64(F.trim(p, F.lit(BLANKS)))).alias("h"),
-        F.transform("part", lambda p: F.regexp_count(p, F.lit(WORD_PATTERN))).alias("words"),
-    )
 
+def chunks_of_pieces(docs: DataFrame, min_words: int) -> DataFrame:
+    """(chunk, doc, mark, base, own, h, size, at): hashes and windows of the pieces from number ``base`` on.
 
-def with_windows(chunks: DataFrame, min_words: int) -> DataFrame:
-    """Adds ``size``, the pieces of the window from each piece on (NULL without one), and ``at``, its minimum's place."""
+    ``own`` windows begin in a chunk; the pieces that follow are there to end
+    them. ``size`` is the number of pieces of the window from each piece on, NULL
+    without one, and ``at`` its minimum's place. doc and mark (a hash of the text)
+    name the document. ``chunk`` numbers the rows of a run: store them first.
+    """
 
     def size_from(i: Column) -> Column:
-        total, found = F.get("words", i), None
+        words, total, found = F.get("words", i), F.get("words", i), F.when(F.get("words", i) == 0, None)
         for n in range(1, min_words + 1):
-            reached = total >= min_words
-            found = F.when((F.get("words", i) > 0) & reached, n) if found is None else found.when((F.get("words", i) > 0) & reached, n)
-            total = total + F.get("words", i + n)
+            found = found.when(total >= min_words, n)
+            words = F.get("words", i + n)
+            total = total + words
         return found
 
     def least(i: Column) -> Column:
         window = F.slice("h", i + 1, F.get("size", i))
-        return (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
+        return F.when(F.get("size", i) == 1, i).otherwise((i + F.array_position(window, F.array_min(window)) - 1).cast("int"))
 
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), pieces_of(F.col("text")).alias("pieces")).filter("pieces is not null")
+    # a window has min_words pieces at most, as every piece but the first has a word
+    bases = F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(CHUNK))
+    rows = rows.withColumn("all", F.size("pieces")).select("doc", "mark", "all", "pieces", F.explode(bases).alias("base"))
+    part = F.transform(F.slice("pieces", F.col("base") + 1, F.lit(CHUNK + min_words + 1)), lambda p: F.trim(p, F.lit(BLANKS)))
+    rows = rows.select("doc", "mark", "base", F.least(F.lit(CHUNK), F.col("all") - F.col("base")).alias("own"), part.alias("part"))
+    rows = rows.withColumns({
+        "h": F.transform("part", lambda p: F.xxhash64(p)),
+        "words": F.transform("part", lambda p: capped_words(p, min_words)),
+    })
     # one window more than its own, to know where the last one's matches are extended to
-    chunks = chunks.withColumn("size", F.transform(F.sequence(F.lit(0), F.col("own")), size_from))
-    return chunks.withColumn("at", F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.when(F.get("size", i).isNotNull(), least(i))))
+    rows = rows.withColumn("size", F.transform(F.sequence(F.lit(0), F.col("own")), size_from))
+    rows = rows.withColumn("at", F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.when(F.get("size", i).isNotNull(), least(i))))
+    return rows.select(F.monotonically_increasing_id().alias("chunk"), "doc", "mark", "base", "own", "h", "size", "at")
 
 
 def extended(chunks: DataFrame) -> DataFrame:
@@ -101,10 +104,11 @@ def extended(chunks: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, mark, runs): the stretches of pieces of each document that stand earlier already, in order, none touching another."""
-    chunks = with_windows(stored(chunks_of_pieces(docs, min_words), "line-pieces"), min_words)
+    """(doc, mark, n_pieces, runs): the stretches of pieces of each document that stand earlier already, in order, none touching another, or NULL."""
+    chunks = stored(chunks_of_pieces(docs, min_words), "line-pieces")
     minima = chunks.select("chunk", "h", F.explode(F.array_distinct(F.filter("at", lambda p: p.isNotNull()))).alias("at"))
-    minima = minima.select("chunk", "at", F.get("h", F.col("at")).alias("print"))
+    # 48 bits of a hash are enough here: what meets by chance is told apart by its windows
+    minima = minima.select("chunk", "at", F.get("h", F.col("at")).bitwiseAND(F.lit((1 << 48) - 1)).alias("print"))
     prints = minima.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
     hits = minima.join(prints, "print", "left_semi").groupBy("chunk").agg(F.collect_set("at").alias("hits"))
     near = stored(extended(chunks.join(hits, "chunk")), "line-windows")
@@ -117,7 +121,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     later = later.withColumn("new", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
     later = later.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = later.groupBy("doc", "mark", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    sizes = chunks.groupBy("doc", "mark").agg(F.max(F.col("base") + F.col("own")).alias("n_pieces"))
+    runs = runs.select(F.col("doc").alias("of_doc"), F.col("mark").alias("of_mark"), "runs")
+    return sizes.join(runs, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("mark") == F.col("of_mark")), "left").select("doc", "mark", "n_pieces", "runs")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -151,12 +158,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     left = F.flatten(F.transform("kept", lambda k: F.slice(F.col("pieces"), k["first"] + 1, k["end"] - k["first"])))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
-    joined = joined.withColumn("pieces", pieces_of(F.col(text)))
+    joined = joined.withColumn("pieces", F.when(F.col("runs").isNotNull(), pieces_of(F.col(text))))
     joined = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
     joined = joined.withColumn("new", F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(left, "")))
     columns = {c: F.col(f"_keep_{i}") for i, c in enumerate(docs.columns)} | {"text": F.col("new")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("runs").isNull(), columns["n_chars"]).otherwise(F.length("new").cast("long"))
-    columns["n_pieces"] = F.when(F.col(text).isNull(), 0).otherwise(F.size("pieces")).cast("long")
+    columns["n_pieces"] = F.coalesce("n_pieces", F.lit(0)).cast("long")
     columns["removed_pieces"] = F.coalesce(removed, F.lit(0)).cast("long")
     return joined.select(*[c.alias(n) for n, c in columns.items()])
