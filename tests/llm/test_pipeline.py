@@ -44,7 +44,7 @@ def test_line_stage(steps):
     before, after = steps["line_dedup"]
     expected = deduped([(r["doc_id"], r["text"]) for r in before.collect()])
     assert {r["doc_id"]: r["text"] for r in after.collect()} == {d: v[0] for (d, _), v in expected.items()}
-    assert line_dedup(after).agg({"removed_lines": "sum"}).first()[0] == 0
+    assert line_dedup(after).agg({"removed_pieces": "sum"}).first()[0] == 0
 
 
 def test_near_copy_stage(steps):
