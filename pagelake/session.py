@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # split a skewed join partition even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a Python worker holds a batch several times over (input, objects, result): few bytes, however long the rows are
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
 }
 
 

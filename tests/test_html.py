@@ -2,6 +2,7 @@ import random
 import re
 from html import unescape
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -225,3 +226,15 @@ def test_parser_never_fails(html):
 def test_plain_text_survives_sanitising(text):
     plain = text.replace("<", "").replace("&", "").replace("\r", "").replace("\x00", "")
     assert unescape(sanitize(plain)) == plain
+
+
+def test_batches_of_long_pages_are_bounded_by_bytes(spark):
+    """A Python worker gets a few MB of pages at once, however many rows there are."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [batch.nbytes / 1e6]})
+
+    pages = spark.range(400).coalesce(1).select(F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 10_000), F.col("id")).alias("html"))
+    found = [row["mb"] for row in pages.mapInArrow(sizes, "mb double").collect()]
+    assert sum(found) > 19 and max(found) < 4
