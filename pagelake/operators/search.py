@@ -57,7 +57,11 @@ def build_postings(docs: DataFrame, key: str, text: str, terms: list[str] | None
     All tokens of a document are in its row, so its postings are made there and
     nothing is shuffled. With ``terms`` only those of some terms are made.
     """
-    grouped = doc_postings(docs, key, text)
+    return _unpacked(doc_postings(docs, key, text), key, terms, positions)
+
+
+def _unpacked(grouped: DataFrame, key: str, terms: list[str] | None = None, positions: bool = True) -> DataFrame:
+    """``build_postings`` from the rows of ``doc_postings``."""
     lists = ["terms", "tfs", "firsts", *(["positions"] if positions else [])]
     zipped = F.arrays_zip(*lists)
     if terms is not None:
@@ -120,9 +124,15 @@ def snippets(hits: DataFrame, docs: DataFrame, key: str, text: str, width: int =
 
 
 def search_incremental(postings: DataFrame, changed: DataFrame, key: str, text: str, positions: bool = False) -> DataFrame:
-    """Postings after some documents changed (or lost their text): old rows out, new rows in."""
+    """Postings after some documents changed (or lost their text): old rows out, new rows in.
+
+    ``postings`` are those of ``build_postings``, or rows of ``doc_postings``: then whole documents go, and only what
+    stays is unpacked. The shuffle has a row for each document and not for each posting.
+    """
     old = postings.join(changed.select(key), key, "left_anti").select(*postings.columns)
-    return old.unionByName(build_postings(changed, key, text, positions=positions).select(*postings.columns))
+    if "terms" in postings.columns:
+        old = _unpacked(old, key, positions=positions)
+    return old.unionByName(build_postings(changed, key, text, positions=positions).select(*old.columns))
 
 
 def search_document(items: DataFrame, item_tags: DataFrame, tags: DataFrame, contents: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelake.operators.search import (
-    build_postings, doc_lengths, match_all_terms, rank_bm25, search_incremental, search_topk, snippets, token_rows, tokens_of,
+    build_postings, doc_lengths, doc_postings, match_all_terms, rank_bm25, search_incremental, search_topk, snippets, token_rows, tokens_of,
 )
 from pagelake.functions.text import tokenize_simple
 from pagelake.session import cut_lineage, work_path
@@ -172,6 +172,6 @@ def snippet_rows(spark, d):
 def incremental(spark, d):
     """French documents get a new text, Spanish ones lose theirs."""
     docs = read_texts(spark, d, "documents")
-    old = build_postings(docs, "doc_id", "text", positions=False)
+    old = doc_postings(docs, "doc_id", "text").drop("positions")
     changed = docs.filter(F.col("lang").isin("fr", "es")).select("doc_id", F.when(F.col("lang") == "fr", F.col("source")).alias("text"))
     return search_incremental(old, changed, "doc_id", "text")

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from pagelake.operators.search import (
-    build_postings, doc_lengths, latest_items, match_all_terms, project_item_response, rank_bm25, search_document,
+    build_postings, doc_lengths, doc_postings, latest_items, match_all_terms, project_item_response, rank_bm25, search_document,
     search_incremental, snippets, tokens_of,
 )
 from pagelake.schemas import ITEMS
@@ -95,3 +95,15 @@ def test_search_document(spark):
     contents = spark.createDataFrame([("i1", "body"), ("i2", None)], "item_id string, clean_text string")
     got = {r.id: r.document for r in search_document(_items(spark), links, tags, contents).collect()}
     assert got == {"i0": "s", "i1": "T\ns\nblue red\nbody", "i2": "T\ns", "i3": "T\ns\nred"}
+
+
+def test_incremental_shuffles_documents_not_postings(spark):
+    """Over rows of doc_postings the join comes before they are unpacked, with the same result."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (3, "c c"), (None, "a d")], "id int, text string")
+    changed = spark.createDataFrame([(2, "d e"), (3, None), (4, "a")], "id int, text string")
+    flat = search_incremental(build_postings(docs, "id", "text", positions=False), changed, "id", "text")
+    grouped = search_incremental(doc_postings(docs, "id", "text").drop("positions"), changed, "id", "text")
+    assert grouped.columns == flat.columns
+    assert sorted(map(str, grouped.collect())) == sorted(map(str, flat.collect()))
+    plan = grouped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline(arrays_zip(") < plan.index("Join LeftAnti")
