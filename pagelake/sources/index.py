@@ -190,7 +190,7 @@ def index_documents(docs: DataFrame, base: str, version: int, key: str, text: st
         deleted = places.join(known, ["old", "range", "offset"], "left_anti").select(*schema.names).coalesce(1)
     else:
         spark.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}").coalesce(1).write.mode("overwrite").parquet(f"{base}/key={key}")
-    _write_segment(doc_postings(docs, key, text), deleted, base, (version, version), key)
+    _write_segment(doc_postings(docs, key, text).drop("positions"), deleted, base, (version, version), key)
     merge_index(spark, base, version, fanout)
 
 

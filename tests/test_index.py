@@ -129,3 +129,10 @@ def test_empty_tables(spark, tmp_path):
     assert read_index(index).count() == 0 and rank_index(index, QUERIES, 3).count() == 0 and match_index(index, ["aa"]).count() == 0
     index_documents(frame(spark, {1: "", 2: None, 3: "aa"}), base, 1, "doc_id", "text")
     same(spark, base, {1: "", 2: None, 3: "aa"})
+
+
+def test_segments_hold_no_positions(spark, tmp_path):
+    """No reader of the index asks for all positions of a term, so none are written."""
+    base = str(tmp_path / "index")
+    index_documents(spark.createDataFrame([(1, "a b a"), (2, "b c")], "id int, text string"), base, 0, "id", "text")
+    assert "positions" not in spark.read.parquet(f"{base}/forward").columns
