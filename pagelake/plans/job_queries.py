@@ -14,7 +14,7 @@ from pagelake.operators.limits import rate_limit, rate_limit_usage
 from pagelake.plans import sqltext as S
 from pagelake.plans.crawl_queries import GRAMS_SQL, MAIN_SQL, language_sql
 from pagelake.plans.work import run_batch
-from pagelake.session import work_path
+from pagelake.session import cut_lineage, work_path
 from pagelake.sources import fixtures as X
 from pagelake.sources.contents import read_contents
 from pagelake.sources.tables import read_fixture, read_texts
@@ -301,12 +301,16 @@ def folded(spark, d):
     return job_state_fold(X.job_log(X.with_k(read_fixture(spark, d, "events"))))
 
 
-def _in_files(spark, df, batch, name, n=4):
-    """``df`` as a stream of several micro-batches: one file for each value of ``batch`` (0 to n - 1), in their order."""
+def _arriving(spark, df, batch, name, n=4):
+    """``df`` as a stream whose files arrive in ``n`` lots, one for each value of ``batch`` (0 to n - 1), in their order.
+
+    Gives the stream again after each lot; a query on the same checkpoint that runs until nothing is left takes the lot as
+    one micro-batch. A lot has as many files as ``df`` has partitions, so no task reads or writes a whole lot.
+    """
     path, dealt = work_path(spark, name), df.withColumn("_batch", batch)
     for i in range(n):
-        dealt.filter(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        dealt.filter(F.col("_batch") == i).drop("_batch").write.mode("append").parquet(path)
+        yield spark.readStream.schema(df.schema).parquet(path)
 
 
 def _quarter(ts, end, start):
@@ -316,18 +320,19 @@ def _quarter(ts, end, start):
 
 
 def _event_stream(spark, d, late_secs=0):
-    """The events table as a stream of four batches by time; rows come up to ``late_secs`` out of order, and by hash inside a batch."""
+    """The events table as a stream of four lots by time, after each of them; rows come up to ``late_secs`` out of order, and by hash inside a batch."""
     events = read_fixture(spark, d, "events")
     start, end = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
     delay = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(late_secs + 1)).cast("decimal(18,6)"))
     batch = _quarter(F.col("ts") + delay, end or 0, start or 0)
-    return _in_files(spark, events.sortWithinPartitions(F.xxhash64("event_id", F.lit(1))), batch, "events")
+    return _arriving(spark, events.sortWithinPartitions(F.xxhash64("event_id", F.lit(1))), batch, "events")
 
 
 @query("stream_job_state", FOLD_SQL)
 def streamed_state(spark, d):
     base = work_path(spark, "job-state")
-    stream_job_state(X.job_log(X.with_k(_event_stream(spark, d, 30 * 86400))), base).awaitTermination()
+    for events in _event_stream(spark, d, 30 * 86400):
+        stream_job_state(X.job_log(X.with_k(events)), base).awaitTermination()
     return read_jobs(spark, base)
 
 
@@ -355,7 +360,8 @@ def gaps(spark, d):
 )
 def streamed_leases(spark, d):
     base = work_path(spark, "leases")
-    stream_lease_expiry(X.job_log(X.with_k(_event_stream(spark, d, 3000))), base).awaitTermination()
+    for events in _event_stream(spark, d, 3000):
+        stream_lease_expiry(X.job_log(X.with_k(events)), base).awaitTermination()
     return spark.read.parquet(f"{base}/expired").select("job_id", "expired_at")
 
 
@@ -391,8 +397,8 @@ def usage(spark, d):
 @query("stream_rate_limit", LIMIT_SQL + " select event_id, user_id, window_count, allowed from limited")
 def streamed_limits(spark, d):
     base = work_path(spark, "limits")
-    events = _event_stream(spark, d).select("event_id", "user_id", "ts")
-    stream_rate_limit(events, "user_id", "ts", "event_id", MAX_REQUESTS, WINDOW_SECS, base).awaitTermination()
+    for events in _event_stream(spark, d):
+        stream_rate_limit(events.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", MAX_REQUESTS, WINDOW_SECS, base).awaitTermination()
     return spark.read.parquet(f"{base}/decisions").select("event_id", "user_id", "window_count", "allowed")
 
 
@@ -407,9 +413,10 @@ def streamed_limits(spark, d):
 )
 def streamed_pages(spark, d):
     base = work_path(spark, "extract")
-    pages = _in_files(spark, read_fixture(spark, d, "pages"), F.pmod(F.hash("page_id"), F.lit(3)), "pages", 3)
-    pages = pages.selectExpr("cast(page_id as string) as item_id", "url", "html", "timestamp'2024-01-01 00:00:00' as fetched_at")
-    stream_extract(pages, base, profiles=language_profiles(read_texts(spark, d, "documents"))).awaitTermination()
+    profiles = cut_lineage(language_profiles(read_texts(spark, d, "documents")))  # asked for by every micro-batch
+    for pages in _arriving(spark, read_texts(spark, d, "pages"), F.pmod(F.hash("page_id"), F.lit(3)), "pages", 3):
+        pages = pages.selectExpr("cast(page_id as string) as item_id", "url", "html", "timestamp'2024-01-01 00:00:00' as fetched_at")
+        stream_extract(pages, base, profiles=profiles).awaitTermination()
     return read_contents(spark, f"{base}/contents").select(
         "item_id", "clean_text", "lang", F.col("extracted_at").cast("timestamp_ntz").alias("extracted_at"),
         (F.col("checksum") == F.md5(F.concat("clean_html", "clean_text"))).alias("has_checksum"),
