@@ -25,20 +25,23 @@ def find_duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 def find_orphans(tables: dict[str, DataFrame], fks: tuple = FOREIGN_KEYS) -> DataFrame:
     """(rule, key) for every reference of ``fks`` whose parent row is missing; a table that a rule names must be given.
 
-    References are counted per value first, so a value that a third of all rows
-    share reaches the join as one row.
+    A rule's references and parent keys meet in one aggregate, which holds a
+    value's two numbers and sorts nothing; references are summed before the
+    shuffle, so a value that a third of all rows share is one row of each task.
+    Columns of different types are compared as a join compares them.
     """
     found = []
     if absent := {name for child, _, parent, _, _ in fks for name in (child, parent)} - set(tables):
         raise ValueError(f"tables without which rules cannot be checked: {', '.join(sorted(absent))}")
     for child, column, parent, parent_key, _ in fks:
-        refs = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
+        refs = tables[child].filter(F.col(column).isNotNull()).select(F.col(column).alias("key"))
         parents = tables[parent].select(F.col(parent_key).alias("key"))
-        found.append(
-            refs.join(parents, "key", "left_anti").select(
-                F.lit(f"{child}.{column}").alias("rule"), F.col("key").cast("string").alias("key"), "n"
-            )
-        )
+        if refs.schema["key"].dataType == parents.schema["key"].dataType:
+            both = refs.withColumn("one", F.lit(1)).unionByName(parents.withColumn("one", F.lit(0)))
+            lost = both.groupBy("key").agg(F.sum("one").alias("n"), F.min("one").alias("least")).filter("least = 1")
+        else:
+            lost = refs.groupBy("key").agg(F.count("*").alias("n")).join(parents, "key", "left_anti")
+        found.append(lost.select(F.lit(f"{child}.{column}").alias("rule"), F.col("key").cast("string").alias("key"), "n"))
     return reduce(DataFrame.unionByName, found)
 
 

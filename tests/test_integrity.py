@@ -51,6 +51,20 @@ def test_orphans_need_their_tables(spark):
         find_orphans(lake)
 
 
+def test_orphans_are_found_in_one_aggregate(spark):
+    """No table is sorted to meet its parents; keys that repeat or are NULL on either side count as before."""
+    rule = (("notes", "part", "parts", "id", "cascade"),)
+    notes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "part string")
+    parts = spark.createDataFrame([("a",), ("a",), (None,), ("d",)], "id string")
+    found = find_orphans({"notes": notes, "parts": parts}, rule)
+    assert _set(found) == {("notes.part", "b", 2), ("notes.part", "c", 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+    numbers = spark.createDataFrame([(1,), (2,)], "id int")
+    texts = spark.createDataFrame([("1",), ("01",), ("3",)], "part string")
+    assert _set(find_orphans({"notes": texts, "parts": numbers}, rule)) == {("notes.part", "3", 1)}
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([("i", "c"), ("i", "c"), ("i", None), ("i", None), ("j", "c")], "item_id string, checksum string")
     assert _set(find_duplicates(df, ["item_id", "checksum"])) == {("i", "c", 2)}
