@@ -76,7 +76,11 @@ class Slice:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document (0 for the first of the slice) of each word."""
         starts, ends = spans(~IS_SEPARATOR[self.data], self.offsets)
-        return starts, ends, np.searchsorted(self.offsets, starts, side="right") - 1
+        return starts, ends, self.documents(starts)
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        """Document of each of these places in ascending order."""
+        return np.repeat(np.arange(len(self)), np.diff(np.searchsorted(places, self.offsets)))
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

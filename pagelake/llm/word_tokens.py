@@ -9,6 +9,7 @@ library on the whole text.
 
 from __future__ import annotations
 
+import os
 from array import array
 from functools import lru_cache
 
@@ -19,6 +20,8 @@ from pagelake.llm.textbatch import IS_SEPARATOR, LOWER, U64, Slice, slices, span
 
 #: Parts of words that a worker remembers.
 CACHED_PARTS = 1_000_000
+#: Bits of the number of places of the table that finds usual parts without a search.
+PLACE_BITS = 19
 #: Parts that are encoded in one call.
 CALL = 20_000
 #: Bytes of text that are encoded together.
@@ -64,7 +67,8 @@ def parts(part: Slice, drops_space: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     data, blank = part.data, IS_SEPARATOR[part.data]
     word_starts, word_ends = spans(~blank, part.offsets)
     kind = kinds(data)
-    others = np.concatenate([[0], np.cumsum(kind == OTHER)])
+    others = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(kind == OTHER, out=others[1:])
     whole = others[word_ends] > others[word_starts]
     edges = np.zeros(len(data) + 1, dtype=np.int8)
     edges[word_starts[whole]] += 1
@@ -76,7 +80,9 @@ def parts(part: Slice, drops_space: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     if drops_space:
         starts = np.flatnonzero(begins)
         after = np.append(starts[1:], len(data))[: len(starts)]
-        word = np.searchsorted(word_starts, starts, side="right") - 1
+        leads = np.zeros(len(data), dtype=bool)
+        leads[word_starts] = True
+        word = np.cumsum(leads[starts]) - 1
         ends = np.minimum(after, word_ends[word]) if len(starts) else starts
         data = np.where(in_whole, data, lowered(data))
     else:
@@ -95,7 +101,7 @@ def parts(part: Slice, drops_space: bool) -> tuple[np.ndarray, np.ndarray, np.nd
         begins[led[own & (data[led - 1] == 0x20)]] = False
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-    return data, starts, ends, np.searchsorted(part.offsets, starts, side="right") - 1
+    return data, starts, ends, part.documents(starts)
 
 
 def other_spaces(data: np.ndarray) -> np.ndarray:
@@ -122,6 +128,8 @@ class WordTokens:
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
+        # calls are short and every core has a worker of its own: the library's threads would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self._forget()
@@ -129,6 +137,7 @@ class WordTokens:
     def _forget(self) -> None:
         self.seen, self.codes = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int32)
         self.flat, self.starts = array("I"), array("Q", [0])
+        self.placed, self.placed_codes = np.zeros(1 << PLACE_BITS, dtype=U64), np.zeros(1 << PLACE_BITS, dtype=np.int32)
 
     def _call(self, texts: list[str]) -> list[list[int]]:
         found = []
@@ -145,11 +154,9 @@ class WordTokens:
             self.starts.append(len(self.flat))
         return np.arange(first, first + len(texts), dtype=np.int32)
 
-    def _encode_slice(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.seen) > CACHED_PARTS:
-            self._forget()
-        data, starts, ends, document = parts(part, self.drops_space)
-        hashes, first, each = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    def _search(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Codes of parts by all that is remembered; new ones are learned."""
+        hashes, first, each = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.seen, hashes)
         known = np.zeros(len(hashes), dtype=bool)
         inside = at < len(self.seen)
@@ -161,12 +168,24 @@ class WordTokens:
             codes[~known] = self._learn([raw[a:b].decode("utf-8") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             self.seen = np.insert(self.seen, at[~known], hashes[~known])
             self.codes = np.insert(self.codes, at[~known], codes[~known])
-        limits, flat = np.frombuffer(self.starts, dtype=np.uint64).astype(np.int64), np.frombuffer(self.flat, dtype=np.uint32)
-        own = limits[codes]
-        own_length = limits[codes + 1] - own
-        lengths = own_length[each]
+        return codes[each]
+
+    def _encode_slice(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.seen) > CACHED_PARTS:
+            self._forget()
+        data, starts, ends, document = parts(part, self.drops_space)
+        hashes = span_hashes(data, starts, ends)
+        place = (hashes >> U64(64 - PLACE_BITS)).astype(np.int64)
+        codes = self.placed_codes.take(place)
+        rest = np.flatnonzero(self.placed.take(place) != hashes)
+        if len(rest):
+            codes[rest] = self._search(hashes[rest], data, starts[rest], ends[rest])
+            self.placed[place[rest]], self.placed_codes[place[rest]] = hashes[rest], codes[rest]
+        limits, flat = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.flat, dtype=np.uint32)
+        own = limits.take(codes)
+        lengths = limits.take(codes + 1) - own
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(own[each] - total[:-1], lengths) + np.arange(total[-1])] if len(flat) else np.zeros(0, dtype=np.uint32)
+        ids = flat.take(np.repeat(own - total[:-1], lengths) + np.arange(total[-1])) if len(flat) else np.zeros(0, dtype=np.uint32)
         counts = np.bincount(document, weights=lengths, minlength=len(part)).astype(np.int64)
         del limits, flat  # arrays that are looked at cannot grow
         if not self.drops_space:

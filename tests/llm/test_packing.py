@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import defaultdict
 
@@ -5,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from pagelake.llm import word_tokens as tokens
 from pagelake.llm.packing import SEQUENCE_IDS, fill, hilbert_keys, pack, sequence_lengths
 from pagelake.llm.word_tokens import word_tokens
 
@@ -84,3 +86,19 @@ def test_word_tokens_are_the_library_s(vocabulary, spark):
         limits = np.concatenate([[0], np.cumsum(counts)])
         for i, text in enumerate(texts):
             assert ids[limits[i] : limits[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_usual_parts_are_found_without_a_search(vocabulary, monkeypatch):
+    path = vocabulary("byte_bpe_50k.json")
+    texts = ["to be or not to be", "", None, "that is the question", "to be " * 50]
+    tokenizer = Tokenizer.from_file(path)
+    expected = [i for t in texts for i in tokenizer.encode(t or "", add_special_tokens=False).ids]
+    encoder = tokens.WordTokens(path, False)
+    assert encoder.encode(pa.array(texts))[0].tolist() == expected
+    monkeypatch.setattr(encoder, "_search", None)  # all parts are in the table now
+    assert encoder.encode(pa.array(texts))[0].tolist() == expected
+    monkeypatch.setattr(tokens, "PLACE_BITS", 1)  # nearly all parts share a place
+    crowded = tokens.WordTokens(path, False)
+    for _ in range(3):
+        assert crowded.encode(pa.array(texts))[0].tolist() == expected
+    assert "TOKENIZERS_PARALLELISM" in os.environ  # without the library's threads, unless the user asks for them
