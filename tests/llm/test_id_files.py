@@ -6,12 +6,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pagelake.llm import id_files
+from pagelake.llm import id_files, range_coder
 from pagelake.llm.range_coder import BLOCK_IDS, read_blocks, write_blocks
 from pagelake.session import work_path
 
 from .conftest import EDGE
 
+#: Length and CRC-32 of the blocks of a fixed list of ids.
+WRITTEN = (2424, 1322228952)
+
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=60), st.integers(1, 60), st.integers(0, 3))
@@ -30,6 +33,28 @@ def test_repetition_is_small_and_blocks_stand_alone():
         assert read_blocks([block]).tolist() == ids[i * BLOCK_IDS : (i + 1) * BLOCK_IDS].tolist()
 
 
+def test_blocks_of_any_order_and_length_and_their_bytes():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 400, n).astype(np.uint32) for n in (0, 7, BLOCK_IDS, 1, 300)]
+    blocks = [b for p in parts for b in write_blocks(p)]
+    assert read_blocks(blocks).tolist() == np.concatenate(parts).tolist()
+    # the bytes are those of the format as it was first written
+    content = b"".join(b[0] for b in write_blocks(np.arange(3000, dtype=np.uint32) * 7 % 611))
+    assert (len(content), zlib.crc32(content)) == WRITTEN
+
+
+def test_no_step_gathers_the_intervals_of_all_blocks(monkeypatch):
+    """The blocks of a step are the first ones, also where a frame's last block is short."""
+    seen = []
+    step = range_coder.Model.step
+    monkeypatch.setattr(range_coder.Model, "step", lambda self, coder, last, *rest: seen.append(last) or step(self, coder, last, *rest))
+    blocks = write_blocks(np.arange(2 * BLOCK_IDS + 5, dtype=np.uint32))
+    assert [len(x) for x in seen] == [3] * 5 + [2] * (BLOCK_IDS - 5)
+    seen.clear()
+    read_blocks(blocks[::-1])
+    assert [len(x) for x in seen] == [3] * 5 + [2] * (BLOCK_IDS - 5)
+
+
 def test_damage_is_found():
     content, n, checksum = write_blocks(np.arange(500, dtype=np.uint32))[0]
     broken = bytes([content[0], content[1] ^ 64, *content[2:]])
