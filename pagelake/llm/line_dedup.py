@@ -28,6 +28,8 @@ from pagelake.llm.store import stored
 MIN_WORDS = 10
 #: Where a text is cut: before a word, behind a line's end or a sentence's.
 CUT_PATTERN = r"(?<=[\n ])(?=[^\x20\x09-\x0D])(?<=\n|[.!?] )"
+#: The blank at such a place, in a plain text: a line's end, or a space behind a sentence's.
+PLAIN_CUT_PATTERN = r"[\n ](?<![^.!?] )"
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_PATTERN = r"[\x20\x09-\x0D]+"
 #: Pieces whose windows are found in one row.
@@ -39,6 +41,14 @@ def pieces_of(text: Column) -> Column:
     return F.split(text, CUT_PATTERN)
 
 
+def is_plain(text: Column) -> Column:
+    """Whether all blanks of a text are single spaces and line ends between its words; what does not need to be looked for in each piece."""
+    other = text.contains("  ")
+    for blank in BLANKS.replace(" ", "").replace("\n", ""):
+        other = other | text.contains(blank)
+    return ~(other | F.exists(F.split(text, "\n"), lambda line: (F.ascii(line) <= 32) | line.endswith(" ")))
+
+
 def without_blanks(piece: Column) -> Column:
     """A piece without the blanks around it; most end in spaces only, which cost less to take off."""
     plain = F.rtrim(piece)
@@ -48,6 +58,11 @@ def without_blanks(piece: Column) -> Column:
     return F.when(other, F.trim(piece, F.lit(BLANKS))).otherwise(plain)
 
 
+def bare_pieces_of(text: Column, plain: Column) -> Column:
+    """The pieces of a text without the blanks around them."""
+    return F.when(plain, F.split(text, PLAIN_CUT_PATTERN)).otherwise(F.transform(pieces_of(text), without_blanks))
+
+
 def capped_words(piece: Column, cap: int) -> Column:
     """Words of a piece without blanks around it, at most ``cap``: no window needs to know of more.
 
@@ -70,31 +85,37 @@ def chunks_of_pieces(docs: DataFrame, min_words: int) -> DataFrame:
     name the document. ``chunk`` numbers the rows of a run: store them first.
     """
 
-    def size_from(i: Column) -> Column:
-        words, total, found = F.get("words", i), F.get("words", i), F.when(F.get("words", i) == 0, None)
+    def size_from(words: Column, i: Column) -> Column:
+        total, found = words, F.when(words == 0, None)
         for n in range(1, min_words + 1):
             found = found.when(total >= min_words, n)
-            words = F.get("words", i + n)
-            total = total + words
+            total = total + F.get("words", i + n)
         return found
 
-    def least(i: Column) -> Column:
-        window = F.slice("h", i + 1, F.get("size", i))
-        return F.when(F.get("size", i) == 1, i).otherwise((i + F.array_position(window, F.array_min(window)) - 1).cast("int"))
-
-    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), pieces_of(F.col("text")).alias("pieces")).filter("pieces is not null")
+    def least(size: Column, i: Column) -> Column:
+        first, second, third = (F.get("h", i + n) for n in range(3))  # most windows have few pieces
+        two = F.when(first <= second, i).otherwise(i + 1)
+        three = F.when(first <= F.least(second, third), i).when(second <= third, i + 1).otherwise(i + 2)
+        window = F.slice("h", i + 1, size)
+        more = (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
+        return F.when(size == 1, i).when(size == 2, two).when(size == 3, three).when(size.isNotNull(), more)
+
+    # the text and not its pieces, as a filter of the pieces would cut the text once more
+    rows = docs.filter("text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text", is_plain(F.col("text")).alias("plain"))
+    rows = rows.select("doc", "mark", "plain", bare_pieces_of(F.col("text"), F.col("plain")).alias("pieces"))
     # a window has min_words pieces at most, as every piece but the first has a word
     bases = F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(CHUNK))
-    rows = rows.withColumn("all", F.size("pieces")).select("doc", "mark", "all", "pieces", F.explode(bases).alias("base"))
-    part = F.transform(F.slice("pieces", F.col("base") + 1, F.lit(CHUNK + min_words + 1)), without_blanks)
-    rows = rows.select("doc", "mark", "base", F.least(F.lit(CHUNK), F.col("all") - F.col("base")).alias("own"), part.alias("part"))
+    rows = rows.withColumn("all", F.size("pieces")).select("doc", "mark", "plain", "all", "pieces", F.explode(bases).alias("base"))
+    part = F.slice("pieces", F.col("base") + 1, F.lit(CHUNK + min_words + 1))
+    rows = rows.select("doc", "mark", "plain", "base", F.least(F.lit(CHUNK), F.col("all") - F.col("base")).alias("own"), part.alias("part"))
+    plain_words = F.transform("part", lambda p: F.size(F.split(p, " ", min_words)))
     rows = rows.withColumns({
         "h": F.transform("part", lambda p: F.xxhash64(p)),
-        "words": F.transform("part", lambda p: capped_words(p, min_words)),
+        "words": F.when(F.col("plain"), plain_words).otherwise(F.transform("part", lambda p: capped_words(p, min_words))),
     })
     # one window more than its own, to know where the last one's matches are extended to
-    rows = rows.withColumn("size", F.transform(F.sequence(F.lit(0), F.col("own")), size_from))
-    rows = rows.withColumn("at", F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.when(F.get("size", i).isNotNull(), least(i))))
+    rows = rows.withColumn("size", F.slice(F.transform("words", size_from), F.lit(1), F.col("own") + 1))
+    rows = rows.withColumn("at", F.transform(F.slice("size", F.lit(1), F.col("own")), least))
     return rows.select(F.monotonically_increasing_id().alias("chunk"), "doc", "mark", "base", "own", "h", "size", "at")
 
 

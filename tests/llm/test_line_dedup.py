@@ -1,9 +1,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelake.llm import line_dedup as line_dedup_module
-from pagelake.llm.line_dedup import line_dedup
+from pagelake.llm.line_dedup import MIN_WORDS, bare_pieces_of, chunks_of_pieces, is_plain, line_dedup
 from pagelake.llm.queries import OP10_SQL, op10_line_dedup
 
 from .conftest import EDGE
@@ -118,3 +119,18 @@ def test_twin(spark):
 def test_dataframe_functions_only(edge_docs):
     plan = line_dedup(edge_docs)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "ArrowEval", "MapIn"))
+
+
+def test_texts_are_cut_once(edge_docs):
+    plan = chunks_of_pieces(edge_docs, MIN_WORDS)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Filter")]
+    assert filters and not any("split(" in line or "transform(" in line for line in filters)
+
+
+def test_plain_texts_have_the_same_pieces(spark):
+    """Without a look at the blanks of each piece, wherever a text's blanks allow it."""
+    plain = ["a", "one two. Three! four?\nfive", "a.\nb\nc. d", "e.g. f, g . h", "...\n! ? .", "\u3000x. \u00e9", "x\u00a0. y"]
+    other = ["", " ", " a", "a ", "\na", "a\n", "a  b", "a.  b", "a\n\nb", "a\n b", "a \nb", "a\tb", "a. \tb", "a\r\nb", "a\x0bb", "a\x0cb", "a.\x0c"]
+    docs = spark.createDataFrame([(t,) for t in plain + other], "text string").withColumn("plain", is_plain(F.col("text")))
+    found = {r["text"]: (r["plain"], r["pieces"]) for r in docs.select("text", "plain", bare_pieces_of(F.col("text"), F.col("plain")).alias("pieces")).collect()}
+    assert found == {t: (t in plain, [x.strip(" \t\n\x0b\x0c\r") for x in cut(t)]) for t in plain + other}
