@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.store import stored
+from pagelake.llm.store import stored, stored_without_shuffles
 
 MIN_WORDS = 10
 #: Where a text is cut: before a word, behind a line's end or a sentence's.
@@ -128,15 +128,15 @@ def extended(chunks: DataFrame) -> DataFrame:
 
     def ends(i: Column) -> Column:
         end = i + F.get("size", i) - 1
-        following = F.when(i + 1 < F.size("h"), i + 1 + F.get("size", i + 1) - 2)
-        last = F.coalesce(following, F.size("h") - 1)
-        return F.transform(F.sequence(end, F.greatest(end, last)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+        following = i + F.get("size", i + 1) - 1  # before the next piece's window ends
+        return F.struct(i.alias("i"), end.alias("end"), F.greatest(end, F.coalesce(following, F.size("h") - 1)).alias("last"))
 
     starts = F.filter(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.array_contains("hits", F.get("at", i)))
-    rows = chunks.withColumn("found", F.flatten(F.transform(starts, ends))).select("doc", "mark", "base", "h", F.explode("found").alias("w"))
-    content = F.slice("h", F.col("w.i") + 1, F.col("w.j") - F.col("w.i") + 1)
+    rows = chunks.select("doc", "mark", "base", "h", F.explode(F.transform(starts, ends)).alias("w"))
+    rows = rows.select("doc", "mark", "base", "h", "w", F.explode(F.sequence("w.end", "w.last")).alias("j"))
+    content = F.slice("h", F.col("w.i") + 1, F.col("j") - F.col("w.i") + 1)
     return rows.select(
-        "doc", "mark", (F.col("base") + F.col("w.i")).alias("first"), (F.col("w.j") - F.col("w.i")).alias("more"),
+        "doc", "mark", (F.col("base") + F.col("w.i")).alias("first"), (F.col("j") - F.col("w.i")).alias("more"),
         F.xxhash64(content).alias("a"), F.hash(content).alias("b"),
     )
 
@@ -149,7 +149,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     minima = minima.select("chunk", "at", F.get("h", F.col("at")).bitwiseAND(F.lit((1 << 48) - 1)).alias("print"))
     prints = minima.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
     hits = minima.join(prints, "print", "left_semi").groupBy("chunk").agg(F.collect_set("at").alias("hits"))
-    near = stored(extended(chunks.join(hits, "chunk")), "line-windows")
+    near = stored_without_shuffles(extended(chunks.join(hits, "chunk")), "line-windows")
     place = F.struct("doc", "mark", "first")
     firsts = near.groupBy("a", "b").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "place")
     later = near.join(firsts, ["a", "b"]).filter(place > F.col("place")).select("doc", "mark", "first", (F.col("first") + F.col("more")).alias("last"))

@@ -37,6 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
+def stored_without_shuffles(df: DataFrame, name: str) -> DataFrame:
+    """``stored``, and the job's shuffle files go when the table is written, not when the driver happens to collect garbage."""
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting, "false")
+    conf.set(setting, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(setting, before)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -134,3 +136,20 @@ def test_plain_texts_have_the_same_pieces(spark):
     docs = spark.createDataFrame([(t,) for t in plain + other], "text string").withColumn("plain", is_plain(F.col("text")))
     found = {r["text"]: (r["plain"], r["pieces"]) for r in docs.select("text", "plain", bare_pieces_of(F.col("text"), F.col("plain")).alias("pieces")).collect()}
     assert found == {t: (t in plain, [x.strip(" \t\n\x0b\x0c\r") for x in cut(t)]) for t in plain + other}
+
+
+def test_shuffles_of_the_windows_are_deleted(spark):
+    """When the windows are written, without a garbage collection of the driver."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, f"the same ten words stand in each of these few texts. own {i}") for i in range(20)], "doc_id long, text string").localCheckpoint()
+    before, usual = shuffles(), spark.conf.get(setting)
+    line_dedup_module.repeated_runs(docs)
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(setting) == usual
