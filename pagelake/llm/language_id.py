@@ -43,11 +43,10 @@ UNDETERMINED = "und"
 @lru_cache(maxsize=1)
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point, whether it is a letter, and its lower case where that is one code point."""
-    points = [chr(i) for i in range(0x110000)]
     lower = np.arange(0x110000, dtype=np.uint32)
-    is_letter = np.fromiter((c.isalpha() for c in points), dtype=bool, count=len(points))
+    is_letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
     for i in np.flatnonzero(is_letter):
-        small = points[i].lower()
+        small = chr(i).lower()
         if len(small) == 1:
             lower[i] = ord(small)
     return is_letter, lower
@@ -259,7 +258,7 @@ class LanguageModel:
         n = len(part)
         if not len(starts):
             return np.zeros((n, len(self.languages))), np.zeros(n, dtype=np.int64)
-        hashes = value_hashes(mix(points.astype(U64) + U64(1)), starts, starts + lengths)
+        hashes = value_hashes(points, lambda stretch: mix(stretch.astype(U64) + U64(1)), starts, starts + lengths)
         hashes, first, each = np.unique(hashes, return_index=True, return_inverse=True)
         logs = self.word_logs(hashes, points, starts[first], lengths[first])
         total = np.stack([np.bincount(document, weights=logs[each, i], minlength=n) for i in range(len(self.languages))], axis=1)

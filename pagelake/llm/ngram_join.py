@@ -43,7 +43,7 @@ UNIT_BITS = 20
 #: Tokens of a block of a large group; a group up to this size is one block.
 BLOCK_TOKENS = 1_000_000
 #: Tokens of groups that a task looks at together.
-FOREST_TOKENS = 2_000_000
+FOREST_TOKENS = 500_000
 
 
 def pack48(tokens: np.ndarray) -> bytes:
@@ -113,8 +113,6 @@ def _packed_sets(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 ranked = tokens[order]
                 begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, dtype=np.int64)
                 times = np.diff(np.append(begins, len(ranked)))
-                once = np.empty(len(tokens), dtype=bool)
-                once[order] = np.repeat(times == 1, times)
                 # tokens of several documents of the stretch go once; their documents stay at home
                 often, often_times = ranked[begins[times > 1]], times[times > 1]
                 members = document[order][np.repeat(times > 1, times)]
@@ -125,11 +123,9 @@ def _packed_sets(docs: DataFrame, parts: int, size: int) -> DataFrame:
                     "da": da.tolist(), "db": db.tolist(), "members": members.astype("<u2").tobytes(),
                 }
                 rows = [home]
-                owner, single = document[once], tokens[once]
-                place = part_of(single, parts)
-                order = np.argsort(place, kind="stable")
-                owner, single, place = owner[order], single[order], place[order]
-                limits = np.searchsorted(place, np.arange(parts + 1))
+                # ascending, and so by part
+                single, owner = ranked[begins[times == 1]], document[order[begins[times == 1]]]
+                limits = np.searchsorted(part_of(single, parts), np.arange(parts + 1))
                 often_limits = np.searchsorted(part_of(often, parts), np.arange(parts + 1))
                 for p in np.flatnonzero((np.diff(limits) > 0) | (np.diff(often_limits) > 0)).tolist():
                     own, own_often = slice(limits[p], limits[p + 1]), slice(often_limits[p], often_limits[p + 1])
@@ -147,6 +143,25 @@ def rarity(documents: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(8 * np.log2(documents)), 255).astype(np.uint8)
 
 
+def _known_twice(singles: list[bytes], often: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a part that two documents or more have, ascending, and their rarity.
+
+    ``singles`` count one document each, ``often`` as many as ``times``. Of the part's tokens one
+    array is made and sorted in place; all else is of the size of what repeats.
+    """
+    everything = np.empty(sum(map(len, singles)) // 6, dtype=U64)
+    at = 0
+    for content in singles:
+        everything[at : at + len(content) // 6] = unpack48(content)
+        at += len(content) // 6
+    everything.sort()
+    repeated = unpack48(b"".join(often))
+    known = np.union1d(everything[1:][everything[1:] == everything[:-1]], repeated)
+    total = np.searchsorted(everything, known, side="right") - np.searchsorted(everything, known)
+    np.add.at(total, np.searchsorted(known, repeated), np.frombuffer(b"".join(times), dtype="<u4").astype(np.int64))
+    return known, np.maximum(rarity(total), 1)
+
+
 def _shared_tokens(packed: DataFrame, parts: int) -> DataFrame:
     """The tokens that two documents or more have, back by stretch, with their rarity; home rows pass."""
     names = packed.schema
@@ -162,25 +177,17 @@ def _shared_tokens(packed: DataFrame, parts: int) -> DataFrame:
             held += zip(*[rest.column(i).to_pylist() for i in (1, 3, 4, 5, 6)], strict=True)
         if not held:
             return
-        singles, often = [unpack48(h[1]) for h in held], [unpack48(h[3]) for h in held]
-        times = [np.frombuffer(h[4], dtype="<u4") for h in held]
-        everything = np.concatenate([*singles, *often])
-        documents = np.concatenate([np.ones(sum(map(len, singles)), dtype=np.int64), *times])
-        order = np.argsort(everything)
-        ranked = everything[order]
-        begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        total = np.add.reduceat(documents[order], begins)
-        rare = np.empty(len(everything), dtype=np.uint8)
-        rare[order] = np.repeat(np.where(total > 1, np.maximum(rarity(total), 1), 0), np.diff(np.append(begins, len(ranked))))
-        at, at_often = 0, sum(map(len, singles))
-        for (unit, _, docs, _, _), own, own_often in zip(held, singles, often, strict=True):
-            own_rare, often_rare = rare[at : at + len(own)], rare[at_often : at_often + len(own_often)]
-            at, at_often = at + len(own), at_often + len(own_often)
-            keep = own_rare > 0
+        known, rare = _known_twice([h[1] for h in held], [h[3] for h in held], [h[4] for h in held])
+        for unit, own, docs, own_often, _ in held:
+            own, often_rare = unpack48(own), rare[np.searchsorted(known, unpack48(own_often))]
+            at = np.searchsorted(known, own)
+            at[at == len(known)] = 0  # beyond the last one
+            keep = known[at] == own if len(known) else np.zeros(len(own), dtype=bool)
+            own_rare = rare[at[keep]]
             if keep.any() or len(own_often):
                 row = {
                     "part": 0, "unit": unit, "home": False, "tokens": pack48(own[keep]), "docs": np.frombuffer(docs, dtype="<u2")[keep].tobytes(),
-                    "often": pack48(own_often), "times": np.concatenate([own_rare[keep], often_rare]).tobytes(),
+                    "often": own_often, "times": np.concatenate([own_rare, often_rare]).tobytes(),
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 

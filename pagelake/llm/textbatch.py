@@ -8,13 +8,15 @@ that or by the longest document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+#: Bytes whose spans are hashed together.
+HASH_BYTES = 1 << 17
 #: Documents of a slice, so that 16 bits number them.
 SLICE_ROWS = 1 << 15
 #: Rows of an Arrow batch between the JVM and Python, so that a batch of usual documents stays at a few MB.
@@ -59,7 +61,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(SLICE_BYTES, 1 << int(n).bit_length()))
+    """Those that usual stretches need are kept; longer ones are made for the one span that needs them."""
+    return _powers(HASH_BYTES) if n <= HASH_BYTES else _powers.__wrapped__(n)
 
 
 class Slice:
@@ -120,17 +123,29 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes give equal hashes wherever they stand."""
-    return value_hashes(BYTE_VALUES[data], starts, ends)
+    return value_hashes(data, BYTE_VALUES.take, starts, ends)
 
 
-def value_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The same for spans of 64-bit values, which are overwritten."""
-    forward, back = powers(len(values))
-    total = np.zeros(len(values) + 1, dtype=U64)
-    np.multiply(values, forward[: len(values)], out=values)
-    np.cumsum(values, out=total[1:])
-    value = (total[ends] - total[starts]) * back[starts]
-    return mix(value ^ (ends - starts).astype(U64))
+def value_hashes(data: np.ndarray, values: Callable[[np.ndarray], np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same for spans of any elements that ``values`` turns into 64-bit values; spans stand in ascending order and do not overlap.
+
+    Work arrays are eight times as long as what they are made of, so they are made for
+    a stretch of at most ``HASH_BYTES`` elements, or one longer span, at a time.
+    """
+    found = np.empty(len(starts), dtype=U64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(int(np.searchsorted(ends, low + HASH_BYTES, side="right")), at + 1)
+        begin, end = starts[at:to] - low, ends[at:to] - low
+        own = values(data[low : int(ends[to - 1])])
+        forward, back = powers(len(own))
+        total = np.zeros(len(own) + 1, dtype=U64)
+        np.multiply(own, forward[: len(own)], out=own)
+        np.cumsum(own, out=total[1:])
+        found[at:to] = mix((total[end] - total[begin]) * back[begin] ^ (end - begin).astype(U64))
+        at = to
+    return found
 
 
 def windows(values: np.ndarray, document: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,10 @@
+import tracemalloc
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagelake.llm import ngram_join as module
 from pagelake.llm.components import connected_components
@@ -93,6 +97,34 @@ def test_twin_agrees_with_brute_force(spark):
     assert twin == brute([(r["doc_id"], r["text"]) for r in docs.collect()]) == rows_of(ngram_join(docs))
 
 
+def test_a_part_of_the_tokens_is_held_few_times_over(spark, monkeypatch):
+    """A task that looks for shared tokens had ten arrays of the size of its part."""
+    names = f"{module._PACKED}, {module._HOME.format(kind='bigint')}"
+    packed = spark.createDataFrame([], names)
+    monkeypatch.setattr(module, "map_batches", lambda df, run, names: run)
+    run = module._shared_tokens(packed, 4)
+    rng, n = np.random.default_rng(0), 400_000
+    tokens = np.unique(rng.integers(0, 1 << 46, n).astype(np.uint64))
+    halves = [tokens[::2], np.union1d(tokens[1::2], tokens[:100:2])]
+    often, times = tokens[-3:], np.array([2, 3, 2], dtype="<u4")
+    rows = [
+        {"part": 0, "unit": i, "home": False, "tokens": module.pack48(h), "docs": np.zeros(len(h), dtype="<u2").tobytes(),
+         "often": module.pack48(often), "times": times.tobytes()}
+        for i, h in enumerate(halves)
+    ]
+    schema = to_arrow_schema(packed.schema)
+    batches = [pa.RecordBatch.from_pylist([row], schema=schema) for row in rows]
+    tracemalloc.start()
+    found = [batch.to_pylist()[0] for batch in run(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    singles = [set(module.unpack48(f["tokens"]).tolist()) - set(often.tolist()) for f in found]
+    assert singles == [set(tokens[:100:2].tolist())] * 2
+    # 4, 6 and 4 documents of the frequent tokens, and one more where one of the halves has the token alone
+    assert all(np.frombuffer(f["times"], dtype=np.uint8)[-3:].tolist() == module.rarity(np.array([5, 7, 5])).tolist() for f in found)
+    assert peak < 50 * len(tokens)
+
+
 def test_signature_trees():
     rng = np.random.default_rng(3)
     for _ in range(10):
