@@ -1,6 +1,7 @@
 """The stored index gives what a fresh one gives, and an update touches little."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,26 @@ def test_segments_hold_no_positions(spark, tmp_path):
     base = str(tmp_path / "index")
     index_documents(spark.createDataFrame([(1, "a b a"), (2, "b c")], "id int, text string"), base, 0, "id", "text")
     assert "positions" not in spark.read.parquet(f"{base}/forward").columns
+
+
+def shuffled(spark):
+    """Sizes of the shuffle files that lie on the disk now."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    paths = [Path(f.getPath()) for f in (files.apply(i) for i in range(files.size()))]
+    return {p: p.stat().st_size for p in paths if p.name.startswith("shuffle_") and p.exists()}
+
+
+def test_building_updating_and_merging_shuffle_no_postings(spark, tmp_path):
+    rnd, base = random.Random(8), str(tmp_path / "index")
+    texts = {i: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(200)) for i in range(400)}
+    changes = [texts, {i: "aa" for i in range(0, 400, 4)}, {i: None for i in range(1, 400, 4)}]
+    for version, docs in enumerate(changes):
+        spark.createDataFrame(sorted(docs.items()), SCHEMA).write.parquet(str(tmp_path / f"docs-{version}"))
+    before = shuffled(spark)
+    for version in range(len(changes)):
+        index_documents(spark.read.parquet(str(tmp_path / f"docs-{version}")), base, version, "doc_id", "text", fanout=3)
+    assert (tmp_path / "index" / "blocks" / f"seg={0:012d}-{2:012d}").exists()
+    new = sum(size for path, size in shuffled(spark).items() if path not in before)
+    assert new < 100_000  # the 80,000 postings took some megabytes
+    live = texts | changes[1] | changes[2]
+    assert read_index(open_index(spark, base)).count() == sum(len(set(t.split())) for t in live.values() if t)
