@@ -157,6 +157,24 @@ def test_building_updating_and_merging_shuffle_no_postings(spark, tmp_path):
         index_documents(spark.read.parquet(str(tmp_path / f"docs-{version}")), base, version, "doc_id", "text", fanout=3)
     assert (tmp_path / "index" / "blocks" / f"seg={0:012d}-{2:012d}").exists()
     new = sum(size for path, size in shuffled(spark).items() if path not in before)
-    assert new < 100_000  # the 80,000 postings took some megabytes
+    assert new < 100_000  # the 80,000 postings took a megabyte
     live = texts | changes[1] | changes[2]
     assert read_index(open_index(spark, base)).count() == sum(len(set(t.split())) for t in live.values() if t)
+
+
+def test_stretches_and_splits_that_cut_ranges(spark, tmp_path, monkeypatch):
+    """Small stretches end between ranges; where splits of a file cut ranges, these have more blocks and the same results."""
+    monkeypatch.setattr(module, "STRETCH", 3000)
+    docs, settings = made(9, 900), {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "0", "parquet.block.size": "1000"}
+    for name, conf in (("whole", {}), ("cut", settings)):
+        base = str(tmp_path / name)
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        try:
+            index_documents(spark.createDataFrame(list(docs.items()), SCHEMA).coalesce(1), base, 0, "doc_id", "text")
+        finally:
+            for key in conf:
+                spark.conf.unset(key)
+        most = spark.read.parquet(f"{base}/blocks").groupBy("range", "term").count().agg(F.max("count")).first()[0]
+        assert (most == 1) == (name == "whole")
+        same(spark, base, docs)
