@@ -162,6 +162,15 @@ def test_building_updating_and_merging_shuffle_no_postings(spark, tmp_path):
     assert read_index(open_index(spark, base)).count() == sum(len(set(t.split())) for t in live.values() if t)
 
 
+def test_blocks_hold_places_and_no_keys(spark, tmp_path):
+    """Keys and lengths stand in ``docs`` once; a block repeats neither for its postings."""
+    base = str(tmp_path / "index")
+    index_documents(spark.createDataFrame([(1, "a b a"), (2, "b c")], "id int, text string").coalesce(1), base, 0, "id", "text")
+    rows = spark.read.parquet(f"{base}/blocks").drop("seg")
+    assert rows.columns == ["range", "term", "n", "max_tf", "min_dl", "offsets", "tfs"]
+    assert sorted((r.term, r.n, r.max_tf, r.min_dl, r.offsets, r.tfs) for r in rows.collect()) == [("a", 1, 2, 3, [0], [2]), ("b", 2, 1, 2, [0, 1], [1, 1]), ("c", 1, 1, 2, [1], [1])]
+
+
 def test_stretches_and_splits_that_cut_ranges(spark, tmp_path, monkeypatch):
     """Small stretches end between ranges; where splits of a file cut ranges, these have more blocks and the same results."""
     monkeypatch.setattr(module, "STRETCH", 3000)
