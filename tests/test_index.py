@@ -187,3 +187,17 @@ def test_stretches_and_splits_that_cut_ranges(spark, tmp_path, monkeypatch):
         most = spark.read.parquet(f"{base}/blocks").groupBy("range", "term").count().agg(F.max("count")).first()[0]
         assert (most == 1) == (name == "whole")
         same(spark, base, docs)
+
+
+def test_an_index_takes_less_than_twice_its_forward_rows(spark, tmp_path):
+    """Blocks repeat the terms and counts of the forward rows and little else; no table of a build stays beside the segment."""
+    rnd, base = random.Random(7), str(tmp_path / "index")
+    docs = {i: " ".join(f"w{rnd.randrange(20_000)}" for _ in range(rnd.randrange(400))) for i in range(600)}
+    work = Path(str(spark.sparkContext.getCheckpointDir() or tmp_path / "none").removeprefix("file:"))
+    before = set(work.glob("*"))
+    index_documents(spark.createDataFrame(sorted(docs.items()), SCHEMA).coalesce(1), base, 0, "doc_id", "text")
+    size = {part: sum(f.stat().st_size for f in (tmp_path / "index" / part).rglob("*.parquet")) for part in module.PARTS}
+    assert sum(size.values()) < 2 * size["forward"], size
+    assert set(work.glob("*")) == before
+    want = rank_bm25(build_postings(frame(spark, docs), "doc_id", "text", positions=False), doc_lengths(frame(spark, docs), "doc_id", "text"), {"q": ["w1", "w2"]}, "doc_id", 10)
+    assert sorted(map(tuple, rank_index(open_index(spark, base), {"q": ["w1", "w2"]}, 10).collect())) == sorted(map(tuple, want.collect()))
